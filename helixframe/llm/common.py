@@ -171,10 +171,12 @@ class Words:
 
     def text(self, doc: int, keep: np.ndarray | None = None) -> bytes:
         """A document's words, those that `keep` flags if given, joined by one space."""
-        a, b = self.first[doc], self.first[doc + 1]
-        raw = self.data[self.offs[doc] : self.offs[doc + 1]].tobytes()
-        at = self.offs[doc]
-        return b" ".join([raw[s - at : e - at] for s, e, k in zip(self.starts[a:b].tolist(), self.ends[a:b].tolist(), [True] * (b - a) if keep is None else keep[a:b].tolist()) if k])
+        a, b, at = self.first[doc], self.first[doc + 1], self.offs[doc]
+        raw = self.data[at : self.offs[doc + 1]].tobytes()
+        starts, ends = self.starts[a:b], self.ends[a:b]
+        if keep is not None:
+            starts, ends = starts[keep], ends[keep]
+        return b" ".join([raw[s:e] for s, e in zip((starts - at).tolist(), (ends - at).tolist())])
 
 
 class Sequences:
