@@ -102,6 +102,7 @@ _rng = np.random.Generator(np.random.Philox(20240607))
 _BYTE = _rng.integers(1, 1 << 64, 256, np.uint64)
 _byte_powers = _Powers(int(_rng.integers(1 << 60, 1 << 63)) | 1)
 _SEQ = [_Powers(int(_rng.integers(1 << 60, 1 << 63)) | 1) for _ in range(2)]
+_BYTE2 = _rng.integers(1, 1 << 64, 256, np.uint64)
 _SALT = [np.uint64(int(x)) for x in _rng.integers(1, 1 << 63, 2)]
 
 
@@ -120,6 +121,24 @@ def flat(arr: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return raw, offs, null
 
 
+def byte_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, proofs: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hashes, independent second ones) of ascending byte ranges; made piece by piece, so a long text needs little extra."""
+    out = [np.empty(len(starts), np.uint64) for _ in range(1 + proofs)]
+    i = 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + _SEGMENT)))
+        at = starts[i]
+        part = data[at : ends[j - 1]]
+        up, down = _byte_powers.get(len(part) + 1)
+        s, e = starts[i:j] - at, ends[i:j] - at
+        for h, values in zip(out, (_BYTE, _BYTE2)):
+            total = np.zeros(len(part) + 1, np.uint64)
+            np.cumsum(values[part] * up[: len(part)], out=total[1:])
+            h[i:j] = mix((total[e] - total[s]) * down[s] + (e - s).astype(np.uint64) * _SALT[0])
+        i = j
+    return out[0], out[-1]
+
+
 class Words:
     """The words of some whole documents that lie side by side in `data`.
 
@@ -155,19 +174,8 @@ class Words:
         return np.repeat(np.arange(len(self.offs) - 1), self.counts)
 
     def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word's bytes; made piece by piece, so a very long text needs little extra."""
-        out, i = np.empty(len(self.starts), np.uint64), 0
-        while i < len(out):
-            j = max(i + 1, int(np.searchsorted(self.ends, self.starts[i] + _SEGMENT)))
-            at = self.starts[i]
-            part = self.data[at : self.ends[j - 1]]
-            up, down = _byte_powers.get(len(part) + 1)
-            total = np.zeros(len(part) + 1, np.uint64)
-            np.cumsum(_BYTE[part] * up[: len(part)], out=total[1:])
-            s, e = self.starts[i:j] - at, self.ends[i:j] - at
-            out[i:j] = mix((total[e] - total[s]) * down[s] + (e - s).astype(np.uint64) * _SALT[0])
-            i = j
-        return out
+        """A 64-bit hash of each word's bytes."""
+        return byte_hashes(self.data, self.starts, self.ends, proofs=False)[0]
 
     def text(self, doc: int, keep: np.ndarray | None = None) -> bytes:
         """A document's words, those that `keep` flags if given, joined by one space."""

@@ -11,7 +11,6 @@ one; each document ends with `end_id`. Equal rows stay separate documents.
 from __future__ import annotations
 
 import os
-import re
 import zlib
 
 import numpy as np
@@ -23,21 +22,70 @@ from pyspark.sql import types as T
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 from tokenizers import Tokenizer  # noqa: E402
 
-#: White space before other text begins a piece; no match of the byte-level split spans such a place.
-_PIECE = re.compile(r"\s*\S+|\s+")
-#: Characters that Python takes for white space and the tokenizer does not.
-_ODD = re.compile(r"[\x1c-\x1f]")
-MAX_PIECES, MAX_PIECE_CHARS = 300_000, 200
+from .common import byte_hashes, flat  # noqa: E402
+
+MAX_PIECES, SLICE_BYTES = 1_500_000, 2 << 20
 _encoders: dict[str, Encoder] = {}
 
+#: ASCII white space, before which a piece may begin.
+_WHITE = np.zeros(256, bool)
+_WHITE[[0x20, *range(0x09, 0x0E)]] = True
+#: Bytes after which it may not: white space, separators that libraries disagree on.
+_OPEN = _WHITE.copy()
+_OPEN[0x1C:0x20] = True
+#: The other white space of Unicode, in UTF-8.
+_WIDE = [bytes.fromhex(x) for x in ("c285", "c2a0", "e19a80", *(f"e280{x:02x}" for x in (*range(0x80, 0x8B), 0xA8, 0xA9, 0xAF)), "e2819f", "e38080")]
+
+
+def piece_starts(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(starts of the pieces of some texts, flags of those that begin with white space after safe text).
 
-class Encoder(dict):
-    """Ids (little-endian unsigned 32-bit) by piece of text, encoded by the library when first met; bounded."""
+    A piece begins with a text, or with ASCII white space after a character that is none: no match of the
+    byte-level split spans such a place, so a text's ids are those of its pieces one after another.
+    """
+    shut = ~_OPEN[data]
+    for lead in (0xC2, 0xE1, 0xE2, 0xE3):
+        at = np.flatnonzero(data == lead)
+        for w in _WIDE if len(at) else ():
+            if w[0] == lead:
+                ends = at[at + len(w) <= len(data)]
+                for i, x in enumerate(w[1:], 1):
+                    ends = ends[data[ends + i] == x]
+                shut[ends + len(w) - 1] = False
+    cut = np.zeros(len(data), bool)
+    if len(data):
+        cut[1:] = _WHITE[data[1:]] & shut[:-1]
+    own = offs[:-1][offs[:-1] < offs[1:]]
+    cut[own] = False
+    begins = cut.copy()
+    begins[own] = True
+    starts = np.flatnonzero(begins)
+    return starts, cut[starts]
+
+
+class Encoder:
+    """Token ids of whole texts by the library, each distinct piece encoded once while the table has room.
+
+    The table is compact and bounded: hashes, their proofs, and places of ids in one array. New pieces that begin
+    with white space and end without are encoded side by side as one text, which the library's own split cuts where
+    they meet; the ids are dealt back by the number of bytes that each token stands for.
+    """
 
-    def __init__(self, path: str):
-        self.tokenizer = Tokenizer.from_file(path)
+    def __init__(self, path: str, max_pieces: int = MAX_PIECES):
+        self.tokenizer, self.max_pieces = Tokenizer.from_file(path), max_pieces
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        added = {i: t.content for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        vocabulary = self.tokenizer.get_vocab()
+        self.bytes_of = np.zeros(1 + max(vocabulary.values()), np.int64)
+        for token, i in vocabulary.items():  # one character a byte, but for added tokens
+            self.bytes_of[i] = len(added[i].encode()) if i in added else len(token)
+        self._clear()
+
+    def _clear(self) -> None:
+        self.keys = self.proofs = np.zeros(0, np.uint64)
+        self.begin = self.size = np.zeros(0, np.int64)
+        self.ids, self.used, self.seen, self.missed = np.zeros(1 << 16, np.int32), 0, 0, 0
 
     @classmethod
     def load(cls, path: str) -> Encoder:
@@ -45,33 +93,98 @@ class Encoder(dict):
             _encoders[path] = cls(path)
         return _encoders[path]
 
-    def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, text: str) -> bytes:
-        """The ids of a whole text, as bytes."""
-        if _ODD.search(text):
-            return self._library([text])[0]
-        pieces = _PIECE.findall(text)
-        try:
-            return b"".join(map(self.__getitem__, pieces))
-        except KeyError:
-            new = list({p for p in pieces if p not in self})
-            own = dict(zip(new, self._library(new)))
-            out = b"".join([own[p] if p in own else self[p] for p in pieces])
-            if len(self) + len(new) > MAX_PIECES:
-                self.clear()
-            self.update((p, b) for p, b in own.items() if len(p) <= MAX_PIECE_CHARS)
-            return out
+    def _library(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _new(self, raw: bytes, starts: np.ndarray, ends: np.ndarray, joins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, where each piece's begin, how many each has)."""
+        ids_of, sizes = [], np.zeros(len(starts), np.int64)
+        s, e = starts.tolist(), ends.tolist()
+        alone, some = np.flatnonzero(~joins), np.flatnonzero(joins)
+        for x in self._library([raw[s[k] : e[k]].decode() for k in alone.tolist()]):
+            ids_of.append(x)
+        sizes[alone] = [len(x) for x in ids_of]
+        for i in range(0, len(some), 1 << 15):
+            part = some[i : i + (1 << 15)]
+            ids = self._library([b"".join([raw[s[k] : e[k]] for k in part.tolist()]).decode()])[0]
+            last = np.searchsorted(np.cumsum(self.bytes_of[ids]), np.cumsum(ends[part] - starts[part]), "left") + 1
+            sizes[part] = np.diff(last, prepend=0)
+            ids_of.append(ids)
+        order = np.concatenate([alone, some])
+        begin = np.empty(len(starts), np.int64)
+        begin[order] = np.cumsum(sizes[order]) - sizes[order]
+        return np.concatenate(ids_of) if ids_of else np.zeros(0, np.int32), begin, sizes
+
+    def encode(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of some texts side by side, how many each has)."""
+        starts, joins = piece_starts(data, offs)
+        if not len(starts):
+            return np.zeros(0, np.int32), np.zeros(len(offs) - 1, np.int64)
+        ends = np.append(starts[1:], len(data))
+        shut = ~_OPEN[data[ends - 1]] & (data[ends - 1] < 0x80)
+        hashes, proofs = byte_hashes(data, starts, ends)
+        u, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        k = np.minimum(np.searchsorted(self.keys, u), max(len(self.keys) - 1, 0))
+        known = (self.keys[k] == u) & (self.proofs[k] == proofs[first]) if len(self.keys) else np.zeros(len(u), bool)
+        twin = proofs != proofs[first][inverse]  # equal hashes of different pieces: encoded apart
+        fresh = np.flatnonzero(~known)
+        at = first[fresh]
+        raw = data.tobytes()
+        ids, places, sizes = self._new(raw, starts[at], ends[at], joins[at] & shut[at])
+        begin, size = np.empty(len(u), np.int64), np.empty(len(u), np.int64)
+        begin[known], size[known] = self.begin[k[known]], self.size[k[known]]
+        begin[fresh], size[fresh] = self.used + places, sizes
+        pool = self._room(len(ids))
+        pool[self.used : self.used + len(ids)] = ids
+        n = size[inverse]
+        if twin.any():
+            n[twin] = 0
+        total = int(n.sum())
+        place = np.repeat(begin[inverse] - (np.cumsum(n) - n), n) + np.arange(total)
+        out = pool[place]
+        for t in np.flatnonzero(twin).tolist()[::-1]:
+            own = self._library([raw[starts[t] : ends[t]].decode()])[0]
+            out, n[t] = np.insert(out, int(n[:t].sum()), own), len(own)
+        self._remember(u[fresh], proofs[at], begin[fresh], sizes, len(ids), len(starts))
+        total_of = np.zeros(len(n) + 1, np.int64)
+        np.cumsum(n, out=total_of[1:])
+        piece = np.searchsorted(starts, offs)
+        return out, np.diff(total_of[piece])
+
+    def _room(self, more: int) -> np.ndarray:
+        if self.used + more > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(max(more, len(self.ids)), np.int32)])
+        return self.ids
+
+    def _remember(self, keys: np.ndarray, proofs: np.ndarray, begin: np.ndarray, size: np.ndarray, n: int, seen: int) -> None:
+        self.seen, self.missed = self.seen + seen, self.missed + len(keys)
+        if self.seen > 1_000_000:  # a table full of another language's pieces serves nobody
+            if 3 * self.missed > self.seen:
+                self._clear()
+                return
+            self.seen = self.missed = 0
+        if len(self.keys) + len(keys) > self.max_pieces:
+            return
+        self.used += n
+        new = ~np.isin(keys, self.keys, assume_unique=True)
+        keys, proofs, begin, size = keys[new], proofs[new], begin[new], size[new]
+        place = np.searchsorted(self.keys, keys)
+        self.keys, self.proofs, self.begin, self.size = np.insert(self.keys, place, keys), np.insert(self.proofs, place, proofs), np.insert(self.begin, place, begin), np.insert(self.size, place, size)
 
 
 def encode_ids(texts: pa.Array, path: str, end_id: int) -> pa.Array:
     """list<int32> of ids, `end_id` last."""
-    enc, end = Encoder.load(path), np.array([end_id], "<u4").tobytes()
-    rows = [enc.encode(t.as_py() or "") + end for t in texts]
-    offs = np.zeros(len(rows) + 1, np.int64)
-    np.cumsum([len(r) // 4 for r in rows], out=offs[1:])
-    return pa.ListArray.from_arrays(pa.array(offs.astype(np.int32)), pa.array(np.frombuffer(b"".join(rows), "<u4").view("<i4")))
+    enc, (raw, offs, _) = Encoder.load(path), flat(texts)
+    parts, counts, i, n = [], [np.zeros(0, np.int64)], 0, len(offs) - 1
+    while i < n:
+        j = max(i + 1, int(np.searchsorted(offs, offs[i] + SLICE_BYTES, "right")) - 1)
+        ids, size = enc.encode(raw[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
+        parts.append(np.insert(ids, np.cumsum(size), end_id))
+        counts.append(size + 1)
+        i = j
+    ends = np.zeros(n + 1, np.int64)
+    np.cumsum(np.concatenate(counts), out=ends[1:])
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int32), pa.int32()))
 
 
 def write_tokens(docs: DataFrame, out: str, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, files: int | None = None, row_group_bytes: int = 32 << 20, page_bytes: int = 256 << 10, page_rows: int = 2000) -> None:
