@@ -3,10 +3,13 @@
 Unrelated texts lie at distance 1 from each other and from any pivot, so cells around a few pivot documents would
 replicate everything. The space is divided twice:
 
-1. Subspaces. The universe of shingles is dealt by hash into parts, more than two linked sets can differ in
-   elements. So two linked sets agree on some part (distance 0 there): every projection that occurs is its own
-   pivot in that part's subspace, and the sets that project onto it form a region. Sizes fall into classes, and a
-   set near a class's lower bound also enters the class below, so that linked sets use the same parts.
+1. Subspaces, of two kinds. "parts": the universe of shingles is dealt by hash into parts, more than two linked
+   sets can differ in elements. So two linked sets agree on some part (distance 0 there): every projection that
+   occurs is its own pivot in that part's subspace, and the sets that project onto it form a region. Sizes fall
+   into classes, and a set near a class's lower bound also enters the class below, so that linked sets use the same
+   parts. "singles": pivots are single shingles; a set enters the regions of its first (1 - threshold) * n + 1
+   shingles in one order of all, frequent ones last, and linked sets share one of those. Parts hardly meet by
+   chance, however short the shingles; singles make half the rows, or fewer, and suit shingles that are rare.
 2. Pivots. Inside a region sets are compared in the full space. The pivot is the set with the most neighbours;
    sets within the threshold of it join its component and need no comparison with each other. Regions that still
    hold several components go on with several pivots: each set goes to its nearest pivot's cell and, where
@@ -77,8 +80,43 @@ class Threshold:
         return low, parts
 
 
+def singles(u: np.ndarray, t: Threshold, frequent: np.ndarray) -> np.ndarray:
+    """The regions of one set: its first shingles, frequent ones last. Any order is exact; this one keeps regions small."""
+    n = len(u)
+    h = mix(u ^ np.uint64(0x2545F4914F6CDD1D))
+    if not n:
+        return h
+    late = np.zeros(n, bool)
+    if len(frequent):
+        late = frequent[np.minimum(np.searchsorted(frequent, u), len(frequent) - 1)] == u
+    first = n - -(-n * t.num // t.den) + 1
+    return np.concatenate([np.sort(h[~late]), np.sort(h[late])])[:first]
+
+
+def frequent_shingles(texts: DataFrame, k: int, most: int = 1 << 16) -> np.ndarray:
+    """At most `most` shingles that many texts have, sorted. Each task counts a thousand texts at a time and reports
+    what three of them, and one in a hundred, share; only sums of such counts are shuffled."""
+
+    def work(batches):
+        for b in batches:
+            held, size = [], 0
+            for u in [*shingle_sets(b.column(0), k), None]:
+                if u is not None:
+                    held.append(u)
+                    size += len(u)
+                if held and (u is None or len(held) == 1000 or size > 1 << 20):
+                    v, c = np.unique(np.concatenate(held), return_counts=True)
+                    often = c >= max(3, len(held) // 100)
+                    yield pa.RecordBatch.from_arrays([pa.array(v[often].view(np.int64)), pa.array(c[often].astype(np.int64))], ["shingle", "n"])
+                    held, size = [], 0
+
+    counts = texts.mapInArrow(work, "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n"))
+    rows = counts.orderBy(F.desc("n"), "shingle").limit(most).select("shingle").collect()
+    return np.sort(np.array([r[0] for r in rows], np.int64).view(np.uint64))
+
+
 def signatures(u: np.ndarray, t: Threshold) -> np.ndarray:
-    """The regions of one set: a hash of (class, part, projection) for each part of its classes.
+    """The regions of one set by parts: a hash of (class, part, projection) for each part of its classes.
 
     Of M parts at least M - differences agree; `SPARE` of them may be empty on both sides, so empty
     projections are left out unless the set has more than `SPARE` of them.
@@ -142,14 +180,17 @@ def keyed_sets(rows: DataFrame, k: int, seed: int) -> DataFrame:
     return rows.mapInArrow(work, f"id {kind}, mark bigint, n bigint, s bigint, check bigint")
 
 
-def region_rows(texts: DataFrame, k: int, seed: int, t: Threshold) -> DataFrame:
+def region_rows(texts: DataFrame, k: int, seed: int, t: Threshold, subspaces: str) -> DataFrame:
     """(region, s): every region of every text's set."""
+    if subspaces not in ("parts", "singles"):
+        raise ValueError("subspaces are 'parts' or 'singles'")
+    frequent = frequent_shingles(texts, k) if subspaces == "singles" else None
 
     def work(batches):
         for b in batches:
             regions, keys, held = [], [], 0
             for u in shingle_sets(b.column(0), k):
-                r = signatures(u, t)
+                r = signatures(u, t) if frequent is None else singles(u, t, frequent)
                 if len(r):
                     regions.append(r.view(np.int64))
                     keys.append(np.full(len(r), _digests(u, seed)[0], np.int64))
@@ -248,14 +289,14 @@ def linked_edges(members: DataFrame, texts: DataFrame, k: int, t: Threshold) ->
         pivots_each *= 4
 
 
-def jaccard_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 3, threshold: Threshold = Threshold()) -> DataFrame:
+def jaccard_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 3, threshold: Threshold = Threshold(), subspaces: str = "parts") -> DataFrame:
     """(id, mark, n, group) of every row: mark is xxhash64 of the text; group names the component, null for empty sets."""
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
     for seed in range(8):
         keyed = saved(keyed_sets(rows, k, seed), "keyed")
         if keyed.groupBy("s").agg(F.min("check").alias("a"), F.max("check").alias("b"), F.min("n").alias("c"), F.max("n").alias("d")).filter("a <> b or c <> d").isEmpty():
             break
-    regions = region_rows(rows.select("text"), k, seed, threshold)
+    regions = region_rows(rows.select("text"), k, seed, threshold, subspaces)
     shared = regions.groupBy("region").agg(F.count("*").alias("m")).filter("m > 1").select("region")
     members = saved(regions.join(shared, "region").select("region", "s").distinct(), "shared")
     several = members.groupBy("region").agg(F.min("s").alias("lo"), F.max("s").alias("hi")).filter("lo <> hi").select("region")
