@@ -84,6 +84,28 @@ def decide(cross: DataFrame, alpha: DataFrame, rho: float) -> DataFrame:
     return cross.join(F.broadcast(alpha.select(F.col("id").alias("j"), "alpha")), "j").groupBy(F.col("i").alias("id")).agg((F.sum(F.col("alpha") * F.col("k")) - rho).alias("decision"))
 
 
+def primal(support: DataFrame, alpha: DataFrame, weights: dict[int, float]) -> DataFrame:
+    """(k, kmer, v): the model as one vector over strings, sum of alpha * unit features * kernel weight.
+
+    A normalised string kernel is linear in unit features, so scoring needs no kernel: at most the vocabulary, 6 ** k rows a k.
+    """
+    from . import kernels
+
+    w = F.element_at(F.create_map(*[F.lit(x) for k, v in weights.items() for x in (k, float(v))]), F.col("k"))
+    norms = kernels.diagonal(support, weights).join(alpha, "id").select("id.*", (F.col("alpha") / F.sqrt(F.greatest("diag", F.lit(1e-12)))).alias("a"))
+    rows = support.filter(F.col("k").isin(list(weights))).join(norms, ["patient", "read_idx"])
+    return rows.groupBy("k", "kmer").agg((F.sum(F.col("a") * F.col("w")) * F.first(w)).alias("v"))
+
+
+def decide_primal(features: DataFrame, vector: DataFrame, weights: dict[int, float], rho: float) -> DataFrame:
+    """(id, decision) of reads' features (strings unknown to the model count in the norm): one pass and one small join."""
+    from . import kernels
+
+    hits = features.join(F.broadcast(vector), ["k", "kmer"]).groupBy("patient", "read_idx").agg(F.sum(F.col("w") * F.col("v")).alias("dot")).select(F.struct("patient", "read_idx").alias("id"), "dot")
+    d = kernels.diagonal(features, weights).join(hits, "id", "left")
+    return d.select("id", (F.coalesce("dot", F.lit(0.0)) / F.sqrt(F.greatest("diag", F.lit(1e-12))) - rho).alias("decision"))
+
+
 def predict(decision: Column) -> Column:
     """1 where the decision is above 0, else -1."""
     return F.when(decision > 0, 1).otherwise(-1)

@@ -38,8 +38,7 @@ def exact_scores(train: DataFrame, test: DataFrame, kernel: Kernel, nu: float =
     d = kernels.diagonal(f, w)
     alpha, rho = ocsvm.fit_exact(kernels.normalise(kernels.gram(f, w), d), nu)
     support = f.join(alpha.select("id.*"), READ, "left_semi")
-    cross = kernels.normalise(kernels.cross_gram(g, support, w), kernels.diagonal(g, w), kernels.diagonal(support, w))
-    out = ocsvm.decide(cross, alpha, rho)
+    out = ocsvm.decide_primal(g, ocsvm.primal(support, alpha, w), w, rho)
     return out.select("id.*", "decision", ocsvm.predict(F.col("decision")).alias("predicted"))
 
 
