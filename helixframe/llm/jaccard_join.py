@@ -10,12 +10,12 @@ replicate everything. The space is divided twice:
    parts. "singles": pivots are single shingles; a set enters the regions of its first (1 - threshold) * n + 1
    shingles in one order of all, frequent ones last, and linked sets share one of those. Parts hardly meet by
    chance, however short the shingles; singles make half the rows, or fewer, and suit shingles that are rare.
-2. Pivots. Inside a region sets are compared in the full space. The pivot is the set with the most neighbours;
-   sets within the threshold of it join its component and need no comparison with each other. Regions that still
-   hold several components go on with several pivots: each set goes to its nearest pivot's cell and, where
-   d(x, p) - d(x, nearest) <= 2 * threshold, into other pivots' cells (by the triangle inequality linked sets meet
-   in one of them); cells are regions of the next round. Where windows would more than double a region it stays
-   whole and loses its pivots. Each round removes pivots, and their number grows fourfold, so rounds are few.
+2. Pivots. Inside a region sets are compared in the full space, first with the region's pivot, the set with the
+   most neighbours: sets within the threshold of it are its component and need no comparison with each other.
+   Regions that still hold several components are cut into shells around the pivot, one threshold wide. By the
+   triangle inequality linked sets lie in the same shell or in neighbouring ones, so each set also visits the next
+   shell. What meets in a shell is compared block by block on parity sketches, whose Hamming distance never exceeds
+   the number of elements that two sets differ in; only pairs that pass go on to the exact comparison.
 
 Equal sets are one set throughout; copies never meet each other. Distances are whole-number comparisons of exact
 intersections. Set keys have 64 bits; if two different sets ever share one, another seed is taken.
@@ -235,58 +235,111 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
-    if labels is None:
-        return members.withColumn("label", F.col("s"))
-    return members.join(labels, "s", "left").select("region", "s", "degree", F.coalesce("label", "s").alias("label"))
+def parity_sketch(u: np.ndarray) -> bytes:
+    """One bit for each of 2 ** k buckets: whether it holds an odd number of elements; about 1.5 bits an element or more.
 
+    An element in one set only flips one bit, so the Hamming distance of two sketches is at most the number of elements
+    that the sets differ in. Half a sketch xor the other half is the sketch of half as many buckets.
+    """
+    bits = 1 << max(8, int(3 * len(u) // 2 - 1).bit_length())
+    odd = np.bincount((mix(u ^ np.uint64(0x9FB21C651E98DF25)) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").tobytes()
+
+
+def sketches(texts: DataFrame, k: int) -> DataFrame:
+    """(s, n, sketch) of (s, text)"""
+
+    def work(batches):
+        for b in batches:
+            sets = list(shingle_sets(b.column(1), k))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(u) for u in sets], pa.int64()), pa.array([parity_sketch(u) for u in sets], pa.binary())], ["s", "n", "sketch"])
+
+    return texts.select("s", "text").mapInArrow(work, "s bigint, n bigint, sketch binary")
+
+
+def _fold(sketch: bytes, size: int) -> np.ndarray:
+    x = np.frombuffer(sketch, np.uint8)
+    while len(x) > size:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return x.view(np.uint64)
+
+
+def _near(rows: pa.Table, t: Threshold) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of one block of a shell whose sketches allow a link: of the shell's own sets, and of those with visitors."""
+    raw = rows["sketch"].to_pylist()
+    size = min(map(len, raw))
+    bits = np.stack([_fold(x, size) for x in raw])
+    s, n, label, own, block = (np.asarray(rows[c]) for c in ("s", "n", "label", "own", "block"))
+    x, y = rows["x"][0].as_py(), rows["y"][0].as_py()
+    for i in range(len(s)):
+        other = (label != label[i]) & (own | own[i]) & (s != s[i])
+        other[: i + 1] = False
+        if x != y:
+            other &= block != block[i]
+        other &= (n * t.den >= n[i] * t.num) & (n[i] * t.den >= n * t.num)
+        at = np.flatnonzero(other)
+        if len(at):
+            most = (n[at] + n[i]) * (t.den - t.num) // (t.den + t.num)
+            at = at[np.bitwise_count(bits[at] ^ bits[i]).sum(axis=1) <= most]
+            if len(at):
+                yield np.full(len(at), s[i]), s[at]
+
+
+def _candidates(cells: DataFrame, t: Threshold, block: int = 2048) -> DataFrame:
+    """(s, p): pairs that may be linked, of (cell, own, s, label, n, sketch). A large cell is dealt into blocks, each pair of
+    which meets in a task; small ones stream by in the order of their keys."""
+    sizes = cells.groupBy("cell").agg(F.ceil(F.count("*") / block).cast("int").alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("cell", "m")
+    dealt = cells.join(sizes, "cell").withColumn("block", F.pmod(F.xxhash64("s"), F.col("m")).cast("int"))
+    others = F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda b: F.struct(F.least("block", b).alias("x"), F.greatest("block", b).alias("y")))
+    dealt = dealt.withColumn("at", F.explode(others)).select("cell", "at.x", "at.y", "block", "own", "s", "label", "n", "sketch")
 
-def _open_regions(members: DataFrame) -> DataFrame:
-    """The members of regions that hold more than one component."""
-    live = members.groupBy("region").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("region")
-    return members.join(live, "region")
+    def work(batches):
+        held = None
+
+        def pairs(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+            found = list(_near(rows, t)) if rows.num_rows > 1 else []
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[i] for f in found])) for i in (0, 1)], ["s", "p"])
+
+        for b in batches:
+            t_ = pa.Table.from_batches([b])
+            held = t_ if held is None else pa.concat_tables([held, t_])
+            keys = [np.asarray(held[c]) for c in ("cell", "x", "y")]
+            new = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
+            at = 0
+            for e in new.tolist():
+                yield from pairs(held.slice(at, e - at))
+                at = e
+            held = held.slice(at)
+        if held is not None and held.num_rows:
+            yield from pairs(held)
+
+    return dealt.repartition("cell", "x", "y").sortWithinPartitions("cell", "x", "y").mapInArrow(work, "s bigint, p bigint").distinct()
 
 
-def _cells(live: DataFrame, far: DataFrame, pivots: DataFrame, t: Threshold) -> DataFrame:
-    """Regions of the next round: Voronoi cells with triangle-inequality windows, or the region itself where that is smaller."""
-    rest = live.join(pivots.select("region", F.col("p").alias("s")), ["region", "s"], "left_anti")
-    d = rest.join(pivots, "region").join(far, ["s", "p"]).withColumn("d", 1.0 - F.col("both") / F.col("either"))
-    near = d.groupBy("region", "s").agg(F.min("d").alias("nearest"))
-    slack = 2 * (t.den - t.num) / t.den + 1e-9
-    cells = d.join(near, ["region", "s"]).filter(F.col("d") - F.col("nearest") <= slack).select("region", "s", "degree", "p")
-    before = rest.groupBy("region").agg(F.count("*").alias("m"))
-    after = cells.groupBy("region").agg(F.count("*").alias("m2"))
-    split = before.join(after, "region").filter("m2 <= 2 * m").select("region")
-    parted = cells.join(split, "region").select(F.xxhash64("region", "p").alias("region"), "s", "degree")
-    return parted.unionByName(rest.join(split, "region", "left_anti").select("region", "s", "degree"))
+def _links(pairs: DataFrame, t: Threshold) -> DataFrame:
+    return pairs.filter(F.col("both") * t.den >= F.col("either") * t.num).select(F.col("s").alias("a"), F.col("p").alias("b"))
 
 
-def linked_edges(members: DataFrame, texts: DataFrame, k: int, t: Threshold) -> tuple[DataFrame | None, DataFrame | None]:
-    """(edges, labels) that connect exactly the linked sets of common regions (members: region, s)."""
+def linked_labels(members: DataFrame, texts: DataFrame, k: int, t: Threshold) -> DataFrame | None:
+    """(s, label) of the sets that have links, from regions (region, s); None if no regions are shared."""
+    if members.isEmpty():
+        return None
     sizes = members.groupBy("region").agg((F.count("*") - 1).alias("others"))
     degree = members.join(sizes, "region").groupBy("s").agg(F.sum("others").alias("degree"))
-    members = saved(members.join(degree, "s").select("region", "s", "degree"), "members")
-    edges, labels, pivots_each = None, None, 1
-    while True:
-        live = saved(_open_regions(_labelled(members, labels)), "live")
-        if live.isEmpty():
-            return edges, labels
-        bucket = F.pmod(F.xxhash64("s", F.lit(pivots_each)), F.lit(pivots_each))
-        best = live.groupBy("region", bucket.alias("bucket")).agg(F.max(F.struct("degree", "s", "label")).alias("x"))
-        pivots = saved(best.select("region", F.col("x.s").alias("p"), F.col("x.label").alias("p_label")), "pivots")
-        pairs = live.join(pivots, "region").filter("s <> p")
-        if pivots_each == 1:
-            pairs = pairs.filter("label <> p_label")
-        far = saved(distances(pairs.select("s", "p").distinct(), texts, k), "distances")
-        found = far.filter(F.col("both") * t.den >= F.col("either") * t.num).select(F.col("s").alias("a"), F.col("p").alias("b"))
-        edges = found if edges is None else edges.unionByName(found)
-        labels = components(edges)
-        live = live.select("region", "s", "degree")
-        if pivots_each == 1:
-            members = live.join(pivots.select("region", F.col("p").alias("s")), ["region", "s"], "left_anti")
-        else:
-            members = saved(_cells(live, far, pivots, t), "members")
-        pivots_each *= 4
+    best = members.join(degree, "s").groupBy("region").agg(F.max(F.struct("degree", "s")).alias("x")).select("region", F.col("x.s").alias("p"))
+    pairs = saved(members.join(best, "region").filter("s <> p"), "pairs")
+    far = saved(distances(pairs.select("s", "p").distinct(), texts, k), "distances")
+    first = saved(_links(far, t), "links")
+    labels = components(first)
+    shell = F.floor((F.col("either") - F.col("both")) * t.den / (F.col("either") * (t.den - t.num))).cast("int")
+    rows = pairs.join(far, ["s", "p"]).select("region", "s", shell.alias("shell")).join(labels, "s", "left").withColumn("label", F.coalesce("label", "s"))
+    open_ = rows.groupBy("region").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("region")
+    rows = rows.join(open_, "region").join(sketches(texts, k), "s")
+    place = F.explode(F.array(F.struct(F.col("shell"), F.lit(True).alias("own")), F.struct((F.col("shell") + 1).alias("shell"), F.lit(False).alias("own"))))
+    cells = rows.select("region", "s", "label", "n", "sketch", place.alias("at")).select(F.xxhash64("region", "at.shell").alias("cell"), "at.own", "s", "label", "n", "sketch")
+    more = saved(_links(distances(_candidates(cells, t), texts, k), t), "links")
+    return labels if more.isEmpty() else components(first.unionByName(more))
 
 
 def jaccard_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 3, threshold: Threshold = Threshold(), subspaces: str = "parts") -> DataFrame:
@@ -305,7 +358,7 @@ def jaccard_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     first = keyed.groupBy("s").agg(F.min(F.struct("id", "mark")).alias("x")).join(involved, "s").select("s", F.col("x.id").alias("id"), F.col("x.mark").alias("mark"))
     r, f = rows.alias("r"), first.alias("f")
     texts = saved(r.join(f, F.col("r.id").eqNullSafe(F.col("f.id")) & (F.col("r.mark") == F.col("f.mark"))).select("f.s", "r.text").dropDuplicates(["s"]), "texts")
-    _, labels = linked_edges(members, texts, k, threshold)
+    labels = linked_labels(members, texts, k, threshold)
     group = F.when(F.col("n") > 0, F.col("s"))
     if labels is not None:
         keyed, group = keyed.join(labels, "s", "left"), F.when(F.col("n") > 0, F.coalesce("label", "s"))
