@@ -1,7 +1,8 @@
 """Quality by weak supervision: rules vote or abstain, expectation-maximisation weighs them, a posterior decides.
 
-Each rule votes "good", "bad" or abstains on a document. Votes are conditionally independent given the unknown
-class; for each class every rule has a probability of each of its three answers. Vote patterns are counted over all
+Each rule votes "good", "bad" or abstains on a document. Votes are independent given the unknown class; for each
+class every rule that votes has a probability of voting "bad"; abstaining says nothing. Bad documents fail in different
+ways, so by default there is a bad class for each rule, the failure that it is about, beside the good one. Vote patterns are counted over all
 documents (at most 3 ** rules rows, whatever the corpus), EM runs on those counts, and each document gets the posterior
 probability of being good of its own pattern.
 
@@ -81,57 +82,69 @@ def default_rules(s: Column) -> dict[str, Column]:
         "length": _vote(s.n_words >= 50, (s.n_words < 10) | (s.n_words > 100_000)),
         "word_length": _vote((s.word_chars >= 3 * words) & (s.word_chars <= 9 * words), (s.word_chars < 2 * words) | (s.word_chars > 12 * words)),
         "symbols": _vote(50 * s.n_symbols <= words, 10 * s.n_symbols > words),
-        "lines": _vote(s.n_dup_lines == 0, 10 * s.n_dup_lines > 3 * lines),
+        "lines": _vote(s.n_dup_lines == 0, 2 * s.n_dup_lines > lines),
         "repetition": _vote(100 * s.n_repeat_words <= 5 * words, 100 * s.n_repeat_words > 20 * words),
-        "letters": _vote(100 * s.n_alpha >= 85 * chars, 100 * s.n_alpha < 70 * chars),
+        "letters": _vote(100 * s.n_alpha >= 85 * chars, (s.n_words >= 50) & (100 * s.n_alpha < 70 * chars)),
         "capitals": _vote(100 * s.n_upper <= 10 * chars, 100 * s.n_upper > 30 * chars),
-        "variety": _vote((s.n_words < 50) | (20 * s.n_distinct > 5 * words), (s.n_words >= 50) & (20 * s.n_distinct < 2 * words)),
+        "variety": _vote(4 * s.n_distinct > words, (s.n_words >= 20) & (10 * s.n_distinct < F.when(s.n_words < 100, 3).otherwise(1) * words)),
     }
 
 
 class LabelModel:
-    """Two classes (0 bad, 1 good); answers[c, r, v] is the probability that rule r says v on class c."""
+    """Class 0 is good, the others bad; alarm[c, r] is the probability that rule r, if it votes, says "bad" on class c."""
 
-    def __init__(self, prior: float, answers: np.ndarray):
-        self.prior, self.answers = prior, answers
+    def __init__(self, prior: np.ndarray, alarm: np.ndarray):
+        self.prior, self.alarm = prior, alarm
+
+    def classes(self, votes: np.ndarray) -> np.ndarray:
+        """P(class) of each row of votes."""
+        log = (votes == 0) @ np.log(self.alarm).T + (votes == 2) @ np.log(1 - self.alarm).T + np.log(self.prior)
+        p = np.exp(log - log.max(axis=1, keepdims=True)) if len(log) else log
+        return p / p.sum(axis=1, keepdims=True)
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
         """P(good) of each row of votes."""
-        log = np.log(self.answers[:, np.arange(votes.shape[1]), votes]).sum(axis=2)
-        log += np.log([1 - self.prior, self.prior])[:, None]
-        return 1 / (1 + np.exp(np.clip(log[0] - log[1], -700, 700)))
+        return self.classes(votes)[:, 0]
+
+    def accuracy(self) -> np.ndarray:
+        """How often each rule is right when it votes."""
+        return self.prior[0] * (1 - self.alarm[0]) + self.prior[1:] @ self.alarm[1:]
 
 
-def fit_label_model(votes: np.ndarray, counts: np.ndarray, *, rounds: int = 200, tolerance: float = 1e-9, start_accuracy: float = 0.8, smooth: float = 1.0) -> LabelModel:
+def fit_label_model(votes: np.ndarray, counts: np.ndarray, *, failure_modes: bool = True, false_alarm: float = 0.005, rounds: int = 300, tolerance: float = 1e-9, start_accuracy: float = 0.9, smooth: float = 0.5) -> LabelModel:
     """EM over vote patterns and their counts.
 
-    It starts from rules that are right with `start_accuracy` when they vote, which names the classes. A rule's vote
-    for a class stays at least as likely on that class as on the other, so the classes can't trade places.
+    It starts from rules that are right with `start_accuracy`, which names the classes. With `failure_modes` class r + 1
+    is the failure that rule r is about, where other rules vote as they do at large; rules are then taken to raise a false
+    alarm on at most `false_alarm` of good documents, and to see at least half of their own failures. Without, there is one bad
+    class, and rules need only be better than chance.
     """
     n, r = votes.shape
-    abstain = np.array([(counts * (votes[:, k] == 1)).sum() for k in range(r)]) / max(counts.sum(), 1)
-    abstain = np.clip(abstain, 0.01, 0.99)
-    answers = np.empty((2, r, 3))
-    for c in (0, 1):
-        answers[c, :, 1] = abstain
-        answers[c, :, 2 * c] = (1 - abstain) * start_accuracy
-        answers[c, :, 2 - 2 * c] = (1 - abstain) * (1 - start_accuracy)
-    model, last = LabelModel(0.5, answers), np.inf
+    said = np.stack([(counts[:, None] * (votes == v)).sum(axis=0) for v in (0, 2)])
+    at_large = (said[0] + smooth) / (said.sum(axis=0) + 2 * smooth)
+    k = r if failure_modes else 1
+    alarm = np.stack([np.full(r, 1 - start_accuracy)] + [at_large] * k)
+    own = np.eye(r, dtype=bool) if failure_modes else np.ones((1, r), bool)
+    alarm[1:][own] = start_accuracy
+    if failure_modes:
+        alarm[0] = np.minimum(alarm[0], false_alarm)
+    prior = np.full(1 + k, 0.5 / k)
+    prior[0] = 0.5
+    model = LabelModel(prior, np.clip(alarm, 1e-4, 1 - 1e-4))
     for _ in range(rounds if n else 0):
-        p = model.posterior(votes)
-        weight = np.stack([(1 - p) * counts, p * counts])
-        answers = np.stack([np.stack([np.stack([weight[c][votes[:, k] == v].sum() for v in (0, 1, 2)]) for k in range(r)]) for c in (0, 1)]) + smooth
-        answers /= answers.sum(axis=2, keepdims=True)
-        for v, c in ((0, 0), (2, 1)):  # the better-than-chance constraint
-            mean = (answers[0, :, v] + answers[1, :, v]) / 2
-            wrong = answers[c, :, v] < answers[1 - c, :, v]
-            answers[0, wrong, v] = answers[1, wrong, v] = mean[wrong]
-        answers /= answers.sum(axis=2, keepdims=True)
-        prior = float(np.clip((weight[1].sum() + smooth) / (counts.sum() + 2 * smooth), 1e-6, 1 - 1e-6))
-        model = LabelModel(prior, answers)
-        if abs(prior - last) < tolerance:
+        weight = model.classes(votes) * counts[:, None]
+        bad, good = weight.T @ (votes == 0), weight.T @ (votes == 2)
+        alarm = (bad + smooth) / (bad + good + 2 * smooth)
+        if failure_modes:
+            alarm[0] = np.minimum(alarm[0], false_alarm)
+            alarm[1:][own] = np.maximum(alarm[1:][own], 0.5)
+        else:
+            alarm[1] = np.maximum(alarm[1], alarm[0])
+        new = (weight.sum(axis=0) + smooth) / (counts.sum() + smooth * len(prior))
+        moved = np.abs(new - model.prior).max()
+        model = LabelModel(new, np.clip(alarm, 1e-4, 1 - 1e-4))
+        if moved < tolerance:
             break
-        last = prior
     return model
 
 
