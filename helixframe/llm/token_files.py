@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ from tokenizers import Tokenizer  # noqa: E402
 
 from .common import byte_hashes, flat  # noqa: E402
 
-MAX_PIECES, SLICE_BYTES = 1_500_000, 2 << 20
+MAX_PIECES, SLICE_BYTES = 1_000_000, 2 << 20
 _encoders: dict[str, Encoder] = {}
 
 #: ASCII white space, before which a piece may begin.
@@ -172,19 +173,17 @@ class Encoder:
         self.keys, self.proofs, self.begin, self.size = np.insert(self.keys, place, keys), np.insert(self.proofs, place, proofs), np.insert(self.begin, place, begin), np.insert(self.size, place, size)
 
 
-def encode_ids(texts: pa.Array, path: str, end_id: int) -> pa.Array:
-    """list<int32> of ids, `end_id` last."""
+def encode_slices(texts: pa.Array, path: str, end_id: int) -> Iterator[tuple[int, int, pa.Array]]:
+    """(from, to, list<int32> of ids with `end_id` last) for runs of rows of about SLICE_BYTES."""
     enc, (raw, offs, _) = Encoder.load(path), flat(texts)
-    parts, counts, i, n = [], [np.zeros(0, np.int64)], 0, len(offs) - 1
+    i, n = 0, len(offs) - 1
     while i < n:
         j = max(i + 1, int(np.searchsorted(offs, offs[i] + SLICE_BYTES, "right")) - 1)
         ids, size = enc.encode(raw[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
-        parts.append(np.insert(ids, np.cumsum(size), end_id))
-        counts.append(size + 1)
+        ends = np.zeros(j - i + 1, np.int32)
+        np.cumsum(size + 1, out=ends[1:])
+        yield i, j, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.insert(ids, np.cumsum(size), end_id)))
         i = j
-    ends = np.zeros(n + 1, np.int64)
-    np.cumsum(np.concatenate(counts), out=ends[1:])
-    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int32), pa.int32()))
 
 
 def write_tokens(docs: DataFrame, out: str, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, files: int | None = None, row_group_bytes: int = 32 << 20, page_bytes: int = 256 << 10, page_rows: int = 2000) -> None:
@@ -195,14 +194,15 @@ def write_tokens(docs: DataFrame, out: str, tokenizer: str, *, id_col: str = "do
     spark = docs.sparkSession
     files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    @F.arrow_udf("array<int>")
-    def ids(texts: pa.Array) -> pa.Array:
-        return encode_ids(texts, tokenizer, end_id)
+    def work(batches):
+        for b in batches:
+            for i, j, tokens in encode_slices(b.column(2), tokenizer, end_id):
+                yield pa.RecordBatch.from_arrays([b.column(0)[i:j], b.column(1)[i:j], pa.array(np.diff(tokens.offsets).astype(np.int64)), tokens], [id_col, "row", "n_tokens", "tokens"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     placed = rows.repartitionByRange(files, F.col("id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("id").asc_nulls_first(), F.xxhash64("text"), "text")
-    done = placed.select(F.col("id"), F.monotonically_increasing_id().alias("row"), ids("text").alias("tokens"))
-    done = done.select(F.col("id").alias(id_col), "row", F.size("tokens").cast("long").alias("n_tokens"), "tokens")
+    kind = rows.schema["id"].dataType.simpleString()
+    done = placed.select("id", F.monotonically_increasing_id().alias("row"), "text").mapInArrow(work, f"`{id_col}` {kind}, row bigint, n_tokens bigint, tokens array<int>")
     options = {"parquet.block.size": row_group_bytes, "parquet.page.size": page_bytes, "parquet.page.row.count.limit": page_rows, "parquet.enable.dictionary": "true", "parquet.writer.version": "PARQUET_2_0", "parquet.column.index.access": "true"}
     done.write.options(**{k: str(v) for k, v in options.items()}).option("compression", "zstd").parquet(out)
 
