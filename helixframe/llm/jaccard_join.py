@@ -6,16 +6,18 @@ replicate everything. The space is divided twice:
 1. Subspaces, of two kinds. "parts": the universe of shingles is dealt by hash into parts, more than two linked
    sets can differ in elements. So two linked sets agree on some part (distance 0 there): every projection that
    occurs is its own pivot in that part's subspace, and the sets that project onto it form a region. Sizes fall
-   into classes, and a set near a class's lower bound also enters the class below, so that linked sets use the same
-   parts. "singles": pivots are single shingles; a set enters the regions of its first (1 - threshold) * n + 1
+   into classes, and a set also enters the lower classes that its smallest partners belong to, so that linked sets
+   use the same parts. "singles": pivots are single shingles; a set enters the regions of its first (1 - threshold) * n + 1
    shingles in one order of all, frequent ones last, and linked sets share one of those. Parts hardly meet by
-   chance, however short the shingles; singles make half the rows, or fewer, and suit shingles that are rare.
-2. Pivots. Inside a region sets are compared in the full space, first with the region's pivot, the set with the
-   most neighbours: sets within the threshold of it are its component and need no comparison with each other.
-   Regions that still hold several components are cut into shells around the pivot, one threshold wide. By the
-   triangle inequality linked sets lie in the same shell or in neighbouring ones, so each set also visits the next
-   shell. What meets in a shell is compared block by block on parity sketches, whose Hamming distance never exceeds
-   the number of elements that two sets differ in; only pairs that pass go on to the exact comparison.
+   chance, however short the shingles; singles make fewer rows and suit shingles that are rare. Size classes are kept
+   apart in both.
+2. Pivots. A region's pivot is the set with the most neighbours; regions of one pivot make up its cell. Distances to it
+   are taken between parity sketches: their Hamming distance is a metric, and never exceeds the number of elements
+   that two sets differ in, which a link bounds. Sets that may be linked with the pivot are compared exactly and
+   join its component. Cells that still hold several components are cut into shells around the pivot, wider than
+   what linked sets differ in. By the triangle inequality linked sets lie in the same shell or in neighbouring ones,
+   so each set also visits the next shell. What meets in a shell is compared block by block on sketches, and pairs
+   that may be linked, of different components, are compared exactly.
 
 Equal sets are one set throughout; copies never meet each other. Distances are whole-number comparisons of exact
 intersections. Set keys have 64 bits; if two different sets ever share one, another seed is taken.
@@ -35,6 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bloom import flag_possible
 from .common import Sequences, fresh, mix, saved, slices, starts_of, word_table
 
 _SPACE = word_table("space")
@@ -90,7 +93,8 @@ def singles(u: np.ndarray, t: Threshold, frequent: np.ndarray) -> np.ndarray:
     if len(frequent):
         late = frequent[np.minimum(np.searchsorted(frequent, u), len(frequent) - 1)] == u
     first = n - -(-n * t.num // t.den) + 1
-    return np.concatenate([np.sort(h[~late]), np.sort(h[late])])[:first]
+    h = np.concatenate([np.sort(h[~late]), np.sort(h[late])])[:first]
+    return np.concatenate([mix(h ^ np.uint64(c + 1)) for c in own_classes(n, t)])
 
 
 def frequent_shingles(texts: DataFrame, k: int, most: int = 1 << 16) -> np.ndarray:
@@ -124,12 +128,9 @@ def signatures(u: np.ndarray, t: Threshold) -> np.ndarray:
     n = len(u)
     if not n:
         return u
-    low, parts = _classes(t, n)
-    c = bisect.bisect_right(low, n) - 1
-    own = [c] + ([c - 1] if c and -(-n * t.num // t.den) < low[c] else [])
-    out = []
+    parts, out = _classes(t, n)[1], []
     v, where = mix(u ^ np.uint64(0x5851F42D4C957F2D)), mix(u ^ np.uint64(0x14057B7EF767814F)) >> np.uint64(32)
-    for c in own:
+    for c in own_classes(n, t):
         m = parts[c]
         if not m:
             continue
@@ -156,6 +157,15 @@ def _classes(t: Threshold, n: int) -> tuple[list[int], list[int]]:
     return _made[t][1:]
 
 
+def own_classes(n: int, t: Threshold) -> list[int]:
+    """The class of a set of n elements, and the lower ones down to that of its smallest partner."""
+    low = _classes(t, n)[0]
+    own = [bisect.bisect_right(low, n) - 1]
+    while own[-1] and -(-n * t.num // t.den) < low[own[-1]]:
+        own.append(own[-1] - 1)
+    return own
+
+
 def _digests(u: np.ndarray, seed: int) -> tuple[int, int]:
     with np.errstate(over="ignore"):
         a = mix(u ^ mix(np.array([2 * seed + 11], np.uint64))).sum(dtype=np.uint64)
@@ -164,20 +174,21 @@ def _digests(u: np.ndarray, seed: int) -> tuple[int, int]:
 
 
 def keyed_sets(rows: DataFrame, k: int, seed: int) -> DataFrame:
-    """(id, mark, n, s, check) of rows (id, mark, text): set size, set key, and a second digest."""
+    """(id, mark, n, s, check, sketch) of rows (id, mark, text): set size, set key, a second digest, parity sketch."""
     kind = rows.schema["id"].dataType.simpleString()
 
     def work(batches):
         for b in batches:
-            n, s, c = [], [], []
+            n, s, c, sketch = [], [], [], []
             for u in shingle_sets(b.column(2), k):
                 x, y = _digests(u, seed)
                 n.append(len(u))
                 s.append(x)
                 c.append(y)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(x, pa.int64()) for x in (n, s, c)]], ["id", "mark", "n", "s", "check"])
+                sketch.append(parity_sketch(u))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(x, pa.int64()) for x in (n, s, c)], pa.array(sketch, pa.binary())], ["id", "mark", "n", "s", "check", "sketch"])
 
-    return rows.mapInArrow(work, f"id {kind}, mark bigint, n bigint, s bigint, check bigint")
+    return rows.mapInArrow(work, f"id {kind}, mark bigint, n bigint, s bigint, check bigint, sketch binary")
 
 
 def region_rows(texts: DataFrame, k: int, seed: int, t: Threshold, subspaces: str) -> DataFrame:
@@ -246,17 +257,6 @@ def parity_sketch(u: np.ndarray) -> bytes:
     return np.packbits(odd.astype(bool), bitorder="little").tobytes()
 
 
-def sketches(texts: DataFrame, k: int) -> DataFrame:
-    """(s, n, sketch) of (s, text)"""
-
-    def work(batches):
-        for b in batches:
-            sets = list(shingle_sets(b.column(1), k))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(u) for u in sets], pa.int64()), pa.array([parity_sketch(u) for u in sets], pa.binary())], ["s", "n", "sketch"])
-
-    return texts.select("s", "text").mapInArrow(work, "s bigint, n bigint, sketch binary")
-
-
 def _fold(sketch: bytes, size: int) -> np.ndarray:
     x = np.frombuffer(sketch, np.uint8)
     while len(x) > size:
@@ -321,24 +321,57 @@ def _links(pairs: DataFrame, t: Threshold) -> DataFrame:
     return pairs.filter(F.col("both") * t.den >= F.col("either") * t.num).select(F.col("s").alias("a"), F.col("p").alias("b"))
 
 
-def linked_labels(members: DataFrame, texts: DataFrame, k: int, t: Threshold) -> DataFrame | None:
-    """(s, label) of the sets that have links, from regions (region, s); None if no regions are shared."""
-    if members.isEmpty():
-        return None
+def _heights(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(s, p, n, pn, h, wide, sketch) of pairs: h is the Hamming distance of their sketches, folded to the size of the
+    smallest in p's cell, and wide more than any two linked sets of the cell can differ in."""
+    own = pairs.join(sets, "s")
+    cell = own.groupBy("p").agg(F.min(F.length("sketch")).alias("size"), F.max("n").alias("top"))
+    pivots = sets.select(F.col("s").alias("p"), F.col("n").alias("pn"), F.col("sketch").alias("psketch"))
+    at = cell.join(pivots, "p").select("p", "pn", "psketch", F.least("size", F.length("psketch")).alias("size"), F.greatest("top", "pn").alias("top"))
+
+    def work(batches):
+        for b in batches:
+            x, y, size = (b.column(i).to_pylist() for i in (4, 5, 6))
+            h = [int(np.bitwise_count(_fold(p, z) ^ _fold(q, z)).sum()) for p, q, z in zip(x, y, size)]
+            yield pa.RecordBatch.from_arrays([*[b.column(i) for i in (0, 1, 2, 3, 7, 4)], pa.array(h, pa.int64())], ["s", "p", "n", "pn", "top", "sketch", "h"])
+
+    rows = own.join(at, "p").select("s", "p", "n", "pn", "sketch", "psketch", "size", "top")
+    return rows.mapInArrow(work, "s bigint, p bigint, n bigint, pn bigint, top bigint, sketch binary, h bigint")
+
+
+def texts_of(rows: DataFrame, keyed: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(s, text) of the wanted sets, from one row each. A Bloom filter of bounded size keeps other rows' texts out of the shuffle."""
+    first = keyed.select("s", "id", "mark").join(wanted, "s", "left_semi").groupBy("s").agg(F.min(F.struct("id", "mark")).alias("x"))
+    first = saved(first.select("s", F.col("x.id").alias("id"), F.col("x.mark").alias("mark")), "wanted")
+    r, f = flag_possible(rows, "mark", first, "mark", "possible").filter("possible").alias("r"), first.alias("f")
+    return r.join(f, F.col("r.id").eqNullSafe(F.col("f.id")) & (F.col("r.mark") == F.col("f.mark"))).select("f.s", "r.text").dropDuplicates(["s"])
+
+
+def _links(pairs: DataFrame, rows: DataFrame, keyed: DataFrame, k: int, t: Threshold) -> DataFrame:
+    """(a, b): the pairs (s, p) that are linked, by an exact comparison of their texts."""
+    pairs = saved(pairs, "near")
+    texts = saved(texts_of(rows, keyed, pairs.select("s").union(pairs.select(F.col("p").alias("s"))).distinct()), "texts")
+    exact = distances(pairs, texts, k).filter(F.col("both") * t.den >= F.col("either") * t.num)
+    return saved(exact.select(F.col("s").alias("a"), F.col("p").alias("b")), "links")
+
+
+def linked_labels(members: DataFrame, sets: DataFrame, rows: DataFrame, keyed: DataFrame, k: int, t: Threshold) -> DataFrame | None:
+    """(s, label) of the sets that have links, from regions (region, s) and sketches (s, n, sketch); None if there are none."""
     sizes = members.groupBy("region").agg((F.count("*") - 1).alias("others"))
     degree = members.join(sizes, "region").groupBy("s").agg(F.sum("others").alias("degree"))
     best = members.join(degree, "s").groupBy("region").agg(F.max(F.struct("degree", "s")).alias("x")).select("region", F.col("x.s").alias("p"))
-    pairs = saved(members.join(best, "region").filter("s <> p"), "pairs")
-    far = saved(distances(pairs.select("s", "p").distinct(), texts, k), "distances")
-    first = saved(_links(far, t), "links")
+    pairs = members.join(best, "region").filter("s <> p").select("s", "p").distinct()
+    high = saved(_heights(pairs, sets), "heights")
+    most = lambda a, b: F.floor((F.col(a) + F.col(b)) * (t.den - t.num) / (t.den + t.num))
+    sized = (F.col("n") * t.den >= F.col("pn") * t.num) & (F.col("pn") * t.den >= F.col("n") * t.num)
+    first = _links(high.filter(sized & (F.col("h") <= most("n", "pn"))).select("s", "p"), rows, keyed, k, t)
     labels = components(first)
-    shell = F.floor((F.col("either") - F.col("both")) * t.den / (F.col("either") * (t.den - t.num))).cast("int")
-    rows = pairs.join(far, ["s", "p"]).select("region", "s", shell.alias("shell")).join(labels, "s", "left").withColumn("label", F.coalesce("label", "s"))
-    open_ = rows.groupBy("region").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("region")
-    rows = rows.join(open_, "region").join(sketches(texts, k), "s")
+    shell = F.floor(F.col("h") / (most("top", "top") + 1)).cast("int")
+    at = high.select("s", "p", "n", "sketch", shell.alias("shell")).join(labels, "s", "left").withColumn("label", F.coalesce("label", "s"))
+    open_ = at.groupBy("p").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("p")
     place = F.explode(F.array(F.struct(F.col("shell"), F.lit(True).alias("own")), F.struct((F.col("shell") + 1).alias("shell"), F.lit(False).alias("own"))))
-    cells = rows.select("region", "s", "label", "n", "sketch", place.alias("at")).select(F.xxhash64("region", "at.shell").alias("cell"), "at.own", "s", "label", "n", "sketch")
-    more = saved(_links(distances(_candidates(cells, t), texts, k), t), "links")
+    cells = at.join(open_, "p").select("p", "s", "label", "n", "sketch", place.alias("at")).select(F.xxhash64("p", "at.shell").alias("cell"), "at.own", "s", "label", "n", "sketch")
+    more = _links(_candidates(cells, t), rows, keyed, k, t)
     return labels if more.isEmpty() else components(first.unionByName(more))
 
 
@@ -354,11 +387,8 @@ def jaccard_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     members = saved(regions.join(shared, "region").select("region", "s").distinct(), "shared")
     several = members.groupBy("region").agg(F.min("s").alias("lo"), F.max("s").alias("hi")).filter("lo <> hi").select("region")
     members = saved(members.join(several, "region"), "regions")
-    involved = members.select("s").distinct()
-    first = keyed.groupBy("s").agg(F.min(F.struct("id", "mark")).alias("x")).join(involved, "s").select("s", F.col("x.id").alias("id"), F.col("x.mark").alias("mark"))
-    r, f = rows.alias("r"), first.alias("f")
-    texts = saved(r.join(f, F.col("r.id").eqNullSafe(F.col("f.id")) & (F.col("r.mark") == F.col("f.mark"))).select("f.s", "r.text").dropDuplicates(["s"]), "texts")
-    labels = linked_labels(members, texts, k, threshold)
+    sets = saved(keyed.select("s", "n", "sketch").join(members.select("s").distinct(), "s", "left_semi").dropDuplicates(["s"]), "sketches")
+    labels = None if members.isEmpty() else linked_labels(members, sets, rows, keyed, k, threshold)
     group = F.when(F.col("n") > 0, F.col("s"))
     if labels is not None:
         keyed, group = keyed.join(labels, "s", "left"), F.when(F.col("n") > 0, F.coalesce("label", "s"))
@@ -380,13 +410,15 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     order = F.struct(F.col("id").isNull().alias("none"), "id", "mark")
     best = rows.groupBy("group").agg(F.min(order).alias("x"))
     lost = rows.join(best, "group").filter(~(F.col("id").eqNullSafe(F.col("x.id")) & (F.col("mark") == F.col("x.mark")))).select("id", "mark").distinct()
-    again = rows.groupBy("id", "mark").count().filter("count > 1")
-    mark = fresh(docs, "mark")
-    marked = docs.withColumn(mark, F.xxhash64(text_col))
+    lost = saved(lost, "lost")
+    again = saved(rows.groupBy("id", "mark").count().filter("count > 1").select("id", "mark"), "again")
+    mark, possible = fresh(docs, "mark"), fresh(docs, "possible")
+    touched = lost.unionByName(again)
+    flagged = flag_possible(docs.withColumn(mark, F.xxhash64(text_col)), mark, touched, "mark", possible)
+    clear, some = flagged.filter(~F.col(possible)), flagged.filter(possible)
     same = lambda f: (F.col(f"d.{id_col}").eqNullSafe(F.col(f"{f}.id"))) & (F.col(f"d.{mark}") == F.col(f"{f}.mark"))
-    kept = marked.alias("d").join(lost.alias("l"), same("l"), "left_anti")
-    if again.isEmpty():
-        return kept.drop(mark)
-    once = kept.alias("d").join(again.alias("a"), same("a"), "left_anti")
-    more = kept.alias("d").join(again.alias("a"), same("a"), "left_semi").dropDuplicates([id_col, mark])
-    return once.unionByName(more).drop(mark)
+    kept = some.alias("d").join(lost.alias("l"), same("l"), "left_anti")
+    if not again.isEmpty():
+        once = kept.alias("d").join(again.alias("a"), same("a"), "left_anti")
+        kept = once.unionByName(kept.alias("d").join(again.alias("a"), same("a"), "left_semi").dropDuplicates([id_col, mark]))
+    return clear.unionByName(kept).drop(mark, possible)

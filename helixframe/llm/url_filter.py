@@ -15,8 +15,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .bloom import BLOCKS, flag_possible
+
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-LANES = 4
 
 
 @dataclass(frozen=True)
@@ -63,43 +64,19 @@ def longest_rule(host: Column, path: Column, rules: list[Rule]) -> tuple[Column,
     return (none, none) if text is None else (text, verdict)
 
 
-def _bits(key: Column) -> list[Column]:
-    """One bit of each 64-bit lane."""
-    h = F.xxhash64(key, F.lit(1))
-    return [F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, 6 * i).bitwiseAND(63).cast("int")) for i in range(LANES)]
-
-
-def _block(key: Column, blocks: int) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(blocks))
-
-
-def bloom_filter(keys: DataFrame, key: str, blocks: int) -> DataFrame:
-    """(block, lane0..lane3): at most `blocks` rows."""
-    k = F.col(key)
-    return keys.filter(k.isNotNull()).groupBy(_block(k, blocks).alias("block")).agg(*[F.bit_or(b).alias(f"lane{i}") for i, b in enumerate(_bits(k))])
-
-
-def filter_urls(pages: DataFrame, listed: DataFrame, rules: list[Rule], *, id_col: str = "page_id", url_col: str = "url", list_col: str = "url", blocks: int = 1 << 15) -> DataFrame:
+def filter_urls(pages: DataFrame, listed: DataFrame, rules: list[Rule], *, id_col: str = "page_id", url_col: str = "url", list_col: str = "url", blocks: int = BLOCKS) -> DataFrame:
     """(id, host, path, rule, verdict, canonical, listed) of every page.
 
     verdict: the longest rule's; without one, "block" if the page's canonical URL is that of a listed URL, else "allow".
     """
-    if blocks > 1 << 20:
-        raise ValueError("the filter is broadcast: at most 2 ** 20 blocks")
     url = F.col("url")
     rule, ruled = longest_rule(F.col("host"), F.col("path"), rules)
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url")).select("id", host_of(url).alias("host"), path_of(url).alias("path"), F.when(url.contains("://"), canonical(url)).alias("canonical"))
     rows = rows.withColumn("rule", rule).withColumn("ruled", ruled)
     wanted = listed.select(canonical(F.col(list_col)).alias("key")).filter(F.col("key").isNotNull() & (F.col("key") != "")).distinct()
-    bloom = bloom_filter(wanted, "key", blocks)
-    k = F.col("canonical")
-    probed = rows.withColumn("block", _block(k, blocks)).join(F.broadcast(bloom), "block", "left")
-    hit = F.lit(True)
-    for i, b in enumerate(_bits(k)):
-        hit = hit & (F.col(f"lane{i}").bitwiseAND(b) != 0)
-    hit = F.coalesce(hit, F.lit(False))
+    probed = flag_possible(rows, "canonical", wanted, "key", "possible", blocks)
     keep = ["id", "host", "path", "rule", "ruled", "canonical"]
-    never = probed.filter(~hit).select(*keep, F.lit(False).alias("listed"))
-    exact = probed.filter(hit).select(*keep).join(wanted, F.col("canonical") == F.col("key"), "left").select(*keep, F.col("key").isNotNull().alias("listed"))
+    never = probed.filter("NOT possible").select(*keep, F.lit(False).alias("listed"))
+    exact = probed.filter("possible").select(*keep).join(wanted, F.col("canonical") == F.col("key"), "left").select(*keep, F.col("key").isNotNull().alias("listed"))
     verdict = F.coalesce(F.col("ruled"), F.when(F.col("listed"), "block").otherwise("allow"))
     return never.unionByName(exact).select(F.col("id").alias(id_col), "host", "path", "rule", verdict.alias("verdict"), "canonical", "listed")
