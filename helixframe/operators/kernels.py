@@ -135,6 +135,12 @@ def normalise(products: DataFrame, left: DataFrame, right: DataFrame | None = No
     return products.join(a, "i").join(b, "j").select("i", "j", (F.col("k") / scale).alias("k"))
 
 
+def submatrix(products: DataFrame, ids: DataFrame) -> DataFrame:
+    """The part of a kernel whose rows and columns are both among `ids` (id)."""
+    rows = products.join(ids.select(F.col("id").alias("i")), "i", "left_semi")
+    return rows.join(ids.select(F.col("id").alias("j")), "j", "left_semi").select("i", "j", "k")
+
+
 def distance(k) -> F.Column:
     """Of a normalised kernel value."""
     return F.sqrt(F.greatest(F.lit(0.0), 2 * (1 - k)))

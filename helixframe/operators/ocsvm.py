@@ -57,12 +57,16 @@ def solve(kernel: np.ndarray, nu: float, tol: float = 1e-3, max_steps: int | Non
     return OneClass(alpha, rho)
 
 
+def _key(ident):
+    return tuple(ident) if isinstance(ident, tuple) else ident
+
+
 def dense(rows: list, order: list) -> np.ndarray:
     """A symmetric matrix from collected (i, j, k) rows."""
     place = {k: n for n, k in enumerate(order)}
     out = np.zeros((len(order), len(order)))
     for r in rows:
-        i, j = place[tuple(r.i)], place[tuple(r.j)]
+        i, j = place[_key(r.i)], place[_key(r.j)]
         out[i, j] = out[j, i] = r.k
     return out
 
@@ -70,7 +74,7 @@ def dense(rows: list, order: list) -> np.ndarray:
 def fit_exact(products: DataFrame, nu: float) -> tuple[DataFrame, float]:
     """((id, alpha) of the support vectors, rho) from a normalised kernel (i, j, k), i <= j."""
     ids = products.select("i").union(products.select("j")).distinct().limit(MAX_EXACT + 1).collect()
-    order = sorted(tuple(r[0]) for r in ids)
+    order = sorted(_key(r[0]) for r in ids)
     if len(order) > MAX_EXACT:
         raise ValueError(f"the exact solver holds the kernel on the driver: at most {MAX_EXACT} reads; use fit_primal")
     model = solve(dense(products.collect(), order), nu)

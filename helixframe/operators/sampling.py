@@ -74,3 +74,8 @@ def combinations(patients: DataFrame, size: int, count: int, seed: int = 42) ->
     for _ in range(size - 1):
         out = out.join(patients.select(F.col("patient").alias("p")), F.element_at("members", -1) < F.col("p")).select(F.concat("members", F.array("p")).alias("members"))
     return out.orderBy(hash_order(seed, F.array_join("members", ",")), "members").limit(count)
+
+
+def downsample(df: DataFrame, keys: list[str], ident: str, most: int = 2_000_000, seed: int = 42) -> DataFrame:
+    """At most `most` rows of each key, by digest order: the cap that densities of very many distances take."""
+    return _ranked(df, seed, keys, ident).filter(F.col("rn") <= most).drop("rn")

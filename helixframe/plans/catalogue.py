@@ -509,6 +509,12 @@ def ocsvm_scores_nystrom(spark, d):
     return pipelines.low_rank_scores(*_split(spark, d), _KERNEL, 20, passes=20)
 
 
+@query()
+def ocsvm_scores_embeddings(spark, d):
+    e = fixtures.embeddings(spark, d)
+    return pipelines.embedding_scores(e.filter("label < 5"), e.filter("label >= 5"), "rbf")
+
+
 @query()
 def mil_exact_patients(spark, d):
     train, test = _split(spark, d)

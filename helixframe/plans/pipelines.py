@@ -42,6 +42,30 @@ def exact_scores(train: DataFrame, test: DataFrame, kernel: Kernel, nu: float =
     return out.select("id.*", "decision", ocsvm.predict(F.col("decision")).alias("predicted"))
 
 
+def train(reads: DataFrame, kernel: Kernel, nu: float = 0.2) -> tuple[dict, dict[str, DataFrame]]:
+    """(params, tables) of a fitted model, as `sources.model_store` keeps it: its vector over strings is all that scoring needs."""
+    f, w = kernel.features(reads).cache(), kernel.by_k
+    alpha, rho = ocsvm.fit_exact(kernels.normalise(kernels.gram(f, w), kernels.diagonal(f, w)), nu)
+    vector = ocsvm.primal(f.join(alpha.select("id.*"), READ, "left_semi"), alpha, w)
+    params = {"backend": "precomputed", "rho": rho, "nu": nu, "max_k": kernel.max_k, "mismatches": kernel.mismatches, "weights": list(kernel.weights or weights_or_default(kernel.max_k, kernel.mismatches))}
+    return params, {"alpha": alpha, "vector": vector}
+
+
+def infer(reads: DataFrame, params: dict, tables: dict[str, DataFrame]) -> DataFrame:
+    """(patient, read_idx, score) of reads under a stored model; scores are inverted decisions."""
+    kernel = Kernel(params["max_k"], params["mismatches"], tuple(params["weights"]))
+    out = ocsvm.decide_primal(kernel.features(reads), tables["vector"], kernel.by_k, params["rho"])
+    return out.select("id.*", (-F.col("decision")).alias("score"))
+
+
+def embedding_scores(train: DataFrame, test: DataFrame, kind: str = "linear", nu: float = 0.2, gamma: float | None = None) -> DataFrame:
+    """(id, decision, predicted) of test embeddings under a model of training embeddings; gamma comes from training."""
+    gamma = kernels.embedding_gamma(train) if kind == "rbf" and gamma is None else gamma
+    alpha, rho = ocsvm.fit_exact(kernels.embedding_kernel(train, train, kind, gamma).filter("i <= j"), nu)
+    out = ocsvm.decide(kernels.embedding_kernel(test, train.join(alpha.select("id"), "id", "left_semi"), kind, gamma), alpha, rho)
+    return out.select("id", "decision", ocsvm.predict(F.col("decision")).alias("predicted"))
+
+
 def low_rank_scores(train: DataFrame, test: DataFrame, kernel: Kernel, m: int, nu: float = 0.2, seed: int = 42, passes: int = 100) -> DataFrame:
     """(patient, read_idx, decision, predicted) over Nystroem maps with m landmarks."""
     f, g = kernel.features(train).cache(), kernel.features(test)

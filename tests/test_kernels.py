@@ -122,3 +122,29 @@ def test_scores_and_predictions(spark):
 def test_masked_mean(spark):
     df = spark.createDataFrame([([[1.0, 2.0], [3.0, 4.0]], [1.0, 0.0])], "h array<array<double>>, m array<double>")
     assert df.select(kernels.masked_mean(F.col("h"), F.col("m")).alias("x")).first().x == [1.0, 2.0]
+
+
+def test_stored_model_scores_alike(spark, tmp_path):
+    from helixframe.plans import pipelines
+    from helixframe.sources import model_store
+
+    kernel = Kernel(3, 1, (0.0, 0.4, 0.6))
+    reads, test = frame(spark, SEQS), frame(spark, ["ATGCAT", "HHMMHH", "AC"])
+    params, tables = pipelines.train(reads, kernel, 0.5)
+    model_store.save_model(spark, str(tmp_path / "m"), params, tables)
+    got = {r.read_idx: r.score for r in pipelines.infer(test, *model_store.load_model(spark, str(tmp_path / "m"), "precomputed")).collect()}
+    want = {r.read_idx: -r.decision for r in pipelines.exact_scores(reads, test, kernel, 0.5).collect()}
+    assert got == pytest.approx(want)
+
+
+def test_embedding_scores_and_submatrix(spark):
+    from helixframe.plans import pipelines
+
+    r = np.random.default_rng(5)
+    x = np.vstack([r.normal(size=(40, 6)), r.normal(size=(5, 6)) + 8])
+    e = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "id long, embedding array<float>")
+    out = {r.id: r.decision for r in pipelines.embedding_scores(e.filter("id < 35"), e.filter("id >= 35"), "rbf").collect()}
+    assert max(out[i] for i in range(40, 45)) < min(out[i] for i in range(35, 40))
+    k = kernels.embedding_kernel(e, e)
+    ids = spark.createDataFrame([(0,), (3,)], "id long")
+    assert {(r.i, r.j): r.k for r in kernels.submatrix(k, ids).collect()} == pytest.approx({(i, j): float(np.float32(x[i]).astype(float) @ np.float32(x[j]).astype(float)) for i in (0, 3) for j in (0, 3)})

@@ -129,3 +129,16 @@ def test_survival_counts_strictly_above(spark):
 def test_recommendation(spark):
     runs = spark.createDataFrame([(0.01, 0.5, 0.9), (0.02, 0.55, 0.99), (0.05, 0.55, 0.99)], "m_ratio double, auc double, spearman_corr double")
     assert reports.recommend(runs, 0.56).first().m_ratio == 0.02
+
+
+def test_baseline_curves_and_downsampling(spark):
+    r = np.random.default_rng(1)
+    rows = [(s, y, i, float(v)) for s, y in (("a", 1), ("b", 1), ("t", -1)) for i, v in enumerate(r.normal(size=30))]
+    df = spark.createDataFrame(rows, "subject string, label int, read_idx long, score double")
+    got = density.baseline_curves(df, 50).collect()
+    assert {(x.subject, x.curve) for x in got} == {(s, c) for s in "abt" for c in ("own", "baseline")} and len(got) == 300
+    pool = np.array([v for s, y, _, v in rows if y == 1])
+    x = next(x for x in got if (x.subject, x.curve, x.grid_i) == ("t", "baseline", 25))
+    h = pool.std(ddof=1) * len(pool) ** -0.2
+    assert x.y == pytest.approx(np.exp(-0.5 * ((x.x - pool) / h) ** 2).mean() / (h * np.sqrt(2 * np.pi)))
+    assert sampling.downsample(df, ["subject"], "read_idx", 7).groupBy("subject").count().select("count").distinct().collect() == [(7,)]
