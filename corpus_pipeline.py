@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixframe.llm import decontaminate, jaccard_join, pseudonyms, quality, tiktoken_codec
-from helixframe.llm.common import fresh, saved
+from helixframe.llm.common import fresh, saved, small_batches
 from helixframe.llm.queries import DEMO_KEY
 
 #: EM has no SQL form; the stages are tested against brute-force versions.
@@ -20,16 +20,19 @@ ORACLE_SQL = None
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that the weighed rules reject."""
+    small_batches(spark)
     return quality.keep_good(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document of the smallest id of each group of near copies: 5-word shingles, similarity of 0.8 or more."""
+    small_batches(spark)
     return jaccard_join.keep_one(docs, k=5, threshold=jaccard_join.Threshold(4, 5), subspaces="singles")
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop contaminated documents."""
+    small_batches(spark)
     return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
@@ -44,9 +47,10 @@ def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document's token ids, and the digest of what they decode to."""
+    small_batches(spark)
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     ids = docs.select("doc_id", "lang", "source", "n_chars", tiktoken_codec.encode_ids(F.col("text"), path, pattern).alias("ids"))
-    return ids.select("*", F.size("ids").cast("long").alias("n_tokens"), F.sha2(tiktoken_codec.decode_bytes(F.col("ids"), path, pattern), 256).alias("decoded_sha256"))
+    return ids.select("*", F.size("ids").cast("long").alias("n_tokens"), tiktoken_codec.decoded_sha256(F.col("ids"), path, pattern).alias("decoded_sha256"))
 
 
 STAGES = [("quality_rules", quality_rules), ("near_duplicates", near_duplicates), ("benchmark_passages", benchmark_passages), ("private_data", private_data), ("token_ids", token_ids)]

@@ -29,6 +29,20 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
+    """Bound the Arrow batches that Python workers hold, whatever the length of texts; a lower setting is left alone.
+
+    A worker holds its batch, a copy and its result at once, and an executor has a worker for each core.
+    """
+    jvm = spark._jvm.org.apache.spark.network.util.JavaUtils
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if jvm.byteStringAsBytes(spark.conf.get(name)) > most:
+        spark.conf.set(name, f"{most}b")
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path below the cluster's shared checkpoint folder; a local one only where none is set."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)

@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, jaccard_join, pseudonyms, quality, substring_dedup, tiktoken_codec, token_count, token_files, url_filter, warc
-from .common import fresh, scratch
+from .common import fresh, scratch, small_batches
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -13,6 +13,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import tiktoken
 from pyspark.sql import Column
@@ -49,12 +50,15 @@ def encode(enc: tiktoken.Encoding, text: str, size: int = PIECE_CHARS) -> list[i
 
 
 def encode_ids(text: Column, path: str, pattern: str) -> Column:
-    """array<int> of the text's token ids."""
+    """array<int> of the text's token ids; one text's ids at a time are Python numbers."""
 
     @F.arrow_udf("array<int>")
     def ids(texts: pa.Array) -> pa.Array:
         enc = codec(path, pattern)
-        return pa.array((encode(enc, t or "") for t in texts.to_pylist()), pa.list_(pa.int32()), size=len(texts))
+        rows = [np.array(encode(enc, t.as_py() or ""), np.int32) for t in texts]
+        offs = np.zeros(len(rows) + 1, np.int32)
+        np.cumsum([len(r) for r in rows], out=offs[1:])
+        return pa.ListArray.from_arrays(pa.array(offs), pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int32)))
 
     return ids(text)
 
@@ -65,11 +69,22 @@ def decode_bytes(ids: Column, path: str, pattern: str) -> Column:
     @F.arrow_udf("binary")
     def raw(rows: pa.Array) -> pa.Array:
         enc = codec(path, pattern)
-        return pa.array((None if r is None else enc.decode_bytes(r) for r in rows.to_pylist()), pa.binary(), size=len(rows))
+        return pa.array([enc.decode_bytes(r.values.to_pylist()) if r.is_valid else None for r in rows], pa.binary())
 
     return raw(ids)
 
 
+def decoded_sha256(ids: Column, path: str, pattern: str) -> Column:
+    """Lowercase hex of the SHA-256 of what the ids decode to; the bytes stay where they are."""
+
+    @F.arrow_udf("string")
+    def digest(rows: pa.Array) -> pa.Array:
+        enc = codec(path, pattern)
+        return pa.array([hashlib.sha256(enc.decode_bytes(r.values.to_pylist())).hexdigest() if r.is_valid else None for r in rows], pa.string())
+
+    return digest(ids)
+
+
 def round_trip(text: Column, path: str, pattern: str) -> Column:
     """struct(n_tokens, ids_sha256, decoded_sha256): digests of the ids and of what they decode to, without moving either."""
 
