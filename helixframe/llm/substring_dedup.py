@@ -12,7 +12,7 @@ same minimiser, and interior paths of two copies of a passage are equal as whole
    there by a second, independent hash before their words are removed.
 
 Grouping keys are aggregated before they are shuffled, no group is ever collected, and a frequent passage's rows
-meet one row of statistics in a join that Spark may split. Text moves once, to meet its own coordinates.
+meet one row of statistics, a table of its own, in a join whose large partitions Spark splits. Text moves once, to meet its own coordinates.
 
 Null and empty texts have no words. A row is known by its id and a hash of its text: equal rows are different
 sources (so their windows repeat) and get equal results. Ids may be null.
@@ -163,16 +163,16 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
     paths = _paths(rows, n, seed)
     stats = paths.groupBy("low").agg(F.count("*").alias("n"), *[f(c).alias(f"{c}_{k}") for c in ("path", "proof") for k, f in (("least", F.min), ("most", F.max))])
-    repeated = stats.filter("n > 1").select("low", ((F.col("path_least") == F.col("path_most")) & (F.col("proof_least") == F.col("proof_most"))).alias("plain"))
+    repeated = saved(stats.filter("n > 1").select("low", ((F.col("path_least") == F.col("path_most")) & (F.col("proof_least") == F.col("proof_most"))).alias("plain")), "repeated")
     found = paths.select("id", "mark", "low", "place").join(repeated, "low")
-    by_row = found.groupBy("id", "mark").agg(F.collect_list(F.when(F.col("plain"), F.col("place"))).alias("plain"), F.collect_list(F.when(~F.col("plain"), F.col("place"))).alias("branch"))
+    by_row = found.groupBy("id", "mark").agg(F.collect_set(F.when(F.col("plain"), F.col("place"))).alias("plain"), F.collect_set(F.when(~F.col("plain"), F.col("place"))).alias("branch"))
     r, f = rows.alias("r"), by_row.alias("f")
     joined = r.join(f, F.col("r.id").eqNullSafe(F.col("f.id")) & (F.col("r.mark") == F.col("f.mark")), "left").select("r.id", "r.mark", "r.text", "f.plain", "f.branch")
     settled = saved(_settle(joined, n), "settled")
     open_ = settled.filter(F.col("text").isNotNull())
     windows = open_.select("id", "mark", F.explode(F.arrays_zip("at", "h0", "h1")).alias("w")).select("id", "mark", "w.at", "w.h0", "w.h1")
-    twice = windows.groupBy("h0", "h1").agg(F.count("*").alias("n")).filter("n > 1").select("h0", "h1")
-    hits = windows.join(twice, ["h0", "h1"]).groupBy("id", "mark").agg(F.collect_list("at").alias("hits"))
+    twice = saved(windows.groupBy("h0", "h1").agg(F.count("*").alias("n")).filter("n > 1").select("h0", "h1"), "twice")
+    hits = windows.join(twice, ["h0", "h1"]).groupBy("id", "mark").agg(F.collect_set("at").alias("hits"))
     o, h = open_.select("id", "mark", "text", "spans").alias("o"), hits.alias("h")
     last = o.join(h, F.col("o.id").eqNullSafe(F.col("h.id")) & (F.col("o.mark") == F.col("h.mark")), "left").select("o.id", "o.mark", "o.text", "o.spans", "h.hits")
     done = settled.filter(F.col("text").isNull()).select("id", "n_words", "n_removed", "kept_sha256")
