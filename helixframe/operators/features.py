@@ -30,14 +30,18 @@ def mismatch_counts(reads: DataFrame, k: int, m: int = 1) -> DataFrame:
 def weighted_features(reads: DataFrame, k: int, m: int = 1, decay: float = 0.5) -> DataFrame:
     """(patient, read_idx, k, kmer, w): neighbours weigh decay ** distance, and only strings of the alphabet count.
 
+    Neighbourhoods are made once for each distinct k-mer and joined, not once for each read.
+
     Without mismatches or decay it is the plain (neighbour) count, over whatever letters occur.
     """
     if m == 0 or decay == 1.0:
         counts = kmer_counts(reads, k) if m == 0 else mismatch_counts(reads, k, m)
         return counts.select(*READ, F.lit(k).alias("k"), "kmer", F.col("cnt").cast("double").alias("w"))
-    near = kmer_counts(reads, k).select(*READ, "cnt", F.explode(weighted_neighbourhood(F.col("kmer"), k, m)).alias("x")).select(*READ, "cnt", "x.neighbor", "x.dist")
-    w = F.sum(F.col("cnt") * F.pow(F.lit(decay), F.col("dist")))
-    return near.filter(in_vocabulary(F.col("neighbor"), k)).groupBy(*READ, F.col("neighbor").alias("kmer")).agg(w.alias("w")).select(*READ, F.lit(k).alias("k"), "kmer", "w")
+    counts = kmer_counts(reads, k)
+    near = counts.select("kmer").distinct().select("kmer", F.explode(weighted_neighbourhood(F.col("kmer"), k, m)).alias("x"))
+    near = near.select("kmer", "x.neighbor", F.pow(F.lit(decay), F.col("x.dist")).alias("share")).filter(in_vocabulary(F.col("neighbor"), k))
+    w = F.sum(F.col("cnt") * F.col("share"))
+    return counts.join(near, "kmer").groupBy(*READ, F.col("neighbor").alias("kmer")).agg(w.alias("w")).select(*READ, F.lit(k).alias("k"), "kmer", "w")
 
 
 def combined_features(reads: DataFrame, max_k: int, m: int, weights: list[float], decay: float = 0.5) -> DataFrame:
