@@ -11,7 +11,7 @@ replicate everything. The space is divided twice:
    shingles in one order of all, frequent ones last, and linked sets share one of those. Parts hardly meet by
    chance, however short the shingles; singles make fewer rows and suit shingles that are rare. Size classes are kept
    apart in both.
-2. Pivots. A region's pivot is the set with the most neighbours; regions of one pivot make up its cell. Distances to it
+2. Pivots. A region's pivot is the set that lies in the most regions; regions of one pivot make up its cell. Distances to it
    are taken between parity sketches: their Hamming distance is a metric, and never exceeds the number of elements
    that two sets differ in, which a link bounds. Sets that may be linked with the pivot are compared exactly and
    join its component. Cells that still hold several components are cut into shells around the pivot, wider than
@@ -355,12 +355,16 @@ def _links(pairs: DataFrame, rows: DataFrame, keyed: DataFrame, k: int, t: Thres
     return saved(exact.select(F.col("s").alias("a"), F.col("p").alias("b")), "links")
 
 
-def linked_labels(members: DataFrame, sets: DataFrame, rows: DataFrame, keyed: DataFrame, k: int, t: Threshold) -> DataFrame | None:
-    """(s, label) of the sets that have links, from regions (region, s) and sketches (s, n, sketch); None if there are none."""
-    sizes = members.groupBy("region").agg((F.count("*") - 1).alias("others"))
-    degree = members.join(sizes, "region").groupBy("s").agg(F.sum("others").alias("degree"))
-    best = members.join(degree, "s").groupBy("region").agg(F.max(F.struct("degree", "s")).alias("x")).select("region", F.col("x.s").alias("p"))
-    pairs = members.join(best, "region").filter("s <> p").select("s", "p").distinct()
+def linked_labels(members: DataFrame, rows: DataFrame, keyed: DataFrame, k: int, t: Threshold) -> DataFrame | None:
+    """(s, label) of the sets that have links, from regions (region, s); None if no two sets share one."""
+    degree = members.groupBy("s").agg(F.count("*").alias("degree"))
+    ranked = members.join(degree, "s")
+    best = ranked.groupBy("region").agg(F.max(F.struct("degree", "s")).alias("x"), F.min("s").alias("lo"), F.max("s").alias("hi")).filter("lo <> hi").select("region", F.col("x.s").alias("p"))
+    pairs = saved(members.join(best, "region").filter("s <> p").select("s", "p").distinct(), "pairs")
+    if pairs.isEmpty():
+        return None
+    involved = pairs.select("s").union(pairs.select(F.col("p").alias("s"))).distinct()
+    sets = saved(keyed.select("s", "n", "sketch").join(involved, "s", "left_semi").dropDuplicates(["s"]), "sketches")
     high = saved(_heights(pairs, sets), "heights")
     most = lambda a, b: F.floor((F.col(a) + F.col(b)) * (t.den - t.num) / (t.den + t.num))
     sized = (F.col("n") * t.den >= F.col("pn") * t.num) & (F.col("pn") * t.den >= F.col("n") * t.num)
@@ -385,10 +389,7 @@ def jaccard_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     regions = region_rows(rows.select("text"), k, seed, threshold, subspaces)
     shared = regions.groupBy("region").agg(F.count("*").alias("m")).filter("m > 1").select("region")
     members = saved(regions.join(shared, "region").select("region", "s").distinct(), "shared")
-    several = members.groupBy("region").agg(F.min("s").alias("lo"), F.max("s").alias("hi")).filter("lo <> hi").select("region")
-    members = saved(members.join(several, "region"), "regions")
-    sets = saved(keyed.select("s", "n", "sketch").join(members.select("s").distinct(), "s", "left_semi").dropDuplicates(["s"]), "sketches")
-    labels = None if members.isEmpty() else linked_labels(members, sets, rows, keyed, k, threshold)
+    labels = linked_labels(members, rows, keyed, k, threshold)
     group = F.when(F.col("n") > 0, F.col("s"))
     if labels is not None:
         keyed, group = keyed.join(labels, "s", "left"), F.when(F.col("n") > 0, F.coalesce("label", "s"))
