@@ -63,13 +63,6 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a scratch path through Hadoop's file system API."""
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def word_table(kind: str) -> np.ndarray:
     """256 flags: 'space' counts all bytes but ASCII white space, 'alnum' digits, a-z, A-Z and all non-ASCII."""
     t = np.ones(256, bool)
