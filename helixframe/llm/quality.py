@@ -6,6 +6,9 @@ ways, so by default there is a bad class for each rule, the failure that it is a
 documents (at most 3 ** rules rows, whatever the corpus), EM runs on those counts, and each document gets the posterior
 probability of being good of its own pattern.
 
+No rule takes length for a fault: texts of over 100,000 words get no vote on it, and variety is a mean over windows of
+`WINDOW` words that cover the whole text.
+
 Null and empty texts have no words and fail the base rule. Repeated rows and ids are judged alike.
 """
 
@@ -29,12 +32,13 @@ _UPPER[0x41:0x5B] = True
 _ALPHA = word_table("alnum")
 _ALPHA[0x30:0x3A] = False
 _STRIP = bytes(SPACES)
+WINDOW = 1000
 _FIELDS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_alpha", "n_upper", "n_distinct"]
 
 
 @F.arrow_udf(T.StructType([T.StructField(x, T.LongType()) for x in _FIELDS]))
 def text_statistics(texts: pa.Array) -> pa.Array:
-    """Counts over whole texts: words, their code points, symbols, repeated lines, words in repeated 5-word windows, lines with a word, letters, capitals, distinct words."""
+    """Counts over whole texts: words, their code points, symbols, repeated lines, words in repeated 5-word windows, lines with a word, letters, capitals, distinct words of each window of `WINDOW` words, summed."""
     parts: list[np.ndarray] = []
     for i, j, w in slices(texts, _SPACE):
         first, total = w.first, int(w.first[-1])
@@ -50,7 +54,9 @@ def text_statistics(texts: pa.Array) -> pa.Array:
         twice[order[1:][same]] = True
         twice[order[:-1][same]] = True
         hit = at[twice]
-        own = h ^ salt
+        at_word = np.arange(total)
+        window = at_word - (at_word - first[w.doc]) % WINDOW
+        own = h ^ mix(window.astype(np.uint64) + np.uint64(1))
         order = np.argsort(own)
         new = np.ones(total, bool)
         new[order[1:]] = own[order][1:] != own[order][:-1]
@@ -79,7 +85,7 @@ def default_rules(s: Column) -> dict[str, Column]:
     lines = F.greatest(s.n_lines, F.lit(1))
     chars = F.greatest(s.word_chars, F.lit(1))
     return {
-        "length": _vote(s.n_words >= 50, (s.n_words < 10) | (s.n_words > 100_000)),
+        "length": _vote((s.n_words >= 50) & (s.n_words <= 100_000), s.n_words < 10),
         "word_length": _vote((s.word_chars >= 3 * words) & (s.word_chars <= 9 * words), (s.word_chars < 2 * words) | (s.word_chars > 12 * words)),
         "symbols": _vote(50 * s.n_symbols <= words, 10 * s.n_symbols > words),
         "lines": _vote(s.n_dup_lines == 0, 2 * s.n_dup_lines > lines),

@@ -110,6 +110,28 @@ def test_quality_held_out(spark):
     assert sum(not r.k for r in rows if r["quality"] == 1) < 0.02 * len(rows)
 
 
+def test_quality_does_not_drop_by_length(spark):
+    """Clean texts of over 100,000 words are kept, whatever share of them is new words; long junk is not."""
+    r = np.random.default_rng(5)
+
+    def text(vocabulary, n):
+        return " ".join(f"{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676)}en" for k in r.integers(0, vocabulary, n).tolist())
+
+    clean, junk = [text(5000, 120_000), text(16_000, 120_000), text(5000, 100_000), text(1500, 30_000)], [text(20, 120_000), "ab cd " * 60_000]
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    out, name = quality.judge(docs.unionByName(spark.createDataFrame([(-1 - i, t) for i, t in enumerate(clean + junk)], docs.schema)))
+    kept = dict(out.filter("doc_id < 0").select("doc_id", F.col(name).kept).collect())
+    assert [kept[-1 - i] for i in range(len(clean + junk))] == [True] * len(clean) + [False] * len(junk)
+
+
+def test_distinct_words_by_window(spark):
+    texts = [" ".join(str(k % m) for k in range(n)) for n, m in ((0, 1), (1, 1), (999, 700), (1000, 700), (1001, 700), (2500, 3000), (2500, 10))]
+    out, name = quality.judge(frame(spark, texts))
+    got = dict(out.select("doc_id", F.col(name).n_distinct).collect())
+    words = [t.split() for t in texts]
+    assert [got[i] for i in range(len(texts))] == [sum(len(set(w[k : k + 1000])) for k in range(0, len(w), 1000)) for w in words]
+
+
 def test_empty_tables(spark):
     none = frame(spark, []).limit(0)
     assert substring_dedup.remove_repeats(none).count() == 0
