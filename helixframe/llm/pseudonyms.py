@@ -5,7 +5,9 @@ of one half to the other, modulo its bound. That is a permutation of the format'
 across documents, different ones stay different, and lengths do not change:
 
 - payment cards (13 to 19 digits, Luhn-valid): first digit kept, last recomputed, the others permuted
-- North American phone numbers: area 200-999, exchange 200-999 and line; the country code is kept
+- North American phone numbers: area, exchange and line; the country code is kept. Where +1, "1-", "1." or brackets mark
+  the number, area and exchange are 000-999; else both are 200-999. Numbers with an area below 200, those with only an
+  exchange below 200, and all others are permuted among themselves, so no two share a pseudonym
 - other numbers in international form (+, 8 to 15 digits): the last six digits
 - social security numbers: valid areas, groups and serials
 - IPv4 addresses: all four octets; the text may get longer or shorter here alone
@@ -28,9 +30,10 @@ IPV4 = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\.?[0-9])"
 DATE = r"(?<![0-9./-])(?:[0-9]{4}([-/])[0-9]{2}\1[0-9]{2}|[0-9]{2}([./])[0-9]{2}\2[0-9]{4})(?![0-9])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 PHONE = r"(?<![0-9A-Za-z+(])(?:\+?1[ .-]?)?(?:\([2-9][0-9]{2}\)[ .-]?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2}[ .-]?[0-9]{4}(?![0-9])"
+MARKED = r"(?<![0-9A-Za-z+(])(?:(?:\+?1[ .-]?)?\([0-9]{3}\)[ .-]?|(?:\+1[ .-]?|1[.-])[0-9]{3}[ .-])[0-9]{3}[ .-]?[0-9]{4}(?![0-9])"
 ABROAD = r"(?<![0-9A-Za-z+])\+[1-9][0-9]{7,14}(?![0-9])"
 CARD = r"(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])"
-PATTERN = "|".join((MAIL, IPV4, DATE, SSN, PHONE, ABROAD, CARD))
+PATTERN = "|".join((MAIL, IPV4, DATE, SSN, PHONE, MARKED, ABROAD, CARD))
 ROUNDS = 8
 _CLASSES = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
 _HALF = 12
@@ -140,9 +143,13 @@ def _card(m: Column, digits: Column, key: Column) -> Column:
 
 def _phone(m: Column, digits: Column, key: Column) -> Column:
     own = F.substring(digits, F.length(digits) - 9, F.lit(10))
-    left, right = _number(F.substring(own, 1, 3)) - 200, _number(F.substring(own, 4, 7)) - 2_000_000
-    out = feistel(left, right, F.lit(800), F.lit(8_000_000), key, F.lit("phone"))
-    return _let(out, lambda o: refill(m, F.concat(F.substring(digits, F.lit(1), F.length(digits) - 10), (o.l + 200).cast("string"), (o.r + 2_000_000).cast("string")), "[0-9]"))
+    area, rest = _number(F.substring(own, 1, 3)), _number(F.substring(own, 4, 7))
+    low, low_exchange = area < 200, (area >= 200) & (rest < 2_000_000)
+    area_from, areas = F.when(low, 0).otherwise(200), F.when(low, 200).otherwise(800)
+    rest_from = F.when(low | low_exchange, 0).otherwise(2_000_000)
+    rests = F.when(low, 10_000_000).when(low_exchange, 2_000_000).otherwise(8_000_000)
+    out = feistel(area - area_from, rest - rest_from, areas, rests, key, F.lit("phone"))
+    return _let(out, lambda o: refill(m, F.concat(F.substring(digits, F.lit(1), F.length(digits) - 10), _pad(o.l + area_from, 3), _pad(o.r + rest_from, 7)), "[0-9]"))
 
 
 def _abroad(m: Column, digits: Column, key: Column) -> Column:
@@ -201,7 +208,7 @@ def pseudonym(m: Column, key: Column) -> Column:
         .when(whole(IPV4), _ip(m, key))
         .when(whole(DATE), _date(m, digits, key))
         .when(whole(SSN), _ssn(m, digits, key))
-        .when(whole(PHONE), _phone(m, digits, key))
+        .when(whole(f"{PHONE}|{MARKED}"), _phone(m, digits, key))
         .when(whole(ABROAD), _abroad(m, digits, key))
         .otherwise(_card(m, digits, key))
     )

@@ -136,6 +136,28 @@ def test_feistel_is_a_permutation(spark):
     assert len({(r.l, r.r) for r in pairs}) == a * b and all(0 <= r.l < a and 0 <= r.r < b for r in pairs)
 
 
+def marked_phone(m):
+    """The plain version of a marked number of any area and exchange."""
+    digits = re.sub("[^0-9]", "", m)
+    area, rest = int(digits[-10:-7]), int(digits[-7:])
+    a, b, x, y = (0, 0, 200, 10_000_000) if area < 200 else (200, 0, 800, 2_000_000) if rest < 2_000_000 else (200, 2_000_000, 800, 8_000_000)
+    left, right = feistel(area - a, rest - b, x, y, "phone")
+    return refill(m, f"{digits[:-10]}{left + a:03}{right + b:07}", "[0-9]")
+
+
+def test_marked_phone_numbers_of_any_area(spark):
+    r = random.Random(2)
+    marked = ["+1 (017) 555-7713", "+1 (132) 555-1352", "(017) 555-7713", "+1 017 555 7713", "+1-017-555-7713", "1-017-555-7713", "1 (017) 555-7713", "(988) 155-2485", "+1 (988) 055-2485", "(988) 555-2485", "+1 (000) 000-0000", "(999)999-9999"]
+    marked += [f"+1 ({r.randint(0, 999):03}) {r.randint(0, 999):03}-{r.randint(0, 9999):04}" for _ in range(300)]
+    plain = ["017-555-7713", "1 017 555 7713", "x(017) 555-7713", "(017) 555-77134", "(17) 555-7713", "1,017 555-7713"]
+    df = spark.createDataFrame([(i, f"call {m}, now") for i, m in enumerate(marked + plain)], "doc_id long, text string")
+    got = {x.doc_id: (x.text, x.n) for x in pseudonyms.pseudonymise(df, KEY, found_col="n").collect()}
+    assert [got[i] for i in range(len(marked))] == [(f"call {marked_phone(m)}, now", int(marked_phone(m) != m)) for m in marked]
+    assert [got[len(marked) + i] for i in range(len(plain))] == [(f"call {m}, now", 0) for m in plain]
+    own = lambda t: re.sub("[^0-9]", "", t)[-10:]
+    assert len({own(got[i][0]) for i in range(len(marked))}) == len({own(m) for m in marked})
+
+
 def test_native_plans_have_no_python(spark, capsys):
     docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
     pages = spark.createDataFrame([(1, "http://a.b/c")], "page_id long, url string")
