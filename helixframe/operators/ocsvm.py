@@ -6,6 +6,7 @@ primal runs distributed: each pass sums (sub)gradients over partitions, so reads
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 
 import numpy as np
@@ -13,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MAX_EXACT = 6000
+MAX_PASSES = 1000
 
 
 @dataclass
@@ -119,12 +121,13 @@ def _dot(phi: Column, w: np.ndarray) -> Column:
     return F.aggregate(F.zip_with(phi, F.array(*[F.lit(float(x)) for x in w]), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
 
 
-def fit_primal(phi: DataFrame, nu: float, passes: int = 100) -> tuple[np.ndarray, float]:
+def fit_primal(phi: DataFrame, nu: float, passes: int | None = None) -> tuple[np.ndarray, float]:
     """(w, rho) on maps (phi): the dual's sum is nu * n, so w = sum of alpha * phi.
 
     Frank-Wolfe on the dual: each pass sends w to the partitions, finds the nu * n reads of least w.phi by an exact
     percentile of a histogram-free kind (a sort of scores in place), and returns one summed vector. The duality gap
-    shrinks as 1 / passes; the best step is in closed form.
+    shrinks as 1 / passes; the best step is in closed form. It ends when the gap meets its tolerance, and raises if that
+    takes more than MAX_PASSES; where the caller bounds `passes`, it warns instead.
     """
     n = phi.count()
     budget = nu * n
@@ -134,8 +137,8 @@ def fit_primal(phi: DataFrame, nu: float, passes: int = 100) -> tuple[np.ndarray
     w = np.zeros(d)
     for r in sums:
         w[r.p] = r.x * nu
-    rho = 0.0
-    for _ in range(passes):
+    rho, met = 0.0, False
+    for _ in range(MAX_PASSES if passes is None else passes):
         scored = phi.select("phi", _dot(F.col("phi"), w).alias("s"))
         cut = scored.agg(F.percentile("s", F.lit(float(nu))).alias("c")).first().c
         mass = scored.agg(F.count_if(F.col("s") < cut).alias("below"), F.count_if(F.col("s") == cut).alias("at")).first()
@@ -147,9 +150,14 @@ def fit_primal(phi: DataFrame, nu: float, passes: int = 100) -> tuple[np.ndarray
         rho = float(cut)
         gap, span = float(w @ (w - v)), float((w - v) @ (w - v))
         if gap <= 1e-6 * max(1.0, float(w @ w)) or span == 0:
+            met = True
             break
         w = w + min(1.0, gap / span) * (v - w)
     phi.unpersist()
+    if not met:
+        if passes is None:
+            raise RuntimeError(f"the duality gap does not meet its tolerance after {MAX_PASSES} passes")
+        warnings.warn(f"the duality gap does not meet its tolerance after {passes} passes", stacklevel=2)
     return w, rho
 
 

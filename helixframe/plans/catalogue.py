@@ -506,7 +506,7 @@ def ocsvm_scores_exact(spark, d):
 
 @query()
 def ocsvm_scores_nystrom(spark, d):
-    return pipelines.low_rank_scores(*_split(spark, d), _KERNEL, 20, passes=20)
+    return pipelines.low_rank_scores(*_split(spark, d), _KERNEL, 20)
 
 
 @query()

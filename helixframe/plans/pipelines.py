@@ -66,7 +66,7 @@ def embedding_scores(train: DataFrame, test: DataFrame, kind: str = "linear", nu
     return out.select("id", "decision", ocsvm.predict(F.col("decision")).alias("predicted"))
 
 
-def low_rank_scores(train: DataFrame, test: DataFrame, kernel: Kernel, m: int, nu: float = 0.2, seed: int = 42, passes: int = 100) -> DataFrame:
+def low_rank_scores(train: DataFrame, test: DataFrame, kernel: Kernel, m: int, nu: float = 0.2, seed: int = 42, passes: int | None = None) -> DataFrame:
     """(patient, read_idx, decision, predicted) over Nystroem maps with m landmarks."""
     f, g = kernel.features(train).cache(), kernel.features(test)
     state = nystrom.fit(train, f, kernel.by_k, m, seed)

@@ -105,6 +105,35 @@ def test_primal_agrees_with_exact(spark):
     assert w @ w <= 1.01 * (a @ a) and np.corrcoef(x @ w, x @ a)[0, 1] > 0.99
 
 
+def _slow_maps(spark):
+    r = np.random.default_rng(6)
+    x = np.abs(r.normal(size=(120, 6))) + 0.2
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    return x, spark.createDataFrame([(v.tolist(),) for v in x], "phi array<double>")
+
+
+def test_primal_meets_its_tolerance_or_says_so(spark, monkeypatch):
+    x, phi = _slow_maps(spark)
+    w, rho = ocsvm.fit_primal(phi, 0.2)
+    s = np.sort(x @ w)
+    assert w @ w - s[:24].sum() <= 1.1e-6 * max(1, w @ w) and s[23] - 1e-9 <= rho <= s[24] + 1e-9
+    with pytest.warns(UserWarning, match="after 3 passes"):
+        ocsvm.fit_primal(phi, 0.2, 3)
+    monkeypatch.setattr(ocsvm, "MAX_PASSES", 3)
+    with pytest.raises(RuntimeError, match="after 3 passes"):
+        ocsvm.fit_primal(phi, 0.2)
+
+
+def test_low_rank_query_runs_to_the_tolerance(spark, monkeypatch):
+    """The registered query leaves the number of passes to the solver."""
+    from helixframe.plans import catalogue
+
+    asked = []
+    monkeypatch.setattr(ocsvm, "fit_primal", lambda phi, nu, passes=None: asked.append(passes) or (np.ones(len(phi.first().phi)), 0.0))
+    catalogue.QUERIES["ocsvm_scores_nystrom"](spark, "/root/testdata/sf0.001")
+    assert asked == [None]
+
+
 def test_scores_and_predictions(spark):
     from helixframe.plans import pipelines
 
