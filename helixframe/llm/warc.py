@@ -162,10 +162,12 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """(path, place, record): the records of WARC files, gzipped by record, as a whole, or not at all.
 
     A file is one row of Spark's binary source, so it must fit the memory of a task (the usual gigabyte does not
-    everywhere; split such files first).
+    everywhere; split such files first). Bytes that are no record, and records without a readable length, are a row up
+    to the next line that starts with "WARC/", which `derive` calls malformed.
     """
     import gzip
 
+    start = re.compile(rb"(?m)^WARC/")
     files = spark.read.format("binaryFile").load(path).select("path", "content")
 
     def split(batches):
@@ -174,15 +176,18 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                 data = content.as_py()
                 data = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
                 places, found, at = [], [], 0
-                while (at := data.find(b"WARC/", at)) >= 0:
+                while at < len(data):
                     end = data.find(b"\r\n\r\n", at)
-                    size = re.search(rb"(?im)^content-length:[ \t]*(\d+)", data[at:end]) if end >= 0 else None
-                    if not size:
-                        break
-                    stop = end + 4 + int(size[1])
-                    places.append(len(places))
-                    found.append(data[at:stop] + b"\r\n\r\n")
+                    following = start.search(data, at + 1)
+                    nearest = following.start() if following else len(data)
+                    size = re.search(rb"(?im)^content-length:[ \t]*(\d+)[ \t]*\r?$", data[at : end + 2]) if data.startswith(b"WARC/", at) and 0 <= end < nearest else None
+                    stop = end + 4 + int(size[1]) if size else nearest
+                    if size or data[at:stop].strip():
+                        places.append(len(places))
+                        found.append(data[at:stop] + (b"\r\n\r\n" if size else b""))
                     at = stop
+                    while data[at : at + 1] in (b"\r", b"\n"):
+                        at += 1
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(found), pa.string()), pa.array(places, pa.int64()), pa.array(found, pa.binary())], ["path", "place", "record"])
 
     return files.mapInArrow(split, "path string, place bigint, record binary")

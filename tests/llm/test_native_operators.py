@@ -209,3 +209,13 @@ def test_warc_derivatives(spark, tmp_path):
     (tmp_path / "b.warc.gz").write_bytes(b"".join(gzip.compress(rows[i][0]) for i in (1, 2, 3)))
     read = warc.read_warc(spark, str(tmp_path)).collect()
     assert sorted(bytes(r.record) for r in read) == sorted([rows[i][0] for i in (1, 2, 3)] * 2)
+
+
+def test_read_warc_goes_on_after_malformed_records(spark, tmp_path):
+    good = [warc.record([("WARC-Type", "response"), ("WARC-Record-ID", f"<urn:x:{i}>"), ("Content-Type", "text/plain")], b"a\r\n\r\nWARC/ in a block\r\nWARC/1.1 too") for i in range(4)]
+    bad = [b"WARC/1.1\r\nWARC-Type: response\r\n\r\nno length\r\n", b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: many\r\n\r\n", b"WARC/1.1\r\nheader breaks off\r\n", b"no record at all\r\n"]
+    want = [bad[3], good[0], bad[0], good[1], bad[1], good[2], bad[2], good[3], bad[0]]
+    (tmp_path / "x.warc").write_bytes(b"".join(want))
+    rows = sorted((r.place, bytes(r.record)) for r in warc.read_warc(spark, str(tmp_path)).collect())
+    assert rows == list(enumerate(want))
+    assert [warc.parse(r) is None for _, r in rows] == [w not in good for w in want]
