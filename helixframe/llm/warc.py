@@ -22,7 +22,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _NAMESPACE = uuid.UUID(hashlib.md5(b"helixframe.warc").hexdigest())
-_SILENT = re.compile(r"<!--.*?-->|<(script|style|template|noscript|head)\b.*?(?:</\1\s*>|\Z)", re.S | re.I)
+#: A head without an end tag ends before the first thing that cannot stand in one.
+_OPEN_HEAD = r"<head\b[^>]*(?:>|\Z)(?:\s|<!--.*?-->|<(title|script|style|template|noscript)\b.*?(?:</\1\s*>|\Z)|</?(?:base|link|meta)\b[^>]*>)*+"
+_SILENT = re.compile(rf"<!--.*?-->|<head\b.*?</head\s*>|{_OPEN_HEAD}|<(script|style|template|noscript)\b.*?(?:</\2\s*>|\Z)", re.S | re.I)
 _BREAK = re.compile(r"</?(?:address|article|aside|blockquote|br|dd|div|dl|dt|fieldset|figure|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|td|th|tr|ul)\b[^>]*>", re.I)
 _TAG = re.compile(r"<[A-Za-z/!?][^>]*>")
 _BLANK = re.compile(r"[ \t\r\f\v ]+")

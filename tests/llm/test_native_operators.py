@@ -219,3 +219,11 @@ def test_read_warc_goes_on_after_malformed_records(spark, tmp_path):
     rows = sorted((r.place, bytes(r.record)) for r in warc.read_warc(spark, str(tmp_path)).collect())
     assert rows == list(enumerate(want))
     assert [warc.parse(r) is None for _, r in rows] == [w not in good for w in want]
+
+
+def test_head_without_end_tag():
+    inside = "<head><meta charset=utf-8>\n<title>t</title><script>x = '<p>no</p>'</script><!-- <p>no</p> --><style>p {}</style>"
+    for body in ("<body>yes", "<p>yes", "yes"):
+        assert warc._SILENT.sub("|", inside + body) == "|" + body
+    assert warc._SILENT.sub("|", inside + "</head><p>yes") == "|<p>yes"
+    assert warc._SILENT.sub("|", "a<script>no") == "a|" and warc._SILENT.sub("|", "<head><script>no") == "|"
