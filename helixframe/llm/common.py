@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SLICE_BYTES = 2 << 20
 _SEGMENT = 1 << 20
@@ -63,6 +64,19 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+HEAVY = 1000
+
+
+def with_group(rows: DataFrame, groups: DataFrame, key: str, size: str, how: str = "inner") -> DataFrame:
+    """`rows` joined with the one row that its `key` has in `groups` (a stored table); how="left" keeps keys without one.
+
+    The `HEAVY` largest groups come by broadcast, so none that meets in one task has more than 1 / `HEAVY` of all rows.
+    """
+    heavy = F.broadcast(groups.orderBy(F.desc(size), key).limit(HEAVY))
+    rest = groups.join(heavy.select(key), key, "left_anti")
+    return rows.join(heavy, key).unionByName(rows.join(heavy.select(key), key, "left_anti").join(rest, key, how))
+
+
 def word_table(kind: str) -> np.ndarray:
     """256 flags: 'space' counts all bytes but ASCII white space, 'alnum' digits, a-z, A-Z and all non-ASCII."""
     t = np.ones(256, bool)

@@ -1,29 +1,31 @@
 """Exact similarity join of documents under the Jaccard distance of their word shingles.
 
-Unrelated texts lie at distance 1 from each other and from any pivot, so cells around a few pivot documents would
-replicate everything. The space is divided twice:
+Unrelated texts lie at distance 1 from each other and from any pivot, so Voronoi cells over a whole corpus would copy
+everything into every cell (windows of twice 1 - threshold around distances that all lie near 1). So the space is first
+divided into subspaces, and inside them into Voronoi regions, again and again, until they are small:
 
 1. Subspaces, of two kinds. "parts": the universe of shingles is dealt by hash into parts, more than two linked
-   sets can differ in elements. So two linked sets agree on some part (distance 0 there): every projection that
-   occurs is its own pivot in that part's subspace, and the sets that project onto it form a region. Sizes fall
-   into classes, and a set also enters the lower classes that its smallest partners belong to, so that linked sets
-   use the same parts. "singles": pivots are single shingles; a set enters the regions of its first (1 - threshold) * n + 1
-   shingles in one order of all, frequent ones last, and linked sets share one of those. Parts hardly meet by
-   chance, however short the shingles; singles make fewer rows and suit shingles that are rare. Size classes are kept
-   apart in both.
-2. Pivots. A region's pivot is the set that lies in the most regions; regions of one pivot make up its cell. Distances to it
-   are taken between parity sketches: their Hamming distance is a metric, and never exceeds the number of elements
-   that two sets differ in, which a link bounds. Sets that may be linked with the pivot are compared exactly and
-   join its component. Cells that still hold several components are cut into shells around the pivot, wider than
-   what linked sets differ in. By the triangle inequality linked sets lie in the same shell or in neighbouring ones,
-   so each set also visits the next shell. What meets in a shell is compared block by block on sketches, and pairs
-   that may be linked, of different components, are compared exactly.
+   sets can differ in elements. So two linked sets agree on some part (distance 0 there): the sets that project onto the
+   same thing form a subspace. Sizes fall into classes, and a set also enters the lower classes that its smallest partners
+   belong to, so that linked sets use the same parts. "singles": a set enters the subspaces of its first
+   (1 - threshold) * n + 1 shingles in one order of all, frequent ones last, and linked sets share one of those. Parts
+   hardly meet by chance, however short the shingles; singles make fewer rows and suit shingles that are rare.
+2. Pivots. A subspace's pivot is its set of the least key, so that a group of copies has the same pivot in all its
+   subspaces; the subspaces of one pivot make up its cell. Sets linked with their pivot join its component. Only cells
+   that still hold several components go on.
+3. Voronoi regions. A cell of more than `block` sets gets pivots of its own, drawn from it by hash. Each set
+   goes to the region of its nearest pivot by exact Jaccard distance, and by the triangle inequality a copy of it to every
+   region whose pivot is at most 2 * (1 - threshold) farther: a set linked with it that lives there is no farther.
+   Regions of more than `block` sets are divided again; those that did not shrink, or only hold one component, are not.
+4. What meets in a region is compared exactly; parity sketches, whose Hamming distance never exceeds the number of
+   elements that two sets differ in, spare most comparisons.
 
 Equal sets are one set throughout; copies never meet each other. Distances are whole-number comparisons of exact
-intersections. Set keys have 64 bits; if two different sets ever share one, another seed is taken.
+intersections. Set keys have 64 bits; different sets that share one (a second digest tells) get other keys.
 
 Null and empty texts have an empty set and are linked with nothing. Ids may be null (they can link others, but name
-no component) or repeated (each row counts). Ties between pivots go to the larger key.
+no component) or repeated (each row counts). Ties between pivots go to the lesser key. Very long texts are sets like others,
+in memory one at a time. An empty table gives an empty one. Other columns of the input, whatever their names, play no part.
 """
 
 from __future__ import annotations
@@ -31,14 +33,16 @@ from __future__ import annotations
 import bisect
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bloom import flag_possible
-from .common import Sequences, fresh, mix, saved, slices, starts_of, word_table
+from .common import Sequences, fresh, mix, saved, slices, starts_of, with_group, word_table
 
 _SPACE = word_table("space")
 SPARE = 3
@@ -93,8 +97,7 @@ def singles(u: np.ndarray, t: Threshold, frequent: np.ndarray) -> np.ndarray:
     if len(frequent):
         late = frequent[np.minimum(np.searchsorted(frequent, u), len(frequent) - 1)] == u
     first = n - -(-n * t.num // t.den) + 1
-    h = np.concatenate([np.sort(h[~late]), np.sort(h[late])])[:first]
-    return np.concatenate([mix(h ^ np.uint64(c + 1)) for c in own_classes(n, t)])
+    return np.concatenate([np.sort(h[~late]), np.sort(h[late])])[:first]
 
 
 def frequent_shingles(texts: DataFrame, k: int, most: int = 1 << 16) -> np.ndarray:
@@ -166,14 +169,23 @@ def own_classes(n: int, t: Threshold) -> list[int]:
     return own
 
 
-def _digests(u: np.ndarray, seed: int) -> tuple[int, int]:
+Clash = frozenset[int]
+
+
+def _digests(u: np.ndarray, clash: Clash, bits: int = 64) -> tuple[int, int]:
+    """(key, second digest) of a set. A key that different sets share leads on to another one."""
     with np.errstate(over="ignore"):
-        a = mix(u ^ mix(np.array([2 * seed + 11], np.uint64))).sum(dtype=np.uint64)
-        b = mix(u ^ mix(np.array([2 * seed + 12], np.uint64))).sum(dtype=np.uint64)
-        return mix(np.array([a + np.uint64(len(u))], np.uint64)).view(np.int64)[0], np.array([b], np.uint64).view(np.int64)[0]
+        a = mix(mix(u ^ np.uint64(0xD6E8FEB86659FD93)).sum(dtype=np.uint64)[None] + np.uint64(len(u)))
+        b = mix(u ^ np.uint64(0xA0761D6478BD642F)).sum(dtype=np.uint64)[None]
+        check = int(b.view(np.int64)[0])
+        key = int((a >> np.uint64(64 - bits)).view(np.int64)[0])
+        while key in clash:
+            a = mix(a + b)
+            key = int((a >> np.uint64(64 - bits)).view(np.int64)[0])
+    return key, check
 
 
-def keyed_sets(rows: DataFrame, k: int, seed: int) -> DataFrame:
+def keyed_sets(rows: DataFrame, k: int, clash: Clash, bits: int = 64) -> DataFrame:
     """(id, mark, n, s, check, sketch) of rows (id, mark, text): set size, set key, a second digest, parity sketch."""
     kind = rows.schema["id"].dataType.simpleString()
 
@@ -181,7 +193,7 @@ def keyed_sets(rows: DataFrame, k: int, seed: int) -> DataFrame:
         for b in batches:
             n, s, c, sketch = [], [], [], []
             for u in shingle_sets(b.column(2), k):
-                x, y = _digests(u, seed)
+                x, y = _digests(u, clash, bits)
                 n.append(len(u))
                 s.append(x)
                 c.append(y)
@@ -191,8 +203,26 @@ def keyed_sets(rows: DataFrame, k: int, seed: int) -> DataFrame:
     return rows.mapInArrow(work, f"id {kind}, mark bigint, n bigint, s bigint, check bigint, sketch binary")
 
 
-def region_rows(texts: DataFrame, k: int, seed: int, t: Threshold, subspaces: str) -> DataFrame:
-    """(region, s): every region of every text's set."""
+MAX_CLASHES = 1 << 16
+
+
+def keys_of(rows: DataFrame, k: int, bits: int = 64) -> tuple[DataFrame, Clash]:
+    """(`keyed_sets`, keys given up): each key stands for one set. Clashes are expected from some ten billion sets on, and are few."""
+    clash: Clash = frozenset()
+    for _ in range(16):
+        keyed = saved(keyed_sets(rows, k, clash, bits), "keyed")
+        by_key = keyed.groupBy("s").agg(F.min("check").alias("a"), F.max("check").alias("b"), F.min("n").alias("c"), F.max("n").alias("d"))
+        found = by_key.filter("a <> b or c <> d").select("s").limit(MAX_CLASHES + 1).collect()
+        if not found:
+            return keyed, clash
+        clash = clash | {r.s for r in found}
+        if len(clash) > MAX_CLASHES:
+            break
+    raise RuntimeError("too many different sets share a key")
+
+
+def region_rows(texts: DataFrame, k: int, clash: Clash, t: Threshold, subspaces: str, bits: int = 64) -> DataFrame:
+    """(region, s): every subspace of every text's set."""
     if subspaces not in ("parts", "singles"):
         raise ValueError("subspaces are 'parts' or 'singles'")
     frequent = frequent_shingles(texts, k) if subspaces == "singles" else None
@@ -204,7 +234,7 @@ def region_rows(texts: DataFrame, k: int, seed: int, t: Threshold, subspaces: st
                 r = signatures(u, t) if frequent is None else singles(u, t, frequent)
                 if len(r):
                     regions.append(r.view(np.int64))
-                    keys.append(np.full(len(r), _digests(u, seed)[0], np.int64))
+                    keys.append(np.full(len(r), _digests(u, clash, bits)[0], np.int64))
                     held += len(r)
                 if held > 200_000:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(regions)), pa.array(np.concatenate(keys))], ["region", "s"])
@@ -247,12 +277,12 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def parity_sketch(u: np.ndarray) -> bytes:
-    """One bit for each of 2 ** k buckets: whether it holds an odd number of elements; about 1.5 bits an element or more.
+    """One bit for each of 2 ** k buckets: whether it holds an odd number of elements; 0.75 to 1.5 bits an element.
 
     An element in one set only flips one bit, so the Hamming distance of two sketches is at most the number of elements
     that the sets differ in. Half a sketch xor the other half is the sketch of half as many buckets.
     """
-    bits = 1 << max(8, int(3 * len(u) // 2 - 1).bit_length())
+    bits = 1 << max(8, int(3 * len(u) // 4 - 1).bit_length())
     odd = np.bincount((mix(u ^ np.uint64(0x9FB21C651E98DF25)) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(bool), bitorder="little").tobytes()
 
@@ -265,31 +295,39 @@ def _fold(sketch: bytes, size: int) -> np.ndarray:
 
 
 def _near(rows: pa.Table, t: Threshold) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of one block of a shell whose sketches allow a link: of the shell's own sets, and of those with visitors."""
+    """Pairs of one block of a region whose sketches allow a link: of the region's own sets, and of those with copies of others.
+
+    Two sketches are compared at the size of the smaller one; sets too different in size are not compared at all.
+    """
     raw = rows["sketch"].to_pylist()
-    size = min(map(len, raw))
-    bits = np.stack([_fold(x, size) for x in raw])
     s, n, label, own, block = (np.asarray(rows[c]) for c in ("s", "n", "label", "own", "block"))
-    x, y = rows["x"][0].as_py(), rows["y"][0].as_py()
-    for i in range(len(s)):
-        other = (label != label[i]) & (own | own[i]) & (s != s[i])
-        other[: i + 1] = False
-        if x != y:
-            other &= block != block[i]
-        other &= (n * t.den >= n[i] * t.num) & (n[i] * t.den >= n * t.num)
-        at = np.flatnonzero(other)
-        if len(at):
-            most = (n[at] + n[i]) * (t.den - t.num) // (t.den + t.num)
-            at = at[np.bitwise_count(bits[at] ^ bits[i]).sum(axis=1) <= most]
+    across = rows["x"][0].as_py() != rows["y"][0].as_py()
+    length = np.array(list(map(len, raw)), np.int64)
+    for size in np.unique(length).tolist():
+        first = np.flatnonzero(length == size)
+        most_n = int(n[first].max()) * t.den // t.num
+        more = np.flatnonzero((length > size) & (n <= most_n))
+        at_ = np.concatenate([first, more])
+        bits = np.stack([_fold(raw[i], size) for i in at_.tolist()])
+        n_, s_, label_, own_, block_ = n[at_], s[at_], label[at_], own[at_], block[at_]
+        for i in range(len(first)):
+            j = slice(i + 1, None)
+            other = (label_[j] != label_[i]) & (own_[j] | own_[i]) & (s_[j] != s_[i]) & (n_[j] * t.den >= n_[i] * t.num) & (n_[i] * t.den >= n_[j] * t.num)
+            if across:
+                other &= block_[j] != block_[i]
+            at = np.flatnonzero(other) + i + 1
             if len(at):
-                yield np.full(len(at), s[i]), s[at]
+                most = (n_[at] + n_[i]) * (t.den - t.num) // (t.den + t.num)
+                at = at[np.bitwise_count(bits[at] ^ bits[i]).sum(axis=1) <= most]
+                if len(at):
+                    yield np.full(len(at), s_[i]), s_[at]
 
 
-def _candidates(cells: DataFrame, t: Threshold, block: int = 2048) -> DataFrame:
-    """(s, p): pairs that may be linked, of (cell, own, s, label, n, sketch). A large cell is dealt into blocks, each pair of
-    which meets in a task; small ones stream by in the order of their keys."""
-    sizes = cells.groupBy("cell").agg(F.ceil(F.count("*") / block).cast("int").alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("cell", "m")
-    dealt = cells.join(sizes, "cell").withColumn("block", F.pmod(F.xxhash64("s"), F.col("m")).cast("int"))
+def _candidates(leaves: DataFrame, t: Threshold, block: int) -> DataFrame:
+    """(s, p): pairs that may be linked, of (cell, size, own, s, label, n, sketch). A large region is dealt into blocks, each pair
+    of which meets in a task; small ones stream by in the order of their keys."""
+    m = F.ceil(F.col("size") / block).cast("int")
+    dealt = leaves.withColumn("m", m).withColumn("block", F.pmod(F.xxhash64("s"), F.col("m")).cast("int"))
     others = F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda b: F.struct(F.least("block", b).alias("x"), F.greatest("block", b).alias("y")))
     dealt = dealt.withColumn("at", F.explode(others)).select("cell", "at.x", "at.y", "block", "own", "s", "label", "n", "sketch")
 
@@ -297,9 +335,14 @@ def _candidates(cells: DataFrame, t: Threshold, block: int = 2048) -> DataFrame:
         held = None
 
         def pairs(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-            found = list(_near(rows, t)) if rows.num_rows > 1 else []
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[i] for f in found])) for i in (0, 1)], ["s", "p"])
+            found, size = [], 0
+            for f in chain(_near(rows, t), [None]):
+                if f is not None:
+                    found.append(f)
+                    size += len(f[0])
+                if found and (f is None or size > 100_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[i] for x in found])) for i in (0, 1)], ["s", "p"])
+                    found, size = [], 0
 
         for b in batches:
             t_ = pa.Table.from_batches([b])
@@ -317,26 +360,124 @@ def _candidates(cells: DataFrame, t: Threshold, block: int = 2048) -> DataFrame:
     return dealt.repartition("cell", "x", "y").sortWithinPartitions("cell", "x", "y").mapInArrow(work, "s bigint, p bigint").distinct()
 
 
-def _links(pairs: DataFrame, t: Threshold) -> DataFrame:
-    return pairs.filter(F.col("both") * t.den >= F.col("either") * t.num).select(F.col("s").alias("a"), F.col("p").alias("b"))
+def _possible(t: Threshold, n: str, m: str) -> Column:
+    """Whether the sizes alone allow a link."""
+    return (F.col(n) * t.den >= F.col(m) * t.num) & (F.col(m) * t.den >= F.col(n) * t.num)
 
 
-def _heights(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(s, p, n, pn, h, wide, sketch) of pairs: h is the Hamming distance of their sketches, folded to the size of the
-    smallest in p's cell, and wide more than any two linked sets of the cell can differ in."""
-    own = pairs.join(sets, "s")
-    cell = own.groupBy("p").agg(F.min(F.length("sketch")).alias("size"), F.max("n").alias("top"))
+def _near_pivots(pairs: DataFrame, sets: DataFrame, t: Threshold) -> DataFrame:
+    """(s, p): the pairs of a set and its pivot whose sizes and sketches allow a link."""
     pivots = sets.select(F.col("s").alias("p"), F.col("n").alias("pn"), F.col("sketch").alias("psketch"))
-    at = cell.join(pivots, "p").select("p", "pn", "psketch", F.least("size", F.length("psketch")).alias("size"), F.greatest("top", "pn").alias("top"))
+    rows = pairs.join(sets, "s").join(pivots, "p").filter(_possible(t, "n", "pn"))
+    most = F.floor((F.col("n") + F.col("pn")) * (t.den - t.num) / (t.den + t.num))
 
     def work(batches):
         for b in batches:
-            x, y, size = (b.column(i).to_pylist() for i in (4, 5, 6))
-            h = [int(np.bitwise_count(_fold(p, z) ^ _fold(q, z)).sum()) for p, q, z in zip(x, y, size)]
-            yield pa.RecordBatch.from_arrays([*[b.column(i) for i in (0, 1, 2, 3, 7, 4)], pa.array(h, pa.int64())], ["s", "p", "n", "pn", "top", "sketch", "h"])
+            x, y, top = (b.column(i).to_pylist() for i in (2, 3, 4))
+            near = [int(np.bitwise_count(_fold(p, min(len(p), len(q))) ^ _fold(q, min(len(p), len(q)))).sum()) <= m for p, q, m in zip(x, y, top)]
+            yield pa.RecordBatch.from_arrays([b.column(i).filter(pa.array(near, pa.bool_())) for i in (0, 1)], ["s", "p"])
+
+    return rows.select("s", "p", "sketch", "psketch", most.alias("most")).mapInArrow(work, "s bigint, p bigint")
 
-    rows = own.join(at, "p").select("s", "p", "n", "pn", "sketch", "psketch", "size", "top")
-    return rows.mapInArrow(work, "s bigint, p bigint, n bigint, pn bigint, top bigint, sketch binary, h bigint")
+
+@dataclass(frozen=True)
+class Voronoi:
+    """How cells are divided: until they have at most `block` sets, by about `fan` pivots at a time, at most `depth` times.
+
+    What is larger then is compared block by block. A task holds `chunk` texts. No choice has any say in results.
+    """
+
+    block: int = 2048
+    fan: int = 16
+    depth: int = 6
+    chunk: int = 256
+    shrink: float = 0.7
+
+
+def _nearest(t: Threshold, k: int):
+    """The regions of some sets, by their exact distances to the cell's pivots: (cell, size, q, own, near, s, label); near: linked with pivot q."""
+    kinds = {"cell": pa.int64(), "size": pa.int64(), "q": pa.int64(), "own": pa.bool_(), "near": pa.bool_(), "s": pa.int64(), "label": pa.int64()}
+
+    def place(rows: pa.Table, pivots: pa.Table) -> pa.Table:
+        out = {c: [] for c in kinds}
+        if rows.num_rows:
+            pivots = pivots.sort_by("s")
+            q, sets = np.asarray(pivots["s"]), list(shingle_sets(pivots["text"].combine_chunks(), k)) if pivots.num_rows else []
+            universe = np.unique(np.concatenate(sets)) if sets else np.zeros(1, np.uint64)
+            member = np.zeros((len(universe) + 1, len(sets)), np.int32)
+            for j, v in enumerate(sets):
+                member[np.searchsorted(universe, v), j] = 1
+            size = np.array([len(v) for v in sets], np.int64)
+            own, at = np.asarray(rows["own"]), np.zeros(1, np.int64)
+            for i, u in enumerate(shingle_sets(rows["text"].combine_chunks(), k)):
+                home, names, near = 0, np.zeros(1, np.int64), np.zeros(1, bool)
+                if len(sets):
+                    place = np.searchsorted(universe, u)
+                    place[universe[np.minimum(place, len(universe) - 1)] != u] = len(universe)
+                    both = member[place].sum(axis=0)
+                    d = 1 - both / (len(u) + size - both)
+                    home = int(np.argmin(d))
+                    at = np.flatnonzero(d <= d[home] + 2 * (1 - t.num / t.den) + 1e-9)
+                    names, near = q[at], (both * t.den >= (len(u) + size - both) * t.num)[at]
+                for c, x in (("q", names), ("own", (at == home) & own[i]), ("near", near)):
+                    out[c].append(x)
+                for c in ("cell", "size", "s", "label"):
+                    out[c].append(np.full(len(at), rows[c][i].as_py(), np.int64))
+        return pa.table({c: pa.array(np.concatenate(v) if v else [], kinds[c]) for c, v in out.items()})
+
+    return place
+
+
+def _divide(cells: DataFrame, texts, t: Threshold, k: int, v: Voronoi, level: int) -> DataFrame:
+    """(cell, size, q, own, near, s, label): the sets of large cells (cell, size, own, s, label) in the regions of their pivots q."""
+    named = saved(texts(cells.select("s").distinct()), "texts")
+    draw = F.pmod(F.xxhash64("s", F.lit(level)), F.lit(1 << 30)) / float(1 << 30)
+    chunks = F.ceil(F.col("size") / v.chunk).cast("int")
+    pivots = cells.filter(draw * F.col("size") < v.fan).select("cell", "s", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk")).join(named, "s")
+    pivots = pivots.select("cell", "chunk", "s", "text").toDF("of", "part", "s", "text")
+    rows = cells.withColumn("chunk", F.pmod(F.xxhash64("s"), chunks).cast("int")).join(named, "s").select("cell", "chunk", "size", "own", "s", "label", "text")
+    out = rows.groupBy("cell", "chunk").cogroup(pivots.groupBy("of", "part")).applyInArrow(_nearest(t, k), "cell bigint, size bigint, q bigint, own boolean, near boolean, s bigint, label bigint")
+    return saved(out, "regions")
+
+
+def _relabel(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    return rows.withColumnRenamed("label", "old").join(labels, "s", "left").withColumn("label", F.coalesce("label", "old")).drop("old")
+
+
+def leaves(cells: DataFrame, links: DataFrame, labels: DataFrame, texts, t: Threshold, k: int, v: Voronoi) -> tuple[DataFrame | None, DataFrame, DataFrame]:
+    """(regions, links, labels) of cells (cell, s, label): the regions (cell, size, own, s, label) in which sets of several
+    components meet, None without any; the links (a, b) so far with those to pivots, and the labels (s, label) that they make.
+
+    A set's own region is its nearest pivot's at every level; elsewhere it is a copy, and copies need not meet each other.
+    A cell whose sets lie too close together, so that copies are more than its sets, stays whole.
+    texts gives (s, text) of wanted keys (s).
+    """
+    cells, done = cells.select("cell", F.lit(None).cast("bigint").alias("parent"), F.lit(True).alias("own"), "s", "label"), []
+    shape = ["cell", "size", "own", "s", "label"]
+    for level in range(v.depth + 1):
+        sizes = cells.groupBy("cell").agg(F.count("*").alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("own").alias("any"))
+        sizes = saved(sizes.filter("lo <> hi AND any").select("cell", "size"), "sizes")
+        if sizes.isEmpty():
+            break
+        laid = with_group(cells, sizes, "cell", "size").select("parent", *shape)
+        if level == v.depth or sizes.filter(F.col("size") > v.block).isEmpty():
+            done.append(laid.select(*shape))
+            break
+        large = (F.col("size") > v.block) & (F.col("parent").isNull() | (F.col("size") < v.shrink * F.col("parent")))
+        done.append(laid.filter(~large).select(*shape))
+        more = saved(laid.filter(large).select(*shape), "large")
+        if more.isEmpty():
+            break
+        divided = _divide(more, texts, t, k, v, level)
+        links = saved(links.unionByName(divided.filter("near AND s <> q").select(F.col("s").alias("a"), F.col("q").alias("b")).distinct()), "links")
+        labels = components(links)
+        totals = divided.groupBy("cell").agg(F.count("*").alias("n"), F.max("size").alias("size")).select("cell", "size", (F.col("n") > 2 * F.col("size")).alias("whole"))
+        totals = saved(totals, "totals")
+        whole = with_group(more.drop("size"), totals.filter("whole"), "cell", "size").select("cell", F.lit(0).cast("bigint").alias("parent"), "own", "s", "label")
+        parted = with_group(divided.drop("size"), totals.filter("NOT whole"), "cell", "size").select(F.xxhash64("cell", "q", F.lit(level)).alias("cell"), F.col("size").alias("parent"), "own", "s", "label")
+        cells = saved(_relabel(whole.unionByName(parted), labels), "cells")
+    met = reduce(DataFrame.unionByName, done) if done else None
+    return (_relabel(met, labels) if met is not None and level else met), links, labels
 
 
 def texts_of(rows: DataFrame, keyed: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -355,52 +496,42 @@ def _links(pairs: DataFrame, rows: DataFrame, keyed: DataFrame, k: int, t: Thres
     return saved(exact.select(F.col("s").alias("a"), F.col("p").alias("b")), "links")
 
 
-def linked_labels(members: DataFrame, rows: DataFrame, keyed: DataFrame, k: int, t: Threshold) -> DataFrame | None:
-    """(s, label) of the sets that have links, from regions (region, s); None if no two sets share one."""
-    degree = members.groupBy("s").agg(F.count("*").alias("degree"))
-    ranked = members.join(degree, "s")
-    best = ranked.groupBy("region").agg(F.max(F.struct("degree", "s")).alias("x"), F.min("s").alias("lo"), F.max("s").alias("hi")).filter("lo <> hi").select("region", F.col("x.s").alias("p"))
-    pairs = saved(members.join(best, "region").filter("s <> p").select("s", "p").distinct(), "pairs")
+def linked_labels(regions: DataFrame, rows: DataFrame, keyed: DataFrame, k: int, t: Threshold, v: Voronoi = Voronoi()) -> DataFrame | None:
+    """(s, label) of the sets that have links, from subspaces (region, s); None if no two sets share one."""
+    pivots = regions.groupBy("region").agg(F.min("s").alias("p"), F.max("s").alias("hi")).filter("p <> hi").select("region", "p")
+    pairs = saved(regions.join(pivots, "region").filter("s <> p").select("s", "p").distinct(), "pairs")
     if pairs.isEmpty():
         return None
     involved = pairs.select("s").union(pairs.select(F.col("p").alias("s"))).distinct()
     sets = saved(keyed.select("s", "n", "sketch").join(involved, "s", "left_semi").dropDuplicates(["s"]), "sketches")
-    high = saved(_heights(pairs, sets), "heights")
-    most = lambda a, b: F.floor((F.col(a) + F.col(b)) * (t.den - t.num) / (t.den + t.num))
-    sized = (F.col("n") * t.den >= F.col("pn") * t.num) & (F.col("pn") * t.den >= F.col("n") * t.num)
-    first = _links(high.filter(sized & (F.col("h") <= most("n", "pn"))).select("s", "p"), rows, keyed, k, t)
+    first = _links(_near_pivots(pairs, sets, t), rows, keyed, k, t)
     labels = components(first)
-    shell = F.floor(F.col("h") / (most("top", "top") + 1)).cast("int")
-    at = high.select("s", "p", "n", "sketch", shell.alias("shell")).join(labels, "s", "left").withColumn("label", F.coalesce("label", "s"))
-    open_ = at.groupBy("p").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("p")
-    place = F.explode(F.array(F.struct(F.col("shell"), F.lit(True).alias("own")), F.struct((F.col("shell") + 1).alias("shell"), F.lit(False).alias("own"))))
-    cells = at.join(open_, "p").select("p", "s", "label", "n", "sketch", place.alias("at")).select(F.xxhash64("p", "at.shell").alias("cell"), "at.own", "s", "label", "n", "sketch")
-    more = _links(_candidates(cells, t), rows, keyed, k, t)
+    cells = pairs.join(labels, "s", "left").select(F.col("p").alias("cell"), "s", F.coalesce("label", "s").alias("label"))
+    met, first, labels = leaves(cells, first, labels, lambda wanted: texts_of(rows, keyed, wanted), t, k, v)
+    if met is None:
+        return labels
+    more = _links(_candidates(met.join(sets, "s"), t, v.block), rows, keyed, k, t)
     return labels if more.isEmpty() else components(first.unionByName(more))
 
 
-def jaccard_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 3, threshold: Threshold = Threshold(), subspaces: str = "parts") -> DataFrame:
+def jaccard_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 3, threshold: Threshold = Threshold(), subspaces: str = "parts", voronoi: Voronoi = Voronoi(), key_bits: int = 64) -> DataFrame:
     """(id, mark, n, group) of every row: mark is xxhash64 of the text; group names the component, null for empty sets."""
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
-    for seed in range(8):
-        keyed = saved(keyed_sets(rows, k, seed), "keyed")
-        if keyed.groupBy("s").agg(F.min("check").alias("a"), F.max("check").alias("b"), F.min("n").alias("c"), F.max("n").alias("d")).filter("a <> b or c <> d").isEmpty():
-            break
-    regions = region_rows(rows.select("text"), k, seed, threshold, subspaces)
-    shared = regions.groupBy("region").agg(F.count("*").alias("m")).filter("m > 1").select("region")
-    members = saved(regions.join(shared, "region").select("region", "s").distinct(), "shared")
-    labels = linked_labels(members, rows, keyed, k, threshold)
+    keyed, clash = keys_of(rows, k, key_bits)
+    regions = region_rows(rows.select("text"), k, clash, threshold, subspaces, key_bits)
+    labels = linked_labels(regions, rows, keyed, k, threshold, voronoi)
     group = F.when(F.col("n") > 0, F.col("s"))
     if labels is not None:
-        keyed, group = keyed.join(labels, "s", "left"), F.when(F.col("n") > 0, F.coalesce("label", "s"))
+        labels = labels.join(keyed.groupBy("s").agg(F.count("*").alias("copies")), "s")
+        keyed, group = with_group(keyed, saved(labels, "copies"), "s", "copies", "left"), F.when(F.col("n") > 0, F.coalesce("label", "s"))
     return keyed.select("id", "mark", "n", group.alias("group"))
 
 
 def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
     """(id, n_shingles, component) of every row: set size and the smallest id reachable by links, itself included."""
     rows = saved(jaccard_groups(docs, id_col=id_col, **options), "groups")
-    least = rows.filter("n > 0").groupBy("group").agg(F.min("id").alias("component"))
-    full = rows.filter("n > 0").join(least, "group").select("id", "n", "component")
+    least = saved(rows.filter("n > 0").groupBy("group").agg(F.min("id").alias("component"), F.count("*").alias("size")), "least")
+    full = with_group(rows.filter("n > 0"), least, "group", "size").select("id", "n", "component")
     empty = rows.filter("n = 0").select("id", "n", F.col("id").alias("component"))
     return full.unionByName(empty).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component")
 
@@ -409,8 +540,8 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     """One row of each group, that of the smallest id (nulls last, then by text hash), and all rows without words."""
     rows = saved(jaccard_groups(docs, id_col=id_col, text_col=text_col, **options).filter("n > 0"), "groups")
     order = F.struct(F.col("id").isNull().alias("none"), "id", "mark")
-    best = rows.groupBy("group").agg(F.min(order).alias("x"))
-    lost = rows.join(best, "group").filter(~(F.col("id").eqNullSafe(F.col("x.id")) & (F.col("mark") == F.col("x.mark")))).select("id", "mark").distinct()
+    best = saved(rows.groupBy("group").agg(F.min(order).alias("x"), F.count("*").alias("size")).filter("size > 1"), "best")
+    lost = with_group(rows, best, "group", "size").filter(~(F.col("id").eqNullSafe(F.col("x.id")) & (F.col("mark") == F.col("x.mark")))).select("id", "mark").distinct()
     lost = saved(lost, "lost")
     again = saved(rows.groupBy("id", "mark").count().filter("count > 1").select("id", "mark"), "again")
     mark, possible = fresh(docs, "mark"), fresh(docs, "possible")

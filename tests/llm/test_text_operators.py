@@ -149,6 +149,15 @@ def test_jaccard_components(spark, k, num, den, subspaces):
     assert got == brute.jaccard_components(rows, k, num, den)
 
 
+@pytest.mark.parametrize("subspaces,bits", [("singles", 64), ("parts", 64), ("parts", 11)])
+def test_jaccard_recursion(spark, subspaces, bits):
+    """Small regions force recursion and copies of boundary sets; short keys force clashes."""
+    texts = near_texts(160, seed=8) + odd_texts(10)
+    small = jaccard_join.Voronoi(block=4, fan=3, depth=2, chunk=16, shrink=1.0)
+    out = jaccard_join.jaccard_components(frame(spark, texts), k=1, threshold=jaccard_join.Threshold(4, 5), subspaces=subspaces, voronoi=small, key_bits=bits)
+    assert {r.doc_id: (r.n_shingles, r.component) for r in out.collect()} == brute.jaccard_components(list(enumerate(texts)), 1, 4, 5)
+
+
 def test_keep_one(spark):
     texts = near_texts(80, seed=6)
     df = frame(spark, texts)
