@@ -1,22 +1,30 @@
-"""Token counts by a compiled finite-state transducer.
+"""Token counts by a finite-state transducer that is compiled from a tokenizer file.
 
-The tokenizer's split and its merges never cross ASCII white space, so a text is read by a deterministic
-transducer with one resting state (between words) and, inside a word, one state for each prefix read. Its
-transitions on a word's end carry the number of tokens that the word emits. Transitions are compiled when first
-needed, by the tokenizer library itself (normaliser, added tokens, split and merges included), path-compressed to
-one edge a word; the table is bounded and is compiled anew when full.
+The tokenizer's split and its merges never cross ASCII white space, so a text is read by a deterministic transducer over
+bytes: a resting state between words, a state for each prefix of a word, one transition for each byte. White space leads
+from any state back to rest, and that transition emits the number of tokens of the word it closes. States and transitions
+are compiled when first needed and kept in flat tables of bounded size, which are started anew when full; many words take
+a step at once.
 
-A chunk cut anywhere is a map from states to states: what closes the word left open on its left (head), the tokens
-of the words that lie wholly inside, and the word left open on its right (tail). Such maps compose associatively,
-so chunks of one text are read in parallel by different tasks and a prefix scan joins them.
+What a closing transition emits is compiled from the file's vocabulary and merges: words are normalised and split by the
+file's own rules, and the merges run side by side over all new pieces. Only words that hold a special string of the file, or
+pieces longer than `LONG` bytes, are given to the library as wholes.
 
-Null and empty texts have no tokens. Repeated rows count as one row each. Ids may be null or repeated.
+A chunk cut anywhere is a map from states to states and counts: what closes the word left open on its left (head: the entry
+state's word goes on with it), the tokens of the words that lie wholly inside, and the word left open on its right (tail: the
+exit state, named by its prefix). Such maps compose associatively, so chunks of one text are read in parallel by
+different tasks, and a scan of levels joins `FAN` neighbouring maps at a time until each text has one.
+
+Null and empty texts have no tokens; very long ones are chunks like others, whatever their words' length. Ids may be null or
+repeated; repeated rows count as one row each. An empty table gives an empty one. Other columns, whatever their names, play no part.
 """
 
 from __future__ import annotations
 
+import json
 import os
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,19 +32,81 @@ from pyspark.sql import functions as F
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 from tokenizers import Tokenizer  # noqa: E402
 
-CHUNK_BYTES = 1 << 18
-MAX_EDGES = 400_000
-_WHITE = b" \t\n\r\x0b\x0c"
+from .common import Words, byte_hashes, mix, per_doc, slices, word_table  # noqa: E402
+
+CHUNK_BYTES, FAN = 1 << 18, 128
+MAX_STATES = 1 << 21
+LONG = 256
+_SPACE = word_table("space")
+_BATCH = 1 << 14
 _compiled: dict[str, Transducer] = {}
 
 
-class Transducer(dict):
-    """Edges by word: emitted-token counts, compiled by the library on demand."""
+class Merges:
+    """Byte-pair merges of a tokenizer file, run over many pieces at once; a piece's last symbol bears the end-of-word mark."""
+
+    def __init__(self, model: dict):
+        if model["type"] != "BPE" or any(model.get(x) for x in ("dropout", "continuing_subword_prefix", "byte_fallback", "ignore_merges")):
+            raise ValueError("the file's model is not plain byte-pair encoding")
+        vocabulary, end = model["vocab"], model.get("end_of_word_suffix") or ""
+        pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+        a, b, c = (np.array([vocabulary[x] for x in side], np.int64) for side in ([p[0] for p in pairs], [p[1] for p in pairs], [p[0] + p[1] for p in pairs]))
+        key = (a << 32) | b
+        order = np.argsort(key, kind="stable")
+        self.key, self.rank, self.merged = key[order], order, c[order]
+        self.inner, self.last = (np.full(1 + max(map(ord, (x for x in vocabulary if len(x) == 1))), -1, np.int64) for _ in range(2))
+        for x in (x for x in vocabulary if len(x) == 1):
+            self.inner[ord(x)], self.last[ord(x)] = vocabulary[x], vocabulary[x + end]
+
+    def counts(self, pieces: list[str]) -> np.ndarray:
+        """How many tokens each piece (not empty) has."""
+        size = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        out, never = np.zeros(len(pieces), np.int64), len(self.key)
+        chars = np.frombuffer("".join(pieces).encode("utf-32-le"), np.uint32)
+        sym = self.inner[chars]
+        at_end = np.cumsum(size) - 1
+        sym[at_end] = self.last[chars[at_end]]
+        word = np.repeat(np.arange(len(pieces)), size)
+        while len(sym):
+            pair = (sym[:-1] << 32) | sym[1:]
+            place = np.minimum(np.searchsorted(self.key, pair), never - 1)
+            rank = np.full(len(sym), never, np.int64)
+            rank[:-1] = np.where((self.key[place] == pair) & (word[:-1] == word[1:]), self.rank[place], never)
+            first = np.flatnonzero(np.diff(word, prepend=-1))
+            least = np.minimum.reduceat(rank, first)
+            n = np.diff(np.append(first, len(sym)))
+            open_ = least < never
+            out[word[first[~open_]]] = n[~open_]
+            take = (rank == np.repeat(least, n)) & (rank < never)
+            at = np.flatnonzero(take)
+            run = np.flatnonzero(np.diff(at, prepend=-2) > 1)
+            at = at[(np.arange(len(at)) - np.repeat(run, np.diff(np.append(run, len(at))))) % 2 == 0]
+            sym[at] = self.merged[place[at]]
+            keep = np.repeat(open_, n)
+            keep[at + 1] = False
+            sym, word = sym[keep], word[keep]
+        return out
+
 
-    def __init__(self, path: str, max_edges: int = MAX_EDGES):
-        self.tokenizer, self.max_edges = Tokenizer.from_file(path), max_edges
+class Transducer:
+    """States by number, 0 at rest; transitions by (state, byte) in an open-addressing table; emitted counts by the state that a word closes in."""
+
+    def __init__(self, path: str, max_states: int = MAX_STATES):
+        self.tokenizer, self.max_states = Tokenizer.from_file(path), max_states
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        with open(path, encoding="utf-8") as f:
+            self.merges = Merges(json.load(f)["model"])
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        if any(len(t.split()) != 1 for t in self.special):
+            raise ValueError("a special string holds white space")
+        self._start()
+
+    def _start(self) -> None:
+        self.mask = 2 * (1 << (self.max_states - 1).bit_length()) - 1
+        self.edge, self.to = np.full(self.mask + 1, -1, np.int64), np.zeros(self.mask + 1, np.int32)
+        self.emits, self.states = np.full(self.max_states, -1, np.int32), 1
+        self.known: dict[str, int] = {}
 
     @classmethod
     def load(cls, path: str) -> Transducer:
@@ -44,80 +114,196 @@ class Transducer(dict):
             _compiled[path] = cls(path)
         return _compiled[path]
 
-    def compile(self, words: list[bytes]) -> None:
-        """Add the edges of those words that have none yet."""
-        new = list({w for w in words if w not in self})
-        if len(self) + len(new) > self.max_edges:
-            self.clear()
-            new = list(set(words))
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            found = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-            self.update((w, len(e.ids)) for w, e in zip(part, found))
-
-    def emit(self, words: list[bytes]) -> int:
-        """Tokens of whole words."""
-        try:
-            return sum(map(self.__getitem__, words))
-        except KeyError:
-            self.compile(words)
-            return sum(map(self.__getitem__, words))
-
-
-def state_map(t: Transducer, chunk: bytes) -> tuple[bool, bytes, int, bytes]:
-    """(has white space, head, tokens inside, tail) of a chunk; without white space the whole chunk is head."""
-    words = chunk.split()
-    if len(words) == 0:
-        return bool(chunk), b"", 0, b""
-    head = words.pop(0) if chunk[:1] not in _WHITE_SET else b""
-    if head and len(head) == len(chunk):
-        return False, head, 0, b""
-    tail = words.pop() if words and chunk[-1:] not in _WHITE_SET else b""
-    return True, head, t.emit(words), tail
+    def _slots(self, edges: np.ndarray) -> np.ndarray:
+        """The slot of each edge: its own, or the free one where it belongs."""
+        slot = (mix(edges.astype(np.uint64)) & np.uint64(self.mask)).astype(np.int64)
+        todo = np.arange(len(edges))
+        while len(todo):
+            held = self.edge[slot[todo]]
+            todo = todo[(held != edges[todo]) & (held >= 0)]
+            slot[todo] = (slot[todo] + 1) & self.mask
+        return slot
 
+    def read(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The state that each word ends in; -1 where a transition is not compiled."""
+        state, live = np.zeros(len(starts), np.int64), np.arange(len(starts))
+        depth = 0
+        while len(live):
+            edges = (state[live] << 8) | data[starts[live] + depth]
+            slot = self._slots(edges)
+            found = self.edge[slot] == edges
+            state[live] = np.where(found, self.to[slot], -1)
+            depth += 1
+            live = live[found & (ends[live] - starts[live] > depth)]
+        return state
 
-_WHITE_SET = {_WHITE[i : i + 1] for i in range(len(_WHITE))}
+    def _grow(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, counts: np.ndarray) -> None:
+        """Compile the states and transitions of new words, and what closing them emits."""
+        if self.states + int((ends - starts).sum()) > self.max_states:
+            self._start()
+            room = np.cumsum(ends - starts) < self.max_states - 1
+            starts, ends, counts = starts[room], ends[room], counts[room]
+        state, live, depth = np.zeros(len(starts), np.int64), np.arange(len(starts)), 0
+        while len(live):
+            edges = (state[live] << 8) | data[starts[live] + depth]
+            new = np.unique(edges)
+            new = new[self.edge[self._slots(new)] != new]
+            names = np.arange(self.states, self.states + len(new), dtype=np.int32)
+            while len(new):
+                slot = self._slots(new)
+                self.edge[slot] = new
+                own = self.edge[slot] == new
+                self.to[slot[own]] = names[own]
+                new, names = new[~own], names[~own]
+            self.states = max(self.states, int(self.to[self._slots(edges)].max()) + 1)
+            state[live] = self.to[self._slots(edges)]
+            depth += 1
+            live = live[ends[live] - starts[live] > depth]
+        self.emits[state] = counts
 
+    def compile(self, words: list[bytes]) -> np.ndarray:
+        """The tokens of whole words: the file's normaliser and split, then its merges."""
+        text = [w.decode() for w in words]
+        odd = np.array(["\0" in t or len(t) > LONG or any(x in t for x in self.special) for t in text], bool)
+        out = np.zeros(len(words), np.int64)
+        for i in np.flatnonzero(odd).tolist():
+            out[i] = len(self.tokenizer.encode(text[i], add_special_tokens=False).ids)
+        plain = np.flatnonzero(~odd)
+        for at in range(0, len(plain), _BATCH):
+            part = plain[at : at + _BATCH]
+            joined = " \0 ".join([text[i] for i in part.tolist()])
+            if self.tokenizer.normalizer:
+                joined = self.tokenizer.normalizer.normalize_str(joined)
+            pieces = [p for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(joined)]
+            bound = np.fromiter((p == _NUL for p in pieces), bool, len(pieces))
+            fresh = list({p for p in pieces if p not in self.known and p != _NUL})
+            self.known |= zip(fresh, self.merges.counts(fresh).tolist())
+            n = np.fromiter((0 if p == _NUL else self.known[p] for p in pieces), np.int64, len(pieces))
+            out[part] = np.bincount(np.cumsum(bound), n, minlength=len(part)).astype(np.int64)
+            if len(self.known) > self.max_states:
+                self.known = {}
+        return out
 
-def compose(t: Transducer, maps: list[tuple[bool, bytes, int, bytes]]) -> int:
-    """Tokens of a text from its chunks' maps in order."""
-    total, open_word = 0, []
-    for cut, head, inside, tail in maps:
-        open_word.append(head)
+    def closing(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The tokens of words that differ from each other."""
+        state = self.read(data, starts, ends)
+        out = np.where(state >= 0, self.emits[state], -1).astype(np.int64)
+        new = np.flatnonzero(out < 0)
+        if len(new):
+            raw = data.tobytes()
+            out[new] = self.compile([raw[s:e] for s, e in zip(starts[new].tolist(), ends[new].tolist())])
+            short = new[ends[new] - starts[new] <= LONG]
+            self._grow(data, starts[short], ends[short], out[short])
+        return out
+
+    def emit(self, w: Words) -> np.ndarray:
+        """The tokens that each word of some texts emits; equal words are read once."""
+        hashes, proofs = byte_hashes(w.data, w.starts, w.ends)
+        u, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        out = self.closing(w.data, w.starts[first], w.ends[first])[inverse] if len(u) else np.zeros(0, np.int64)
+        twin = np.flatnonzero(proofs != proofs[first][inverse]) if len(u) else ()
+        for i in twin:  # different words of equal hash
+            out[i] = self.closing(w.data, w.starts[i : i + 1], w.ends[i : i + 1])[0]
+        return out
+
+    def word(self, w: bytes) -> int:
+        data = np.frombuffer(w, np.uint8)
+        return int(self.closing(data, np.zeros(1, np.int64), np.array([len(w)]))[0]) if w else 0
+
+
+#: How the byte-level alphabet spells the byte 0.
+_NUL = chr(256)
+
+Map = tuple[bool, bytes, int, bytes]
+
+
+def state_map(t: Transducer, chunk: bytes) -> Map:
+    """(has white space, head, tokens inside, tail) of a chunk; without white space the whole chunk is head."""
+    data = np.frombuffer(chunk, np.uint8)
+    w = Words(data, np.array([0, len(data)]), _SPACE)
+    n = len(w.starts)
+    if n == 0:
+        return bool(chunk), b"", 0, b""
+    left, right = w.starts[0] == 0, w.ends[-1] == len(data)
+    if left and right and n == 1:
+        return False, chunk, 0, b""
+    inside = slice(int(left), n - int(right))
+    head = chunk[: w.ends[0]] if left else b""
+    tail = chunk[w.starts[-1] :] if right else b""
+    w.starts, w.ends = w.starts[inside], w.ends[inside]
+    return True, head, int(t.emit(w).sum()), tail
+
+
+def compose(t: Transducer, maps: list[Map]) -> Map:
+    """The map of neighbouring chunks in order."""
+    open_word, head, total = [], None, 0
+    for cut, left, inside, right in maps:
+        open_word.append(left)
         if cut:
             w = b"".join(open_word)
-            total += (t.emit([w]) if w else 0) + inside
-            open_word = [tail]
+            if head is None:
+                head = w
+            else:
+                total += t.word(w)
+            total += inside
+            open_word = [right]
     w = b"".join(open_word)
-    return total + (t.emit([w]) if w else 0)
+    return (False, w, 0, b"") if head is None else (True, head, total, w)
+
+
+def tokens_of(t: Transducer, m: Map) -> int:
+    """What a whole text's map emits from rest to rest."""
+    return t.word(m[1]) + m[2] + t.word(m[3])
 
 
 _MAP = "struct<cut:boolean,head:binary,inside:bigint,tail:binary>"
 
 
-def count_tokens(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", limit: int = 2048, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def _columns(maps: list[Map]) -> pa.Array:
+    return pa.StructArray.from_arrays([pa.array([m[i] for m in maps], kind) for i, kind in enumerate((pa.bool_(), pa.binary(), pa.int64(), pa.binary()))], ["cut", "head", "inside", "tail"])
+
+
+def _tuple(m: dict) -> Map:
+    return m["cut"], m["head"], m["inside"], m["tail"]
+
+
+def count_tokens(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", limit: int = 2048, chunk_bytes: int = CHUNK_BYTES, fan: int = FAN) -> DataFrame:
     """(id, n_bytes, n_tokens, over_limit) of every row.
 
-    Texts of one chunk need no shuffle; only chunks of longer ones are dealt out and meet again as state maps.
+    Texts of one chunk need no shuffle; only chunks of longer ones are dealt out and meet again as state maps, `fan` at a time.
     """
 
+    @F.arrow_udf("bigint")
+    def count(texts: pa.Array) -> pa.Array:
+        t, parts = Transducer.load(path), [np.zeros(0, np.int64)]
+        for _, _, w in slices(texts, _SPACE):
+            parts.append(per_doc(t.emit(w), w.first))
+        return pa.array(np.concatenate(parts), pa.int64())
+
     @F.arrow_udf(_MAP)
     def read(chunks: pa.Array) -> pa.Array:
         t = Transducer.load(path)
-        maps = [state_map(t, c.as_buffer().to_pybytes() if c.is_valid else b"") for c in chunks]
-        return pa.StructArray.from_arrays([pa.array([m[i] for m in maps], kind) for i, kind in enumerate((pa.bool_(), pa.binary(), pa.int64(), pa.binary()))], ["cut", "head", "inside", "tail"])
+        return _columns([state_map(t, c.as_buffer().to_pybytes()) for c in chunks])
 
-    @F.arrow_udf("bigint")
+    @F.arrow_udf(_MAP)
     def join(rows: pa.Array) -> pa.Array:
         t = Transducer.load(path)
-        return pa.array([compose(t, [(m["cut"], m["head"], m["inside"], m["tail"]) for m in r or ()]) for r in rows.to_pylist()], pa.int64())
+        return _columns([compose(t, [_tuple(m.as_py()) for m in r.values]) for r in rows])
+
+    @F.arrow_udf("bigint")
+    def close(maps: pa.Array) -> pa.Array:
+        t = Transducer.load(path)
+        return pa.array([tokens_of(t, _tuple(m.as_py())) for m in maps], pa.int64())
 
-    raw = F.encode(F.coalesce(F.col(text_col), F.lit("")), "utf-8")
-    rows = docs.select(F.col(id_col).alias("id"), raw.alias("raw")).withColumn("n", F.octet_length("raw").cast("long"))
-    short = rows.filter(F.col("n") <= chunk_bytes).select("id", "n", join(F.array(read("raw"))).alias("tokens"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).alias("id"), text.alias("text")).withColumn("n", F.octet_length("text").cast("long"))
+    short = rows.filter(F.col("n") <= chunk_bytes).select("id", "n", count("text").alias("tokens"))
+    long = rows.filter(F.col("n") > chunk_bytes).withColumn("row", F.monotonically_increasing_id()).withColumn("raw", F.encode("text", "utf-8"))
     at = F.expr(f"sequence(0L, n - 1, {chunk_bytes}L)")
-    long = rows.filter(F.col("n") > chunk_bytes).withColumn("row", F.monotonically_increasing_id())
     parts = long.select("id", "n", "row", F.posexplode(at).alias("k", "at"), "raw").select("id", "n", "row", "k", F.substring(F.col("raw"), F.col("at").cast("int") + 1, F.lit(chunk_bytes)).alias("part"))
-    maps = parts.select("id", "n", "row", "k", read("part").alias("m"))
-    scanned = maps.groupBy("id", "n", "row").agg(F.array_sort(F.collect_list(F.struct("k", "m"))).alias("ms")).select("id", "n", join(F.expr("transform(ms, x -> x.m)")).alias("tokens"))
+    maps, most = parts.select("id", "n", "row", "k", read("part").alias("m")), -(-(1 << 31) // chunk_bytes)
+    while most > 1:
+        near = maps.groupBy("id", "n", "row", F.floor(F.col("k") / fan).cast("int").alias("up")).agg(F.array_sort(F.collect_list(F.struct("k", "m"))).alias("ms"))
+        maps, most = near.select("id", "n", "row", F.col("up").alias("k"), join(F.expr("transform(ms, x -> x.m)")).alias("m")), -(-most // fan)
+    scanned = maps.select("id", "n", close("m").alias("tokens"))
     return short.unionByName(scanned).select(F.col("id").alias(id_col), F.col("n").alias("n_bytes"), F.col("tokens").alias("n_tokens"), (F.col("tokens") > limit).alias("over_limit"))
