@@ -5,8 +5,11 @@ WARC-Refers-To (the response's record id), the source's target URI and date, its
 payload digest as given. The metadata record (application/warc-fields) lists the source's HTTP status line and
 headers, title, charset and outlinks. Derived ids follow from the source's id, so a repeated run gives the same ones.
 
+Pages are read in one pass, so very long or broken ones take time in proportion to their length.
+
 Null or malformed records, and those that are not responses, give a row with a status and null derivatives. A null
-page is a response with an empty payload; a null URL leaves the target URI out. Repeated rows give equal records.
+page is a response with an empty payload; a null URL leaves the target URI out. Repeated rows give equal records, ids
+included: distinct them before they go into one file. An empty table gives an empty one. Other columns, whatever their names, play no part.
 """
 
 from __future__ import annotations
@@ -16,22 +19,26 @@ import hashlib
 import html
 import re
 import uuid
+import zlib
+from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _NAMESPACE = uuid.UUID(hashlib.md5(b"helixframe.warc").hexdigest())
-#: A head without an end tag ends before the first thing that cannot stand in one.
-_OPEN_HEAD = r"<head\b[^>]*(?:>|\Z)(?:\s|<!--.*?-->|<(title|script|style|template|noscript)\b.*?(?:</\1\s*>|\Z)|</?(?:base|link|meta)\b[^>]*>)*+"
-_SILENT = re.compile(rf"<!--.*?-->|<head\b.*?</head\s*>|{_OPEN_HEAD}|<(script|style|template|noscript)\b.*?(?:</\2\s*>|\Z)", re.S | re.I)
-_BREAK = re.compile(r"</?(?:address|article|aside|blockquote|br|dd|div|dl|dt|fieldset|figure|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|td|th|tr|ul)\b[^>]*>", re.I)
-_TAG = re.compile(r"<[A-Za-z/!?][^>]*>")
-_BLANK = re.compile(r"[ \t\r\f\v ]+")
+#: Elements that part lines, those whose content is not read, those that may stand in a head.
+_BREAKS = frozenset("address article aside blockquote br dd div dl dt fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table td th tr ul".split())
+_SILENT = frozenset("script style template noscript".split())
+_IN_HEAD = frozenset("base link meta title html head".split())
+_BLANK = re.compile(r"[ \t\r\f\v\xa0]+")
 _LINES = re.compile(r" ?\n[\n ]*")
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)</title", re.S | re.I)
-_LINK = re.compile(r"""<a\b[^>]*?\shref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
+_NAME = re.compile(r"</?([A-Za-z][A-Za-z0-9:-]*)")
+_TAG_END = re.compile(r"""(?:[^>"']|"[^"]*"|'[^']*')*+>""")
+_HREF = re.compile(r"""\shref\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 _CHARSET = re.compile(r"charset\s*=\s*[\"']?([\w.:-]+)", re.I)
+_TAG_MOST = 1 << 16
 
 
 def digest(data: bytes) -> str:
@@ -75,13 +82,78 @@ def split_http(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
     return first, [tuple(x.strip() for x in line.split(":", 1)) for line in lines if ":" in line], payload
 
 
+class Page:
+    """Title, links and readable text of a page, from one pass over it.
+
+    The text leaves out scripts, styles, comments and the head; block elements and line breaks part lines. A head ends
+    with its end tag, or without one before the first thing that cannot stand in it. What is left open (a comment, a script, a title)
+    runs to the end of the page, but an open title is none. A tag ends at its first > outside quotes.
+    """
+
+    def __init__(self, page: str):
+        self.title, self.links = None, []
+        low = "".join(c.lower() if "A" <= c <= "Z" else c for c in page) if not page.isascii() else page.lower()
+        out, at, n, head = [], 0, len(page), False
+        last_head, last_title = low.rfind("</head"), low.rfind("</title")
+        closes = last_head >= 0
+        while at < n:
+            tag = page.find("<", at)
+            if tag < 0 or tag > at:
+                part = page[at : tag if tag >= 0 else n]
+                if head and not closes and part.strip():
+                    head = False
+                if not head:
+                    out.append(part.replace("\n", " "))
+                if tag < 0:
+                    break
+            at = tag
+            if page.startswith("<!--", at):
+                end = page.find("-->", at + 4)
+                at = n if end < 0 else end + 3
+                out.append(" ")
+                continue
+            name = _NAME.match(page, at)
+            if not name and not page.startswith(("<!", "<?", "</"), at):
+                if not head:
+                    out.append("<")
+                at += 1
+                continue
+            m = _TAG_END.match(page, at, min(n, at + _TAG_MOST))
+            end = m.end() if m else page.find(">", at) + 1
+            if not end:  # no tag ends any more: the rest is text
+                if not head:
+                    out.append(page[at:].replace("\n", " "))
+                break
+            kind, opens = low[name.start(1) : name.end(1)] if name else "", not page.startswith("</", at)
+            text, at = page[at:end], end
+            if head and kind not in _SILENT and kind not in _IN_HEAD and not closes:
+                head = False
+            if kind == "head":
+                head = opens
+                closes = last_head >= at
+                out.append(" ")
+            elif opens and kind in _SILENT:
+                end = low.find("</" + kind, at)
+                at = n if end < 0 else low.find(">", end) + 1 or n
+                out.append(" ")
+            elif opens and kind == "title" and (head or self.title is None):
+                end = low.find("</title", at) if last_title >= at else -1
+                if end >= 0 and self.title is None:
+                    self.title = page[at:end]
+                if head:
+                    at = n if end < 0 else end
+            elif kind == "a" and opens and (href := _HREF.search(text)):
+                self.links.append(html.unescape(href[1] or href[2] or href[3] or ""))
+            if kind in _BREAKS and not head:
+                out.append("\n")
+        text = "".join(out)
+        if "&" in text:
+            text = html.unescape(text)
+        self.text = _LINES.sub("\n", _BLANK.sub(" ", text)).strip()
+
+
 def plain_text(page: str) -> str:
-    """The readable text: no scripts, styles, comments or head; block elements and line breaks part lines."""
-    text = _BREAK.sub("\n", _SILENT.sub(" ", page.replace("\n", " ")))
-    text = _TAG.sub("", text)
-    if "&" in text:
-        text = html.unescape(text)
-    return _LINES.sub("\n", _BLANK.sub(" ", text)).strip()
+    return Page(page).text
 
 
 _OUT = pa.struct([("status", pa.string()), ("response_id", pa.string()), ("target_uri", pa.string()), ("date", pa.string()), ("payload_digest", pa.string()), ("payload_ok", pa.bool_()), ("metadata_id", pa.string()), ("conversion_id", pa.string()), ("refers_to", pa.string()), ("title", pa.string()), ("n_links", pa.int64()), ("text", pa.string()), ("metadata", pa.binary()), ("conversion", pa.binary())])
@@ -107,10 +179,9 @@ def derive_one(raw: bytes | None) -> dict:
     except LookupError:
         charset, page = "utf-8", payload.decode("utf-8", "replace")
     page = page.encode("utf-8", "replace").decode()
-    title = _TITLE.search(page)
-    title = _field(html.unescape(title[1])).strip() if title else None
-    links = [html.unescape(a or b or c) for a, b, c in _LINK.findall(page)]
-    text = plain_text(page)
+    seen = Page(page)
+    title = None if seen.title is None else _field(html.unescape(seen.title)).strip()
+    links, text = seen.links, seen.text
     shared = [("WARC-Refers-To", source)]
     shared += [(k, out[c]) for k, c in (("WARC-Target-URI", "target_uri"), ("WARC-Date", "date")) if out[c] is not None]
     shared += [(k, names[k.lower()]) for k in ("WARC-Payload-Digest", "WARC-Warcinfo-ID", "WARC-IP-Address", "WARC-Concurrent-To") if k.lower() in names]
@@ -160,36 +231,89 @@ def responses(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url"
     return pages.select(F.col(id_col).alias("id"), build(F.col(id_col), F.col(url_col), F.col(html_col)).alias("response")).withColumnRenamed("id", id_col)
 
 
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
+def _unpacked(data: bytes, step: int) -> Iterator[bytes]:
+    """The bytes of a file in pieces; gzip members one after another. A broken member ends the file."""
+    if data[:2] != b"\x1f\x8b":
+        yield from (data[i : i + step] for i in range(0, len(data), step))
+        return
+    rest = memoryview(data)
+    while len(rest) and bytes(rest[:2]) == b"\x1f\x8b":
+        member = zlib.decompressobj(31)
+        while not member.eof:
+            try:
+                piece = member.decompress(rest, step)
+            except zlib.error:
+                return
+            if not piece and not member.eof and not member.unconsumed_tail:
+                return
+            rest = memoryview(member.unconsumed_tail if not member.eof else member.unused_data)
+            if piece:
+                yield piece
+
+
+_LENGTH = re.compile(rb"(?im)^content-length:[ \t]*(\d+)[ \t]*\r?$")
+_START = re.compile(rb"(?m)^WARC/")
+
+
+def split_records(pieces: Iterator[bytes]) -> Iterator[bytes]:
+    """The records of a stream of bytes. Bytes that are no record, and records without a readable length, are one up to the next
+    line that starts with "WARC/". Only the record at hand is held."""
+    held, done = b"", False
+
+    def more() -> bool:
+        nonlocal held, done
+        piece = next(pieces, None)
+        done = piece is None
+        held += piece or b""
+        return not done
+
+    while True:
+        held = held.lstrip(b"\r\n")
+        if not held:
+            if done or not more():
+                return
+            continue
+        end = held.find(b"\r\n\r\n")
+        following = _START.search(held, 1)
+        if end < 0 and not following and not done:
+            more()
+            continue
+        nearest = following.start() if following else len(held)
+        size = _LENGTH.search(held[: end + 2]) if held.startswith(b"WARC/") and 0 <= end < nearest else None
+        if size:
+            stop = end + 4 + int(size[1])
+            parts, n = [held], len(held)
+            while n < stop and (piece := next(pieces, None)) is not None:
+                parts.append(piece)
+                n += len(piece)
+            held = b"".join(parts)
+            yield held[:stop] + b"\r\n\r\n"
+            held = held[stop:]
+        elif following or done:
+            yield held[:nearest]
+            held = held[nearest:]
+        else:
+            more()
+
+
+def read_warc(spark: SparkSession, path: str, piece_bytes: int = 4 << 20) -> DataFrame:
     """(path, place, record): the records of WARC files, gzipped by record, as a whole, or not at all.
 
-    A file is one row of Spark's binary source, so it must fit the memory of a task (the usual gigabyte does not
-    everywhere; split such files first). Bytes that are no record, and records without a readable length, are a row up
-    to the next line that starts with "WARC/", which `derive` calls malformed.
+    A file is one row of Spark's binary source, so at most 2 GB as stored; it is unpacked and split as a stream, a record at a time.
+    What is no record is a row too, which `derive` calls malformed.
     """
-    import gzip
-
-    start = re.compile(rb"(?m)^WARC/")
     files = spark.read.format("binaryFile").load(path).select("path", "content")
 
     def split(batches):
         for batch in batches:
             for name, content in zip(batch.column("path").to_pylist(), batch.column("content")):
-                data = content.as_py()
-                data = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
-                places, found, at = [], [], 0
-                while at < len(data):
-                    end = data.find(b"\r\n\r\n", at)
-                    following = start.search(data, at + 1)
-                    nearest = following.start() if following else len(data)
-                    size = re.search(rb"(?im)^content-length:[ \t]*(\d+)[ \t]*\r?$", data[at : end + 2]) if data.startswith(b"WARC/", at) and 0 <= end < nearest else None
-                    stop = end + 4 + int(size[1]) if size else nearest
-                    if size or data[at:stop].strip():
-                        places.append(len(places))
-                        found.append(data[at:stop] + (b"\r\n\r\n" if size else b""))
-                    at = stop
-                    while data[at : at + 1] in (b"\r", b"\n"):
-                        at += 1
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(found), pa.string()), pa.array(places, pa.int64()), pa.array(found, pa.binary())], ["path", "place", "record"])
+                found, held, place = [], 0, 0
+                for record in chain(split_records(_unpacked(content.as_buffer().to_pybytes(), piece_bytes)), [None]):
+                    if record is not None:
+                        found.append(record)
+                        held += len(record)
+                    if found and (record is None or held > 2 * piece_bytes):
+                        yield pa.RecordBatch.from_arrays([pa.array([name] * len(found), pa.string()), pa.array(range(place, place + len(found)), pa.int64()), pa.array(found, pa.binary())], ["path", "place", "record"])
+                        place, found, held = place + len(found), [], 0
 
     return files.mapInArrow(split, "path string, place bigint, record binary")

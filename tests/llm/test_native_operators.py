@@ -96,6 +96,8 @@ def pseudonym(m):
             return m
         a, b = feistel(area - (1 if area < 666 else 2), (group - 1) * 9999 + serial - 1, 898, 99 * 9999, "ssn")
         return f"{a + (1 if a < 665 else 2):03}-{b // 9999 + 1:02}-{b % 9999 + 1:04}"
+    if not re.fullmatch(pseudonyms.PHONE, m) and re.fullmatch(pseudonyms.MARKED, m):
+        return marked_phone(m)
     if re.fullmatch(pseudonyms.PHONE, m):
         own = digits[-10:]
         a, b = feistel(int(own[:3]) - 200, int(own[3:]) - 2_000_000, 800, 8_000_000, "phone")
@@ -221,9 +223,44 @@ def test_read_warc_goes_on_after_malformed_records(spark, tmp_path):
     assert [warc.parse(r) is None for _, r in rows] == [w not in good for w in want]
 
 
+def test_read_warc_in_small_pieces(spark, tmp_path):
+    want = [warc.record([("WARC-Type", "response"), ("WARC-Record-ID", f"<urn:x:{i}>")], b"x" * i * 7) for i in range(40)]
+    (tmp_path / "a.warc").write_bytes(b"".join(want))
+    (tmp_path / "b.warc.gz").write_bytes(gzip.compress(b"".join(want)))
+    (tmp_path / "c.warc.gz").write_bytes(b"".join(map(gzip.compress, want))[:-5])
+    rows = warc.read_warc(spark, str(tmp_path), piece_bytes=64).collect()
+    for name, n in (("a.warc", 40), ("b.warc.gz", 40), ("c.warc.gz", 39)):
+        assert [bytes(r.record) for r in sorted(rows, key=lambda r: r.place) if r.path.endswith(name)][:n] == want[:n]
+
+
 def test_head_without_end_tag():
     inside = "<head><meta charset=utf-8>\n<title>t</title><script>x = '<p>no</p>'</script><!-- <p>no</p> --><style>p {}</style>"
     for body in ("<body>yes", "<p>yes", "yes"):
-        assert warc._SILENT.sub("|", inside + body) == "|" + body
-    assert warc._SILENT.sub("|", inside + "</head><p>yes") == "|<p>yes"
-    assert warc._SILENT.sub("|", "a<script>no") == "a|" and warc._SILENT.sub("|", "<head><script>no") == "|"
+        assert warc.plain_text(inside + body) == "yes"
+    assert warc.plain_text(inside + "</head><p>yes") == "yes" and warc.plain_text(inside + "no</head><p>yes") == "yes"
+    assert warc.plain_text("a<script>no") == "a" and warc.plain_text("<head><script>no") == ""
+
+
+@pytest.mark.parametrize("page,title,links,text", [
+    ("", None, [], ""),
+    ("a < b <3 <!x> c</b> d<", None, [], "a < b <3 c d<"),
+    ("<A HREF=x>l</A> <a title='>' href = \"y&amp;z\">m</a><a>n", None, ["x", "y&z"], "l mn"),
+    ("<title>one</title><TITLE>two</TITLE>", "one", [], "onetwo"),
+    ("x<!-- open <p>y", None, [], "x"),
+    ("<p>a<br>b</p>c<hr/>d\ne", None, [], "a\nb\nc\nd e"),
+    ("a<p unclosed b", None, [], "a<p unclosed b"),
+    ("<svg:a href=1>x</svg:a>&lt;p&gt;", None, [], "x<p>"),
+])
+def test_page(page, title, links, text):
+    p = warc.Page(page)
+    assert (p.title, p.links, p.text) == (title, links, text)
+
+
+def test_broken_pages_take_linear_time():
+    import time
+
+    for unit in ("<!--", "<title>", "<a ", '<a href="', "<", "<a \"'>", "<script ", "<head>", "<p>x ", "</", "&", "<title>x</title>", "<head><title>"):
+        for page in (unit * (1_000_000 // len(unit)), unit * (1_000_000 // len(unit)) + "</title></head>'\">"):
+            start = time.process_time()
+            warc.Page(page)
+            assert time.process_time() - start < 5
