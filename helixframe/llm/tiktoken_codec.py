@@ -1,9 +1,12 @@
 """Byte-level BPE with the tiktoken library over a local rank file.
 
 Long texts are cut before white space that follows other text: no match of the pattern spans such a place, so
-the pieces encode as the whole does, whatever the cut. Ids decode to raw bytes, which need not be valid UTF-8.
+the pieces encode as the whole does, whatever the cut. A long run of white space before other text is one match of the pattern
+but for its last character; the library's regex would go down one level of its stack for each character, so such a
+run is given to the merges as it is. Ids decode to raw bytes, which need not be valid UTF-8.
 
-A null text encodes as an empty one. Repeated rows, ties and empty tables need no care: rows are independent.
+A null text encodes as an empty one; very long ones go piece by piece, whatever their words' or white space's length.
+Repeated rows, ties, empty tables and other columns, whatever their names, need no care: rows are independent.
 """
 
 from __future__ import annotations
@@ -22,6 +25,8 @@ from pyspark.sql import functions as F
 PIECE_CHARS = 1 << 16
 #: White space in the pattern's sense, after a character that is none in any library's sense.
 _SAFE = re.compile(r"(?<=[^\s\x1c-\x1f])(?=[ \t\n\r])")
+#: A long run of white space, all but its last character, before other text. The white space of Unicode.
+_RUN = re.compile(r"(?<![\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000])[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{1000,}+")
 _codecs: dict[tuple[str, str], tiktoken.Encoding] = {}
 
 
@@ -43,10 +48,20 @@ def pieces(text: str, size: int = PIECE_CHARS) -> Iterator[str]:
     yield text[at:]
 
 
+def _between_runs(enc: tiktoken.Encoding, text: str) -> list[int]:
+    ids, at = [], 0
+    for m in _RUN.finditer(text):
+        end = m.end() - 1 if m.end() < len(text) else m.end()
+        ids += enc.encode_ordinary(text[at : m.start()])
+        ids += enc._encode_single_piece(text[m.start() : end].encode())
+        at = end
+    return ids + enc.encode_ordinary(text[at:])
+
+
 def encode(enc: tiktoken.Encoding, text: str, size: int = PIECE_CHARS) -> list[int]:
-    if len(text) <= size:
+    if len(text) <= 1000:
         return enc.encode_ordinary(text)
-    return [i for p in pieces(text, size) for i in enc.encode_ordinary(p)]
+    return [i for p in pieces(text, size) for i in _between_runs(enc, p)]
 
 
 def encode_ids(text: Column, path: str, pattern: str) -> Column:
