@@ -45,10 +45,12 @@ def small_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path below the cluster's shared checkpoint folder; a local one only where none is set."""
+    """A new path below the cluster's shared checkpoint folder; a local one only where none is set and the master is local."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         given = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not given.isDefined() and not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = given.get() if given.isDefined() else tempfile.mkdtemp(prefix="helixframe-")
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(base)

@@ -3,14 +3,19 @@
 Words are runs of digits, letters and non-ASCII characters after lower-casing A-Z. A benchmark item gives all
 its windows of `n` consecutive words; an item of fewer words, but not none, is one window of its own length.
 Training windows are hashed in place, looked up in a bit table and a sorted hash array, and each hit is verified
-word by word. Benchmarks beyond `block_bytes` of text are matched block by block, so what is broadcast is bounded.
-
-Nulls and empty texts have no words and no hits. Items of equal id count once. Repeated rows are judged alike.
+word by word. The index is a few flat arrays, about four times the benchmark's text. What is broadcast is bounded: benchmarks
+are matched in blocks of `block_bytes` of text, `PASS_BLOCKS` of them in one pass over the documents; a larger benchmark takes
+more passes, each stored before the next.
+
+Nulls and empty texts have no words and no hits. Items of equal id count once; the windows of an item without an id hit words
+like others, but name no item. Repeated rows are judged alike; a document of just one in `share` hit words is contaminated. Very long
+texts are matched whole, one at a time. Empty documents or benchmarks give no rows or no hits. Columns of the documents keep
+their names: the column of results takes one that none has.
 """
 
 from __future__ import annotations
 
-import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,75 +23,90 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Sequences, Words, covered, flat, fresh, per_doc, slices, starts_of, word_table
+from .common import Sequences, Words, covered, fresh, per_doc, saved, slices, starts_of, word_table
 
 _ALNUM = word_table("alnum")
 _TABLE_BITS = 20
 
 
-class BenchmarkIndex:
-    """Windows of benchmark items by length, each with its words and the items that have it."""
+PASS_BLOCKS = 4
 
-    def __init__(self, items: list[tuple[str, str]], n: int):
-        by_length: dict[int, dict[bytes, tuple[int, set[str]]]] = {}
-        raw, offs, _ = flat(pa.array([t for _, t in items], pa.string()))
-        for i, j, w in slices(pa.array([t for _, t in items], pa.string()), _ALNUM, lower=True) if items else ():
-            h = Sequences(w.hashes())
-            for k in range(j - i):
-                a, b = int(w.first[k]), int(w.first[k + 1])
-                size = min(n, b - a)
-                if not size:
-                    continue
-                words = w.text(k).split(b" ")
-                at = np.arange(a, b - size + 1)
-                for p, x in zip(at, h.of(at, at + size).tolist()):
-                    seen = by_length.setdefault(size, {}).setdefault(b" ".join(words[p - a : p - a + size]), (x, set()))
-                    seen[1].add(items[i + k][0])
+
+class BenchmarkIndex:
+    """The windows of benchmark items by length: sorted hashes, where each window's words are, and whose it is."""
+
+    def __init__(self, items: list[tuple[str | None, str]], n: int):
+        self.names = sorted({i for i, _ in items if i is not None})
+        place = {i: k for k, i in enumerate(self.names)}
+        owner = np.array([place.get(i, -1) for i, _ in items], np.int32)
+        found: dict[int, list[tuple[np.ndarray, ...]]] = {}
+        texts, self.starts, self.ends, at_byte, at_word = [], [], [], 0, 0
+        for i, j, w in slices(pa.array([t for _, t in items], pa.large_string()), _ALNUM, lower=True) if items else ():
+            h, counts = Sequences(w.hashes()), w.counts
+            for size in np.unique(np.minimum(counts, n)).tolist():
+                if size:
+                    at = starts_of(w.first, size)
+                    doc = np.searchsorted(w.first, at, "right") - 1
+                    own = np.minimum(counts[doc], n) == size
+                    at, doc = at[own], doc[own]
+                    found.setdefault(size, []).append((h.of(at, at + size), at + at_word, owner[i + doc]))
+            texts.append(w.data)
+            self.starts.append(w.starts + at_byte)
+            self.ends.append(w.ends + at_byte)
+            at_byte, at_word = at_byte + len(w.data), at_word + len(w.starts)
+        join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
+        self.data, self.starts, self.ends = join(texts, np.uint8).tobytes(), join(self.starts, np.int64), join(self.ends, np.int64)
         self.lengths = []
-        for size, windows in sorted(by_length.items()):
-            rows = sorted((x, text, sorted(ids)) for text, (x, ids) in windows.items())
-            keys = np.array([r[0] for r in rows], np.uint64)
+        for size, parts in sorted(found.items()):
+            keys, at, who = (np.concatenate([p[c] for p in parts]) for c in range(3))
+            order = np.lexsort((at, who, keys))
+            keys, at, who = keys[order], at[order], who[order]
             table = np.zeros(1 << _TABLE_BITS, bool)
             table[keys >> np.uint64(64 - _TABLE_BITS)] = True
-            self.lengths.append((size, keys, table, rows))
+            self.lengths.append((size, keys, table, at, who))
+
+    def words(self, at: int, size: int) -> bytes:
+        return b" ".join([self.data[s:e] for s, e in zip(self.starts[at : at + size].tolist(), self.ends[at : at + size].tolist())])
 
     def match(self, w: Words) -> tuple[np.ndarray, list[set[str]]]:
         """(flags of hit words, items by document) for some documents."""
         total, ids = int(w.first[-1]), [set() for _ in range(len(w.first) - 1)]
         seq = Sequences(w.hashes())
-        begin, end = [], []
-        raw = None
-        for size, keys, table, rows in self.lengths:
+        begin, end, raw = [], [], None
+        for size, keys, table, place, who in self.lengths:
             at = starts_of(w.first, size)
             h = seq.of(at, at + size)
             near = table[h >> np.uint64(64 - _TABLE_BITS)]
             at, h = at[near], h[near]
-            k = np.searchsorted(keys, h)
-            ok = (k < len(keys)) & (keys[np.minimum(k, len(keys) - 1)] == h)
-            for p, q, x in zip(at[ok].tolist(), k[ok].tolist(), h[ok].tolist()):
+            lo, hi = np.searchsorted(keys, h), np.searchsorted(keys, h, "right")
+            some = hi > lo
+            seen: dict[tuple[int, bytes], tuple[bool, set[str]]] = {}
+            for p, a, b in zip(at[some].tolist(), lo[some].tolist(), hi[some].tolist()):
                 raw = w.data.tobytes() if raw is None else raw
                 text = b" ".join([raw[s:e] for s, e in zip(w.starts[p : p + size].tolist(), w.ends[p : p + size].tolist())])
-                while q < len(rows) and rows[q][0] == x:
-                    if rows[q][1] == text:
-                        begin.append(p)
-                        end.append(p + size)
-                        ids[int(np.searchsorted(w.first, p, "right")) - 1].update(rows[q][2])
-                        break
-                    q += 1
+                if (a, text) not in seen:
+                    same = [k for k in range(a, b) if self.words(int(place[k]), size) == text]
+                    seen[a, text] = bool(same), {self.names[who[k]] for k in same if who[k] >= 0}
+                hit, names = seen[a, text]
+                if hit:
+                    begin.append(p)
+                    end.append(p + size)
+                    ids[int(np.searchsorted(w.first, p, "right")) - 1].update(names)
         return covered(total, np.array(begin, np.int64), np.array(end, np.int64)), ids
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> list[list[tuple[str, str]]]:
-    """The benchmark in blocks of at most `block_bytes` of text (one longer item is a block of its own)."""
-    rows = benchmark.select(F.col(item_col).cast("string").alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).distinct().filter("i is not null")
-    blocks, size = [[]], 0
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[str | None, str]]]:
+    """The benchmark in blocks of at most `block_bytes` of text (one longer item is a block of its own), one at a time on the driver."""
+    rows = benchmark.select(F.col(item_col).cast("string").alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).distinct()
+    block, size, n = [], 0, 0
     for r in rows.toLocalIterator():
         size += len(r.t.encode())
-        if blocks[-1] and size > block_bytes:
-            blocks.append([])
-            size = len(r.t.encode())
-        blocks[-1].append((r.i, r.t))
-    return blocks
+        if block and size > block_bytes:
+            yield block
+            block, size, n = [], len(r.t.encode()), n + 1
+        block.append((r.i, r.t))
+    if block or not n:
+        yield block
 
 
 _KIND = "struct<n_words:bigint,hits:array<struct<a:int,b:int>>,items:array<string>>"
@@ -104,9 +124,9 @@ def _matcher(block: list[tuple[str, str]], n: int):
             flags, ids = index[0].match(w)
             words.extend(w.counts.tolist())
             items.extend(sorted(x) for x in ids)
-            d = np.diff(flags.astype(np.int8), prepend=0, append=0)
+            some = per_doc(flags, w.first)
             for k in range(j - i):
-                if not ids[k]:
+                if not some[k]:
                     spans.append([])
                     continue
                 a, b = w.first[k], w.first[k + 1]
@@ -125,7 +145,9 @@ def match_benchmark(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "t
     """
     name = fresh(docs, "contamination")
     found: Column | None = None
-    for block in _blocks(benchmark, item_col, bench_text_col, block_bytes):
+    for number, block in enumerate(_blocks(benchmark, item_col, bench_text_col, block_bytes)):
+        if number and number % PASS_BLOCKS == 0:
+            out = saved(out, "matched")
         c = _matcher(block, n)(F.col(text_col))
         if found is None:
             out, found = docs.withColumn(name, c), F.col(name)
@@ -175,7 +197,3 @@ def _cut(texts: pa.Array, spans: pa.Array) -> pa.Array:
             out.append(b"".join(parts).decode())
     valid = texts.is_valid().to_pylist()
     return pa.array([t if v else None for t, v in zip(out, valid)], pa.string())
-
-
-def sha256_hex(text: bytes) -> str:
-    return hashlib.sha256(text).hexdigest()

@@ -482,7 +482,7 @@ def leaves(cells: DataFrame, links: DataFrame, labels: DataFrame, texts, t: Thre
 
 def texts_of(rows: DataFrame, keyed: DataFrame, wanted: DataFrame) -> DataFrame:
     """(s, text) of the wanted sets, from one row each. A Bloom filter of bounded size keeps other rows' texts out of the shuffle."""
-    first = keyed.select("s", "id", "mark").join(wanted, "s", "left_semi").groupBy("s").agg(F.min(F.struct("id", "mark")).alias("x"))
+    first = keyed.groupBy("s").agg(F.min(F.struct("id", "mark")).alias("x")).join(wanted, "s", "left_semi")
     first = saved(first.select("s", F.col("x.id").alias("id"), F.col("x.mark").alias("mark")), "wanted")
     r, f = flag_possible(rows, "mark", first, "mark", "possible").filter("possible").alias("r"), first.alias("f")
     return r.join(f, F.col("r.id").eqNullSafe(F.col("f.id")) & (F.col("r.mark") == F.col("f.mark"))).select("f.s", "r.text").dropDuplicates(["s"])
@@ -503,7 +503,7 @@ def linked_labels(regions: DataFrame, rows: DataFrame, keyed: DataFrame, k: int,
     if pairs.isEmpty():
         return None
     involved = pairs.select("s").union(pairs.select(F.col("p").alias("s"))).distinct()
-    sets = saved(keyed.select("s", "n", "sketch").join(involved, "s", "left_semi").dropDuplicates(["s"]), "sketches")
+    sets = saved(keyed.select("s", "n", "sketch").dropDuplicates(["s"]).join(involved, "s", "left_semi"), "sketches")
     first = _links(_near_pivots(pairs, sets, t), rows, keyed, k, t)
     labels = components(first)
     cells = pairs.join(labels, "s", "left").select(F.col("p").alias("cell"), "s", F.coalesce("label", "s").alias("label"))

@@ -68,14 +68,14 @@ def decontaminate(texts: list[str | None], items: list[tuple[object, str | None]
         w = ALNUM.findall(lower(t or ""))
         size = min(n, len(w))
         for j in range(len(w) - size + 1 if w else 0):
-            windows[tuple(w[j : j + size])].add(str(i))
+            windows[tuple(w[j : j + size])] |= {str(i)} - {"None"}
     out = []
     for t in texts:
         w = ALNUM.findall(lower(t or ""))
         hit, ids = set(), set()
         for size in {len(x) for x in windows}:
             for j in range(len(w) - size + 1):
-                if found := windows.get(tuple(w[j : j + size])):
+                if (found := windows.get(tuple(w[j : j + size]))) is not None:
                     hit.update(range(j, j + size))
                     ids |= found
         out.append((len(w), len(hit), len(ids), sha(",".join(sorted(ids))), len(hit) > 0 and 20 * len(hit) >= len(w)))
