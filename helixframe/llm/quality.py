@@ -9,7 +9,9 @@ probability of being good of its own pattern.
 No rule takes length for a fault: texts of over 100,000 words get no vote on it, and variety is a mean over windows of
 `WINDOW` words that cover the whole text.
 
-Null and empty texts have no words and fail the base rule. Repeated rows and ids are judged alike.
+Null and empty texts have no words and fail the base rule. Repeated rows and ids are judged alike, as are all documents of one
+vote pattern; a posterior equal to the threshold keeps. Very long texts are judged as a whole. An empty table gives an empty one.
+Columns of the input keep their names: the column of results takes one that none has.
 """
 
 from __future__ import annotations
@@ -154,24 +156,26 @@ def fit_label_model(votes: np.ndarray, counts: np.ndarray, *, failure_modes: boo
     return model
 
 
-def judge(docs: DataFrame, *, text_col: str = "text", rules: Callable[[Column], dict[str, Column]] = default_rules, threshold: float = 0.5) -> tuple[DataFrame, str]:
+def judge(docs: DataFrame, *, text_col: str = "text", statistics: str | None = None, rules: Callable[[Column], dict[str, Column]] = default_rules, threshold: float = 0.5) -> tuple[DataFrame, str]:
     """`docs` with a struct column (statistics, base_failed, pattern, posterior, kept); returns frame and column name.
 
-    kept: the base rule holds and the posterior probability of good is at least `threshold`.
+    kept: the base rule holds and the posterior probability of good is at least `threshold`. Texts are read twice, once for
+    the patterns and once for the rows; where a column `statistics` holds their `text_statistics` already, not at all.
     """
     name = fresh(docs, "quality")
+    counts = text_statistics(F.col(text_col)) if statistics is None else F.col(statistics)
     votes = rules(F.col(name))
     if len(votes) > 12:
         raise ValueError("vote patterns are collected: at most 12 rules")
     code = sum(v * 3**k for k, v in enumerate(votes.values()))
-    patterns = docs.select(text_statistics(F.col(text_col)).alias(name)).select(code.alias("p")).groupBy("p").count().collect()
+    patterns = docs.select(counts.alias(name)).select(code.alias("p")).groupBy("p").count().collect()
     codes = np.array(sorted(r["p"] for r in patterns), np.int64)
     by_code = {r["p"]: r["count"] for r in patterns}
     table = (codes[:, None] // 3 ** np.arange(len(votes))[None, :]) % 3
     model = fit_label_model(table, np.array([by_code[c] for c in codes.tolist()], float))
     good = model.posterior(table) if len(codes) else np.zeros(0)
     posterior = F.try_element_at(F.create_map(*[F.lit(x) for pair in zip(codes.tolist(), good.tolist()) for x in pair]), code) if len(codes) else F.lit(0.0)
-    out = docs.withColumn(name, text_statistics(F.col(text_col)))
+    out = docs.withColumn(name, counts)
     s = F.col(name)
     failed = base_failed(s)
     out = out.withColumn(name, F.struct(*[s[x].alias(x) for x in _FIELDS], failed.alias("base_failed"), code.alias("pattern"), posterior.alias("posterior"), (~failed & (posterior >= threshold)).alias("kept")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 
 import public_tokenizers
@@ -9,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, jaccard_join, pseudonyms, quality, substring_dedup, tiktoken_codec, token_count, token_files, url_filter, warc
-from .common import fresh, scratch, small_batches
+from .common import fresh, saved, scratch, small_batches
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,7 +23,8 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out, name = quality.judge(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    counted = saved(_table(spark, sf_dir, "documents").select("doc_id", quality.text_statistics(F.col("text")).alias("counts")), "statistics")
+    out, name = quality.judge(counted, statistics="counts")
     q = F.col(name)
     return out.select("doc_id", q.n_words.alias("n_words"), q.word_chars.alias("word_chars"), q.n_symbols.alias("n_symbols"), q.n_dup_lines.alias("n_dup_lines"), q.n_repeat_words.alias("n_repeat_words"), q.base_failed.alias("base_failed"), q.kept.alias("kept"), q.posterior.alias("posterior"))
 
@@ -46,13 +48,17 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-#: The permutation's key; a deployment sets its own in spark.helixframe.pseudonyms.key.
-DEMO_KEY = "demonstration key"
+_session_keys: dict[str, str] = {}
+
+
+def pseudonym_key(spark: SparkSession) -> str:
+    """The permutation's key: spark.helixframe.pseudonyms.key, or without that setting a random one that ends with the application."""
+    own = _session_keys.setdefault(spark.sparkContext.applicationId, secrets.token_hex(32))
+    return spark.conf.get("spark.helixframe.pseudonyms.key", own)
 
 
 def op7_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = spark.conf.get("spark.helixframe.pseudonyms.key", DEMO_KEY)
-    return pseudonyms.pseudonymise(_table(spark, sf_dir, "documents").select("doc_id", "text"), key, found_col="n_private")
+    return pseudonyms.pseudonymise(_table(spark, sf_dir, "documents").select("doc_id", "text"), pseudonym_key(spark), found_col="n_private")
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,13 +78,13 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 URL_RULES = [url_filter.Rule.parse(*r) for r in (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))]
-#: Host names whose pages stand for a list of unwanted URLs.
-LISTED_HOSTS = r"(^|\.)(spam-farm|cheap-pills|casino-win)\."
+#: The list of unwanted URLs: those on three hosts, and those that carry a tracking field. Pages under other spellings of them are listed too.
+LISTED_HOSTS, LISTED_FIELDS = r"(^|\.)(spam-farm|cheap-pills|casino-win)\.", r"[?&](utm_[^=&#]*|ref)="
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages").select("page_id", "url")
-    listed = pages.filter(url_filter.host_of(F.col("url")).rlike(LISTED_HOSTS)).select("url")
+    listed = pages.filter(url_filter.host_of(F.col("url")).rlike(LISTED_HOSTS) | F.col("url").rlike(LISTED_FIELDS)).select("url")
     return url_filter.filter_urls(pages, listed, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
@@ -106,23 +112,26 @@ SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(reach.b) AS comp
 
 _OP8_SQL = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
-b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE item_id IS NOT NULL),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
 bw AS (SELECT DISTINCT item, least(13, len(w)) AS n, array_to_string(w[i:i + least(13, len(w)) - 1], ' ') AS s FROM (SELECT item, w, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS i FROM b WHERE len(w) > 0)),
 sizes AS (SELECT DISTINCT n FROM bw),
 dw AS (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS s FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, sizes WHERE len(w) >= n)),
 hits AS (SELECT dw.doc_id, dw.i, dw.n, bw.item FROM dw JOIN bw ON dw.n = bw.n AND dw.s = bw.s),
 words AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hits) GROUP BY doc_id),
-items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS x FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id)
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS x FROM (SELECT DISTINCT doc_id, item FROM hits WHERE item IS NOT NULL) GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(words.n_hit, 0) AS n_hit, coalesce(items.n_items, 0) AS n_items, sha256(coalesce(items.x, '')) AS items_sha256,
   coalesce(words.n_hit, 0) > 0 AND 20 * coalesce(words.n_hit, 0) >= len(d.w) AS contaminated
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 _OP10_SQL = r"""
-WITH p AS (SELECT page_id, translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+WITH p AS (SELECT page_id, url, translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+q AS (SELECT *, list_sort(list_filter(string_split(regexp_extract(url, '://[^?#]*\?([^#]*)', 1), '&'), x -> x <> '' AND NOT regexp_matches(x, '^(utm_[^=]*|ref|fbclid|gclid)(=|$)'))) AS fields FROM p),
+c AS (SELECT page_id, url, host, path, CASE WHEN contains(url, '://') THEN regexp_replace(host, '^www\.|:(80|443)$', '', 'g') || regexp_replace(path, '/+$', '') || CASE WHEN len(fields) > 0 THEN '?' || array_to_string(fields, '&') ELSE '' END END AS canonical FROM q),
+listed AS (SELECT DISTINCT canonical FROM c WHERE canonical <> '' AND (regexp_matches(host, '(^|\.)(spam-farm|cheap-pills|casino-win)\.') OR regexp_matches(url, '[?&](utm_[^=&#]*|ref)='))),
 rules(verdict, rhost, rpath) AS (VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')),
 fit AS (SELECT page_id, arg_max(rhost || rpath, length(rhost || rpath)) AS rule, arg_max(verdict, length(rhost || rpath)) AS verdict FROM p JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY page_id)
-SELECT p.page_id, host, path, fit.rule, coalesce(fit.verdict, CASE WHEN regexp_matches(host, '(^|\.)(spam-farm|cheap-pills|casino-win)\.') THEN 'block' ELSE 'allow' END) AS verdict FROM p LEFT JOIN fit USING (page_id)
+SELECT c.page_id, host, path, fit.rule, coalesce(fit.verdict, CASE WHEN listed.canonical IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict FROM c LEFT JOIN fit USING (page_id) LEFT JOIN listed ON c.canonical = listed.canonical
 """
 
 ORACLE_SQL: dict[str, str] = {"op1_substring_dedup": _OP1_SQL, "op4_jaccard_join": _OP4_SQL, "op8_decontamination": _OP8_SQL, "op10_url_filter": _OP10_SQL}

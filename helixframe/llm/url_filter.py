@@ -1,11 +1,12 @@
 """URL filter: host and path rules, and a blocked Bloom filter of listed canonical URLs before an exact hash join.
 
-The filter has a fixed number of blocks of 256 bits, so its broadcast does not grow with list or corpus; a longer
+The filter's blocks of 256 bits follow the list's length up to a bound, so its broadcast is at most 64 MB; a longer
 list only lets more false positives through to the exact join, which removes them all. Everything is a DataFrame
 expression; no Python runs on the executors.
 
 A null URL, or one without "://", has an empty host and path, fits no rule and is listed nowhere. Repeated rows are
-judged alike; an empty list lists nothing.
+judged alike, ties between rules of one length go to the longer host; an empty list lists nothing, an empty table gives an
+empty one. Very long URLs are URLs like others. Other columns of pages and list, whatever their names, play no part.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bloom import BLOCKS, flag_possible
+from .bloom import flag_possible
 
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -64,7 +65,7 @@ def longest_rule(host: Column, path: Column, rules: list[Rule]) -> tuple[Column,
     return (none, none) if text is None else (text, verdict)
 
 
-def filter_urls(pages: DataFrame, listed: DataFrame, rules: list[Rule], *, id_col: str = "page_id", url_col: str = "url", list_col: str = "url", blocks: int = BLOCKS) -> DataFrame:
+def filter_urls(pages: DataFrame, listed: DataFrame, rules: list[Rule], *, id_col: str = "page_id", url_col: str = "url", list_col: str = "url", blocks: int | None = None) -> DataFrame:
     """(id, host, path, rule, verdict, canonical, listed) of every page.
 
     verdict: the longest rule's; without one, "block" if the page's canonical URL is that of a listed URL, else "allow".

@@ -15,6 +15,7 @@ SF = "/root/testdata/sf0.001"
 
 
 def test_stages(spark):
+    spark.conf.set("spark.helixframe.pseudonyms.key", "of the test")
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     columns = docs.columns
     odd = docs.limit(0).unionByName(spark.createDataFrame([(None, None, None, None, None), (7, "", "en", "s", 0)], docs.schema))
@@ -43,11 +44,12 @@ def test_stages(spark):
     from helixframe.llm import pseudonyms
     from tests.llm import test_native_operators as native
 
-    native.KEY = corpus_pipeline.DEMO_KEY
+    native.KEY = "of the test"
     try:
         want = {i: re.sub(pseudonyms.PATTERN, lambda m: pseudonym(m[0]), t) for i, t in before}
     finally:
         native.KEY = "k"
+        spark.conf.unset("spark.helixframe.pseudonyms.key")
     assert {r.doc_id: r.text for r in after} == want
     assert all(r.n_chars == before[r.doc_id, t].n_chars + len(r.text) - len(t) for i, t in before for r in after if r.doc_id == i)
     _, after = steps["token_ids"]
@@ -55,6 +57,18 @@ def test_stages(spark):
     assert all(r.n_tokens == len(r.ids) for r in after)
 
 
+def test_stages_of_empty_tables_and_clashing_columns(spark):
+    """Stages keep columns whatever their names, and give no rows for none."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    clash = docs.withColumns({c: F.lit(1) for c in ("quality", "mark", "possible", "contamination", "matches", "renamed", "s", "label", "before")})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        none = stage(spark, clash.limit(0), SF)
+        assert none.columns == clash.columns and none.count() == 0
+    for name, stage in (corpus_pipeline.STAGES[0], corpus_pipeline.STAGES[2], corpus_pipeline.STAGES[3]):
+        some = stage(spark, clash, SF)
+        assert some.columns == clash.columns and some.count() == stage(spark, docs, SF).count()
+
+
 def test_run(spark):
     assert corpus_pipeline.ORACLE_SQL is None
     assert 0 < corpus_pipeline.run(spark, SF).count() < 200
