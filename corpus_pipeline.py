@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from helixframe.llm import decontaminate, jaccard_join, pseudonyms, quality, tiktoken_codec
 from helixframe.llm.common import fresh, saved, small_batches
-from helixframe.llm.queries import DEMO_KEY
+from helixframe.llm.queries import pseudonym_key
 
 #: EM has no SQL form; the stages are tested against brute-force versions.
 ORACLE_SQL = None
@@ -39,7 +39,7 @@ def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replace private values by pseudonyms; n_chars follows where an address changes its length."""
     before = fresh(docs, "before")
-    out = pseudonyms.pseudonymise(docs.withColumn(before, F.length("text")), spark.conf.get("spark.helixframe.pseudonyms.key", DEMO_KEY))
+    out = pseudonyms.pseudonymise(docs.withColumn(before, F.length("text")), pseudonym_key(spark))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.coalesce(F.col("n_chars") + F.length("text") - F.col(before), F.col("n_chars")))
     return out.drop(before)
