@@ -13,10 +13,8 @@ ALPHABET = ("A", "C", "G", "T", "M", "H")
 
 
 def kmers(seq: Column, k: int) -> Column:
-    """All windows of k letters; none if the sequence is shorter."""
-    n = F.length(seq)
-    windows = F.transform(F.sequence(F.lit(1), n - (k - 1)), lambda i: F.substring(seq, i, F.lit(k)))
-    return F.when(n >= k, windows).otherwise(F.array().cast("array<string>"))
+    """All windows of k letters, by one scan; none if the sequence is shorter."""
+    return F.regexp_extract_all(seq, F.lit(f"(?s)(?=(.{{{k}}}))"), F.lit(1))
 
 
 def neighbourhood(kmer: Column, k: int, m: int = 1, alphabet: tuple[str, ...] = ALPHABET) -> Column:

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 QUANTILES = {"median": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}
 
@@ -24,14 +27,25 @@ def auc(df: DataFrame, value: str, positive: Column, keys: list[str]) -> DataFra
     return ranked.groupBy(*keys).agg(area.alias("auc"), p.alias("n_pos"), n.alias("n_neg"))
 
 
+AGGREGATORS: dict[str, object] = {}
+
+
+def register_aggregator(name: str, make) -> None:
+    """Add a named aggregator for `aggregate_all`: make(value column) gives an aggregate expression."""
+    if name in AGGREGATORS or name in ("max", "mean", *QUANTILES):
+        raise ValueError(f"there is an aggregator {name}")
+    AGGREGATORS[name] = make
+
+
 def aggregate_all(df: DataFrame, keys: list[str], value: str = "score", tops: tuple[int, ...] = (100, 500)) -> DataFrame:
-    """(keys, aggregator, value) for every named aggregator: max, mean, median, percentiles and means of the top k (all rows if fewer)."""
+    """(keys, aggregator, value) for every named aggregator: max, mean, median, percentiles, means of the top k (all rows if fewer), and registered ones."""
     w = Window.partitionBy(*keys).orderBy(F.desc(value))
     ranked = df.withColumn("rn_", F.row_number().over(w))
     v = F.col(value)
-    wide = ranked.groupBy(*keys).agg(F.max(v).alias("max"), F.avg(v).alias("mean"), F.percentile(v, F.array(*[F.lit(q) for q in QUANTILES.values()])).alias("q_"), *[F.avg(F.when(F.col("rn_") <= k, v)).alias(f"top{k}") for k in tops])
-    named = wide.select(*keys, "max", "mean", *[F.col("q_")[i].alias(n) for i, n in enumerate(QUANTILES)], *[f"top{k}" for k in tops])
-    return named.unpivot(keys, ["max", "mean", *QUANTILES, *[f"top{k}" for k in tops]], "aggregator", "value")
+    more = {n: make(v).cast("double").alias(n) for n, make in AGGREGATORS.items()}
+    wide = ranked.groupBy(*keys).agg(F.max(v).alias("max"), F.avg(v).alias("mean"), F.percentile(v, F.array(*[F.lit(q) for q in QUANTILES.values()])).alias("q_"), *[F.avg(F.when(F.col("rn_") <= k, v)).alias(f"top{k}") for k in tops], *more.values())
+    named = wide.select(*keys, "max", "mean", *[F.col("q_")[i].alias(n) for i, n in enumerate(QUANTILES)], *[f"top{k}" for k in tops], *more)
+    return named.unpivot(keys, ["max", "mean", *QUANTILES, *[f"top{k}" for k in tops], *more], "aggregator", "value")
 
 
 def hash_order(seed: int, *parts) -> Column:
@@ -44,16 +58,81 @@ def bandwidth(n: Column, deviation: Column) -> Column:
     return deviation * F.pow(n, F.lit(-0.2))
 
 
-def gaussian_density(points: DataFrame, grids: DataFrame, keys: list[str], value: str) -> DataFrame:
+CHUNK = 4096
+
+
+@F.arrow_udf(T.ArrayType(T.DoubleType()))
+def _kernel_sums(lo: pa.Array, step: pa.Array, m: pa.Array, h: pa.Array, values: pa.Array) -> pa.Array:
+    """The sum of Gaussian bumps around some counted values at each grid point."""
+    out = []
+    for a, s, n, width, v in zip(lo.to_pylist(), step.to_pylist(), m.to_pylist(), h.to_pylist(), values):
+        x, points, counts, y = a + np.arange(n) * s, np.asarray(v.values.field("v")), np.asarray(v.values.field("c")), np.zeros(n)
+        for i in range(0, len(points), 512):
+            z = (x[:, None] - points[None, i : i + 512]) / width
+            y += np.exp(-0.5 * z * z) @ counts[i : i + 512]
+        out.append(y)
+    return pa.array(out, pa.list_(pa.float64()))
+
+
+def gaussian_density(points: DataFrame, grids: DataFrame, keys: list[str], value: str, own: list[str] | None = None) -> DataFrame:
     """(keys, grid_i, x, y): kernel density of each key's points on its own grid.
 
-    grids: (keys, n, h, lo, step, m) with h the bandwidth. Each point is laid on the grid in place, and sums are
-    combined before the shuffle: a key's traffic is its grid, not its points.
+    grids: (keys, n, h, lo, step, m) with h the bandwidth. `own` are the keys that points have (all, if not given): a subject's
+    points may lie on the grids of many pairs. Equal values are counted first, and packed about `CHUNK` at a time by hash, so a key's
+    points never meet in one task.
+    """
+    own = keys if own is None else own
+    sizes = grids.groupBy(*own).agg(F.ceil(F.max("n") / CHUNK).cast("int").alias("chunks_"))
+    counted = points.groupBy(*own, F.col(value).cast("double").alias("v")).agg(F.count("*").cast("double").alias("c")).join(sizes, own)
+    packed = counted.groupBy(*own, F.pmod(F.xxhash64("v"), F.col("chunks_")).alias("chunk_")).agg(F.collect_list(F.struct("v", "c")).alias("values_"))
+    laid = packed.join(grids, own)
+    summed = laid.select(*keys, "n", "h", "lo", "step", _kernel_sums("lo", "step", "m", "h", "values_").alias("sums_"))
+    sums = summed.select(*keys, "n", "h", "lo", "step", F.posexplode("sums_").alias("grid_i", "y_"))
+    density = F.sum("y_") / (F.first("n") * F.first("h") * math.sqrt(2 * math.pi))
+    return sums.groupBy(*keys, "grid_i").agg((F.first("lo") + F.col("grid_i") * F.first("step")).alias("x"), density.alias("y"))
+
+
+def at_rank(x: np.ndarray, rank: int) -> tuple[float, int, int]:
+    """(value, rows below it, rows equal to it within 1e-12) of a rank in sorted values."""
+    value = float(x[rank])
+    first, last = np.searchsorted(x, value - 1e-12), np.searchsorted(x, value + 1e-12, "right")
+    return value, int(first), int(last - first)
+
+
+def value_at_rank(df: DataFrame, column: str, rank: int, n: int, held: int = 1 << 20, bins: int = 4096) -> tuple[float, int, int]:
+    """(value, rows below it, rows equal to it) of the row of a rank (from 0) in ascending order of n finite values.
+
+    Counts by bin narrow the range until its values fit the driver (`held`); no value is looked at twice in a task.
     """
-    z = (F.col("x") - F.col(value)) / F.col("h")
-    laid = points.join(grids, keys).withColumn("grid_i", F.explode(F.sequence(F.lit(0), F.col("m") - 1))).withColumn("x", F.col("lo") + F.col("grid_i") * F.col("step"))
-    density = F.sum(F.exp(-0.5 * z * z)) / (F.first("n") * F.first("h") * math.sqrt(2 * math.pi))
-    return laid.groupBy(*keys, "grid_i").agg(F.first("x").alias("x"), density.alias("y"))
+    v, lo, below = F.col(column), None, 0
+    rows = df.select(column)
+    while n > held:
+        ends = rows.agg(F.min(v).alias("a"), F.max(v).alias("b")).first()
+        lo, hi = float(ends.a), float(ends.b)
+        width = (hi - lo) / bins
+        if width == 0 or lo + width == lo:
+            return lo, below, n
+        at = F.least(F.floor((v - lo) / width), F.lit(bins - 1)).cast("int")
+        counts = dict(rows.groupBy(at.alias("at")).count().collect())
+        k = 0
+        while rank >= counts.get(k, 0):
+            rank, below, k = rank - counts.get(k, 0), below + counts.get(k, 0), k + 1
+        rows, n = rows.filter(at == k), counts[k]
+    x = np.sort(np.asarray(rows.toArrow()[column], dtype=np.float64))
+    value, first, equal = at_rank(x, rank)
+    return value, below + first, equal
+
+
+def quantile(df: DataFrame, column: str, q: float) -> float | None:
+    """The interpolated quantile of a whole table's values (nulls left out), by `value_at_rank`."""
+    rows = df.filter(F.col(column).isNotNull() & ~F.isnan(column))
+    n = rows.count()
+    if not n:
+        return None
+    at = q * (n - 1)
+    low = int(at)
+    a = value_at_rank(rows, column, low, n)[0]
+    return a if at == low else a + (at - low) * (value_at_rank(rows, column, low + 1, n)[0] - a)
 
 
 def trapezoid(df: DataFrame, keys: list[str], y: Column, order: str = "grid_i", x: str = "x") -> DataFrame:

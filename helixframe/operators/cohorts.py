@@ -17,10 +17,17 @@ def loo_folds(patients: DataFrame) -> DataFrame:
 def background(scores: DataFrame) -> DataFrame:
     """(subject, n, mean, std, lo, hi) of every subject's background: the healthy scores but its own.
 
-    Sums of the pool less the subject's own replace the self-join; extremes come from subjects' extremes.
+    The pool's sums less the subject's own replace a self-join; extremes are those of the two least and the two greatest healthy
+    subjects, of which at most one is the subject itself.
     """
-    own = scores.groupBy("subject", "label").agg(F.count("*").alias("n"), F.sum("score").alias("s"), F.sum(F.col("score") * F.col("score")).alias("q"), F.min("score").alias("lo"), F.max("score").alias("hi"))
-    healthy = own.filter("label = 1").select(F.col("subject").alias("other"), F.col("n").alias("n2"), F.col("s").alias("s2"), F.col("q").alias("q2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
-    pool = own.join(healthy, F.col("subject") != F.col("other")).groupBy("subject", "label").agg(F.sum("n2").alias("n"), F.sum("s2").alias("s"), F.sum("q2").alias("q"), F.min("lo2").alias("lo"), F.max("hi2").alias("hi"))
+    s = F.col("score")
+    own = scores.groupBy("subject", "label").agg(F.count("*").alias("n"), F.sum(s).alias("s"), F.sum(s * s).alias("q"), F.min("score").alias("lo"), F.max("score").alias("hi"))
+    healthy = own.filter("label = 1")
+    ends = lambda c, name: healthy.orderBy(c, "subject").limit(2).agg(F.sort_array(F.collect_list(F.struct(F.col(name).alias("v"), "subject")), asc=name == "lo").alias(f"{name}s"))
+    pool = healthy.agg(F.sum("n").alias("n2"), F.sum("s").alias("s2"), F.sum("q").alias("q2"))
+    pool = F.broadcast(pool.join(ends(F.asc("lo"), "lo"), F.lit(True)).join(ends(F.desc("hi"), "hi"), F.lit(True)))
+    mine = lambda c: F.when(F.col("label") == 1, F.col(c)).otherwise(0)
+    end = lambda c: F.get(F.filter(F.col(c), lambda x: ~((F.col("label") == 1) & (x.subject == F.col("subject")))), F.lit(0)).v
+    rest = own.join(pool, F.lit(True)).select("subject", "label", (F.col("n2") - mine("n")).alias("n"), (F.col("s2") - mine("s")).alias("s"), (F.col("q2") - mine("q")).alias("q"), end("los").alias("lo"), end("his").alias("hi"))
     mean = F.col("s") / F.col("n")
-    return pool.select("subject", "label", "n", mean.alias("mean"), F.sqrt(F.greatest(F.col("q") / F.col("n") - mean * mean, F.lit(0.0))).alias("std"), "lo", "hi")
+    return rest.filter("n > 0").select("subject", "label", "n", mean.alias("mean"), F.sqrt(F.greatest(F.col("q") / F.col("n") - mean * mean, F.lit(0.0))).alias("std"), "lo", "hi")

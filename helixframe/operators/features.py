@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.sequences import active_ks, code, in_vocabulary, kmers, neighbourhood, weighted_neighbourhood
+from ..functions.sequences import active_ks, in_vocabulary, kmers, neighbourhood, weighted_neighbourhood
 
 READ = ["patient", "read_idx"]
 
@@ -61,8 +61,3 @@ def mkl_norms(features: DataFrame, weights: list[float]) -> DataFrame:
     """(patient, read_idx, norm): L2 norm over all k with kernel weights, at least 1e-12."""
     w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), F.col("k"))
     return self_norms(features).groupBy(*READ).agg(F.greatest(F.sqrt(F.sum(w * F.col("diag"))), F.lit(1e-12)).alias("norm"))
-
-
-def with_columns_ids(features: DataFrame, k: int) -> DataFrame:
-    """Adds col, the k-mer's place in the full vocabulary."""
-    return features.withColumn("col", code(F.col("kmer"), k))

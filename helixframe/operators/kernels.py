@@ -21,15 +21,18 @@ _WIDTH = 8192
 
 
 def packed(features: DataFrame) -> DataFrame:
-    """(patient, read_idx, k, cols, ws): each read's features of one k as arrays (at most the vocabulary long)."""
+    """(patient, read_idx, k, cols, ws): each read's features of one k as arrays. Strings with letters beyond the alphabet
+    are numbered after the vocabulary, by hash."""
     place = None
     for k in range(1, 13):
         place = F.when(F.col("k") == k, code(F.col("kmer"), k)) if place is None else place.when(F.col("k") == k, code(F.col("kmer"), k))
-    rows = features.withColumn("col", place).groupBy(*READ, "k").agg(F.array_sort(F.collect_list(F.struct("col", "w"))).alias("x"))
+    known = F.length("kmer") == F.length(F.regexp_replace("kmer", f"[^{''.join(ALPHABET)}]", ""))
+    other = len(ALPHABET) ** F.col("k") + F.pmod(F.xxhash64("kmer"), F.lit(1 << 62))
+    rows = features.withColumn("col", F.when(known, place).otherwise(other)).groupBy(*READ, "k").agg(F.array_sort(F.collect_list(F.struct("col", "w"))).alias("x"))
     return rows.select(*READ, "k", F.col("x.col").alias("cols"), F.col("x.w").alias("ws"))
 
 
-def _rows(features: DataFrame, weights: dict[int, float]) -> DataFrame:
+def vectors(features: DataFrame, weights: dict[int, float]) -> DataFrame:
     """(id, vectors): one row a read, its arrays by k."""
     ks = F.struct("k", "cols", "ws")
     return packed(features.filter(F.col("k").isin(list(weights)))).groupBy(*READ).agg(F.collect_list(ks).alias("vectors")).select(F.struct(*READ).alias("id"), "vectors")
@@ -46,25 +49,35 @@ def _flat(vectors: pa.ChunkedArray) -> tuple[int, np.ndarray, np.ndarray, np.nda
     return len(v), row, np.repeat(np.asarray(x.field("k")), n), np.asarray(cols.flatten()), np.asarray(ws.flatten())
 
 
-def _product(a: pa.ChunkedArray, b: pa.ChunkedArray, weights: dict[int, float]) -> np.ndarray:
-    """sum over k of weight * A_k B_k^T, in column strips of bounded width."""
+def product(a: pa.ChunkedArray, b: pa.ChunkedArray, weights: dict[int, float]) -> np.ndarray:
+    """sum over k of weight * A_k B_k^T, in strips of bounded width over the strings that both sides have."""
     sides = [_flat(a), _flat(b)]
     out = np.zeros((sides[0][0], sides[1][0]))
     for k, w in sorted(weights.items()):
         part = np.zeros_like(out)
         of_k = [(n, row[own], col[own], value[own]) for n, row, kk, col, value in sides for own in [kk == k]]
-        for lo in range(0, len(ALPHABET) ** k, _WIDTH):
-            dense = []
+        shared = np.intersect1d(of_k[0][2], of_k[1][2])
+        for lo in range(0, len(shared), _WIDTH):
+            strip, dense = shared[lo : lo + _WIDTH], []
             for n, row, col, value in of_k:
-                m = np.zeros((n, min(_WIDTH, len(ALPHABET) ** k - lo)))
-                own = (col >= lo) & (col < lo + _WIDTH)
-                m[row[own], col[own] - lo] = value[own]
+                m, place = np.zeros((n, len(strip))), np.minimum(np.searchsorted(strip, col), len(strip) - 1)
+                own = strip[place] == col
+                m[row[own], place[own]] = value[own]
                 dense.append(m)
             part += dense[0] @ dense[1].T
         out += w * part
     return out
 
 
+def norms(rows: pa.ChunkedArray, weights: dict[int, float]) -> np.ndarray:
+    """The length of each row of `vectors`."""
+    n, row, k, _, value = _flat(rows)
+    w = np.zeros(max(weights) + 1)
+    for x, v in weights.items():
+        w[x] = v
+    return np.sqrt(np.maximum(np.bincount(row, w[k] * value * value, minlength=n), 1e-12))
+
+
 def _blocks(rows: DataFrame, n_blocks: int) -> DataFrame:
     return rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n_blocks)))
 
@@ -87,7 +100,7 @@ def _pairs(left: DataFrame, right: DataFrame, n_left: int, n_right: int, weights
         else:
             side = np.asarray(t["side"])
             a, b = t.filter(pa.array(side == 0)), t.filter(pa.array(side == 1))
-        g = _product(a["vectors"], b["vectors"], weights)
+        g = product(a["vectors"], b["vectors"], weights)
         i, j = (v.ravel() for v in np.meshgrid(np.arange(a.num_rows), np.arange(b.num_rows), indexing="ij"))
         v, swap = g.ravel(), np.zeros(g.size, bool)
         if symmetric:
@@ -106,7 +119,7 @@ def _pairs(left: DataFrame, right: DataFrame, n_left: int, n_right: int, weights
 
 def gram(features: DataFrame, weights: dict[int, float], block: int = BLOCK) -> DataFrame:
     """(i, j, k) with i <= j: the weighted sum of all k's products; i and j are (patient, read_idx)."""
-    rows = _rows(features, weights).cache()
+    rows = vectors(features, weights).cache()
     n = max(1, -(-rows.count() // block))
     b = _blocks(rows, n)
     return _pairs(b, b, n, n, weights, True)
@@ -114,7 +127,7 @@ def gram(features: DataFrame, weights: dict[int, float], block: int = BLOCK) ->
 
 def cross_gram(test: DataFrame, train: DataFrame, weights: dict[int, float], block: int = BLOCK) -> DataFrame:
     """(i, j, k): products of test reads (i) with training reads (j)."""
-    a, b = _rows(test, weights).cache(), _rows(train, weights).cache()
+    a, b = vectors(test, weights).cache(), vectors(train, weights).cache()
     n, m = max(1, -(-a.count() // block)), max(1, -(-b.count() // block))
     return _pairs(_blocks(a, n), _blocks(b, m), n, m, weights, False)
 

@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import features as feats
@@ -17,17 +17,31 @@ MAX_LANDMARKS = 4000
 
 @dataclass
 class NystromState:
-    """Landmarks (in order), their features, W^-1/2, and the kernel's parameters."""
+    """Landmarks (in order) with their features, W^-1/2, and the kernel's parameters: all that a projection needs."""
 
-    order: list[tuple]
-    landmark_features: DataFrame
+    landmarks: pa.Table  # (id, vectors), one row a landmark
     inverse_root: np.ndarray
     weights: dict[int, float]
     kept: int
 
+    @property
+    def order(self) -> list[tuple]:
+        return [(r["patient"], r["read_idx"]) for r in self.landmarks["id"].to_pylist()]
+
     @property
     def n_components(self) -> int:
-        return len(self.order)
+        return self.landmarks.num_rows
+
+    def tables(self, spark: SparkSession) -> tuple[dict, dict[str, DataFrame]]:
+        """(params, tables) as `sources.model_store` keeps them."""
+        t = self.landmarks.append_column("place", pa.array(range(self.n_components), pa.int32())).append_column("root", pa.array(list(self.inverse_root), pa.list_(pa.float64())))
+        return {"kernel_weights": {str(k): w for k, w in self.weights.items()}, "kept": self.kept}, {"landmarks": spark.createDataFrame(t)}
+
+    @classmethod
+    def of(cls, params: dict, tables: dict[str, DataFrame]) -> NystromState:
+        """The state that `tables` gave: at most MAX_LANDMARKS rows."""
+        t = tables["landmarks"].limit(MAX_LANDMARKS).toArrow().sort_by("place")
+        return cls(t.select(["id", "vectors"]), np.array(t["root"].to_pylist()), {int(k): w for k, w in params["kernel_weights"].items()}, params["kept"])
 
 
 def inverse_root(w: np.ndarray) -> tuple[np.ndarray, int]:
@@ -41,7 +55,10 @@ def inverse_root(w: np.ndarray) -> tuple[np.ndarray, int]:
 
 
 def fit(reads: DataFrame, features: DataFrame, weights: dict[int, float], m: int, seed: int = 42) -> NystromState:
-    """Choose m landmarks by digest order (at most reads - 1) and decompose their kernel on the driver, m by m."""
+    """Choose m landmarks by digest order (at most reads - 1) and decompose their kernel on the driver, m by m.
+
+    A chosen read without features would be at kernel 0 with every other, and is left out.
+    """
     n = reads.count()
     if n < 2:
         raise ValueError("landmarks need at least two reads")
@@ -49,40 +66,38 @@ def fit(reads: DataFrame, features: DataFrame, weights: dict[int, float], m: int
     if m > MAX_LANDMARKS:
         raise ValueError(f"the landmark kernel is decomposed on the driver: at most {MAX_LANDMARKS} landmarks")
     chosen = sampling.landmarks(reads, m, seed)
-    own = features.join(F.broadcast(chosen), feats.READ, "left_semi").cache()
-    d = kernels.diagonal(own, weights)
-    rows = kernels.normalise(kernels.gram(own, weights), d).collect()
-    order = sorted((r.patient, r.read_idx) for r in chosen.collect())
-    place = {k: i for i, k in enumerate(order)}
-    w = np.zeros((m, m))
-    for r in rows:
-        i, j = place[tuple(r.i)], place[tuple(r.j)]
-        w[i, j] = w[j, i] = r.k
-    root, kept = inverse_root(w)
-    return NystromState(order, own, root, weights, kept)
-
-
-def transform(features: DataFrame, state: NystromState, vocabulary: DataFrame | None = None) -> DataFrame:
-    """(patient, read_idx, phi): each read's kernel with the landmarks times W^-1/2.
+    own = kernels.vectors(features.join(F.broadcast(chosen), feats.READ, "left_semi"), weights).toArrow()
+    own = own.take(pa.array(sorted(range(own.num_rows), key=lambda i: (own["id"][i].as_py()["patient"], own["id"][i].as_py()["read_idx"]))))
+    length = kernels.norms(own["vectors"], weights)
+    root, kept = inverse_root(kernels.product(own["vectors"], own["vectors"], weights) / np.outer(length, length))
+    return NystromState(own, root, weights, kept)
+
+
+def transform(features: DataFrame, state: NystromState, vocabulary: DataFrame | None = None, reads: DataFrame | None = None) -> DataFrame:
+    """(patient, read_idx, phi): each read's kernel with the landmarks times W^-1/2, a block of reads at a time.
 
     vocabulary (k, kmer): training's strings; others are left out before norms are taken, as a fixed feature space has it.
+    With `reads`, those without any feature get zeros.
     """
     if vocabulary is not None:
         features = features.join(vocabulary, ["k", "kmer"], "left_semi")
-    products = kernels.cross_gram(features, state.landmark_features, state.weights)
-    c = kernels.normalise(products, kernels.diagonal(features, state.weights), kernels.diagonal(state.landmark_features, state.weights))
-    rows = c.groupBy("i").agg(F.collect_list(F.struct("j", "k")).alias("row"))
-    place, root = {k: n for n, k in enumerate(state.order)}, state.inverse_root
-
-    @F.arrow_udf("array<double>")
-    def project(row: pa.Array) -> pa.Array:
-        out = np.zeros((len(row), len(place)))
-        for n, cells in enumerate(row.to_pylist()):
-            for x in cells:
-                out[n, place[(x["j"]["patient"], x["j"]["read_idx"])]] = x["k"]
-        return pa.array(list(out @ root), pa.list_(pa.float64()))
-
-    return rows.select("i.patient", "i.read_idx", project("row").alias("phi"))
+    rows = kernels.vectors(features, state.weights)
+    marks, weights = state.landmarks["vectors"], state.weights
+    scale = state.inverse_root / kernels.norms(marks, weights)[:, None]
+    kind = rows.schema["id"].dataType.simpleString()
+
+    def project(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, kernels.BLOCK):
+                part = pa.Table.from_batches([b.slice(at, kernels.BLOCK)])
+                c = kernels.product(part["vectors"], marks, weights) / kernels.norms(part["vectors"], weights)[:, None]
+                yield pa.RecordBatch.from_arrays([part["id"].combine_chunks(), pa.array(list(c @ scale), pa.list_(pa.float64()))], ["id", "phi"])
+
+    out = rows.mapInArrow(project, f"id {kind}, phi array<double>").select("id.patient", "id.read_idx", "phi")
+    if reads is not None:
+        zeros = F.array_repeat(F.lit(0.0), state.n_components)
+        out = reads.select(*feats.READ).distinct().join(out, feats.READ, "left").select(*feats.READ, F.coalesce("phi", zeros).alias("phi"))
+    return out
 
 
 def vocabulary(features: DataFrame) -> DataFrame:

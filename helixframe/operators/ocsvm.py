@@ -10,11 +10,15 @@ import warnings
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.statistics import at_rank, value_at_rank
+
 MAX_EXACT = 6000
 MAX_PASSES = 1000
+HELD = 1 << 25
 
 
 @dataclass
@@ -63,13 +67,15 @@ def _key(ident):
     return tuple(ident) if isinstance(ident, tuple) else ident
 
 
-def dense(rows: list, order: list) -> np.ndarray:
-    """A symmetric matrix from collected (i, j, k) rows."""
-    place = {k: n for n, k in enumerate(order)}
+def dense(products: DataFrame, order: list) -> np.ndarray:
+    """A symmetric matrix of (i, j, k); cells arrive as Arrow columns, ids as places in `order`."""
+    kind = products.schema["i"].dataType.simpleString()
+    places = F.broadcast(products.sparkSession.createDataFrame([(k, n) for n, k in enumerate(order)], f"id {kind}, place int"))
+    cells = products.join(places.withColumnsRenamed({"id": "i", "place": "x"}), "i").join(places.withColumnsRenamed({"id": "j", "place": "y"}), "j").select("x", "y", "k").toArrow()
+    x, y, k = (np.asarray(cells[c]) for c in ("x", "y", "k"))
     out = np.zeros((len(order), len(order)))
-    for r in rows:
-        i, j = place[_key(r.i)], place[_key(r.j)]
-        out[i, j] = out[j, i] = r.k
+    out[x, y] = k
+    out[y, x] = k
     return out
 
 
@@ -79,7 +85,7 @@ def fit_exact(products: DataFrame, nu: float) -> tuple[DataFrame, float]:
     order = sorted(_key(r[0]) for r in ids)
     if len(order) > MAX_EXACT:
         raise ValueError(f"the exact solver holds the kernel on the driver: at most {MAX_EXACT} reads; use fit_primal")
-    model = solve(dense(products.collect(), order), nu)
+    model = solve(dense(products, order), nu)
     kind = products.schema["i"].dataType.simpleString()
     rows = [(k, float(a)) for k, a in zip(order, model.alpha) if a > 0]
     return products.sparkSession.createDataFrame(rows, f"id {kind}, alpha double"), model.rho
@@ -103,13 +109,18 @@ def primal(support: DataFrame, alpha: DataFrame, weights: dict[int, float]) -> D
     return rows.groupBy("k", "kmer").agg((F.sum(F.col("a") * F.col("w")) * F.first(w)).alias("v"))
 
 
-def decide_primal(features: DataFrame, vector: DataFrame, weights: dict[int, float], rho: float) -> DataFrame:
-    """(id, decision) of reads' features (strings unknown to the model count in the norm): one pass and one small join."""
+def decide_primal(features: DataFrame, vector: DataFrame, weights: dict[int, float], rho: float, reads: DataFrame | None = None) -> DataFrame:
+    """(id, decision) of reads' features (strings unknown to the model count in the norm): one pass and one small join.
+
+    With `reads`, those without any feature (empty or too short) get -rho, as a kernel value of 0 with every read has it.
+    """
     from . import kernels
 
     hits = features.join(F.broadcast(vector), ["k", "kmer"]).groupBy("patient", "read_idx").agg(F.sum(F.col("w") * F.col("v")).alias("dot")).select(F.struct("patient", "read_idx").alias("id"), "dot")
     d = kernels.diagonal(features, weights).join(hits, "id", "left")
-    return d.select("id", (F.coalesce("dot", F.lit(0.0)) / F.sqrt(F.greatest("diag", F.lit(1e-12))) - rho).alias("decision"))
+    if reads is not None:
+        d = reads.select(F.struct("patient", "read_idx").alias("id")).distinct().join(d, "id", "left")
+    return d.select("id", (F.coalesce("dot", F.lit(0.0)) / F.sqrt(F.greatest(F.coalesce("diag", F.lit(0.0)), F.lit(1e-12))) - rho).alias("decision"))
 
 
 def predict(decision: Column) -> Column:
@@ -118,41 +129,87 @@ def predict(decision: Column) -> Column:
 
 
 def _dot(phi: Column, w: np.ndarray) -> Column:
-    return F.aggregate(F.zip_with(phi, F.array(*[F.lit(float(x)) for x in w]), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+    @F.arrow_udf("double")
+    def dot(rows: pa.Array) -> pa.Array:
+        return pa.array(_matrix(rows, len(w)) @ w)
+
+    return dot(phi)
+
+
+def _matrix(rows: pa.Array, d: int) -> np.ndarray:
+    return np.asarray(rows.flatten()).reshape(-1, d)
+
+
+def _nearest_to_zero(atoms: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(atoms that count, their shares) of the shortest vector in the hull of some atoms, from a point of it (the minimum-norm point method)."""
+    while True:
+        n = len(atoms)
+        system = np.ones((n + 1, n + 1))
+        system[:n, :n], system[n, n] = atoms @ atoms.T, 0.0
+        best = np.linalg.lstsq(system, np.append(np.zeros(n), 1.0), rcond=1e-14)[0][:n]
+        if best.min() >= -1e-12 or n == 1:
+            return atoms, np.maximum(best, 0) / np.maximum(best, 0).sum()
+        down = best < 0
+        step = float(np.min(share[down] / np.maximum(share[down] - best[down], 1e-300)))
+        share = (1 - step) * share + step * best
+        keep = share > 1e-12
+        if keep.all():
+            keep[int(np.argmin(np.where(down, share, np.inf)))] = False
+        atoms, share = atoms[keep], share[keep] / share[keep].sum()
 
 
 def fit_primal(phi: DataFrame, nu: float, passes: int | None = None) -> tuple[np.ndarray, float]:
     """(w, rho) on maps (phi): the dual's sum is nu * n, so w = sum of alpha * phi.
 
-    Frank-Wolfe on the dual: each pass sends w to the partitions, finds the nu * n reads of least w.phi by an exact
-    percentile of a histogram-free kind (a sort of scores in place), and returns one summed vector. The duality gap
-    shrinks as 1 / passes; the best step is in closed form. It ends when the gap meets its tolerance, and raises if that
-    takes more than MAX_PASSES; where the caller bounds `passes`, it warns instead.
+    Frank-Wolfe on the dual, fully corrective: each pass sends w to the partitions, finds the score of rank nu * n
+    (`statistics.value_at_rank`), and returns the sum of the vectors below it; w is then the shortest vector in the hull of those
+    sums. It ends when the duality gap meets its tolerance, and raises if that takes more than MAX_PASSES; where the caller bounds `passes`, it warns instead.
+    Maps of at most HELD numbers take the same passes on the driver.
     """
-    n = phi.count()
-    budget = nu * n
     phi = phi.select("phi").cache()
-    d = len(phi.first().phi)
-    sums = phi.select(F.posexplode("phi").alias("p", "x")).groupBy("p").agg(F.sum("x").alias("x")).collect()
-    w = np.zeros(d)
-    for r in sums:
-        w[r.p] = r.x * nu
-    rho, met = 0.0, False
+    n, d = phi.count(), len(phi.first().phi)
+    budget = nu * n
+    here = _matrix(phi.toArrow()["phi"].combine_chunks(), d) if n * d <= HELD else None
+
+    def summed(weight) -> np.ndarray:
+        if here is not None:
+            return weight(here) @ here
+
+        def work(batches):
+            total = np.zeros(d)
+            for b in batches:
+                x = _matrix(b.column(0), d)
+                total += weight(x) @ x
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(d)), pa.array(total)], ["p", "x"])
+
+        out = np.zeros(d)
+        for r in phi.mapInArrow(work, "p bigint, x double").groupBy("p").agg(F.sum("x").alias("x")).collect():
+            out[r.p] = r.x
+        return out
+
+    w = summed(lambda x: np.full(len(x), nu))
+    rho, met, atoms, share_of = 0.0, False, w[None, :], np.ones(1)
     for _ in range(MAX_PASSES if passes is None else passes):
-        scored = phi.select("phi", _dot(F.col("phi"), w).alias("s"))
-        cut = scored.agg(F.percentile("s", F.lit(float(nu))).alias("c")).first().c
-        mass = scored.agg(F.count_if(F.col("s") < cut).alias("below"), F.count_if(F.col("s") == cut).alias("at")).first()
-        share = max(0.0, min(1.0, (budget - mass["below"]) / mass["at"])) if mass["at"] else 0.0
-        weight = F.when(F.col("s") < cut, 1.0).when(F.col("s") == cut, share).otherwise(0.0)
-        v = np.zeros(d)
-        for r in scored.select(weight.alias("a"), F.posexplode("phi").alias("p", "x")).filter("a > 0").groupBy("p").agg(F.sum(F.col("a") * F.col("x")).alias("x")).collect():
-            v[r.p] = r.x
+        rank = max(0, int(np.ceil(budget)) - 1)
+        if here is None:
+            cut, below, at = value_at_rank(phi.select(_dot(F.col("phi"), w).alias("s")), "s", rank, n)
+        else:
+            x = np.sort(here @ w)
+            cut, below, at = at_rank(x, rank)
+        share = max(0.0, min(1.0, (budget - below) / at))
+
+        def weight(x, w=w, cut=cut, share=share):
+            s = x @ w
+            return np.where(s < cut - 1e-12, 1.0, np.where(s <= cut + 1e-12, share, 0.0))
+
+        v = summed(weight)
         rho = float(cut)
         gap, span = float(w @ (w - v)), float((w - v) @ (w - v))
         if gap <= 1e-6 * max(1.0, float(w @ w)) or span == 0:
             met = True
             break
-        w = w + min(1.0, gap / span) * (v - w)
+        atoms, share_of = _nearest_to_zero(np.vstack([atoms, v]), np.append(share_of, 0.0))
+        w = share_of @ atoms
     phi.unpersist()
     if not met:
         if passes is None:

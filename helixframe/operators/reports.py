@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.statistics import aggregate_all, auc, average_rank, hash_order  # noqa: F401
+from ..functions.statistics import aggregate_all, auc, average_rank, hash_order, quantile  # noqa: F401
 from .sampling import subsample_scores
 
 
@@ -69,7 +69,8 @@ def describe(df: DataFrame, value: str) -> DataFrame:
 
 def tail_statistics(scores: DataFrame, right: float = 0.99, left: float = 0.01) -> DataFrame:
     """Moments of each subject, and its shares beyond percentiles of the healthy pool (in percent)."""
-    cut = F.broadcast(scores.filter("label = 1").agg(F.percentile("score", F.lit(right)).alias("hi_"), F.percentile("score", F.lit(left)).alias("lo_")))
+    healthy = scores.filter("label = 1")
+    cut = F.broadcast(scores.sparkSession.createDataFrame([(quantile(healthy, "score", right), quantile(healthy, "score", left))], "hi_ double, lo_ double"))
     s = F.col("score")
     share = lambda c: 100.0 * F.avg(F.when(c, 1.0).otherwise(0.0))
     return scores.join(cut, F.lit(True)).groupBy("subject", "label").agg(F.avg(s).alias("mean"), F.stddev_pop(s).alias("std"), share(s > F.col("hi_")).alias("pct_right"), share(s < F.col("lo_")).alias("pct_left"), F.skewness(s).alias("skewness"), F.kurtosis(s).alias("kurtosis"))
@@ -99,6 +100,12 @@ def score_gap(scores: DataFrame) -> DataFrame:
     return scores.agg(healthy.alias("mean_healthy_score"), tumor.alias("mean_tumor_score"), (tumor - healthy).alias("score_gap"))
 
 
+def by_ratio(runs: DataFrame) -> DataFrame:
+    """Means and deviations of each metric by ratio."""
+    names = [c for c in ("auc", "spearman_corr", "score_gap", "rel_frobenius_error", "rel_spectral_error", "max_diag_error", "elapsed_s") if c in runs.columns]
+    return runs.groupBy("m_ratio").agg(*[f(c).alias(f"{c}_{n}") for c in names for n, f in (("mean", F.avg), ("std", F.stddev_pop))], F.count("*").alias("n"))
+
+
 def recommend(runs: DataFrame, exact_auc: float, near: float = 0.02, rank: float = 0.95) -> DataFrame:
     """The smallest ratio whose mean AUC is near the exact one and whose scores rank alike."""
     means = runs.groupBy("m_ratio").agg(F.avg("auc").alias("auc"), F.avg("spearman_corr").alias("spearman_corr"))
@@ -107,7 +114,7 @@ def recommend(runs: DataFrame, exact_auc: float, near: float = 0.02, rank: float
 
 def threshold(scores: DataFrame, false_rate: float = 0.01) -> DataFrame:
     """Documentation-derived: the read threshold, a high percentile of healthy scores."""
-    return scores.filter("label = 1").agg(F.percentile("score", F.lit(1 - false_rate)).alias("tau"))
+    return scores.sparkSession.createDataFrame([(quantile(scores.filter("label = 1"), "score", 1 - false_rate),)], "tau double")
 
 
 def outlier_proportion(scores: DataFrame, false_rate: float = 0.01) -> DataFrame:

@@ -316,7 +316,7 @@ def gram_symmetric_k3(spark, d):
 
 
 _MKL = f"{_READS}, " + ", ".join(f"k{k} AS (SELECT patient, read_idx, kmer, count(*) AS cnt FROM (SELECT patient, read_idx, substring(seq, CAST(unnest(range(1, length(seq) - {k} + 2)) AS INTEGER), {k}) AS kmer FROM reads WHERE length(seq) >= {k}) GROUP BY ALL), {_near(k, 1).replace('vocab', f'v{k}').replace('near AS', f'n{k} AS')}, f{k} AS (SELECT patient, read_idx, {k} AS k, neighbor AS kmer, sum(cnt * pow(0.5, dist)) AS w FROM k{k} JOIN n{k} USING (kmer) GROUP BY ALL)" for k in (2, 3)) + ", f AS (SELECT * FROM f2 UNION ALL SELECT * FROM f3), wk AS (SELECT unnest([2, 3]) AS k, unnest([0.4::DOUBLE, 0.6::DOUBLE]) AS wt)"
-_NORMALISED = _MKL + f", gk AS (SELECT a.patient AS pi, a.read_idx AS ri, b.patient AS pj, b.read_idx AS rj, a.k, sum(a.w * b.w) AS s FROM f a JOIN f b ON a.k = b.k AND a.kmer = b.kmer AND {_PAIR} GROUP BY ALL), g AS (SELECT pi, ri, pj, rj, sum(s * wt) AS k FROM gk JOIN wk USING (k) GROUP BY ALL), dg AS (SELECT pi AS p, ri AS r, k AS dg FROM g WHERE pi = pj AND ri = rj), gn AS (SELECT pi, ri, pj, rj, g.k / sqrt(greatest(a.dg, 1e-12) * greatest(b.dg, 1e-12)) AS k FROM g JOIN dg a ON g.ri = a.r AND g.pi = a.p JOIN dg b ON g.rj = b.r AND g.pj = b.p)"
+_NORMALISED = _MKL + f", gk AS (SELECT a.patient AS pi, a.read_idx AS ri, b.patient AS pj, b.read_idx AS rj, a.k, sum(a.w * b.w) AS s FROM f a JOIN f b ON a.k = b.k AND a.kmer = b.kmer AND {_PAIR} GROUP BY ALL), g AS (SELECT pi, ri, pj, rj, sum(s * wt) AS k FROM gk JOIN wk USING (k) GROUP BY ALL), dg AS (SELECT pi AS patient, ri AS read_idx, k AS dg FROM g WHERE pi = pj AND ri = rj), gn AS (SELECT a.patient AS pi, a.read_idx AS ri, b.patient AS pj, b.read_idx AS rj, coalesce(g.k, 0) / sqrt(greatest(a.dg, 1e-12) * greatest(b.dg, 1e-12)) AS k FROM dg a JOIN dg b ON {_PAIR} LEFT JOIN g ON g.ri = a.read_idx AND g.pi = a.patient AND g.rj = b.read_idx AND g.pj = b.patient)"
 _WEIGHTS = {2: 0.4, 3: 0.6}
 
 
@@ -327,21 +327,21 @@ def _normalised(spark, d) -> DataFrame:
 
 @query(f"WITH {_NORMALISED} SELECT pi AS patient_i, ri AS read_i, pj AS patient_j, rj AS read_j, round(k, 6) AS k FROM gn")
 def gram_mkl_normalised(spark, d):
-    return r6(_flat_pairs(_normalised(spark, d).filter("k > 0")), "k")
+    return r6(_flat_pairs(_normalised(spark, d)), "k")
 
 
 @query(f"WITH {_NORMALISED}, d AS (SELECT pi, pj, sqrt(greatest(0, 2 * (1 - k))) AS d FROM gn WHERE ri <> rj OR pi <> pj) SELECT pi AS patient_i, pj AS patient_j, count(*) AS n, round(avg(d), 6) AS mean, round(min(d), 6) AS nearest, round(max(d), 6) AS farthest FROM d GROUP BY ALL")
 def kernel_distances(spark, d):
-    g = _normalised(spark, d).filter("i <> j AND k > 0").select(F.col("i.patient").alias("patient_i"), F.col("j.patient").alias("patient_j"), kernels.distance(F.col("k")).alias("d"))
+    g = _normalised(spark, d).filter("i <> j").select(F.col("i.patient").alias("patient_i"), F.col("j.patient").alias("patient_j"), kernels.distance(F.col("k")).alias("d"))
     return r6(g.groupBy("patient_i", "patient_j").agg(F.count("*").alias("n"), F.avg("d").alias("mean"), F.min("d").alias("nearest"), F.max("d").alias("farthest")), "mean", "nearest", "farthest")
 
 
-@query(f"WITH {_READS}, {_kmers(3)}, f AS (SELECT kmers.*, label FROM kmers JOIN reads USING (patient, read_idx)), dg AS (SELECT patient, read_idx, sum(cnt * cnt) AS dg FROM f GROUP BY ALL), g AS (SELECT a.patient AS pi, a.read_idx AS ri, b.patient AS pj, b.read_idx AS rj, sum(a.cnt * b.cnt) AS k FROM f a JOIN f b ON a.kmer = b.kmer AND a.label = -1 AND b.label = 1 GROUP BY ALL) SELECT pi AS patient_i, ri AS read_i, pj AS patient_j, rj AS read_j, round(k / sqrt(x.dg * y.dg), 6) AS k FROM g JOIN dg x ON pi = x.patient AND ri = x.read_idx JOIN dg y ON pj = y.patient AND rj = y.read_idx")
+@query(f"WITH {_READS}, {_kmers(3)}, f AS (SELECT kmers.*, label FROM kmers JOIN reads USING (patient, read_idx)), dg AS (SELECT patient, read_idx, sum(cnt * cnt) AS dg FROM f GROUP BY ALL), g AS (SELECT a.patient AS pi, a.read_idx AS ri, b.patient AS pj, b.read_idx AS rj, sum(a.cnt * b.cnt) AS k FROM f a JOIN f b ON a.kmer = b.kmer AND a.label = -1 AND b.label = 1 GROUP BY ALL) SELECT x.patient AS patient_i, x.read_idx AS read_i, y.patient AS patient_j, y.read_idx AS read_j, round(coalesce(k, 0) / sqrt(x.dg * y.dg), 6) AS k FROM (SELECT dg.* FROM dg JOIN reads USING (patient, read_idx) WHERE label = -1) x JOIN (SELECT dg.* FROM dg JOIN reads USING (patient, read_idx) WHERE label = 1) y ON true LEFT JOIN g ON pi = x.patient AND ri = x.read_idx AND pj = y.patient AND rj = y.read_idx")
 def gram_asymmetric_normalised(spark, d):
     r = fixtures.reads(spark, d)
     test, train = (features.weighted_features(r.filter(F.col("label") == x), 3, 0).cache() for x in (-1, 1))
     g = kernels.normalise(kernels.cross_gram(test, train, {3: 1.0}), kernels.diagonal(test, {3: 1.0}), kernels.diagonal(train, {3: 1.0}))
-    return r6(_flat_pairs(g.filter("k > 0")), "k")
+    return r6(_flat_pairs(g), "k")
 
 
 _EMB = "e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings)"
@@ -393,20 +393,20 @@ def oa_pair(spark, d):
     return r6(density.oa_pairs(*_healthy_neighbours(spark, d)), "oa")
 
 
-@query(_oa_sql("SELECT x.subject AS a, y.subject AS b FROM m x JOIN m y ON x.label = 1 AND y.label = 1 AND x.subject < y.subject", 64) + " SELECT a, b, round(oa, 6) AS oa FROM oas")
+@query(_oa_sql("SELECT x.subject AS a, y.subject AS b FROM m x JOIN m y ON x.label = 1 AND y.label = 1 AND x.subject < y.subject", 1024) + " SELECT a, b, round(oa, 6) AS oa FROM oas")
 def oa_healthy_pairs(spark, d):
     s = fixtures.scores(spark, d)
     h = s.filter("label = 1").select("subject").distinct()
     pairs = h.select(F.col("subject").alias("a")).join(h.select(F.col("subject").alias("b")), F.col("a") < F.col("b"))
-    return r6(density.oa_pairs(s, pairs, 64), "oa")
+    return r6(density.oa_pairs(s, pairs), "oa")
 
 
 _ALL_PAIRS = "SELECT x.subject AS a, y.subject AS b FROM m x JOIN m y ON x.label = 1 AND (y.label = -1 OR x.subject < y.subject)"
 
 
-@query(_oa_sql(_ALL_PAIRS, 32) + ", typed AS (SELECT CASE WHEN m.label = -1 THEN 'healthy_vs_tumor' ELSE 'healthy_vs_healthy' END AS comparison_type, oa FROM oas JOIN m ON m.subject = b) SELECT comparison_type, round(avg(oa), 6) AS mean_oa, round(stddev_pop(oa), 6) AS std_oa, round(min(oa), 6) AS min_oa, round(max(oa), 6) AS max_oa, count(*) AS n FROM typed GROUP BY ALL")
+@query(_oa_sql(_ALL_PAIRS, 1024) + ", typed AS (SELECT CASE WHEN m.label = -1 THEN 'healthy_vs_tumor' ELSE 'healthy_vs_healthy' END AS comparison_type, oa FROM oas JOIN m ON m.subject = b) SELECT comparison_type, round(avg(oa), 6) AS mean_oa, round(stddev_pop(oa), 6) AS std_oa, round(min(oa), 6) AS min_oa, round(max(oa), 6) AS max_oa, count(*) AS n FROM typed GROUP BY ALL")
 def oa_comparison_summary(spark, d):
-    return r6(density.summary(pipelines.compare_all(fixtures.scores(spark, d), 32), ["comparison_type"]), "mean_oa", "std_oa", "min_oa", "max_oa")
+    return r6(density.summary(pipelines.compare_all(fixtures.scores(spark, d)), ["comparison_type"]), "mean_oa", "std_oa", "min_oa", "max_oa")
 
 
 def _distances(spark, d) -> tuple[DataFrame, DataFrame]:
@@ -417,7 +417,7 @@ def _distances(spark, d) -> tuple[DataFrame, DataFrame]:
     return kernels.normalise(kernels.gram(train, one), kernels.diagonal(train, one)), kernels.normalise(kernels.cross_gram(test, train, one), kernels.diagonal(test, one), kernels.diagonal(train, one))
 
 
-_P = 64
+_P = 512
 
 
 @query(f"""WITH {_READS}, {_kmers(3)}, f AS (SELECT kmers.*, label FROM kmers JOIN reads USING (patient, read_idx)), dg AS (SELECT patient, read_idx, label, sum(cnt * cnt)::DOUBLE AS dg FROM f GROUP BY ALL),
@@ -435,16 +435,14 @@ def oa_reference_patient(spark, d):
     return r6(pipelines.reference_scores(cross, pipelines.reference_curve(train, _P), _P), "oa", "anomaly_score")
 
 
-@query(_oa_sql(f"SELECT x.subject AS a, y.subject AS b FROM m x JOIN m y ON x.label = 1 AND y.label = 1 AND x.subject < y.subject", 32) + ", both AS (SELECT a, b, oa FROM oas UNION ALL SELECT b, a, oa FROM oas UNION ALL SELECT subject, subject, 1.0 FROM m WHERE label = 1) SELECT a AS subject, round(avg(oa) FILTER (a <> b), 6) AS mean_oa, round(min(oa), 6) AS min_oa, round(max(oa), 6) AS max_oa, round(stddev_pop(oa) FILTER (a <> b), 6) AS std_oa, count(*) AS n FROM both GROUP BY a".replace("both", "mirrored"))
+@query(_oa_sql(f"SELECT x.subject AS a, y.subject AS b FROM m x JOIN m y ON x.label = 1 AND y.label = 1 AND x.subject < y.subject", 1024) + ", both AS (SELECT a, b, oa FROM oas UNION ALL SELECT b, a, oa FROM oas UNION ALL SELECT subject, subject, 1.0 FROM m WHERE label = 1) SELECT a AS subject, round(avg(oa) FILTER (a <> b), 6) AS mean_oa, round(min(oa), 6) AS min_oa, round(max(oa), 6) AS max_oa, round(stddev_pop(oa) FILTER (a <> b), 6) AS std_oa, count(*) AS n FROM both GROUP BY a".replace("both", "mirrored"))
 def reference_pairwise_oa(spark, d):
     """The mirrored matrix with ones on its diagonal, by row."""
     s = fixtures.scores(spark, d)
     h = s.filter("label = 1").select("subject").distinct()
     pairs = h.select(F.col("subject").alias("a")).join(h.select(F.col("subject").alias("b")), F.col("a") < F.col("b"))
-    oas = density.oa_pairs(s, pairs, 32)
-    full = oas.unionByName(oas.select(F.col("b").alias("a"), F.col("a").alias("b"), "oa")).unionByName(h.select(F.col("subject").alias("a"), F.col("subject").alias("b"), F.lit(1.0).alias("oa")))
-    off = F.when(F.col("a") != F.col("b"), F.col("oa"))
-    return r6(full.groupBy(F.col("a").alias("subject")).agg(F.avg(off).alias("mean_oa"), F.min("oa").alias("min_oa"), F.max("oa").alias("max_oa"), F.stddev_pop(off).alias("std_oa"), F.count("*").alias("n")), "mean_oa", "min_oa", "max_oa", "std_oa")
+    oas = density.oa_pairs(s, pairs)
+    return r6(density.by_row(density.mirrored(oas, h)), "mean_oa", "min_oa", "max_oa", "std_oa")
 
 
 # Documentation-derived
@@ -467,10 +465,10 @@ def diagnosis(spark, d):
     return r6(reports.diagnose(values.join(tau, F.lit(True)), F.col("tau")).drop("tau"), "value")
 
 
-@query(f"WITH {_SCORES}, {_MEANS}, nb AS (SELECT label, value, row_number() OVER (PARTITION BY label ORDER BY value, subject) - 1 AS k, count(*) OVER (PARTITION BY label) AS size FROM means), draws AS (SELECT rep, label, CAST('0x' || substring(md5(concat_ws('|', '42', rep, label, k)), 1, 8) AS BIGINT) % size AS k FROM nb, (SELECT unnest(range(1, 201)) AS rep)), picked AS (SELECT rep, nb.label, nb.value FROM draws JOIN nb ON draws.label = nb.label AND draws.k = nb.k), a AS (SELECT h.rep, avg(CASE WHEN t.value > h.value THEN 1.0 WHEN t.value = h.value THEN 0.5 ELSE 0.0 END) AS auc FROM picked h JOIN picked t ON h.rep = t.rep AND h.label = 1 AND t.label = -1 GROUP BY h.rep) SELECT round(quantile_cont(auc, 0.025), 6)::DOUBLE AS low, round(quantile_cont(auc, 0.5), 6)::DOUBLE AS median, round(quantile_cont(auc, 0.975), 6)::DOUBLE AS high FROM a")
+@query(f"WITH {_SCORES}, {_MEANS}, nb AS (SELECT label, value, row_number() OVER (PARTITION BY label ORDER BY value, subject) - 1 AS k, count(*) OVER (PARTITION BY label) AS size FROM means), draws AS (SELECT rep, label, CAST('0x' || substring(md5(concat_ws('|', '42', rep, label, k)), 1, 8) AS BIGINT) % size AS k FROM nb, (SELECT unnest(range(1, 1001)) AS rep)), picked AS (SELECT rep, nb.label, nb.value FROM draws JOIN nb ON draws.label = nb.label AND draws.k = nb.k), a AS (SELECT h.rep, avg(CASE WHEN t.value > h.value THEN 1.0 WHEN t.value = h.value THEN 0.5 ELSE 0.0 END) AS auc FROM picked h JOIN picked t ON h.rep = t.rep AND h.label = 1 AND t.label = -1 GROUP BY h.rep) SELECT round(quantile_cont(auc, 0.025), 6)::DOUBLE AS low, round(quantile_cont(auc, 0.5), 6)::DOUBLE AS median, round(quantile_cont(auc, 0.975), 6)::DOUBLE AS high FROM a")
 def bootstrap_auc(spark, d):
     values = reports.subject_scores(fixtures.scores(spark, d)).withColumnRenamed("mean_score", "value")
-    return r6(reports.bootstrap_auc(values, 200), "low", "median", "high")
+    return r6(reports.bootstrap_auc(values), "low", "median", "high")
 
 
 # Models (no SQL form; tested by their optimality conditions)
@@ -482,7 +480,7 @@ _KERNEL = pipelines.Kernel(3, 1, (0.0, 0.4, 0.6))
 def nystrom_phi(spark, d):
     r = fixtures.reads(spark, d)
     f = _KERNEL.features(r).cache()
-    return nystrom.transform(f, nystrom.fit(r.filter("length(seq) >= 3"), f, _KERNEL.by_k, 20))
+    return nystrom.transform(f, nystrom.fit(r.filter("length(seq) >= 3"), f, _KERNEL.by_k, 20), reads=r)
 
 
 @query()
@@ -521,4 +519,59 @@ def mil_exact_patients(spark, d):
     return pipelines.evaluate(pipelines.exact_scores(train, test, _KERNEL), test)["patients"]
 
 
+# What holds of any fitted model, so that SQL can state it
+
+_SPLIT = f"{_READS}, ranked AS (SELECT patient, read_idx, row_number() OVER (PARTITION BY patient ORDER BY md5(concat_ws('|', '42', patient, read_idx)), read_idx) AS rn FROM reads WHERE label = 1 AND length(seq) >= 3), train AS (SELECT * FROM ranked WHERE rn <= 100)"
+
+
+@query(f"WITH {_SPLIT} SELECT count(*) AS n, round(0.2 * count(*), 6)::DOUBLE AS sum_alpha, 0::BIGINT AS out_of_bounds, 0::BIGINT AS kkt_violations FROM train")
+def ocsvm_invariants(spark, d):
+    """sum of alpha = nu * n, 0 <= alpha <= 1, and every training read on the side of the margin that its alpha says."""
+    train, _ = _split(spark, d)
+    params, tables = pipelines.train(train, _KERNEL)
+    scored = pipelines.infer(train, params, tables).join(tables["alpha"].select("id.*", "alpha"), ["patient", "read_idx"], "left").withColumn("alpha", F.coalesce("alpha", F.lit(0.0)))
+    decision, a = -F.col("score"), F.col("alpha")
+    wrong = ((a < 1 - 1e-9) & (decision < -2e-3)) | ((a > 1e-9) & (decision > 2e-3))
+    return r6(scored.agg(F.count("*").alias("n"), F.sum("alpha").alias("sum_alpha"), F.count_if((a < 0) | (a > 1)).alias("out_of_bounds"), F.count_if(wrong).alias("kkt_violations")), "sum_alpha")
+
+
+@query(f"WITH {_READS} SELECT count(*) AS n_reads, count(*) FILTER (length(seq) < 2) AS n_zero, 0::BIGINT AS n_longer_than_one, true AS landmarks_exact, true AS frobenius_below_a_fifth FROM reads")
+def nystrom_invariants(spark, d):
+    """Every read has a map, no map is longer than the read's own norm of 1, landmarks keep their kernel, and the kernel's error is small."""
+    r = fixtures.reads(spark, d)
+    f = _KERNEL.features(r).cache()
+    state = nystrom.fit(r.filter("length(seq) >= 3"), f, _KERNEL.by_k, 40)
+    phi = nystrom.transform(f, state, reads=r).cache()
+    square = F.aggregate("phi", F.lit(0.0), lambda s, x: s + x * x)
+    counts = phi.agg(F.count("*").alias("n_reads"), F.count_if(square == 0).alias("n_zero"), F.count_if(square > 1 + 1e-6).alias("n_longer_than_one"))
+    exact = kernels.normalise(kernels.gram(f, _KERNEL.by_k), kernels.diagonal(f, _KERNEL.by_k))
+    marks = spark.createDataFrame(state.order, r.select("patient", "read_idx").schema).select(F.struct("patient", "read_idx").alias("id"))
+    own = nystrom.intrinsic_errors(kernels.submatrix(exact, marks), phi).select((F.col("rel_frobenius_error") < 1e-6).alias("landmarks_exact"))
+    error = nystrom.intrinsic_errors(exact, phi).select((F.col("rel_frobenius_error") < 0.2).alias("frobenius_below_a_fifth"))
+    return counts.join(own, F.lit(True)).join(error, F.lit(True))
+
+
+@query(f"WITH {_SPLIT} SELECT (SELECT count(*) FROM reads WHERE length(seq) >= 3) - count(*) AS n, true AS correlated FROM train")
+def nystrom_agrees_with_exact(spark, d):
+    """Decisions of the low-rank model (primal solver) and of the exact one (dual solver) on the same reads: correlation above 0.95."""
+    train, test = _split(spark, d)
+    exact = pipelines.exact_scores(train, test, _KERNEL).select("patient", "read_idx", F.col("decision").alias("exact"))
+    near = pipelines.low_rank_scores(train, test, _KERNEL, 100)
+    return near.join(exact, ["patient", "read_idx"]).agg(F.count("*").alias("n"), (F.corr("decision", "exact") > 0.95).alias("correlated"))
+
+
+@query()
+def nystrom_stored_scores(spark, d):
+    """A low-rank model as it is stored, scoring every read."""
+    train, _ = _split(spark, d)
+    return pipelines.infer(fixtures.reads(spark, d), *pipelines.train(train, _KERNEL, landmarks=40))
+
+
+@query()
+def ocsvm_scores_all_healthy(spark, d):
+    """The low-rank model trained on every healthy read, scoring every tumor read."""
+    r = fixtures.reads(spark, d)
+    return pipelines.low_rank_scores(r.filter("label = 1"), r.filter("label = -1"), _KERNEL, 40)
+
+
 del _name, _sql

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,23 +39,41 @@ def exact_scores(train: DataFrame, test: DataFrame, kernel: Kernel, nu: float =
     d = kernels.diagonal(f, w)
     alpha, rho = ocsvm.fit_exact(kernels.normalise(kernels.gram(f, w), d), nu)
     support = f.join(alpha.select("id.*"), READ, "left_semi")
-    out = ocsvm.decide_primal(g, ocsvm.primal(support, alpha, w), w, rho)
+    out = ocsvm.decide_primal(g, ocsvm.primal(support, alpha, w), w, rho, test)
     return out.select("id.*", "decision", ocsvm.predict(F.col("decision")).alias("predicted"))
 
 
-def train(reads: DataFrame, kernel: Kernel, nu: float = 0.2) -> tuple[dict, dict[str, DataFrame]]:
-    """(params, tables) of a fitted model, as `sources.model_store` keeps it: its vector over strings is all that scoring needs."""
-    f, w = kernel.features(reads).cache(), kernel.by_k
-    alpha, rho = ocsvm.fit_exact(kernels.normalise(kernels.gram(f, w), kernels.diagonal(f, w)), nu)
-    vector = ocsvm.primal(f.join(alpha.select("id.*"), READ, "left_semi"), alpha, w)
-    params = {"backend": "precomputed", "rho": rho, "nu": nu, "max_k": kernel.max_k, "mismatches": kernel.mismatches, "weights": list(kernel.weights or weights_or_default(kernel.max_k, kernel.mismatches))}
-    return params, {"alpha": alpha, "vector": vector}
+def _params(kernel: Kernel, nu: float, rho: float, backend: str) -> dict:
+    return {"backend": backend, "rho": rho, "nu": nu, "max_k": kernel.max_k, "mismatches": kernel.mismatches, "weights": list(kernel.weights or weights_or_default(kernel.max_k, kernel.mismatches))}
 
 
-def infer(reads: DataFrame, params: dict, tables: dict[str, DataFrame]) -> DataFrame:
-    """(patient, read_idx, score) of reads under a stored model; scores are inverted decisions."""
+def train(reads: DataFrame, kernel: Kernel, nu: float = 0.2, landmarks: int | None = None, seed: int = 42, features: DataFrame | None = None) -> tuple[dict, dict[str, DataFrame]]:
+    """(params, tables) of a fitted model, as `sources.model_store` keeps it: all that scoring needs.
+
+    Without `landmarks` the exact model, which is one vector over strings; with them a low-rank one: landmarks, W^-1/2, training's
+    strings and a vector of as many components. `features` may come from a cache.
+    """
+    f, w = (kernel.features(reads) if features is None else features).cache(), kernel.by_k
+    spark = reads.sparkSession
+    if landmarks is None:
+        alpha, rho = ocsvm.fit_exact(kernels.normalise(kernels.gram(f, w), kernels.diagonal(f, w)), nu)
+        vector = ocsvm.primal(f.join(alpha.select("id.*"), READ, "left_semi"), alpha, w)
+        return _params(kernel, nu, rho, "precomputed"), {"alpha": alpha, "vector": vector}
+    state = nystrom.fit(reads, f, w, landmarks, seed)
+    v, rho = ocsvm.fit_primal(nystrom.transform(f, state, reads=reads), nu)
+    params, tables = state.tables(spark)
+    return _params(kernel, nu, rho, "nystrom") | params, tables | {"vector": spark.createDataFrame([(v.tolist(),)], "v array<double>"), "vocabulary": nystrom.vocabulary(f)}
+
+
+def infer(reads: DataFrame, params: dict, tables: dict[str, DataFrame], features: DataFrame | None = None) -> DataFrame:
+    """(patient, read_idx, score) of reads under a stored model of either backend; scores are inverted decisions."""
     kernel = Kernel(params["max_k"], params["mismatches"], tuple(params["weights"]))
-    out = ocsvm.decide_primal(kernel.features(reads), tables["vector"], kernel.by_k, params["rho"])
+    f = kernel.features(reads) if features is None else features
+    if params["backend"] == "nystrom":
+        phi = nystrom.transform(f, nystrom.NystromState.of(params, tables), tables["vocabulary"], reads)
+        out = ocsvm.decide_linear(phi, np.array(tables["vector"].first().v), params["rho"])
+        return out.select(*READ, (-F.col("decision")).alias("score"))
+    out = ocsvm.decide_primal(f, tables["vector"], kernel.by_k, params["rho"], reads)
     return out.select("id.*", (-F.col("decision")).alias("score"))
 
 
@@ -71,8 +90,8 @@ def low_rank_scores(train: DataFrame, test: DataFrame, kernel: Kernel, m: int, n
     f, g = kernel.features(train).cache(), kernel.features(test)
     state = nystrom.fit(train, f, kernel.by_k, m, seed)
     vocabulary = nystrom.vocabulary(f)
-    w, rho = ocsvm.fit_primal(nystrom.transform(f, state), nu, passes)
-    out = ocsvm.decide_linear(nystrom.transform(g, state, vocabulary), w, rho)
+    w, rho = ocsvm.fit_primal(nystrom.transform(f, state, reads=train), nu, passes)
+    out = ocsvm.decide_linear(nystrom.transform(g, state, vocabulary, test), w, rho)
     return out.select("*", ocsvm.predict(F.col("decision")).alias("predicted"))
 
 

@@ -45,6 +45,11 @@ def read_rounds(spark: SparkSession, path: str) -> DataFrame:
     return read_wide(spark, path).select(subject_of(F.col("file")).alias("subject"), F.when(number == "", 1).otherwise(number.try_cast("int")).alias("round"), "row", "score")
 
 
+def read_pooled(spark: SparkSession, path: str) -> DataFrame:
+    """(subject, row, score): all columns of a file as one subject's scores."""
+    return read_wide(spark, path).select(subject_of(F.col("file")).alias("subject"), "row", "score")
+
+
 def widen(scores: DataFrame, column: str, values: list, prefix: str = "") -> DataFrame:
     """(row, one column a value): ragged columns end in nulls. The values are given, so the plan needs no extra pass."""
     row = F.row_number().over(Window.partitionBy(column).orderBy("read_idx")) - 1

@@ -8,7 +8,6 @@ import pytest
 import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
-SLOW = {"gram_symmetric_k3", "gram_mkl_normalised", "kernel_distances", "oa_reference_patient", "ocsvm_scores_nystrom", "nystrom_frobenius", "op1_substring_dedup", "op4_jaccard_join"}
 
 
 @pytest.fixture(scope="module")
@@ -30,6 +29,6 @@ def test_entry(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.oracle_sql()) - SLOW))
+@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
 def test_same_as_sql(spark, views, name):
     assert _rows(entry.queries()[name](spark, SF).toPandas()) == _rows(views.execute(entry.oracle_sql()[name]).fetchdf())
