@@ -126,7 +126,7 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 
 _OP10_SQL = r"""
 WITH p AS (SELECT page_id, url, translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
-q AS (SELECT *, list_sort(list_filter(string_split(regexp_extract(url, '://[^?#]*\?([^#]*)', 1), '&'), x -> x <> '' AND NOT regexp_matches(x, '^(utm_[^=]*|ref|fbclid|gclid)(=|$)'))) AS fields FROM p),
+q AS (SELECT *, list_sort([x for x in string_split(regexp_extract(url, '://[^?#]*\?([^#]*)', 1), '&') if x <> '' AND NOT regexp_matches(x, '^(utm_[^=]*|ref|fbclid|gclid)(=|$)')]) AS fields FROM p),
 c AS (SELECT page_id, url, host, path, CASE WHEN contains(url, '://') THEN regexp_replace(host, '^www\.|:(80|443)$', '', 'g') || regexp_replace(path, '/+$', '') || CASE WHEN len(fields) > 0 THEN '?' || array_to_string(fields, '&') ELSE '' END END AS canonical FROM q),
 listed AS (SELECT DISTINCT canonical FROM c WHERE canonical <> '' AND (regexp_matches(host, '(^|\.)(spam-farm|cheap-pills|casino-win)\.') OR regexp_matches(url, '[?&](utm_[^=&#]*|ref)='))),
 rules(verdict, rhost, rpath) AS (VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')),
