@@ -142,23 +142,33 @@ def trapezoid(df: DataFrame, keys: list[str], y: Column, order: str = "grid_i",
     return steps.groupBy(*keys).agg(F.sum("part_").alias("area"))
 
 
-def _running_before(df: DataFrame, order: str, columns: list[str]) -> DataFrame:
-    """Adds before_<c>, the sum of c over all rows before in `order`: range partitions, their totals (a row each), sums inside."""
-    placed = df.repartitionByRange(order).sortWithinPartitions(order).withColumn("at_", F.monotonically_increasing_id()).withColumn("part_", F.shiftright("at_", 33))
+MOST_PARTS = 512
+
+
+def running_before(df: DataFrame, order: str, columns: list[str]) -> DataFrame:
+    """Adds before_<c>, the sum of c over all rows before in `order` (distinct finite numbers).
+
+    Rows are dealt to ranges between cut points, then summed by range (a row each) and inside. The cut points are values in the
+    plan, so both readers of the table deal its rows alike, however Spark partitions them.
+    """
+    parts = min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), MOST_PARTS)
+    cuts = sorted(set(df.approxQuantile(order, [i / parts for i in range(1, parts)], 0.25 / parts))) if parts > 1 else []
+    part = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col(order))) if cuts else F.lit(0)
+    placed = df.withColumn("part_", part)
     totals = placed.groupBy("part_").agg(*[F.sum(c).alias(f"t_{c}") for c in columns])
     w = Window.orderBy("part_")
     bases = totals.select("part_", *[(F.sum(f"t_{c}").over(w) - F.col(f"t_{c}")).alias(f"b_{c}") for c in columns])
-    inside = Window.partitionBy("part_").orderBy("at_")
+    inside = Window.partitionBy("part_").orderBy(order)
     out = placed.join(F.broadcast(bases), "part_")
     for c in columns:
         out = out.withColumn(f"before_{c}", F.col(f"b_{c}") + F.sum(c).over(inside) - F.col(c))
-    return out.drop("at_", "part_", *[f"b_{c}" for c in columns])
+    return out.drop("part_", *[f"b_{c}" for c in columns])
 
 
 def auc_of_reads(df: DataFrame, value: str, positive: Column) -> DataFrame:
     """(auc, n_pos, n_neg) over a whole table: rows are counted by distinct value first, and no window spans the table."""
     counts = df.groupBy(F.col(value).alias("v_")).agg(F.count_if(positive).alias("p_"), F.count_if(~positive).alias("n_"))
-    run = _running_before(counts, "v_", ["n_"])
+    run = running_before(counts, "v_", ["n_"])
     p, n = F.sum("p_"), F.sum("n_")
     won = F.sum(F.col("p_") * (F.col("before_n_") + F.col("n_") / 2))
     return run.agg((won / F.nullif(p * n, F.lit(0))).alias("auc"), p.alias("n_pos"), n.alias("n_neg"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.statistics import aggregate_all, auc, average_rank, hash_order, quantile  # noqa: F401
+from ..functions.statistics import aggregate_all, auc, average_rank, hash_order, quantile, running_before  # noqa: F401
 from .sampling import subsample_scores
 
 
@@ -126,8 +126,9 @@ def youden(values: DataFrame) -> DataFrame:
     """Documentation-derived: (threshold, tpr, fpr, j) of greatest tpr - fpr over subject values; the highest threshold on ties."""
     pos, neg = F.when(F.col("label") == -1, 1).otherwise(0), F.when(F.col("label") == -1, 0).otherwise(1)
     counts = values.groupBy("value").agg(F.sum(pos).alias("p"), F.sum(neg).alias("n"))
-    w, all_ = Window.orderBy(F.desc("value")), Window.partitionBy()
-    roc = counts.select(F.col("value").alias("threshold"), (F.sum("p").over(w) / F.sum("p").over(all_)).alias("tpr"), (F.sum("n").over(w) / F.sum("n").over(all_)).alias("fpr"))
+    run = running_before(counts, "value", ["p", "n"]).join(F.broadcast(counts.agg(F.sum("p").alias("all_p"), F.sum("n").alias("all_n"))), F.lit(True))
+    share = lambda c: 1 - F.col(f"before_{c}") / F.nullif(F.col(f"all_{c}"), F.lit(0))
+    roc = run.select(F.col("value").alias("threshold"), share("p").alias("tpr"), share("n").alias("fpr"))
     return roc.withColumn("j", F.col("tpr") - F.col("fpr")).orderBy(F.desc(F.round("j", 12)), F.desc("threshold")).limit(1)
 
 

@@ -142,3 +142,23 @@ def test_baseline_curves_and_downsampling(spark):
     h = pool.std(ddof=1) * len(pool) ** -0.2
     assert x.y == pytest.approx(np.exp(-0.5 * ((x.x - pool) / h) ** 2).mean() / (h * np.sqrt(2 * np.pi)))
     assert sampling.downsample(df, ["subject"], "read_idx", 7).groupBy("subject").count().select("count").distinct().collect() == [(7,)]
+
+
+def test_running_sums_and_youden_against_plain_versions(spark):
+    from helixframe.functions.statistics import running_before
+
+    n = 5000
+    values = [((i * 7919) % n / 7.0, 1 + i % 5) for i in range(n)]
+    df = spark.createDataFrame(values, "v double, c long").repartition(7)
+    total, want = 0, {}
+    for v, c in sorted(values):
+        want[v] = total
+        total += c
+    assert {r.v: r.before_c for r in running_before(df, "v", ["c"]).collect()} == want
+    assert running_before(df.limit(0), "v", ["c"]).count() == 0
+
+    rows = [(-1, 3.0), (-1, 2.0), (-1, 2.0), (1, 2.0), (1, 1.0), (1, 0.5)]
+    best = reports.youden(spark.createDataFrame(rows, "label int, value double")).first()
+    assert (best.threshold, round(best.tpr, 6), round(best.fpr, 6)) == (2.0, 1.0, 0.333333)
+    one_class = reports.youden(spark.createDataFrame([(1, 1.0)], "label int, value double")).first()
+    assert one_class.tpr is None and one_class.fpr == 1.0
