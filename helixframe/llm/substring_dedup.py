@@ -15,7 +15,8 @@ Grouping keys are aggregated before they are shuffled, no group is ever collecte
 meet one row of statistics, a table of its own, in a join whose large partitions Spark splits. Text moves once, to meet its own coordinates.
 
 Null and empty texts have no words. A row is known by its id and a hash of its text: equal rows are different
-sources (so their windows repeat) and get equal results. Ids may be null.
+sources (so their windows repeat) and get equal results. Ids may be null. Very long texts are scanned whole, in memory one at
+a time; an empty table gives an empty one. Ties between minimisers go to the left. Other columns, whatever their names, play no part.
 """
 
 from __future__ import annotations
