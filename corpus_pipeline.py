@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet to the cluster's shared folder
 and read back as the next stage's docs. All but the last return the columns of documents.
+
+Null and empty texts fail the base rule of the first stage; given to a later one they are linked with nothing, hit nothing, stay as
+they are and have no ids. Repeated rows and ties are treated as the operators' docstrings say, very long texts whole; an empty table
+gives an empty one. Other columns, also of names that an operator uses inside, pass through all stages but the last.
 """
 
 from __future__ import annotations
