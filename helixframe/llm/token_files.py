@@ -29,6 +29,8 @@ MAX_PIECES, SLICE_BYTES = 1_000_000, 2 << 20
 _encoders: dict[str, Encoder] = {}
 
 #: ASCII white space, before which a piece may begin.
+#: the planner gives about Long.MaxValue for tables whose size it cannot know
+UNKNOWN_SIZE = 1 << 62
 _WHITE = np.zeros(256, bool)
 _WHITE[[0x20, *range(0x09, 0x0E)]] = True
 #: Bytes after which it may not: white space, separators that libraries disagree on.
@@ -186,13 +188,21 @@ def encode_slices(texts: pa.Array, path: str, end_id: int) -> Iterator[tuple[int
         i = j
 
 
-def write_tokens(docs: DataFrame, out: str, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, files: int | None = None, row_group_bytes: int = 32 << 20, page_bytes: int = 256 << 10, page_rows: int = 2000) -> None:
+def input_bytes(df: DataFrame) -> int:
+    """Bytes of the tables behind `df`, as the planner knows them before it reads; one of unknown size counts nothing."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())]
+    return sum(s for s in sizes if s < UNKNOWN_SIZE)
+
+
+def write_tokens(docs: DataFrame, out: str, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, files: int | None = None, file_bytes: int = 256 << 20, row_group_bytes: int = 32 << 20, page_bytes: int = 256 << 10, page_rows: int = 2000) -> None:
     """Encode every text and write (id, row, n_tokens, tokens) to `out`, files and rows in ascending id order.
 
-    `row` numbers rows in that order: the file's place in the upper bits, the place in the file below.
+    `row` numbers rows in that order: the file's place in the upper bits, the place in the file below. Unless `files` is given,
+    there is one for each shuffle partition, or for each `file_bytes` of the stored input where these are more.
     """
     spark = docs.sparkSession
-    files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    files = files or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-input_bytes(docs) // file_bytes))
 
     def work(batches):
         for b in batches:

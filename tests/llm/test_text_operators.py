@@ -224,6 +224,12 @@ def test_token_files(spark, tmp_path):
         want = {zlib.crc32(np.array([*t.encode(x or "", add_special_tokens=False).ids, 0], "<u4").tobytes()) for x in ([texts[0], texts[3]] if r.doc_id == 0 else [texts[r.doc_id]])}
         assert r.start == start and r.ids_crc32 in want
         start += r.n_tokens
+    df.write.parquet(str(tmp_path / "docs"))
+    stored = spark.read.parquet(str(tmp_path / "docs"))
+    assert token_files.input_bytes(df) == 0 < token_files.input_bytes(stored)
+    token_files.write_tokens(stored, str(tmp_path / "by_volume"), path, file_bytes=token_files.input_bytes(stored) // 11)
+    assert sorted(token_files.token_digest(spark, str(tmp_path / "by_volume")).collect()) == sorted(rows)
+    assert spark.read.parquet(str(tmp_path / "by_volume")).select(F.input_file_name()).distinct().count() > 8
     import pyarrow.parquet as pq
 
     f = pq.ParquetFile(next((tmp_path / "t").glob("part-*.parquet")))
