@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import secrets
+import string
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard_join, pseudonyms, quality, substring_dedup, tiktoken_codec, token_count, token_files, url_filter, warc
+from . import decontaminate, jaccard_join, merkle, pseudonyms, quality, substring_dedup, tiktoken_codec, token_count, token_files, url_filter, warc
 from .common import fresh, saved, scratch, small_batches
 
 
@@ -88,7 +89,20 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(pages, listed, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_quality_rules, op3_token_files, op4_jaccard_join, op5_warc_derivatives, op6_token_counts, op7_pseudonyms, op8_decontamination, op9_byte_bpe, op10_url_filter)}
+LEAF_FIELDS = ["doc_id", "source", "lang", "n_chars", "text"]
+
+
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    lower = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    tampered = merkle.leaf(*[lower if f == "text" else F.col(f) for f in LEAF_FIELDS])
+    other = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, tampered)
+    rows = merkle.manifest(docs, LEAF_FIELDS, other=other).proofs()
+    rows = rows.withColumn("folded_root", merkle.fold(F.coalesce("other", "leaf"), F.col("path")))
+    return rows.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", merkle.proof_digest(F.col("path")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_quality_rules, op3_token_files, op4_jaccard_join, op5_warc_derivatives, op6_token_counts, op7_pseudonyms, op8_decontamination, op9_byte_bpe, op10_url_filter, op11_merkle_manifest)}
 
 _OP1_SQL = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -134,4 +148,47 @@ fit AS (SELECT page_id, arg_max(rhost || rpath, length(rhost || rpath)) AS rule,
 SELECT c.page_id, host, path, fit.rule, coalesce(fit.verdict, CASE WHEN listed.canonical IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict FROM c LEFT JOIN fit USING (page_id) LEFT JOIN listed ON c.canonical = listed.canonical
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_substring_dedup": _OP1_SQL, "op4_jaccard_join": _OP4_SQL, "op8_decontamination": _OP8_SQL, "op10_url_filter": _OP10_SQL}
+
+
+def _merkle_sql(depth: int = 5, top_depth: int = 3) -> str:
+    """Trees of `depth` levels of 16 hold a million leaves a source, those of `top_depth` 4,096 sources."""
+
+    def field(x: str) -> str:
+        return f"CASE WHEN {x} IS NULL THEN '-' ELSE strlen(CAST({x} AS VARCHAR)) || ':' || {x} END"
+
+    def levels(p: str, first: str, n: int) -> list[str]:
+        out = [f"{p}n0 AS ({first})"]
+        for k in range(n):
+            out.append(f"{p}r{k} AS (SELECT key, idx // 16 AS run, any_value(n) AS n, list(d ORDER BY idx) AS ds FROM {p}n{k} WHERE n > 1 GROUP BY key, idx // 16)")
+            out.append(f"{p}n{k + 1} AS (SELECT key, run AS idx, (n + 15) // 16 AS n, sha256(array_to_string(ds, '')) AS d FROM {p}r{k} UNION ALL SELECT key, idx, n, d FROM {p}n{k} WHERE n = 1)")
+        return out
+
+    def climb(p: str, first: str, n: int) -> list[str]:
+        out = [f"{p}p0 AS ({first})"]
+        for k in range(n):
+            before, after = "coalesce(array_to_string(ds[1:idx % 16], ''), '')", "coalesce(array_to_string(ds[idx % 16 + 2:], ''), '')"
+            out.append(f"{p}p{k + 1} AS (SELECT doc_id, leaf, src, subroot, a.key, idx // 16 AS idx, proof || {before} || {after} AS proof, CASE WHEN ds IS NULL THEN x ELSE sha256({before} || x || {after}) END AS x FROM {p}p{k} a LEFT JOIN {p}r{k} r ON r.key = a.key AND r.run = a.idx // 16)")
+        return out
+
+    upper, lower = string.ascii_uppercase, string.ascii_lowercase
+    names = LEAF_FIELDS[:-1]
+    head = " || ".join(field(x) for x in names)
+    table = "SELECT CAST(i AS BIGINT) AS i, CAST(i AS BIGINT) AS c FROM range(256) t(i)"
+    for _ in range(8):
+        table = f"SELECT i, xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END) AS c FROM ({table})"
+    parts = [
+        f"codes AS ({table})",
+        "ids AS (SELECT DISTINCT CAST(doc_id AS VARCHAR) AS s FROM documents WHERE doc_id IS NOT NULL)",
+        "crc AS (SELECT s, 0 AS pos, CAST(4294967295 AS BIGINT) AS c FROM ids UNION ALL SELECT s, pos + 1, xor(crc.c >> 8, codes.c) FROM crc JOIN codes ON codes.i = xor(crc.c & 255, CAST(ascii(s[pos + 1]) AS BIGINT)) WHERE pos < length(s))",
+        "tampered AS (SELECT s FROM crc WHERE pos = length(s) AND xor(c, 4294967295) % 5 = 0)",
+        f"docs AS (SELECT doc_id, coalesce('=' || source, '') AS key, sha256({head} || {field('text')}) AS leaf, sha256({head} || {field('low')}) AS low FROM (SELECT *, translate(text, '{upper}', '{lower}') AS low FROM documents))",
+        "placed AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY key) AS n FROM docs)",
+        *levels("s", "SELECT key, idx, n, leaf AS d FROM placed", depth),
+        *levels("t", f"SELECT '' AS key, row_number() OVER (ORDER BY encode(key)) - 1 AS idx, count(*) OVER () AS n, d FROM sn{depth}", top_depth),
+        *climb("s", f"SELECT doc_id, leaf, placed.key AS src, sn{depth}.d AS subroot, placed.key, placed.idx, '' AS proof, CASE WHEN t.s IS NULL THEN leaf ELSE low END AS x FROM placed JOIN sn{depth} USING (key) LEFT JOIN tampered t ON t.s = CAST(doc_id AS VARCHAR)", depth),
+        *climb("t", f"SELECT doc_id, leaf, src, subroot, '' AS key, o.idx, proof, x FROM sp{depth} JOIN (SELECT key, row_number() OVER (ORDER BY encode(key)) - 1 AS idx FROM sn{depth}) o ON o.key = src", top_depth),
+    ]
+    return f"WITH RECURSIVE {', '.join(parts)} SELECT doc_id, leaf, subroot, r.d AS root, sha256(proof) AS proof_sha256, x AS folded_root, x = r.d AS verified FROM tp{top_depth}, tn{top_depth} r"
+
+
+ORACLE_SQL: dict[str, str] = {"op1_substring_dedup": _OP1_SQL, "op4_jaccard_join": _OP4_SQL, "op8_decontamination": _OP8_SQL, "op10_url_filter": _OP10_SQL, "op11_merkle_manifest": _merkle_sql()}

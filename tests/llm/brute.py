@@ -93,3 +93,41 @@ def url(url: str | None, rules: list[tuple[str, str, str]]) -> tuple[str, str, s
         if (host == h or host.endswith("." + h)) and path.startswith(p) and (best is None or len(h + p) > len(best[0])):
             best = (h + p, verdict)
     return host, path, best and best[0], best and best[1]
+
+
+def merkle(rows: list[tuple], fanout: int, tamper) -> list[tuple]:
+    """(id, leaf, subroot, root, digest of the proof, folded root, verified) of rows (id, group, ...)."""
+    field = lambda v: "-" if v is None else f"{len(str(v).encode())}:{v}"
+    leaf = lambda r: sha("".join(map(field, r)))
+
+    def tree(nodes: list[str]) -> tuple[str, list[list[tuple[str, str]]]]:
+        paths, own, level = [[] for _ in nodes], list(range(len(nodes))), nodes
+        while len(level) > 1:
+            for i, at in enumerate(own):
+                a = at // fanout * fanout
+                paths[i].append(("".join(level[a:at]), "".join(level[at + 1 : a + fanout])))
+                own[i] = at // fanout
+            level = [sha("".join(level[a : a + fanout])) for a in range(0, len(level), fanout)]
+        return level[0], paths
+
+    groups = defaultdict(list)
+    for r in rows:
+        groups[r[1]].append(r)
+    names = sorted(groups, key=lambda g: (g is not None, (g or "").encode()))
+    trees = {}
+    for g in names:
+        groups[g].sort(key=lambda r: (r[0] is not None, r[0] or 0, leaf(r)))
+        trees[g] = tree([leaf(r) for r in groups[g]])
+    if not names:
+        return []
+    root, above = tree([trees[g][0] for g in names])
+    out = []
+    for g, up in zip(names, above):
+        subroot, paths = trees[g]
+        for r, path in zip(groups[g], paths):
+            other = tamper(r)
+            x = leaf(r if other is None else other)
+            for a, b in path + up:
+                x = sha(a + x + b)
+            out.append((r[0], leaf(r), subroot, root, sha("".join(a + b for a, b in path + up)), x, x == root))
+    return out

@@ -22,7 +22,7 @@ def tables(spark, tmp_path_factory):
     d = tmp_path_factory.mktemp("tables")
     texts = [None, "", *near_texts(60, seed=11), *odd_texts(40, seed=12), *LONG]
     texts += texts[5:9]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "1 AS id", "2 AS mark", "'x' AS quality", "3 AS n_words", "4 AS host", "5 AS tokens")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "1 AS id", "2 AS mark", "'x' AS quality", "3 AS n_words", "4 AS host", "5 AS tokens", "CASE WHEN doc_id % 11 = 0 THEN NULL WHEN doc_id = 16 THEN '' WHEN doc_id % 3 = 0 THEN 'é' ELSE concat('s', doc_id % 4) END AS source", "'en' AS lang", "nullif(doc_id % 5, 2) AS n_chars", "6 AS key", "7 AS digest", "8 AS other", "9 AS path", "10 AS part")
     docs.repartition(3).write.parquet(f"{d}/some/documents.parquet")
     docs.limit(0).write.parquet(f"{d}/none/documents.parquet")
     items = [(i, t) for i, t in enumerate([*texts[3:12], None, "", "word word", " ".join(f"w{k}" for k in range(40))])] + [(None, "w7 w8")]
@@ -111,3 +111,11 @@ def test_op9(spark, tables):
             ids = enc.encode_ordinary(text or "")
             assert (got[i].n_tokens, got[i].ids_sha256) == (len(ids), brute.sha(" ".join(map(str, ids))))
     assert got[tables[1].index(LONG[0])].n_tokens == 1_000_000
+
+
+def test_op11(spark, tables):
+    got = _rows(spark, tables, "op11_merkle_manifest")
+    rows = [(r.doc_id, r.source, r.lang, r.n_chars, r.text) for r in spark.read.parquet(f"{tables[0]}/some/documents.parquet").collect()]
+    want = brute.merkle(rows, 16, lambda r: r[:4] + (brute.lower(r[4]) if r[4] is not None else None,) if zlib.crc32(str(r[0]).encode()) % 5 == 0 else None)
+    assert sorted(tuple(r) for r in got.values()) == sorted(want)
+    assert 0 < sum(not r.verified for r in got.values()) < len(rows)
