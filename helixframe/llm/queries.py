@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard_join, merkle, pseudonyms, quality, substring_dedup, tiktoken_codec, token_count, token_files, url_filter, warc
+from . import decontaminate, jaccard_join, merkle, packing, pseudonyms, quality, rank_search, substring_dedup, tiktoken_codec, token_count, token_files, url_filter, warc
 from .common import fresh, saved, scratch, small_batches
 
 
@@ -102,7 +102,18 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", merkle.proof_digest(F.col("path")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_quality_rules, op3_token_files, op4_jaccard_join, op5_warc_derivatives, op6_token_counts, op7_pseudonyms, op8_decontamination, op9_byte_bpe, op10_url_filter, op11_merkle_manifest)}
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.cut(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), capacity=1024, end_id=2)
+    packed = packing.pack(pieces, 1024)
+    return packed.select(F.col("id").alias("doc_id"), "piece", "start", "length", F.col("crc32").alias("ids_crc32"), F.col("sequence").alias("sequence_id"), "offset")
+
+
+def op13_rank_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = rank_search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=20)
+    return found.select(F.col("item").alias("item_id"), "rank", F.col("id").alias("doc_id"), "score")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_quality_rules, op3_token_files, op4_jaccard_join, op5_warc_derivatives, op6_token_counts, op7_pseudonyms, op8_decontamination, op9_byte_bpe, op10_url_filter, op11_merkle_manifest, op12_best_fit_packing, op13_rank_search)}
 
 _OP1_SQL = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -191,4 +202,16 @@ def _merkle_sql(depth: int = 5, top_depth: int = 3) -> str:
     return f"WITH RECURSIVE {', '.join(parts)} SELECT doc_id, leaf, subroot, r.d AS root, sha256(proof) AS proof_sha256, x AS folded_root, x = r.d AS verified FROM tp{top_depth}, tn{top_depth} r"
 
 
-ORACLE_SQL: dict[str, str] = {"op1_substring_dedup": _OP1_SQL, "op4_jaccard_join": _OP4_SQL, "op8_decontamination": _OP8_SQL, "op10_url_filter": _OP10_SQL, "op11_merkle_manifest": _merkle_sql()}
+_OP13_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT row_number() OVER () AS item, item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM benchmark),
+c AS (SELECT count(*) AS n, CAST(sum(len(w)) AS BIGINT) AS l FROM d WHERE len(w) > 0),
+tf AS (SELECT r, doc_id, n, t, count(*) AS tf FROM (SELECT r, doc_id, len(w) AS n, unnest(w) AS t FROM d) GROUP BY ALL),
+df AS (SELECT t, count(*) AS df FROM tf GROUP BY t),
+q AS (SELECT item, item_id, t, count(*) AS times FROM (SELECT item, item_id, unnest(w) AS t FROM b) GROUP BY ALL),
+s AS (SELECT item, item_id, r, doc_id, CAST(sum(times * CAST(floor(1000 * ln((2 * c.n + 2) / (2 * df + 1))) AS BIGINT) * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * tf.n * c.n) // c.l)))) AS BIGINT) AS score FROM q JOIN tf USING (t) JOIN df USING (t), c GROUP BY item, item_id, r, doc_id),
+k AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM k WHERE rank <= 20
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_substring_dedup": _OP1_SQL, "op4_jaccard_join": _OP4_SQL, "op8_decontamination": _OP8_SQL, "op10_url_filter": _OP10_SQL, "op11_merkle_manifest": _merkle_sql(), "op13_rank_search": _OP13_SQL}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections import Counter, defaultdict
 
@@ -131,3 +132,24 @@ def merkle(rows: list[tuple], fanout: int, tamper) -> list[tuple]:
                 x = sha(a + x + b)
             out.append((r[0], leaf(r), subroot, root, sha("".join(a + b for a, b in path + up)), x, x == root))
     return out
+
+
+TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+
+
+def rank_search(docs: list[tuple], items: list[tuple], k: int) -> list[list[tuple]]:
+    """For each item the (rank, id, score) of its best documents."""
+    words = [(i, TERM.findall(lower(t or ""))) for i, t in docs]
+    words = [(i, w, Counter(w)) for i, w in words if w]
+    n, total = len(words), sum(len(w) for _, w, _ in words)
+    df = Counter(t for _, _, c in words for t in c)
+    out = []
+    for _, text in items:
+        scores = []
+        for i, w, c in words:
+            m = 100 - 25 + 25 * len(w) * n // total
+            score = sum(math.floor(1000 * math.log((2 * n + 2) / (2 * df[t] + 1))) * (1_000_000_000 * c[t] // (1000 * c[t] + 12 * m)) for t in TERM.findall(lower(text or "")) if t in c)
+            if score > 0:
+                scores.append((-score, i is not None, i or 0, i))
+        out.append([(r, i, -s) for r, (s, _, _, i) in enumerate(sorted(scores)[:k], 1)])
+    return out

@@ -119,3 +119,25 @@ def test_op11(spark, tables):
     want = brute.merkle(rows, 16, lambda r: r[:4] + (brute.lower(r[4]) if r[4] is not None else None,) if zlib.crc32(str(r[0]).encode()) % 5 == 0 else None)
     assert sorted(tuple(r) for r in got.values()) == sorted(want)
     assert 0 < sum(not r.verified for r in got.values()) < len(rows)
+
+
+def test_op12(spark, tables):
+    rows = QUERIES["op12_best_fit_packing"](spark, f"{tables[0]}/some").collect()
+    t, want, total = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), [], 0
+    for i, text in enumerate(tables[1]):
+        ids = np.array([*t.encode(text or "", add_special_tokens=False).ids, 2], "<u4")
+        cuts = [0, *range(len(ids) % 1024 or 1024, len(ids), 1024), len(ids)]
+        want += [(i, k, a, b - a, zlib.crc32(ids[a:b].tobytes())) for k, (a, b) in enumerate(zip(cuts, cuts[1:]))]
+        total += len(ids)
+    assert sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows) == want
+    ends = {}
+    for r in sorted(rows, key=lambda r: r.offset):
+        assert ends.get(r.sequence_id, 0) == r.offset
+        ends[r.sequence_id] = r.offset + r.length
+    assert max(ends.values()) <= 1024 and len(ends) <= -(-total // 1024) + 3
+
+
+def test_op13(spark, tables):
+    rows = QUERIES["op13_rank_search"](spark, f"{tables[0]}/some").collect()
+    want = brute.rank_search(list(enumerate(tables[1])), tables[2], 20)
+    assert sorted((str(r.item_id), r["rank"], r.doc_id, r.score) for r in rows) == sorted((str(i), *x) for (i, _), best in zip(tables[2], want) for x in best)
