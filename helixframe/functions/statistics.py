@@ -13,18 +13,16 @@ from pyspark.sql import types as T
 QUANTILES = {"median": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}
 
 
-def average_rank(value: str, keys: list[str]) -> Column:
-    """Rank within keys, ties sharing their mean rank."""
-    w = Window.partitionBy(*keys)
-    return F.rank().over(w.orderBy(value)) + (F.count("*").over(Window.partitionBy(*keys, value)) - 1) / 2
-
-
 def auc(df: DataFrame, value: str, positive: Column, keys: list[str]) -> DataFrame:
-    """(keys, auc, n_pos, n_neg): the normalised rank sum of the positives; null where a class is empty."""
-    ranked = df.withColumn("rank_", average_rank(value, keys)).withColumn("pos_", positive)
-    p, n = F.count_if("pos_"), F.count_if(~F.col("pos_"))
-    area = (F.sum(F.when(F.col("pos_"), F.col("rank_"))) - p * (p + 1) / 2) / F.nullif(p * n, F.lit(0))
-    return ranked.groupBy(*keys).agg(area.alias("auc"), p.alias("n_pos"), n.alias("n_neg"))
+    """(keys, auc, n_pos, n_neg): the normalised rank sum of the positives, ties sharing their mean rank; null where a class is empty.
+
+    Rows are counted by value first, and prefix sums run by range of values, so no key's rows meet in one task.
+    """
+    counts = df.groupBy(*keys, F.col(value).alias("v_")).agg(F.count_if(positive).alias("p_"), F.count_if(~F.coalesce(positive, F.lit(False))).alias("n_"))
+    run = running_before(counts, "v_", ["n_"], keys)
+    p, n = F.sum("p_"), F.sum("n_")
+    won = F.sum(F.col("p_") * (F.col("before_n_") + F.col("n_") / 2))
+    return run.groupBy(*keys).agg((won / F.nullif(p * n, F.lit(0))).alias("auc"), p.alias("n_pos"), n.alias("n_neg"))
 
 
 AGGREGATORS: dict[str, object] = {}
@@ -37,15 +35,43 @@ def register_aggregator(name: str, make) -> None:
     AGGREGATORS[name] = make
 
 
+def with_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """A join on keys in which a null equals a null; keys stand once."""
+    named = right.withColumnsRenamed({k: f"{k}_r_" for k in keys})
+    on = F.lit(True)
+    for k in keys:
+        on = on & left[k].eqNullSafe(named[f"{k}_r_"])
+    return left.join(named, on, how).drop(*[f"{k}_r_" for k in keys])
+
+
 def aggregate_all(df: DataFrame, keys: list[str], value: str = "score", tops: tuple[int, ...] = (100, 500)) -> DataFrame:
-    """(keys, aggregator, value) for every named aggregator: max, mean, median, percentiles, means of the top k (all rows if fewer), and registered ones."""
-    w = Window.partitionBy(*keys).orderBy(F.desc(value))
-    ranked = df.withColumn("rn_", F.row_number().over(w))
+    """(keys, aggregator, value) for every named aggregator: max, mean, median, percentiles, means of the top k (all rows if fewer), and registered ones.
+
+    Values are counted first. A prefix sum of the counts says which ranks of its key a value holds, and with them whether it is a
+    quantile's neighbour and how often it is among the top k: everything is a sum over values, and no key's rows meet in one task.
+    """
     v = F.col(value)
-    more = {n: make(v).cast("double").alias(n) for n, make in AGGREGATORS.items()}
-    wide = ranked.groupBy(*keys).agg(F.max(v).alias("max"), F.avg(v).alias("mean"), F.percentile(v, F.array(*[F.lit(q) for q in QUANTILES.values()])).alias("q_"), *[F.avg(F.when(F.col("rn_") <= k, v)).alias(f"top{k}") for k in tops], *more.values())
-    named = wide.select(*keys, "max", "mean", *[F.col("q_")[i].alias(n) for i, n in enumerate(QUANTILES)], *[f"top{k}" for k in tops], *more)
-    return named.unpivot(keys, ["max", "mean", *QUANTILES, *[f"top{k}" for k in tops], *more], "aggregator", "value")
+    counts = df.groupBy(*keys, v).agg(F.count("*").alias("c_"))
+    sizes = counts.filter(v.isNotNull()).groupBy(*keys).agg(F.sum("c_").alias("n_"))
+    run = with_keys(running_before(counts.filter(v.isNotNull()), value, ["c_"], keys), sizes, keys)
+    before, c, n = F.col("before_c_"), F.col("c_"), F.col("n_")
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((before <= rank) & (rank < before + c), v))
+
+    spots, parts = {}, []
+    for name, q in QUANTILES.items():
+        spot = F.lit(q) * (n - 1)
+        parts += [at(F.floor(spot)).alias(f"{name}_a"), at(F.ceil(spot)).alias(f"{name}_b"), F.first(spot - F.floor(spot)).alias(f"{name}_s")]
+        spots[name] = F.col(f"{name}_a") + F.col(f"{name}_s") * (F.col(f"{name}_b") - F.col(f"{name}_a"))
+    for k in tops:
+        taken = F.greatest(F.lit(0), F.least(c, F.lit(k) - (n - before - c)))
+        parts.append((F.sum(taken * v) / F.sum(taken)).alias(f"top{k}"))
+    wide = run.groupBy(*keys).agg(F.max(v).alias("max"), (F.sum(c * v) / F.sum(c)).alias("mean"), *parts)
+    named = wide.select(*keys, F.col("max").cast("double").alias("max"), "mean", *[x.cast("double").alias(name) for name, x in spots.items()], *[f"top{k}" for k in tops])
+    if AGGREGATORS:
+        named = with_keys(named, df.groupBy(*keys).agg(*[make(v).cast("double").alias(name) for name, make in AGGREGATORS.items()]), keys)
+    return named.unpivot(keys, ["max", "mean", *QUANTILES, *[f"top{k}" for k in tops], *AGGREGATORS], "aggregator", "value")
 
 
 def hash_order(seed: int, *parts) -> Column:
@@ -61,33 +87,37 @@ def bandwidth(n: Column, deviation: Column) -> Column:
 CHUNK = 4096
 
 
-@F.arrow_udf(T.ArrayType(T.DoubleType()))
-def _kernel_sums(lo: pa.Array, step: pa.Array, m: pa.Array, h: pa.Array, values: pa.Array) -> pa.Array:
-    """The sum of Gaussian bumps around some counted values at each grid point."""
+@F.arrow_udf(T.ArrayType(T.ArrayType(T.DoubleType())))
+def _kernel_sums(grids: pa.Array, values: pa.Array) -> pa.Array:
+    """The sums of Gaussian bumps around some counted values, at the points of each of some grids."""
     out = []
-    for a, s, n, width, v in zip(lo.to_pylist(), step.to_pylist(), m.to_pylist(), h.to_pylist(), values):
-        x, points, counts, y = a + np.arange(n) * s, np.asarray(v.values.field("v")), np.asarray(v.values.field("c")), np.zeros(n)
-        for i in range(0, len(points), 512):
-            z = (x[:, None] - points[None, i : i + 512]) / width
-            y += np.exp(-0.5 * z * z) @ counts[i : i + 512]
-        out.append(y)
-    return pa.array(out, pa.list_(pa.float64()))
+    for on, v in zip(grids.to_pylist(), values):
+        points, counts, sums = np.asarray(v.values.field("v")), np.asarray(v.values.field("c")), []
+        for g in on:
+            x, y = g["lo"] + np.arange(g["m"]) * g["step"], np.zeros(g["m"])
+            for i in range(0, len(points), 512):
+                z = (x[:, None] - points[None, i : i + 512]) / g["h"]
+                y += np.exp(-0.5 * z * z) @ counts[i : i + 512]
+            sums.append(y)
+        out.append(sums)
+    return pa.array(out, pa.list_(pa.list_(pa.float64())))
 
 
 def gaussian_density(points: DataFrame, grids: DataFrame, keys: list[str], value: str, own: list[str] | None = None) -> DataFrame:
     """(keys, grid_i, x, y): kernel density of each key's points on its own grid.
 
     grids: (keys, n, h, lo, step, m) with h the bandwidth. `own` are the keys that points have (all, if not given): a subject's
-    points may lie on the grids of many pairs. Equal values are counted first, and packed about `CHUNK` at a time by hash, so a key's
-    points never meet in one task.
+    points may lie on the grids of many pairs, which they meet as one list. Equal values are counted first, and packed about `CHUNK` at a time
+    by hash, so a key's points never meet in one task.
     """
     own = keys if own is None else own
-    sizes = grids.groupBy(*own).agg(F.ceil(F.max("n") / CHUNK).cast("int").alias("chunks_"))
-    counted = points.groupBy(*own, F.col(value).cast("double").alias("v")).agg(F.count("*").cast("double").alias("c")).join(sizes, own)
+    rest = [c for c in keys if c not in own]
+    lists = grids.groupBy(*own).agg(F.collect_list(F.struct(*rest, "n", "h", "lo", "step", "m")).alias("grids_"), F.ceil(F.max("n") / CHUNK).cast("int").alias("chunks_"))
+    counted = points.groupBy(*own, F.col(value).cast("double").alias("v")).agg(F.count("*").cast("double").alias("c")).join(lists.select(*own, "chunks_"), own)
     packed = counted.groupBy(*own, F.pmod(F.xxhash64("v"), F.col("chunks_")).alias("chunk_")).agg(F.collect_list(F.struct("v", "c")).alias("values_"))
-    laid = packed.join(grids, own)
-    summed = laid.select(*keys, "n", "h", "lo", "step", _kernel_sums("lo", "step", "m", "h", "values_").alias("sums_"))
-    sums = summed.select(*keys, "n", "h", "lo", "step", F.posexplode("sums_").alias("grid_i", "y_"))
+    summed = packed.join(lists.select(*own, "grids_"), own).select(*own, "grids_", _kernel_sums("grids_", "values_").alias("sums_"))
+    each = summed.select(*own, F.explode(F.arrays_zip("grids_", "sums_")).alias("z_"))
+    sums = each.select(*own, "z_.grids_.*", F.posexplode("z_.sums_").alias("grid_i", "y_"))
     density = F.sum("y_") / (F.first("n") * F.first("h") * math.sqrt(2 * math.pi))
     return sums.groupBy(*keys, "grid_i").agg((F.first("lo") + F.col("grid_i") * F.first("step")).alias("x"), density.alias("y"))
 
@@ -123,16 +153,21 @@ def value_at_rank(df: DataFrame, column: str, rank: int, n: int, held: int = 1 <
     return value, below + first, equal
 
 
-def quantile(df: DataFrame, column: str, q: float) -> float | None:
-    """The interpolated quantile of a whole table's values (nulls left out), by `value_at_rank`."""
-    rows = df.filter(F.col(column).isNotNull() & ~F.isnan(column))
-    n = rows.count()
-    if not n:
-        return None
-    at = q * (n - 1)
-    low = int(at)
-    a = value_at_rank(rows, column, low, n)[0]
-    return a if at == low else a + (at - low) * (value_at_rank(rows, column, low + 1, n)[0] - a)
+def quantiles(df: DataFrame, column: str, qs: dict[str, float]) -> DataFrame:
+    """One row: the interpolated quantiles of a whole table's values by name (nulls and NaN left out; null where there is none).
+
+    Values are counted once; prefix sums by range say which ranks each holds, so all quantiles come from one pass over the counts.
+    """
+    v = F.col(column)
+    counts = df.filter(v.isNotNull() & ~F.isnan(v)).groupBy(v).agg(F.count("*").alias("c_"))
+    size = counts.agg(F.sum("c_").alias("n_"))
+    run = running_before(counts, column, ["c_"]).join(F.broadcast(size), F.lit(True))
+    before, c, picks = F.col("before_c_"), F.col("c_"), []
+    for name, q in qs.items():
+        spot = F.lit(q) * (F.col("n_") - 1)
+        low, high = (F.max(F.when((before <= r) & (r < before + c), v)) for r in (F.floor(spot), F.ceil(spot)))
+        picks.append((low + F.max(spot - F.floor(spot)) * (high - low)).alias(name))
+    return run.agg(*picks)
 
 
 def trapezoid(df: DataFrame, keys: list[str], y: Column, order: str = "grid_i", x: str = "x") -> DataFrame:
@@ -145,36 +180,52 @@ def trapezoid(df: DataFrame, keys: list[str], y: Column, order: str = "grid_i",
 MOST_PARTS = 512
 
 
-def running_before(df: DataFrame, order: str, columns: list[str]) -> DataFrame:
-    """Adds before_<c>, the sum of c over all rows before in `order` (distinct finite numbers).
+def running_before(df: DataFrame, order: str, columns: list[str], keys: list[str] = []) -> DataFrame:  # noqa: B006
+    """Adds before_<c>, the sum of c over all rows before in `order` (distinct numbers), within keys if given.
 
-    Rows are dealt to ranges between cut points, then summed by range (a row each) and inside. The cut points are values in the
-    plan, so both readers of the table deal its rows alike, however Spark partitions them.
+    Rows are dealt to ranges between cut points, then summed by range (a row each, or one for each key in it) and inside. The cut points are
+    quantiles of all rows, so a range holds few of them, whatever their keys; they are values in the plan, so both readers of the
+    table deal its rows alike, however Spark partitions them.
     """
     parts = min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), MOST_PARTS)
     cuts = sorted(set(df.approxQuantile(order, [i / parts for i in range(1, parts)], 0.25 / parts))) if parts > 1 else []
     part = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col(order))) if cuts else F.lit(0)
-    placed = df.withColumn("part_", part)
-    totals = placed.groupBy("part_").agg(*[F.sum(c).alias(f"t_{c}") for c in columns])
-    w = Window.orderBy("part_")
-    bases = totals.select("part_", *[(F.sum(f"t_{c}").over(w) - F.col(f"t_{c}")).alias(f"b_{c}") for c in columns])
-    inside = Window.partitionBy("part_").orderBy(order)
-    out = placed.join(F.broadcast(bases), "part_")
+    return _within_parts(df.withColumn("part_", part), [order], columns, keys)
+
+
+def _within_parts(placed: DataFrame, order: list, columns: list[str], keys: list[str]) -> DataFrame:
+    """Prefix sums of rows that are dealt to parts (part_) in ascending order."""
+    totals = placed.groupBy(*keys, "part_").agg(*[F.sum(c).alias(f"t_{c}") for c in columns])
+    w = (Window.partitionBy(*keys) if keys else Window).orderBy("part_")
+    bases = totals.select(*keys, "part_", *[(F.sum(f"t_{c}").over(w) - F.col(f"t_{c}")).alias(f"b_{c}") for c in columns])
+    inside = Window.partitionBy(*keys, "part_").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = with_keys(placed, bases, [*keys, "part_"]) if keys else placed.join(F.broadcast(bases), "part_")
     for c in columns:
         out = out.withColumn(f"before_{c}", F.col(f"b_{c}") + F.sum(c).over(inside) - F.col(c))
     return out.drop("part_", *[f"b_{c}" for c in columns])
 
 
-def auc_of_reads(df: DataFrame, value: str, positive: Column) -> DataFrame:
-    """(auc, n_pos, n_neg) over a whole table: rows are counted by distinct value first, and no window spans the table."""
-    counts = df.groupBy(F.col(value).alias("v_")).agg(F.count_if(positive).alias("p_"), F.count_if(~positive).alias("n_"))
-    run = running_before(counts, "v_", ["n_"])
-    p, n = F.sum("p_"), F.sum("n_")
-    won = F.sum(F.col("p_") * (F.col("before_n_") + F.col("n_") / 2))
-    return run.agg((won / F.nullif(p * n, F.lit(0))).alias("auc"), p.alias("n_pos"), n.alias("n_neg"))
+def digest_rank(df: DataFrame, digest: Column, ident: str, keys: list[str]) -> DataFrame:
+    """Adds rn, the place from 1 within keys in order of a hexadecimal digest, then `ident`.
 
+    Digests are spread evenly, so their first digits deal the rows of any key to parts of even size.
+    """
+    parts = min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), MOST_PARTS)
+    head = F.conv(F.substring("digest_", 1, 6), 16, 10).cast("long")
+    placed = df.withColumn("digest_", digest).withColumn("one_", F.lit(1)).withColumn("part_", F.floor(head * parts / (1 << 24)).cast("int"))
+    return _within_parts(placed, ["digest_", ident], ["one_"], keys).withColumn("rn", F.col("before_one_") + 1).drop("digest_", "one_", "before_one_")
 
-def spearman(df: DataFrame, a: str, b: str, keys: list[str]) -> DataFrame:
-    """(keys, spearman): correlation of average ranks."""
-    ranked = df.withColumn("ra_", average_rank(a, keys)).withColumn("rb_", average_rank(b, keys))
-    return ranked.groupBy(*keys).agg(F.corr("ra_", "rb_").alias("spearman"), F.count("*").alias("n"))
+
+def auc_of_reads(df: DataFrame, value: str, positive: Column) -> DataFrame:
+    """(auc, n_pos, n_neg) over a whole table."""
+    return auc(df, value, positive, [])
+
+
+def spearman(df: DataFrame, a: str, b: str, keys: list[str] = []) -> DataFrame:  # noqa: B006
+    """(keys, spearman, n): correlation of average ranks. Ranks are those of counted values; rows get them by a join on the value."""
+    rows = df.select(*keys, F.col(a).alias("a_"), F.col(b).alias("b_"))
+    for v in ("a_", "b_"):
+        counts = rows.groupBy(*keys, v).agg(F.count("*").alias("c_"))
+        ranks = running_before(counts, v, ["c_"], keys).select(*keys, v, (F.col("before_c_") + (F.col("c_") + 1) / 2).alias(f"r{v}"))
+        rows = with_keys(rows, ranks, [*keys, v])
+    return rows.groupBy(*keys).agg(F.corr("ra_", "rb_").alias("spearman"), F.count("*").alias("n"))

@@ -6,12 +6,16 @@ order of sums. Kernel weights multiply later, on sums of one k.
 
 from __future__ import annotations
 
+import itertools
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.sequences import active_ks, in_vocabulary, kmers, neighbourhood, weighted_neighbourhood
+from ..functions.sequences import ALPHABET, active_ks, kmers, neighbourhood
 
 READ = ["patient", "read_idx"]
 
@@ -30,18 +34,85 @@ def mismatch_counts(reads: DataFrame, k: int, m: int = 1) -> DataFrame:
 def weighted_features(reads: DataFrame, k: int, m: int = 1, decay: float = 0.5) -> DataFrame:
     """(patient, read_idx, k, kmer, w): neighbours weigh decay ** distance, and only strings of the alphabet count.
 
-    Neighbourhoods are made once for each distinct k-mer and joined, not once for each read.
+    Strings are numbers in the alphabet's base. A read's k-mers are counted and expanded where the read is, by arithmetic on whole batches:
+    nothing is shuffled. (patient, read_idx) names one read.
 
     Without mismatches or decay it is the plain (neighbour) count, over whatever letters occur.
     """
     if m == 0 or decay == 1.0:
         counts = kmer_counts(reads, k) if m == 0 else mismatch_counts(reads, k, m)
         return counts.select(*READ, F.lit(k).alias("k"), "kmer", F.col("cnt").cast("double").alias("w"))
-    counts = kmer_counts(reads, k)
-    near = counts.select("kmer").distinct().select("kmer", F.explode(weighted_neighbourhood(F.col("kmer"), k, m)).alias("x"))
-    near = near.select("kmer", "x.neighbor", F.pow(F.lit(decay), F.col("x.dist")).alias("share")).filter(in_vocabulary(F.col("neighbor"), k))
-    w = F.sum(F.col("cnt") * F.col("share"))
-    return counts.join(near, "kmer").groupBy(*READ, F.col("neighbor").alias("kmer")).agg(w.alias("w")).select(*READ, F.lit(k).alias("k"), "kmer", "w")
+
+    def work(batches):
+        names = strings_of(k)
+        for b in batches:
+            for i, j, seqs in _slices(b.column(2), LETTERS):
+                row, code, w = expanded(seqs, k, m, decay)
+                for at in range(0, len(row), ROWS):
+                    part = slice(at, at + ROWS)
+                    own = pa.array(row[part] + i)
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(own), b.column(1).take(own), pa.array(np.full(len(own), k, np.int32)), names.take(pa.array(code[part])), pa.array(w[part])], ["patient", "read_idx", "k", "kmer", "w"])
+
+    kinds = ", ".join(f"{c} {reads.schema[c].dataType.simpleString()}" for c in READ)
+    return reads.select(*READ, F.upper("seq").alias("seq")).mapInArrow(work, f"{kinds}, k int, kmer string, w double")
+
+
+#: Letters of the reads that are expanded at once, and rows that are handed back at once.
+LETTERS, ROWS = 1 << 16, 1 << 20
+
+
+def _slices(seqs: pa.Array, letters: int):
+    """(from, to, the sequences as bytes) of runs of rows of about so many letters; a longer one is a run of its own. Null is empty."""
+    texts = seqs.fill_null("").cast(pa.large_binary())
+    n = np.asarray(pc.binary_length(texts)).astype(np.int64)
+    ends, i = np.cumsum(n), 0
+    while i < len(n):
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + letters, "right")))
+        yield i, j, texts[i:j].to_pylist()
+        i = j
+
+
+def strings_of(k: int) -> pa.Array:
+    """The string of every number below alphabet ** k."""
+    letters = np.frombuffer("".join(ALPHABET).encode(), np.uint8)
+    codes = np.arange(len(ALPHABET) ** k)
+    text = np.stack([letters[codes // len(ALPHABET) ** p % len(ALPHABET)] for p in reversed(range(k))], 1).tobytes().decode()
+    return pa.array([text[i : i + k] for i in range(0, len(text), k)])
+
+
+def expanded(seqs: list[bytes], k: int, m: int, decay: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(read, string, weight) of some sequences: every string within m substitutions of a k-mer, by read and string.
+
+    A letter beyond the alphabet must be substituted for the string to count.
+    """
+    base, n = len(ALPHABET), len(ALPHABET) ** k
+    digit_of = np.full(256, -1, np.int64)
+    digit_of[np.frombuffer("".join(ALPHABET).encode(), np.uint8)] = np.arange(base)
+    size = np.array([len(s) for s in seqs], np.int64)
+    text = np.frombuffer(b"".join(seqs), np.uint8)
+    starts = np.arange(len(text))
+    read = np.repeat(np.arange(len(seqs)), size)
+    whole = starts + k <= np.repeat(np.cumsum(size), size)
+    starts, read = starts[whole], read[whole]
+    letters = digit_of[text[starts[:, None] + np.arange(k)]].reshape(-1, k) if len(starts) else np.zeros((0, k), np.int64)
+    # equal k-mers of a read are one, with a count; unknown letters of different kinds are all alike
+    marked, power = ((letters + 1) * (base + 1) ** np.arange(k)[::-1]).sum(1), base ** np.arange(k)[::-1]
+    _, first, count = np.unique(read * (base + 1) ** k + marked, return_index=True, return_counts=True)
+    letters, read = letters[first], read[first]
+    unknown, code = letters < 0, (np.maximum(letters, 0) * power).sum(1)
+    own = np.flatnonzero(~unknown.any(1))
+    keys, weights = [read[own] * n + code[own]], [count[own].astype(np.float64)]
+    for d in range(1, m + 1):
+        for at in itertools.combinations(range(k), d):
+            fixed = np.delete(unknown, at, axis=1).any(1)
+            rest = np.flatnonzero(~fixed)
+            for new in itertools.product(range(base), repeat=d):
+                ok = rest[(letters[rest][:, at] != np.array(new)).all(1)]
+                moved = code[ok] + sum((x - np.maximum(letters[ok, p], 0)) * power[p] for p, x in zip(at, new))
+                keys.append(read[ok] * n + moved)
+                weights.append(count[ok] * decay**d)
+    key, place = np.unique(np.concatenate(keys), return_inverse=True)
+    return key // n, key % n, np.bincount(place, np.concatenate(weights), len(key))
 
 
 def combined_features(reads: DataFrame, max_k: int, m: int, weights: list[float], decay: float = 0.5) -> DataFrame:

@@ -1,12 +1,14 @@
 """One-class SVM: minimise a'Ka / 2 with 0 <= a <= 1 and sum a = nu * n, the scaling under which scores are published.
 
-The exact solver pairs the two most violating coordinates on the driver, for a few thousand reads. On low-rank maps the
-primal runs distributed: each pass sums (sub)gradients over partitions, so reads never meet on the driver.
+The exact solver takes small working sets of the most violating reads. Their kernel rows come from the executors and stay in a bounded
+cache; the driver holds a few numbers a read, never a kernel. On low-rank maps the primal runs distributed: each pass
+sums (sub)gradients over partitions, so reads never meet on the driver.
 """
 
 from __future__ import annotations
 
 import warnings
+from collections import OrderedDict
 from dataclasses import dataclass
 
 import numpy as np
@@ -14,11 +16,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.statistics import at_rank, value_at_rank
+from ..functions.statistics import value_at_rank
+from .kernel_rows import KernelRows
 
-MAX_EXACT = 6000
+#: The driver's arrays of one number a read, and all rows of its cache.
+MAX_EXACT, CACHE_BYTES = 10_000_000, 256 << 20
 MAX_PASSES = 1000
-HELD = 1 << 25
 
 
 @dataclass
@@ -27,68 +30,151 @@ class OneClass:
     rho: float
 
 
-def solve(kernel: np.ndarray, nu: float, tol: float = 1e-3, max_steps: int | None = None) -> OneClass:
-    """Sequential minimal optimisation over a precomputed kernel."""
-    n = len(kernel)
+def _first_alpha(n: int, nu: float) -> np.ndarray:
     if not 0 < nu <= 1:
         raise ValueError("nu lies in (0, 1]")
-    if n > MAX_EXACT:
-        raise ValueError(f"the exact solver holds the kernel on the driver: at most {MAX_EXACT} reads")
     alpha = np.zeros(n)
     full = int(nu * n)
     alpha[:full] = 1
     if full < n:
         alpha[full] = nu * n - full
-    grad = kernel @ alpha
+    return alpha
+
+
+def _optimise(kernel: np.ndarray, alpha: np.ndarray, grad: np.ndarray, tol: float, max_steps: int) -> None:
+    """Sequential minimal optimisation in place: the two most violating coordinates at a time, by second-order gain."""
     diag = np.diag(kernel)
-    for _ in range(max_steps or max(10_000_000, 100 * n)):
+    for _ in range(max_steps):
         up, down = alpha < 1, alpha > 0
+        if not up.any() or not down.any():
+            return
         i = int(np.argmin(np.where(up, grad, np.inf)))
         gap = np.where(down, grad - grad[i], -np.inf)
         if gap.max() < tol:
-            break
+            return
         curve = np.maximum(diag[i] + diag - 2 * kernel[i], 1e-12)
         j = int(np.argmax(np.where(gap > 0, gap * gap / curve, -np.inf)))
         step = min(gap[j] / curve[j], 1 - alpha[i], alpha[j])
         alpha[i] += step
         alpha[j] -= step
+        if alpha[i] > 1 - 1e-12:
+            alpha[i] = 1.0
+        if alpha[j] < 1e-12:
+            alpha[j] = 0.0
         grad += step * (kernel[i] - kernel[j])
+
+
+def _rho(alpha: np.ndarray, grad: np.ndarray) -> float:
     free = (alpha > 0) & (alpha < 1)
     if free.any():
-        rho = float(grad[free].mean())
-    else:
-        lower = grad[alpha >= 1].max() if (alpha >= 1).any() else -np.inf
-        upper = grad[alpha <= 0].min() if (alpha <= 0).any() else np.inf
-        rho = float((lower + upper) / 2) if np.isfinite(lower + upper) else float(lower if np.isfinite(lower) else upper)
-    return OneClass(alpha, rho)
-
-
-def _key(ident):
-    return tuple(ident) if isinstance(ident, tuple) else ident
-
-
-def dense(products: DataFrame, order: list) -> np.ndarray:
-    """A symmetric matrix of (i, j, k); cells arrive as Arrow columns, ids as places in `order`."""
-    kind = products.schema["i"].dataType.simpleString()
-    places = F.broadcast(products.sparkSession.createDataFrame([(k, n) for n, k in enumerate(order)], f"id {kind}, place int"))
-    cells = products.join(places.withColumnsRenamed({"id": "i", "place": "x"}), "i").join(places.withColumnsRenamed({"id": "j", "place": "y"}), "j").select("x", "y", "k").toArrow()
-    x, y, k = (np.asarray(cells[c]) for c in ("x", "y", "k"))
-    out = np.zeros((len(order), len(order)))
-    out[x, y] = k
-    out[y, x] = k
+        return float(grad[free].mean())
+    lower = grad[alpha >= 1].max() if (alpha >= 1).any() else -np.inf
+    upper = grad[alpha <= 0].min() if (alpha <= 0).any() else np.inf
+    return float((lower + upper) / 2) if np.isfinite(lower + upper) else float(lower if np.isfinite(lower) else upper)
+
+
+def solve(kernel: np.ndarray, nu: float, tol: float = 1e-3, max_steps: int | None = None) -> OneClass:
+    """The model of a small precomputed kernel."""
+    n = len(kernel)
+    alpha = _first_alpha(n, nu)
+    grad = kernel @ alpha
+    _optimise(kernel, alpha, grad, tol, max_steps or max(10_000_000, 100 * n))
+    return OneClass(alpha, _rho(alpha, grad))
+
+
+class _Cache:
+    """Kernel rows over the active places, the latest used; all are cut when places leave."""
+
+    def __init__(self, rows: KernelRows, most: int):
+        self.rows, self.most, self.kept, self.active = rows, most, OrderedDict(), np.arange(rows.n)
+
+    def get(self, which: np.ndarray) -> np.ndarray:
+        missing = np.array([w for w in which.tolist() if w not in self.kept], np.int64)
+        if len(missing):
+            self.kept.update(zip(missing.tolist(), self.rows.rows(missing, self.active)))
+        out = np.array([self.kept[w] for w in which.tolist()])
+        for w in which.tolist():
+            self.kept.move_to_end(w)
+        while len(self.kept) > self.most:
+            self.kept.popitem(last=False)
+        return out
+
+    def shrink(self, keep: np.ndarray) -> None:
+        """Go on with the flagged ones of the active places."""
+        self.active = self.active[keep]
+        self.kept = OrderedDict((w, row[keep]) for w, row in self.kept.items())
+
+    def reset(self) -> None:
+        self.active, self.kept = np.arange(self.rows.n), OrderedDict()
+
+
+def solve_rows(rows: KernelRows, nu: float, tol: float = 1e-3, *, working: int = 256, cache_rows: int | None = None, start: np.ndarray | None = None, max_rounds: int = 10_000) -> OneClass:
+    """The model of any number of reads, by working sets.
+
+    Each round takes the reads that violate optimality most, at most `working`, solves for them alone and moves the gradient along
+    their kernel rows. Reads at a bound that no violating pair can use leave the active places; once those that are left are
+    optimal, the whole gradient is made anew and all reads are looked at again. `cache_rows` (by default what CACHE_BYTES hold) are kept.
+    """
+    n = rows.n
+    if n > MAX_EXACT:
+        raise ValueError(f"the exact solver holds arrays over all reads on the driver: at most {MAX_EXACT}; use fit_primal")
+    most = max(working, CACHE_BYTES // (8 * max(n, 1))) if cache_rows is None else cache_rows
+    alpha = _first_alpha(n, nu) if start is None else start.copy()
+    if not n:
+        return OneClass(alpha, 0.0)
+    grad, cache, working = rows.combine(alpha), _Cache(rows, most), max(2, min(working, most, n))
+    for round_ in range(max_rounds):
+        active = cache.active
+        a, g = alpha[active], grad[active]
+        up, down = a < 1, a > 0
+        low, high = (g[up].min() if up.any() else np.inf), (g[down].max() if down.any() else -np.inf)
+        if high - low < tol:
+            if len(active) == n:
+                return OneClass(alpha, _rho(alpha, grad))
+            grad = rows.combine(alpha)
+            cache.reset()
+            continue
+        ups, downs = np.flatnonzero(up), np.flatnonzero(down)
+        half = working // 2
+        ups = ups[np.argsort(g[ups], kind="stable")[: working - half]]
+        downs = downs[np.argsort(-g[downs], kind="stable")[:half]]
+        at = np.unique(np.concatenate([ups[g[ups] < high], downs[g[downs] > low]]))
+        which = active[at]
+        k = cache.get(which)
+        a, g, before = a[at].copy(), g[at].copy(), a[at].copy()
+        _optimise(k[:, at], a, g, tol / 2, 200 * len(at))
+        alpha[which] = a
+        grad[active] += (a - before) @ k
+        if round_ % 4 == 3:
+            a, g = alpha[active], grad[active]
+            low, high = g[a < 1].min(initial=np.inf), g[a > 0].max(initial=-np.inf)
+            idle = ((a <= 0) & (g > high)) | ((a >= 1) & (g < low))
+            if 10 * idle.sum() > len(active):
+                cache.shrink(~idle)
+    raise RuntimeError(f"the optimality gap does not meet its tolerance after {max_rounds} rounds")
+
+
+def repaired(alpha: np.ndarray, total: float) -> np.ndarray:
+    """Weights near alpha, from 0 to 1, whose sum is `total`: scaled, cut at 1, and what is missing spread over the room that is left."""
+    own = alpha.sum()
+    out = np.minimum(alpha * (total / own), 1.0) if own > 0 else np.zeros_like(alpha)
+    missing, room = total - out.sum(), (1 - out).sum()
+    return out if missing <= 0 or room <= 0 else np.minimum(out + (1 - out) * (missing / room), 1.0)
+
+
+def solve_path(rows: KernelRows, nus: list[float], tol: float = 1e-3, **options) -> dict[float, OneClass]:
+    """A model for each nu, in ascending order, each begun at the weights of the one before."""
+    out: dict[float, OneClass] = {}
+    for nu in sorted(set(nus)):
+        start = repaired(out[max(out)].alpha, nu * rows.n) if out else None
+        out[nu] = solve_rows(rows, nu, tol, start=start, **options)
     return out
 
 
-def fit_exact(products: DataFrame, nu: float) -> tuple[DataFrame, float]:
-    """((id, alpha) of the support vectors, rho) from a normalised kernel (i, j, k), i <= j."""
-    ids = products.select("i").union(products.select("j")).distinct().limit(MAX_EXACT + 1).collect()
-    order = sorted(_key(r[0]) for r in ids)
-    if len(order) > MAX_EXACT:
-        raise ValueError(f"the exact solver holds the kernel on the driver: at most {MAX_EXACT} reads; use fit_primal")
-    model = solve(dense(products, order), nu)
-    kind = products.schema["i"].dataType.simpleString()
-    rows = [(k, float(a)) for k, a in zip(order, model.alpha) if a > 0]
-    return products.sparkSession.createDataFrame(rows, f"id {kind}, alpha double"), model.rho
+def fit_rows(rows: KernelRows, nu: float, tol: float = 1e-3, **options) -> tuple[DataFrame, float]:
+    """((id, alpha) of the support vectors, rho)."""
+    model = solve_rows(rows, nu, tol, **options)
+    return rows.with_alpha(model.alpha), model.rho
 
 
 def decide(cross: DataFrame, alpha: DataFrame, rho: float) -> DataFrame:
@@ -164,17 +250,12 @@ def fit_primal(phi: DataFrame, nu: float, passes: int | None = None) -> tuple[np
     Frank-Wolfe on the dual, fully corrective: each pass sends w to the partitions, finds the score of rank nu * n
     (`statistics.value_at_rank`), and returns the sum of the vectors below it; w is then the shortest vector in the hull of those
     sums. It ends when the duality gap meets its tolerance, and raises if that takes more than MAX_PASSES; where the caller bounds `passes`, it warns instead.
-    Maps of at most HELD numbers take the same passes on the driver.
     """
     phi = phi.select("phi").cache()
     n, d = phi.count(), len(phi.first().phi)
     budget = nu * n
-    here = _matrix(phi.toArrow()["phi"].combine_chunks(), d) if n * d <= HELD else None
 
     def summed(weight) -> np.ndarray:
-        if here is not None:
-            return weight(here) @ here
-
         def work(batches):
             total = np.zeros(d)
             for b in batches:
@@ -191,11 +272,7 @@ def fit_primal(phi: DataFrame, nu: float, passes: int | None = None) -> tuple[np
     rho, met, atoms, share_of = 0.0, False, w[None, :], np.ones(1)
     for _ in range(MAX_PASSES if passes is None else passes):
         rank = max(0, int(np.ceil(budget)) - 1)
-        if here is None:
-            cut, below, at = value_at_rank(phi.select(_dot(F.col("phi"), w).alias("s")), "s", rank, n)
-        else:
-            x = np.sort(here @ w)
-            cut, below, at = at_rank(x, rank)
+        cut, below, at = value_at_rank(phi.select(_dot(F.col("phi"), w).alias("s")), "s", rank, n)
         share = max(0.0, min(1.0, (budget - below) / at))
 
         def weight(x, w=w, cut=cut, share=share):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.statistics import aggregate_all, auc, average_rank, hash_order, quantile, running_before  # noqa: F401
+from ..functions.statistics import aggregate_all, auc, quantiles, running_before
 from .sampling import subsample_scores
 
 
@@ -70,7 +70,7 @@ def describe(df: DataFrame, value: str) -> DataFrame:
 def tail_statistics(scores: DataFrame, right: float = 0.99, left: float = 0.01) -> DataFrame:
     """Moments of each subject, and its shares beyond percentiles of the healthy pool (in percent)."""
     healthy = scores.filter("label = 1")
-    cut = F.broadcast(scores.sparkSession.createDataFrame([(quantile(healthy, "score", right), quantile(healthy, "score", left))], "hi_ double, lo_ double"))
+    cut = F.broadcast(quantiles(healthy, "score", {"hi_": right, "lo_": left}))
     s = F.col("score")
     share = lambda c: 100.0 * F.avg(F.when(c, 1.0).otherwise(0.0))
     return scores.join(cut, F.lit(True)).groupBy("subject", "label").agg(F.avg(s).alias("mean"), F.stddev_pop(s).alias("std"), share(s > F.col("hi_")).alias("pct_right"), share(s < F.col("lo_")).alias("pct_left"), F.skewness(s).alias("skewness"), F.kurtosis(s).alias("kurtosis"))
@@ -114,7 +114,7 @@ def recommend(runs: DataFrame, exact_auc: float, near: float = 0.02, rank: float
 
 def threshold(scores: DataFrame, false_rate: float = 0.01) -> DataFrame:
     """Documentation-derived: the read threshold, a high percentile of healthy scores."""
-    return scores.sparkSession.createDataFrame([(quantile(scores.filter("label = 1"), "score", 1 - false_rate),)], "tau double")
+    return quantiles(scores.filter("label = 1"), "score", {"tau": 1 - false_rate})
 
 
 def outlier_proportion(scores: DataFrame, false_rate: float = 0.01) -> DataFrame:
@@ -138,7 +138,7 @@ def diagnose(values: DataFrame, tau: Column) -> DataFrame:
 
 def bootstrap_auc(values: DataFrame, replicates: int = 1000, seed: int = 42) -> DataFrame:
     """Documentation-derived: median and 95 % interval of the area over stratified resamples of subjects, drawn by digest."""
-    by_class = Window.partitionBy("label")
+    by_class = Window.partitionBy("label")  # a row a subject
     numbered = values.select("label", "value", (F.row_number().over(by_class.orderBy("value", "subject")) - 1).alias("k"), F.count("*").over(by_class).alias("size"))
     draws = numbered.select("label", F.col("k").alias("draw"), "size").withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
     digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("rep").cast("string"), F.col("label").cast("string"), F.col("draw").cast("string")))

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.statistics import hash_order
+from ..functions.statistics import digest_rank, hash_order, with_keys
 
 
 def _ranked(df: DataFrame, seed: int, keys: list[str], ident: str) -> DataFrame:
@@ -49,18 +54,73 @@ def disjoint_rounds(reads: DataFrame, n_rounds: int, per_round: int, seed: int =
         short = rows.groupBy("patient").count().filter(F.col("count") < n_rounds * per_round).select("patient").first()
         if short:
             raise ValueError(f"{short[0]} has too few reads for {n_rounds} rounds of {per_round}")
-    ranked = _ranked(rows, seed, ["patient"], "read_idx")
-    available = F.count("*").over(Window.partitionBy("patient"))
-    ranked = ranked.withColumn("full", F.least(F.lit(n_rounds), F.floor(available / per_round)))
+    available = rows.groupBy("patient").agg(F.least(F.lit(n_rounds), F.floor(F.count("*") / per_round)).alias("full"))
+    order = hash_order(seed, F.col("patient"), F.col("read_idx"))
+    ranked = with_keys(digest_rank(rows, order, "read_idx", ["patient"]), available, ["patient"])
     return ranked.filter(F.col("rn") <= F.col("full") * per_round).withColumn("round", (F.floor((F.col("rn") - 1) / per_round) + 1).cast("int")).drop("rn", "full")
 
 
 def subsample_scores(scores: DataFrame, sizes: list[int], keys: list[str], repeats: int = 1, seed: int = 42) -> DataFrame:
-    """Samples of each size (all scores where fewer) of each key, `repeats` times: adds n_reads and rep."""
-    laid = scores.withColumn("n_reads", F.explode(F.array(*[F.lit(n) for n in sizes]))).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
-    by = [*keys, "n_reads", "rep"]
-    order = hash_order(seed, F.col("rep"), F.col("n_reads"), *[F.col(k) for k in keys], F.col("read_idx"))
-    return laid.withColumn("rn", F.row_number().over(Window.partitionBy(*by).orderBy(order))).filter("rn <= n_reads").drop("rn")
+    """Samples of each size (all scores where fewer) of each key, `repeats` times: adds n_reads and rep.
+
+    A sample holds a key's least digests. Each task keeps the least it has seen of every key and sample, so scores that no sample
+    takes are not copied and not shuffled; what tasks kept meets by key.
+    """
+    cells = [(n, rep) for n in sizes for rep in range(1, repeats + 1)]
+    names = scores.columns
+    rows = scores.withColumns({"key_": F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}), "suffix_": F.concat_ws("|", *[F.col(k).cast("string") for k in [*keys, "read_idx"]])})
+
+    def work(batches):
+        kept: dict[tuple[int, int], _Least] = {c: _Least(c[0]) for c in cells}
+        codes: dict[str, int] = {}
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            key = np.array([codes.setdefault(k, len(codes)) for k in t["key_"].to_pylist()], np.int64)
+            suffix = [x.encode() for x in t["suffix_"].to_pylist()]
+            t = t.select(names)
+            for n, rep in cells:
+                start = hashlib.md5(f"{seed}|{rep}|{n}|".encode())
+                digests = []
+                for x in suffix:
+                    h = start.copy()
+                    h.update(x)
+                    digests.append(h.digest())
+                kept[n, rep].add(key, np.frombuffer(b"".join(digests), ">u8").reshape(-1, 2).astype(np.uint64), t)
+        for (n, rep), least in kept.items():
+            if least.rows is not None:
+                size, d = least.rows.num_rows, least.digests.astype(">u8").tobytes()
+                extra = [pa.array(np.full(size, n, np.int32)), pa.array(np.full(size, rep, np.int32)), pa.array([d[16 * i : 16 * i + 16] for i in range(size)], pa.binary())]
+                yield pa.RecordBatch.from_arrays([*[c.combine_chunks() for c in least.rows.columns], *extra], [*names, "n_reads", "rep", "digest_"])
+
+    schema = T.StructType([*scores.schema.fields, T.StructField("n_reads", T.IntegerType()), T.StructField("rep", T.IntegerType()), T.StructField("digest_", T.BinaryType())])
+    w = Window.partitionBy(*keys, "n_reads", "rep").orderBy("digest_", "read_idx")
+    return rows.mapInArrow(work, schema).withColumn("rn", F.row_number().over(w)).filter("rn <= n_reads").drop("rn", "digest_")
+
+
+class _Least:
+    """The rows of the n least digests of each key so far."""
+
+    def __init__(self, n: int):
+        self.n, self.rows, self.keys = n, None, np.zeros(0, np.int64)
+        self.digests, self.cut = np.zeros((0, 2), np.uint64), np.zeros(0, np.uint64)
+
+    def add(self, key: np.ndarray, digest: np.ndarray, rows: pa.Table) -> None:
+        if len(key) and key.max() >= len(self.cut):
+            self.cut = np.append(self.cut, np.full(int(key.max()) + 1 - len(self.cut), np.iinfo(np.uint64).max))
+        some = np.flatnonzero(digest[:, 0] <= self.cut[key])
+        if not len(some):
+            return
+        new = rows.take(pa.array(some))
+        both = new if self.rows is None else pa.concat_tables([self.rows, new])
+        key, digest = np.concatenate([self.keys, key[some]]), np.concatenate([self.digests, digest[some]])
+        order = np.lexsort((digest[:, 1], digest[:, 0], key))
+        first = np.flatnonzero(np.diff(key[order], prepend=-1))
+        place = np.arange(len(order)) - np.repeat(first, np.diff(first, append=len(order)))
+        full = order[place == self.n - 1]
+        self.cut[key[full]] = digest[full, 0]
+        # rows of one digest may tie with the last: all of them stay
+        keep = order[(place < self.n) | (digest[order, 0] <= self.cut[key[order]])]
+        self.rows, self.keys, self.digests = both.take(pa.array(keep)), key[keep], digest[keep]
 
 
 def landmarks(reads: DataFrame, m: int, seed: int = 42) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import sequences, statistics
 from ..operators import cohorts, density, features, kernels, nystrom, ocsvm, reports, sampling
+from ..operators.kernel_rows import StringRows
 from ..sources import fasta, fixtures, score_tables
 from . import pipelines
 
@@ -316,7 +317,8 @@ def gram_symmetric_k3(spark, d):
 
 
 _MKL = f"{_READS}, " + ", ".join(f"k{k} AS (SELECT patient, read_idx, kmer, count(*) AS cnt FROM (SELECT patient, read_idx, substring(seq, CAST(unnest(range(1, length(seq) - {k} + 2)) AS INTEGER), {k}) AS kmer FROM reads WHERE length(seq) >= {k}) GROUP BY ALL), {_near(k, 1).replace('vocab', f'v{k}').replace('near AS', f'n{k} AS')}, f{k} AS (SELECT patient, read_idx, {k} AS k, neighbor AS kmer, sum(cnt * pow(0.5, dist)) AS w FROM k{k} JOIN n{k} USING (kmer) GROUP BY ALL)" for k in (2, 3)) + ", f AS (SELECT * FROM f2 UNION ALL SELECT * FROM f3), wk AS (SELECT unnest([2, 3]) AS k, unnest([0.4::DOUBLE, 0.6::DOUBLE]) AS wt)"
-_NORMALISED = _MKL + f", gk AS (SELECT a.patient AS pi, a.read_idx AS ri, b.patient AS pj, b.read_idx AS rj, a.k, sum(a.w * b.w) AS s FROM f a JOIN f b ON a.k = b.k AND a.kmer = b.kmer AND {_PAIR} GROUP BY ALL), g AS (SELECT pi, ri, pj, rj, sum(s * wt) AS k FROM gk JOIN wk USING (k) GROUP BY ALL), dg AS (SELECT pi AS patient, ri AS read_idx, k AS dg FROM g WHERE pi = pj AND ri = rj), gn AS (SELECT a.patient AS pi, a.read_idx AS ri, b.patient AS pj, b.read_idx AS rj, coalesce(g.k, 0) / sqrt(greatest(a.dg, 1e-12) * greatest(b.dg, 1e-12)) AS k FROM dg a JOIN dg b ON {_PAIR} LEFT JOIN g ON g.ri = a.read_idx AND g.pi = a.patient AND g.rj = b.read_idx AND g.pj = b.patient)"
+# reads as dense vectors over all strings, so that a pair costs one product of lists
+_NORMALISED = _MKL + f", cols AS (SELECT 2 AS k, kmer FROM v2 UNION ALL SELECT 3, kmer FROM v3), named AS (SELECT DISTINCT patient, read_idx FROM f), vec AS (SELECT patient, read_idx, list(coalesce(w, 0) * sqrt(wt) ORDER BY k, kmer) AS v FROM named CROSS JOIN cols JOIN wk USING (k) LEFT JOIN f USING (patient, read_idx, k, kmer) GROUP BY patient, read_idx), dg AS (SELECT *, list_dot_product(v, v) AS dg FROM vec), gn AS (SELECT a.patient AS pi, a.read_idx AS ri, b.patient AS pj, b.read_idx AS rj, list_dot_product(a.v, b.v) / sqrt(greatest(a.dg, 1e-12) * greatest(b.dg, 1e-12)) AS k FROM dg a JOIN dg b ON {_PAIR})"
 _WEIGHTS = {2: 0.4, 3: 0.6}
 
 
@@ -369,6 +371,29 @@ def kde_curve(spark, d):
     return r6(density.curve(fixtures.scores(spark, d), ["subject"], "score"), "x", "y")
 
 
+_REST = "rest AS (SELECT s.subject, any_value(s.label) AS label, CAST(count(*) AS DOUBLE) AS n, CASE WHEN count(*) < 2 OR max(b.score) = min(b.score) THEN 1e-6 ELSE stddev_samp(b.score) END * pow(count(*), -0.2) AS h, min(b.score) AS lo, max(b.score) AS hi FROM m s JOIN scores b ON b.label = 1 AND b.subject <> s.subject GROUP BY s.subject)"
+
+
+@query(f"""WITH {_SCORES}, {_MOMENTS}, {_REST}, g AS (SELECT m.subject, m.label, m.n, m.h, r.n AS n2, r.h AS h2, least(m.lo, r.lo) AS lo, (greatest(m.hi, r.hi) - least(m.lo, r.lo)) / 499 AS step FROM m LEFT JOIN rest r USING (subject)),
+c AS (SELECT subject, label, score, count(*) AS c FROM scores GROUP BY ALL), pool AS (SELECT score, sum(c) AS c FROM c WHERE label = 1 GROUP BY score), pts AS (SELECT *, i, lo + i * step AS x FROM g, range(500) r(i)),
+own AS (SELECT pts.subject, i, x, sum(c * exp(-0.5 * pow((x - score) / h, 2))) / (any_value(n) * any_value(h) * sqrt(2 * pi())) AS y, sum(c * exp(-0.5 * pow((x - score) / h2, 2))) AS mine FROM pts JOIN c USING (subject) GROUP BY pts.subject, i, x),
+others AS (SELECT subject, any_value(label) AS label, i, x, sum(c * exp(-0.5 * pow((x - score) / h2, 2))) AS s, any_value(n2 * h2) AS nh FROM pts, pool WHERE n2 IS NOT NULL GROUP BY subject, i, x)
+SELECT subject, 'own' AS curve, CAST(i AS INTEGER) AS grid_i, round(x, 6) AS x, round(y, 6) AS y FROM own UNION ALL
+SELECT o.subject, 'baseline', CAST(o.i AS INTEGER), round(o.x, 6), round(greatest(s - CASE WHEN label = 1 THEN mine ELSE 0 END, 0) / (nh * sqrt(2 * pi())), 6) FROM others o JOIN own USING (subject, i)""")
+def baseline_density(spark, d):
+    """Each subject's density beside that of all other healthy subjects."""
+    return r6(density.baseline_curves(fixtures.scores(spark, d)), "x", "y")
+
+
+@query(f"""WITH {_SCORES}, {_MOMENTS}, means AS (SELECT subject, avg(score) AS mean_score FROM scores GROUP BY ALL), t AS (SELECT min(lo) AS lo, max(hi) AS hi FROM m WHERE label = -1),
+f AS (SELECT m.subject AS held, least(m.lo, t.lo) AS lo, (greatest(m.hi, t.hi) - least(m.lo, t.lo)) / 499 AS step FROM m, t WHERE label = 1),
+pts AS (SELECT held, m.subject, m.label, n, h, i, f.lo + i * step AS x FROM f JOIN m ON m.label = -1 OR m.subject = held, range(500) r(i)), c AS (SELECT subject, score, count(*) AS c FROM scores GROUP BY ALL)
+SELECT 'LOO_' || held AS fold, pts.subject, label, round(any_value(mean_score), 6) AS mean_score, CAST(i AS INTEGER) AS grid_i, round(x, 6) AS x, round(sum(c * exp(-0.5 * pow((x - score) / h, 2))) / (any_value(n) * any_value(h) * sqrt(2 * pi())), 6) AS y FROM pts JOIN c USING (subject) JOIN means USING (subject) GROUP BY held, pts.subject, label, i, x""")
+def fold_overlay(spark, d):
+    """For each fold the densities of its held-out subject and of all tumors, with their means."""
+    return r6(density.fold_overlay(fixtures.scores(spark, d)), "mean_score", "x", "y")
+
+
 def _oa_sql(pairs: str, points: int) -> str:
     return f"""WITH {_SCORES}, {_MOMENTS}, pairs AS ({pairs}),
 grid AS (SELECT p.a, p.b, least(x.lo, y.lo) - 0.1 * (greatest(x.hi, y.hi) - least(x.lo, y.lo)) AS lo, 1.1 * greatest(abs(least(x.lo, y.lo)), abs(greatest(x.hi, y.hi))) AS hi FROM pairs p JOIN m x ON x.subject = p.a JOIN m y ON y.subject = p.b),
@@ -474,6 +499,7 @@ def bootstrap_auc(spark, d):
 # Models (no SQL form; tested by their optimality conditions)
 
 _KERNEL = pipelines.Kernel(3, 1, (0.0, 0.4, 0.6))
+_SPLIT = f"{_READS}, ranked AS (SELECT patient, read_idx, row_number() OVER (PARTITION BY patient ORDER BY md5(concat_ws('|', '42', patient, read_idx)), read_idx) AS rn FROM reads WHERE label = 1 AND seq IS NOT NULL), train AS (SELECT * FROM ranked WHERE rn <= 100)"
 
 
 @query()
@@ -487,12 +513,12 @@ def nystrom_phi(spark, d):
 def nystrom_frobenius(spark, d):
     r = fixtures.reads(spark, d)
     f = _KERNEL.features(r).cache()
-    phi = nystrom.transform(f, nystrom.fit(r.filter("length(seq) >= 3"), f, _KERNEL.by_k, 20))
+    phi = nystrom.transform(f, nystrom.fit(r.filter("length(seq) >= 3"), f, _KERNEL.by_k, 20), reads=r)
     return nystrom.intrinsic_errors(kernels.normalise(kernels.gram(f, _KERNEL.by_k), kernels.diagonal(f, _KERNEL.by_k)), phi)
 
 
 def _split(spark, d) -> tuple[DataFrame, DataFrame]:
-    r = fixtures.reads(spark, d).filter("length(seq) >= 3")
+    r = fixtures.reads(spark, d)
     train = sampling.stratified(r.filter("label = 1"), 1400, 14).cache()
     return train, r.join(train.select("patient", "read_idx"), ["patient", "read_idx"], "left_anti")
 
@@ -519,9 +545,86 @@ def mil_exact_patients(spark, d):
     return pipelines.evaluate(pipelines.exact_scores(train, test, _KERNEL), test)["patients"]
 
 
+@query()
+def nu_model_boxplot(spark, d):
+    """Models of half of the healthy patients at three nu; the other half against all tumors, by aggregator, as a boxplot for each nu."""
+    r = sampling.readable(fixtures.reads(spark, d))
+    half = [f"src{i}" for i in range(7)]
+    known = F.col("patient").isin(half)
+    units = pipelines.nu_comparison(r.filter(known), r.filter(~known), _KERNEL, [0.1, 0.2, 0.5], 25)
+    return r6(reports.boxplot(units, ["nu", "aggregator"]), "p5", "q1", "median", "q3", "p95")
+
+
 # What holds of any fitted model, so that SQL can state it
 
-_SPLIT = f"{_READS}, ranked AS (SELECT patient, read_idx, row_number() OVER (PARTITION BY patient ORDER BY md5(concat_ws('|', '42', patient, read_idx)), read_idx) AS rn FROM reads WHERE label = 1 AND length(seq) >= 3), train AS (SELECT * FROM ranked WHERE rn <= 100)"
+
+def _optimality(scored: DataFrame, alpha: DataFrame, nu: float) -> DataFrame:
+    """(nu, n, sum_alpha, out_of_bounds, kkt_violations) of training reads' scores and weights."""
+    rows = scored.join(alpha.select("id.*", "alpha"), ["patient", "read_idx"], "left").withColumn("alpha", F.coalesce("alpha", F.lit(0.0)))
+    decision, a = -F.col("score"), F.col("alpha")
+    wrong = ((a < 1 - 1e-9) & (decision < -2e-3)) | ((a > 1e-9) & (decision > 2e-3))
+    return r6(rows.agg(F.lit(nu).alias("nu"), F.count("*").alias("n"), F.sum("alpha").alias("sum_alpha"), F.count_if((a < 0) | (a > 1)).alias("out_of_bounds"), F.count_if(wrong).alias("kkt_violations")), "sum_alpha")
+
+
+@query(f"WITH {_READS} SELECT 0.2::DOUBLE AS nu, count(*) AS n, round(0.2 * count(*), 6)::DOUBLE AS sum_alpha, 0::BIGINT AS out_of_bounds, 0::BIGINT AS kkt_violations FROM reads WHERE label = 1")
+def ocsvm_all_healthy_invariants(spark, d):
+    """The exact model of every healthy read, whatever their number: each on the side of the margin that its weight says."""
+    train = fixtures.reads(spark, d).filter("label = 1")
+    params, tables = pipelines.train(train, _KERNEL)
+    return _optimality(pipelines.infer(train, params, tables), tables["alpha"], 0.2)
+
+
+@query(f"WITH {_READS}, train AS (SELECT * FROM reads WHERE label = 1) SELECT nu, count(*) AS n, round(nu * count(*), 6)::DOUBLE AS sum_alpha, 0::BIGINT AS out_of_bounds, 0::BIGINT AS kkt_violations FROM train, (SELECT unnest([0.1::DOUBLE, 0.2::DOUBLE, 0.5::DOUBLE]) AS nu) GROUP BY nu")
+def nu_path_invariants(spark, d):
+    """Models along a path over nu, each begun at the one before: every one is optimal for its own nu."""
+    train = fixtures.reads(spark, d).filter("label = 1")
+    f = _KERNEL.features(train).cache()
+    rows, out = StringRows(train, f, _KERNEL.by_k), None
+    for nu, model in ocsvm.solve_path(rows, [0.1, 0.2, 0.5]).items():
+        alpha = rows.with_alpha(model.alpha)
+        vector = ocsvm.primal(f.join(alpha.select("id.*"), features.READ, "left_semi"), alpha, _KERNEL.by_k)
+        scored = ocsvm.decide_primal(f, vector, _KERNEL.by_k, model.rho, train).select("id.*", (-F.col("decision")).alias("score"))
+        one = _optimality(scored, alpha, nu)
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query(f"WITH {_READS}, t AS (SELECT * FROM reads WHERE label = -1 OR patient IN ('src7', 'src8', 'src9', 'src10', 'src11', 'src12', 'src13')) SELECT count(*) AS n, count(*) FILTER (label = -1) AS n_pos, count(*) FILTER (label = 1) AS n_neg, CAST(count(*) FILTER (label = -1) AS BIGINT) AS support_tumor, CAST(count(*) FILTER (label = 1) AS BIGINT) AS support_healthy, count(DISTINCT patient) AS n_patients, true AS f1_is_harmonic, true AS area_near_exact FROM t")
+def low_rank_evaluation(spark, d):
+    """Report and areas of low-rank scores: supports and class sizes are the table's, f1 follows from precision and recall, and the read-level area is the exact model's to 0.02."""
+    r = fixtures.reads(spark, d)
+    known = F.col("patient").isin([f"src{i}" for i in range(7)])
+    train, test = r.filter(known), r.filter(~known).cache()
+    near = pipelines.evaluate(pipelines.low_rank_scores(train, test, _KERNEL, 100), test)
+    exact = pipelines.evaluate(pipelines.exact_scores(train, test, _KERNEL), test)["reads"].select(F.col("auc").alias("exact"))
+    p, q = F.col("precision"), F.col("recall")
+    of = lambda c: F.sum(F.when(F.col("class") == c, F.col("support")))
+    report = near["report"].agg(of(-1).alias("support_tumor"), of(1).alias("support_healthy"), F.min(F.abs(F.col("f1") - F.coalesce(F.try_divide(2 * p * q, p + q), F.lit(0.0))) < 1e-9).alias("f1_is_harmonic"))
+    areas = near["reads"].join(exact, F.lit(True)).select((F.col("n_pos") + F.col("n_neg")).alias("n"), "n_pos", "n_neg", (F.abs(F.col("auc") - F.col("exact")) < 0.02).alias("area_near_exact"))
+    return areas.join(report, F.lit(True)).join(near["patients"].agg(F.count("*").alias("n_patients")), F.lit(True))
+
+
+@query(f"WITH {_SPLIT}, test AS (SELECT * FROM reads ANTI JOIN train USING (patient, read_idx)) SELECT patient, label, count(*) AS n, true AS mean_of_reads FROM test GROUP BY ALL")
+def mil_exact_invariants(spark, d):
+    """Patients of the exact model: their reads are the table's, and their value is the mean of their reads' scores, made by way of the stored model."""
+    train, test = _split(spark, d)
+    patients = pipelines.evaluate(pipelines.exact_scores(train, test, _KERNEL), test)["patients"]
+    stored = pipelines.infer(test, *pipelines.train(train, _KERNEL)).groupBy("patient").agg(F.avg("score").alias("again"))
+    return patients.join(stored, "patient").select("patient", "label", "n", (F.abs(F.col("value") - F.col("again")) < 1e-6).alias("mean_of_reads"))
+
+
+@query(f"WITH {_READS} SELECT count(*) AS n, count(*) FILTER (length(seq) < 2) AS n_without_features, true AS zero_reads_score_rho, true AS as_fresh FROM reads")
+def nystrom_stored_invariants(spark, d):
+    """A stored low-rank model scores every read as the model that was fitted, and reads without a feature at its offset."""
+    train, _ = _split(spark, d)
+    reads = fixtures.reads(spark, d)
+    params, tables = pipelines.train(train, _KERNEL, landmarks=40)
+    fresh = pipelines.low_rank_scores(train, reads, _KERNEL, 40).select("patient", "read_idx", (-F.col("decision")).alias("fresh"))
+    rows = pipelines.infer(reads, params, tables).join(fresh, ["patient", "read_idx"]).join(reads.select("patient", "read_idx", F.length("seq").alias("size")), ["patient", "read_idx"])
+    short = F.col("size") < 2
+    return rows.agg(F.count("*").alias("n"), F.count_if(short).alias("n_without_features"), F.coalesce(F.max(F.when(short, F.abs(F.col("score") - params["rho"]))) < 1e-9, F.lit(True)).alias("zero_reads_score_rho"), (F.max(F.abs(F.col("score") - F.col("fresh"))) < 1e-6).alias("as_fresh"))
+
+
 
 
 @query(f"WITH {_SPLIT} SELECT count(*) AS n, round(0.2 * count(*), 6)::DOUBLE AS sum_alpha, 0::BIGINT AS out_of_bounds, 0::BIGINT AS kkt_violations FROM train")
@@ -529,10 +632,7 @@ def ocsvm_invariants(spark, d):
     """sum of alpha = nu * n, 0 <= alpha <= 1, and every training read on the side of the margin that its alpha says."""
     train, _ = _split(spark, d)
     params, tables = pipelines.train(train, _KERNEL)
-    scored = pipelines.infer(train, params, tables).join(tables["alpha"].select("id.*", "alpha"), ["patient", "read_idx"], "left").withColumn("alpha", F.coalesce("alpha", F.lit(0.0)))
-    decision, a = -F.col("score"), F.col("alpha")
-    wrong = ((a < 1 - 1e-9) & (decision < -2e-3)) | ((a > 1e-9) & (decision > 2e-3))
-    return r6(scored.agg(F.count("*").alias("n"), F.sum("alpha").alias("sum_alpha"), F.count_if((a < 0) | (a > 1)).alias("out_of_bounds"), F.count_if(wrong).alias("kkt_violations")), "sum_alpha")
+    return _optimality(pipelines.infer(train, params, tables), tables["alpha"], 0.2).drop("nu")
 
 
 @query(f"WITH {_READS} SELECT count(*) AS n_reads, count(*) FILTER (length(seq) < 2) AS n_zero, 0::BIGINT AS n_longer_than_one, true AS landmarks_exact, true AS frobenius_below_a_fifth FROM reads")
@@ -551,7 +651,7 @@ def nystrom_invariants(spark, d):
     return counts.join(own, F.lit(True)).join(error, F.lit(True))
 
 
-@query(f"WITH {_SPLIT} SELECT (SELECT count(*) FROM reads WHERE length(seq) >= 3) - count(*) AS n, true AS correlated FROM train")
+@query(f"WITH {_SPLIT} SELECT (SELECT count(*) FROM reads) - count(*) AS n, true AS correlated FROM train")
 def nystrom_agrees_with_exact(spark, d):
     """Decisions of the low-rank model (primal solver) and of the exact one (dual solver) on the same reads: correlation above 0.95."""
     train, test = _split(spark, d)

@@ -1,4 +1,4 @@
-"""Whole experiments as compositions of operators: leave-one-out scoring, low-rank variants, stability, overlapping areas."""
+"""Models and their evaluation as compositions of operators: exact and low-rank scoring, paths over nu, overlapping areas."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.sequences import active_ks, weights_or_default
 from ..functions.statistics import auc, auc_of_reads
 from ..operators import density, features, kernels, nystrom, ocsvm, reports, sampling
+from ..operators.kernel_rows import EmbeddingRows, StringRows
 
 READ = features.READ
 
@@ -36,8 +37,7 @@ class Kernel:
 def exact_scores(train: DataFrame, test: DataFrame, kernel: Kernel, nu: float = 0.2) -> DataFrame:
     """(patient, read_idx, decision, predicted) of test reads under a model of the training reads."""
     f, g, w = kernel.features(train).cache(), kernel.features(test), kernel.by_k
-    d = kernels.diagonal(f, w)
-    alpha, rho = ocsvm.fit_exact(kernels.normalise(kernels.gram(f, w), d), nu)
+    alpha, rho = ocsvm.fit_rows(StringRows(train, f, w), nu)
     support = f.join(alpha.select("id.*"), READ, "left_semi")
     out = ocsvm.decide_primal(g, ocsvm.primal(support, alpha, w), w, rho, test)
     return out.select("id.*", "decision", ocsvm.predict(F.col("decision")).alias("predicted"))
@@ -56,7 +56,7 @@ def train(reads: DataFrame, kernel: Kernel, nu: float = 0.2, landmarks: int | No
     f, w = (kernel.features(reads) if features is None else features).cache(), kernel.by_k
     spark = reads.sparkSession
     if landmarks is None:
-        alpha, rho = ocsvm.fit_exact(kernels.normalise(kernels.gram(f, w), kernels.diagonal(f, w)), nu)
+        alpha, rho = ocsvm.fit_rows(StringRows(reads, f, w), nu)
         vector = ocsvm.primal(f.join(alpha.select("id.*"), READ, "left_semi"), alpha, w)
         return _params(kernel, nu, rho, "precomputed"), {"alpha": alpha, "vector": vector}
     state = nystrom.fit(reads, f, w, landmarks, seed)
@@ -80,7 +80,7 @@ def infer(reads: DataFrame, params: dict, tables: dict[str, DataFrame], features
 def embedding_scores(train: DataFrame, test: DataFrame, kind: str = "linear", nu: float = 0.2, gamma: float | None = None) -> DataFrame:
     """(id, decision, predicted) of test embeddings under a model of training embeddings; gamma comes from training."""
     gamma = kernels.embedding_gamma(train) if kind == "rbf" and gamma is None else gamma
-    alpha, rho = ocsvm.fit_exact(kernels.embedding_kernel(train, train, kind, gamma).filter("i <= j"), nu)
+    alpha, rho = ocsvm.fit_rows(EmbeddingRows(train, kind, gamma), nu)
     out = ocsvm.decide(kernels.embedding_kernel(test, train.join(alpha.select("id"), "id", "left_semi"), kind, gamma), alpha, rho)
     return out.select("id", "decision", ocsvm.predict(F.col("decision")).alias("predicted"))
 
@@ -99,62 +99,27 @@ def evaluate(scored: DataFrame, test: DataFrame) -> dict[str, DataFrame]:
     """Read-level area and report, patient means and their area."""
     rows = scored.join(test.select(*READ, "label"), READ).withColumn("score", -F.col("decision"))
     patients = rows.groupBy("patient", "label").agg(F.avg("score").alias("value"), F.count("*").alias("n"))
-    return {"reads": auc_of_reads(rows, "score", F.col("label") == -1), "report": reports.classification_report(rows, "label", "predicted"), "patients": patients, "patient_auc": auc(patients.withColumn("all", F.lit(1)), "value", F.col("label") == -1, ["all"])}
+    return {"reads": auc_of_reads(rows, "score", F.col("label") == -1), "report": reports.classification_report(rows, "label", "predicted"), "patients": patients, "patient_auc": auc(patients, "value", F.col("label") == -1, [])}
 
 
-def leave_one_out(reads: DataFrame, kernel: Kernel, folds: list[str], max_train: int, max_test: int, nu: float = 0.2, landmark_ratio: float | None = None, seed: int = 42) -> DataFrame:
-    """(fold, patient, label, read_idx, score) of held-out and tumor reads for each healthy patient in `folds`.
-
-    Each fold trains its own model, so folds are a list of models, not of rows.
-    """
-    out = None
-    for held in folds:
-        healthy = reads.filter((F.col("label") == 1) & (F.col("patient") != held))
-        others = reads.filter((F.col("label") == -1) | (F.col("patient") == held))
-        train = sampling.stratified(healthy, max_train, healthy.select("patient").distinct().count(), seed)
-        test = sampling.stratified(others, max_test, others.select("patient").distinct().count(), seed + 1)
-        if landmark_ratio is None:
-            scored = exact_scores(train, test, kernel, nu)
-        else:
-            scored = low_rank_scores(train, test, kernel, nystrom.landmark_count(landmark_ratio, train.count()), nu, seed)
-        rows = scored.join(test.select(*READ, "label"), READ).select(F.lit(f"LOO_{held}").alias("fold"), "patient", "label", "read_idx", (-F.col("decision")).alias("score"))
-        out = rows if out is None else out.unionByName(rows)
-    return out
-
-
-def multi_round(reads: DataFrame, train: DataFrame, kernel: Kernel, n_rounds: int, per_round: int, nu: float = 0.2, seed: int = 42) -> DataFrame:
-    """(patient, label, round, read_idx, score): disjoint rounds of reads that training did not use."""
-    rounds = sampling.disjoint_rounds(reads, n_rounds, per_round, seed, excluded=train, strict=False)
-    return exact_scores(train, rounds, kernel, nu).join(rounds.select(*READ, "label", "round"), READ).select("patient", "label", "round", "read_idx", (-F.col("decision")).alias("score"))
-
-
-def landmark_sweep(train: DataFrame, test: DataFrame, kernel: Kernel, ratios: list[float], seeds: list[int], nu: float = 0.2) -> DataFrame:
-    """(m_ratio, m, landmark_seed, auc, spearman_corr, score_gap) of each low-rank model against the exact one."""
-    from ..functions.statistics import spearman
-
-    exact = exact_scores(train, test, kernel, nu).select(*READ, F.col("decision").alias("exact")).cache()
-    n, out = train.count(), None
-    for ratio in ratios:
-        for seed in seeds:
-            m = nystrom.landmark_count(ratio, n)
-            near = low_rank_scores(train, test, kernel, m, nu, seed).join(exact, READ).join(test.select(*READ, "label"), READ).withColumn("score", -F.col("decision")).withColumn("all", F.lit(1)).cache()
-            row = auc_of_reads(near, "score", F.col("label") == -1).select("auc").join(spearman(near, "decision", "exact", ["all"]).select(F.col("spearman").alias("spearman_corr")), F.lit(True)).join(reports.score_gap(near), F.lit(True))
-            row = row.select(F.lit(ratio).alias("m_ratio"), F.lit(m).alias("m"), F.lit(seed).alias("landmark_seed"), "*")
-            out = row if out is None else out.unionByName(row)
+def nu_models(train: DataFrame, kernel: Kernel, nus: list[float]) -> dict[float, tuple[DataFrame, float]]:
+    """(vector over strings, rho) of the exact model at each nu, fitted as one path: each begins at the weights of the one before."""
+    f, w = kernel.features(train).cache(), kernel.by_k
+    rows, out = StringRows(train, f, w), {}
+    for nu, model in ocsvm.solve_path(rows, nus).items():
+        alpha = rows.with_alpha(model.alpha)
+        out[nu] = ocsvm.primal(f.join(alpha.select("id.*"), READ, "left_semi"), alpha, w), model.rho
     return out
 
 
-def seed_stability(reads: DataFrame, kernel: Kernel, a: str, b: str, seeds: list[int], max_train: int, per_patient: int, nu: float = 0.2) -> DataFrame:
-    """(train_seed, oa, mean_a, mean_b): the overlap of two patients' scores under models of differently drawn training reads."""
-    healthy = reads.filter((F.col("label") == 1) & ~F.col("patient").isin(a, b))
-    test = sampling.stratified(reads.filter(F.col("patient").isin(a, b)), 2 * per_patient, 2)
-    n, out = healthy.select("patient").distinct().count(), None
-    pair = reads.sparkSession.createDataFrame([(a, b)], "a string, b string")
-    for seed in seeds:
-        scored = exact_scores(sampling.stratified(healthy, max_train, n, seed), test, kernel, nu).select(F.col("patient").alias("subject"), (-F.col("decision")).alias("score")).cache()
-        means = scored.agg(*[F.avg(F.when(F.col("subject") == p, F.col("score"))).alias(f"mean_{x}") for p, x in ((a, "a"), (b, "b"))])
-        row = density.oa_pairs(scored, pair).join(means, F.lit(True)).select(F.lit(seed).alias("train_seed"), "oa", "mean_a", "mean_b")
-        out = row if out is None else out.unionByName(row)
+def nu_comparison(train: DataFrame, test: DataFrame, kernel: Kernel, nus: list[float], n_reads: int, held_out: bool = True, seed: int = 42) -> DataFrame:
+    """(nu, aggregator, n_reads, rep, [subject], auc) under models fitted at each nu: an area for each healthy subject of `test` against its
+    tumors (held_out), or one for all, of `n_reads` sampled reads by every aggregator."""
+    g, out = kernel.features(test).cache(), None
+    for nu, (vector, rho) in nu_models(train, kernel, nus).items():
+        scored = ocsvm.decide_primal(g, vector, kernel.by_k, rho, test).select("id.*", (-F.col("decision")).alias("score")).join(test.select(*READ, "label"), READ)
+        units = reports.heatmap_units(scored.withColumnRenamed("patient", "subject"), [n_reads], False, held_out, seed=seed).withColumn("nu", F.lit(nu))
+        out = units if out is None else out.unionByName(units)
     return out
 
 

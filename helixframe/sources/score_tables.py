@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions.statistics import running_before
+
+#: The fields of a result file.
 LOO_FIELDS = ["fold_name", "held_out_patient", "tumor_patient", "patient_auc", "seq_auc", "mean_score_healthy", "mean_score_tumor", "num_train_seqs", "num_test_seqs"]
 
 
@@ -51,9 +53,12 @@ def read_pooled(spark: SparkSession, path: str) -> DataFrame:
 
 
 def widen(scores: DataFrame, column: str, values: list, prefix: str = "") -> DataFrame:
-    """(row, one column a value): ragged columns end in nulls. The values are given, so the plan needs no extra pass."""
-    row = F.row_number().over(Window.partitionBy(column).orderBy("read_idx")) - 1
-    wide = scores.withColumn("row", row).groupBy("row").pivot(column, values).agg(F.first("score"))
+    """(row, one column a value): ragged columns end in nulls. The values are given, so the plan needs no pass to find them.
+
+    A row's place in its column is a prefix sum over ranges of read_idx, so no column is made in one task.
+    """
+    rows = running_before(scores.withColumn("one_", F.lit(1)), "read_idx", ["one_"], [column]).withColumnRenamed("before_one_", "row")
+    wide = rows.groupBy("row").pivot(column, values).agg(F.first("score"))
     return wide.select("row", *[F.col(str(v)).alias(f"{prefix}{v}") for v in values])
 
 

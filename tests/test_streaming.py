@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from helixframe.operators import kernels, ocsvm
+from helixframe.operators.kernel_rows import StringRows
 from helixframe.plans.pipelines import Kernel
 from helixframe.streaming import scoring
 
@@ -14,7 +15,7 @@ def test_stream_equals_batch(spark, tmp_path):
     kernel = Kernel(2, 1, (0.0, 1.0))
     train, test = frame(spark, [*SAMPLE, "ACGTACGT", "GGGAAATT"]), frame(spark, ["ATGCAA", "MHMHMH", "A", "ACNGT"])
     f, w = kernel.features(train), kernel.by_k
-    alpha, rho = ocsvm.fit_exact(kernels.normalise(kernels.gram(f, w), kernels.diagonal(f, w)), 0.5)
+    alpha, rho = ocsvm.fit_rows(StringRows(train, f, w), 0.5)
     vector = ocsvm.primal(f, alpha, w)
     batch = {r.id.read_idx: r.decision for r in ocsvm.decide_primal(kernel.features(test), vector, w, rho).collect()}
     cross = kernels.normalise(kernels.cross_gram(kernel.features(test), f, w), kernels.diagonal(kernel.features(test), w), kernels.diagonal(f, w))
