@@ -7,6 +7,8 @@ order of sums. Kernel weights multiply later, on sums of one k.
 from __future__ import annotations
 
 import itertools
+from collections import Counter
+from collections.abc import Callable, Iterable
 from functools import reduce
 
 import numpy as np
@@ -57,6 +59,27 @@ def weighted_features(reads: DataFrame, k: int, m: int = 1, decay: float = 0.5)
     return reads.select(*READ, F.upper("seq").alias("seq")).mapInArrow(work, f"{kinds}, k int, kmer string, w double")
 
 
+def analyzed(reads: DataFrame, analyzer: Callable[[str], Iterable[str]], k: int = 1) -> DataFrame:
+    """(patient, read_idx, k, kmer, w): how often `analyzer` gives each token of a read, under the label k, for kernels and models.
+
+    The analyzer sees whole upper-case sequences, an Arrow batch of them at a time; tokens of a read are counted where the read is.
+    """
+
+    def work(batches):
+        for b in batches:
+            own, tokens, counts = [], [], []
+            for i, seq in enumerate(b.column(2).to_pylist()):
+                for token, n in Counter(analyzer(seq) if seq is not None else ()).items():
+                    own.append(i)
+                    tokens.append(token)
+                    counts.append(float(n))
+            at = pa.array(own, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array([k] * len(own), pa.int32()), pa.array(tokens, pa.string()), pa.array(counts, pa.float64())], [*READ, "k", "kmer", "w"])
+
+    kinds = ", ".join(f"{c} {reads.schema[c].dataType.simpleString()}" for c in READ)
+    return reads.select(*READ, F.upper("seq").alias("seq")).mapInArrow(work, f"{kinds}, k int, kmer string, w double")
+
+
 #: Letters of the reads that are expanded at once, and rows that are handed back at once.
 LETTERS, ROWS = 1 << 16, 1 << 20
 
@@ -112,7 +135,38 @@ def expanded(seqs: list[bytes], k: int, m: int, decay: float) -> tuple[np.ndarra
                 keys.append(read[ok] * n + moved)
                 weights.append(count[ok] * decay**d)
     key, place = np.unique(np.concatenate(keys), return_inverse=True)
-    return key // n, key % n, np.bincount(place, np.concatenate(weights), len(key))
+    return key // n, key % n, np.bincount(place, np.concatenate(weights), len(key)).astype(np.float64)
+
+
+def read_vectors(reads: DataFrame, ks: list[int], m: int, decay: float = 0.5, alphabet_only: bool = False) -> DataFrame:
+    """(patient, read_idx, vectors): the weighted features of every k in one row a read, as arrays of column numbers and weights by k.
+
+    What `kernels.vectors` makes of `weighted_features`, without a row for each feature: one pass, no shuffle. It takes mismatches
+    and a decay, under which all strings are of the alphabet and have numbers; or `alphabet_only`, which leaves others out.
+    """
+    if (m == 0 or decay == 1.0) and not alphabet_only:
+        raise ValueError("vectors by number take mismatches and a decay")
+
+    def work(batches):
+        for b in batches:
+            for i, j, seqs in _slices(b.column(2), LETTERS):
+                yield pa.RecordBatch.from_arrays([b.column(0)[i:j], b.column(1)[i:j], _lists([expanded(seqs, k, m, decay) for k in ks], ks, j - i)], [*READ, "vectors"])
+
+    kinds = ", ".join(f"{c} {reads.schema[c].dataType.simpleString()}" for c in READ)
+    return reads.select(*READ, F.upper("seq").alias("seq")).mapInArrow(work, f"{kinds}, vectors array<struct<k:int,cols:array<bigint>,ws:array<double>>>")
+
+
+def _lists(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], ks: list[int], n: int) -> pa.Array:
+    """For each of n reads the list of its (k, cols, ws), from each k's (read, string, weight)."""
+    entry = np.concatenate([row * len(ks) + i for i, (row, _, _) in enumerate(parts)])
+    order = np.argsort(entry, kind="stable")
+    entry, cols, ws = entry[order], np.concatenate([x[1] for x in parts])[order], np.concatenate([x[2] for x in parts])[order]
+    first = np.flatnonzero(np.diff(entry, prepend=-1))
+    inner = pa.array(np.append(first, len(entry)).astype(np.int32))
+    kind = pa.struct([("k", pa.int32()), ("cols", pa.list_(pa.int64())), ("ws", pa.list_(pa.float64()))])
+    rows = pa.StructArray.from_arrays([pa.array(np.array(ks, np.int32)[entry[first] % len(ks)]), pa.ListArray.from_arrays(inner, pa.array(cols)), pa.ListArray.from_arrays(inner, pa.array(ws))], fields=list(kind))
+    outer = np.searchsorted(entry[first] // len(ks), np.arange(n + 1)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(outer), rows)
 
 
 def combined_features(reads: DataFrame, max_k: int, m: int, weights: list[float], decay: float = 0.5) -> DataFrame:

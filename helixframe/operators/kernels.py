@@ -26,14 +26,17 @@ def packed(features: DataFrame) -> DataFrame:
     place = None
     for k in range(1, 13):
         place = F.when(F.col("k") == k, code(F.col("kmer"), k)) if place is None else place.when(F.col("k") == k, code(F.col("kmer"), k))
-    known = F.length("kmer") == F.length(F.regexp_replace("kmer", f"[^{''.join(ALPHABET)}]", ""))
+    known = (F.length("kmer") == F.col("k")) & (F.length("kmer") == F.length(F.regexp_replace("kmer", f"[^{''.join(ALPHABET)}]", "")))
     other = len(ALPHABET) ** F.col("k") + F.pmod(F.xxhash64("kmer"), F.lit(1 << 62))
     rows = features.withColumn("col", F.when(known, place).otherwise(other)).groupBy(*READ, "k").agg(F.array_sort(F.collect_list(F.struct("col", "w"))).alias("x"))
     return rows.select(*READ, "k", F.col("x.col").alias("cols"), F.col("x.w").alias("ws"))
 
 
 def vectors(features: DataFrame, weights: dict[int, float]) -> DataFrame:
-    """(id, vectors): one row a read, its arrays by k."""
+    """(id, vectors): one row a read, its arrays by k; of rows (patient, read_idx, k, kmer, w), or of `features.read_vectors`."""
+    if "vectors" in features.columns:
+        own = F.filter("vectors", lambda v: v.k.isin(list(weights)) & (F.size(v.cols) > 0))
+        return features.select(F.struct(*READ).alias("id"), own.alias("vectors")).filter(F.size("vectors") > 0)
     ks = F.struct("k", "cols", "ws")
     return packed(features.filter(F.col("k").isin(list(weights)))).groupBy(*READ).agg(F.collect_list(ks).alias("vectors")).select(F.struct(*READ).alias("id"), "vectors")
 
@@ -134,6 +137,13 @@ def cross_gram(test: DataFrame, train: DataFrame, weights: dict[int, float], blo
 
 def diagonal(features: DataFrame, weights: dict[int, float]) -> DataFrame:
     """(id, diag): each read's product with itself, over its own strings."""
+    if "vectors" in features.columns:
+
+        @F.arrow_udf("double")
+        def square(rows: pa.Array) -> pa.Array:
+            return pa.array(norms(pa.chunked_array([rows]), weights) ** 2)
+
+        return vectors(features, weights).select("id", square("vectors").alias("diag"))
     w = F.element_at(F.create_map(*[F.lit(x) for k, v in weights.items() for x in (k, float(v))]), F.col("k"))
     sq = features.filter(F.col("k").isin(list(weights))).groupBy(*READ, "k").agg(F.sum(F.col("w") * F.col("w")).alias("s"))
     return sq.groupBy(*READ).agg(F.sum(w * F.col("s")).alias("diag")).select(F.struct(*READ).alias("id"), "diag")

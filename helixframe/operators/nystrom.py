@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.sequences import ALPHABET
 from . import features as feats
 from . import kernels, sampling
 
@@ -79,8 +80,12 @@ def transform(features: DataFrame, state: NystromState, vocabulary: DataFrame |
     vocabulary (k, kmer): training's strings; others are left out before norms are taken, as a fixed feature space has it.
     With `reads`, those without any feature get zeros.
     """
+    known = None
     if vocabulary is not None:
-        features = features.join(vocabulary, ["k", "kmer"], "left_semi")
+        if "vectors" in features.columns:
+            known = columns_of(vocabulary)
+        else:
+            features = features.join(vocabulary, ["k", "kmer"], "left_semi")
     rows = kernels.vectors(features, state.weights)
     marks, weights = state.landmarks["vectors"], state.weights
     scale = state.inverse_root / kernels.norms(marks, weights)[:, None]
@@ -90,6 +95,8 @@ def transform(features: DataFrame, state: NystromState, vocabulary: DataFrame |
         for b in batches:
             for at in range(0, b.num_rows, kernels.BLOCK):
                 part = pa.Table.from_batches([b.slice(at, kernels.BLOCK)])
+                if known is not None:
+                    part = part.set_column(1, "vectors", _only(part["vectors"], known))
                 c = kernels.product(part["vectors"], marks, weights) / kernels.norms(part["vectors"], weights)[:, None]
                 yield pa.RecordBatch.from_arrays([part["id"].combine_chunks(), pa.array(list(c @ scale), pa.list_(pa.float64()))], ["id", "phi"])
 
@@ -101,7 +108,45 @@ def transform(features: DataFrame, state: NystromState, vocabulary: DataFrame |
 
 
 def vocabulary(features: DataFrame) -> DataFrame:
-    return features.select("k", "kmer").distinct()
+    """(k, kmer) of the strings that occur."""
+    if "vectors" not in features.columns:
+        return features.select("k", "kmer").distinct()
+
+    def seen(batches):
+        found: dict[int, np.ndarray] = {}
+        for b in batches:
+            _, _, k, col, _ = kernels._flat(pa.chunked_array([b.column(0)]))
+            for x in np.unique(k).tolist():
+                found[x] = np.union1d(found.get(x, np.zeros(0, np.int64)), col[k == x])
+        for k, cols in found.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cols), k, np.int32)), feats.strings_of(k).take(pa.array(cols))], ["k", "kmer"])
+
+    return features.select("vectors").mapInArrow(seen, "k int, kmer string").distinct()
+
+
+def columns_of(vocabulary: DataFrame) -> dict[int, np.ndarray]:
+    """Flags by k of the column numbers of strings of the alphabet: at most the vocabulary's size."""
+    out = {}
+    letters = {a: i for i, a in enumerate(ALPHABET)}
+    t = vocabulary.groupBy("k", "kmer").agg(F.lit(1)).select("k", "kmer").toArrow()
+    k, kmer = np.asarray(t["k"]), t["kmer"].to_pylist()
+    for x in np.unique(k).tolist():
+        flags = np.zeros(len(ALPHABET) ** x, bool)
+        for i in np.flatnonzero(k == x).tolist():
+            flags[sum(letters[a] * len(ALPHABET) ** p for p, a in enumerate(reversed(kmer[i])))] = True
+        out[x] = flags
+    return out
+
+
+def _only(vectors: pa.ChunkedArray, known: dict[int, np.ndarray]) -> pa.Array:
+    """Vectors without the columns that are not known."""
+    n, row, k, col, value = kernels._flat(vectors)
+    keep = np.zeros(len(row), bool)
+    for x, flags in known.items():
+        mine = k == x
+        keep[mine] = flags[col[mine]]
+    ks = sorted(known)
+    return feats._lists([(row[keep & (k == x)], col[keep & (k == x)], value[keep & (k == x)]) for x in ks], ks, n)
 
 
 def landmark_count(ratio: float, n: int) -> int:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import warnings
 from collections import OrderedDict
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.sequences import ALPHABET
 from ..functions.statistics import value_at_rank
 from .kernel_rows import KernelRows
 
@@ -189,6 +191,8 @@ def primal(support: DataFrame, alpha: DataFrame, weights: dict[int, float]) -> D
     """
     from . import kernels
 
+    if "vectors" in support.columns:
+        return _primal_of_vectors(support, alpha, weights)
     w = F.element_at(F.create_map(*[F.lit(x) for k, v in weights.items() for x in (k, float(v))]), F.col("k"))
     norms = kernels.diagonal(support, weights).join(alpha, "id").select("id.*", (F.col("alpha") / F.sqrt(F.greatest("diag", F.lit(1e-12)))).alias("a"))
     rows = support.filter(F.col("k").isin(list(weights))).join(norms, ["patient", "read_idx"])
@@ -202,6 +206,8 @@ def decide_primal(features: DataFrame, vector: DataFrame, weights: dict[int, flo
     """
     from . import kernels
 
+    if "vectors" in features.columns:
+        return _decide_vectors(features, vector, weights, rho, reads)
     hits = features.join(F.broadcast(vector), ["k", "kmer"]).groupBy("patient", "read_idx").agg(F.sum(F.col("w") * F.col("v")).alias("dot")).select(F.struct("patient", "read_idx").alias("id"), "dot")
     d = kernels.diagonal(features, weights).join(hits, "id", "left")
     if reads is not None:
@@ -209,6 +215,67 @@ def decide_primal(features: DataFrame, vector: DataFrame, weights: dict[int, flo
     return d.select("id", (F.coalesce("dot", F.lit(0.0)) / F.sqrt(F.greatest(F.coalesce("diag", F.lit(0.0)), F.lit(1e-12))) - rho).alias("decision"))
 
 
+def _primal_of_vectors(support: DataFrame, alpha: DataFrame, weights: dict[int, float]) -> DataFrame:
+    """The same from `features.read_vectors`: each task adds up its support vectors, and sums meet by string."""
+    from . import kernels
+    from .features import strings_of
+
+    def add(batches):
+        sums = {k: np.zeros(len(ALPHABET) ** k) for k in weights}
+        for b in batches:
+            for at in range(0, b.num_rows, kernels.BLOCK):
+                x, a = pa.chunked_array([b.column(0).slice(at, kernels.BLOCK)]), np.asarray(b.column(1).slice(at, kernels.BLOCK))
+                _, own, k, col, value = kernels._flat(x)
+                value = value * (a / kernels.norms(x, weights))[own]
+                for kk, total in sums.items():
+                    total += np.bincount(col[k == kk], value[k == kk], len(total))
+        for k, total in sums.items():
+            some = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), k, np.int32)), strings_of(k).take(pa.array(some)), pa.array(total[some] * weights[k])], ["k", "kmer", "v"])
+
+    rows = kernels.vectors(support, weights).join(alpha, "id").select("vectors", "alpha")
+    return rows.mapInArrow(add, "k int, kmer string, v double").groupBy("k", "kmer").agg(F.sum("v").alias("v"))
+
+
+def dot_of(vector: DataFrame, weights: dict[int, float]) -> Callable[[str], Column]:
+    """A column function: a read's unit vector (of `features.read_vectors`) times the model (k, kmer, v).
+
+    The model is at most the vocabulary of each k; it goes to every executor once, as dense arrays.
+    """
+    from . import kernels
+
+    letters, model = {a: i for i, a in enumerate(ALPHABET)}, {k: np.zeros(len(ALPHABET) ** k) for k in weights}
+    t = vector.filter(F.col("k").isin(list(weights))).toArrow()
+    for k, kmer, v in zip(t["k"].to_pylist(), t["kmer"].to_pylist(), t["v"].to_pylist()):
+        model[k][sum(letters[a] * len(ALPHABET) ** p for p, a in enumerate(reversed(kmer)))] = v
+    shared = vector.sparkSession.sparkContext.broadcast(model)
+
+    @F.arrow_udf("double")
+    def dot(rows: pa.Array) -> pa.Array:
+        out = []
+        for at in range(0, len(rows), kernels.BLOCK):
+            x = pa.chunked_array([rows.slice(at, kernels.BLOCK)])
+            n, own, k, col, value = kernels._flat(x)
+            total = np.zeros(n)
+            for kk, v in shared.value.items():
+                mine = k == kk
+                total += np.bincount(own[mine], value[mine] * v[col[mine]], n)
+            out.append(total / kernels.norms(x, weights))
+        return pa.array(np.concatenate(out) if out else np.zeros(0))
+
+    return dot
+
+
+def _decide_vectors(features: DataFrame, vector: DataFrame, weights: dict[int, float], rho: float, reads: DataFrame | None) -> DataFrame:
+    """The same of `features.read_vectors`."""
+    from . import kernels
+
+    d = kernels.vectors(features, weights).select("id", dot_of(vector, weights)("vectors").alias("dot"))
+    if reads is not None:
+        d = reads.select(F.struct("patient", "read_idx").alias("id")).distinct().join(d, "id", "left")
+    return d.select("id", (F.coalesce("dot", F.lit(0.0)) - rho).alias("decision"))
+
+
 def predict(decision: Column) -> Column:
     """1 where the decision is above 0, else -1."""
     return F.when(decision > 0, 1).otherwise(-1)

@@ -313,7 +313,7 @@ def _flat_pairs(df: DataFrame) -> DataFrame:
 
 @query(f"WITH {_features(3)}, g AS (SELECT a.patient AS patient_i, a.read_idx AS read_i, b.patient AS patient_j, b.read_idx AS read_j, sum(a.w * b.w) AS k FROM f a JOIN f b ON a.kmer = b.kmer AND {_PAIR} GROUP BY ALL), n AS (SELECT DISTINCT patient, read_idx FROM f) SELECT a.patient AS patient_i, a.read_idx AS read_i, b.patient AS patient_j, b.read_idx AS read_j, coalesce(k, 0) AS k FROM n a JOIN n b ON {_PAIR} LEFT JOIN g ON a.read_idx = read_i AND b.read_idx = read_j")
 def gram_symmetric_k3(spark, d):
-    return _flat_pairs(kernels.gram(features.weighted_features(fixtures.reads(spark, d), 3, 1), {3: 1.0}))
+    return _flat_pairs(kernels.gram(features.read_vectors(fixtures.reads(spark, d), [3], 1), {3: 1.0}))
 
 
 _MKL = f"{_READS}, " + ", ".join(f"k{k} AS (SELECT patient, read_idx, kmer, count(*) AS cnt FROM (SELECT patient, read_idx, substring(seq, CAST(unnest(range(1, length(seq) - {k} + 2)) AS INTEGER), {k}) AS kmer FROM reads WHERE length(seq) >= {k}) GROUP BY ALL), {_near(k, 1).replace('vocab', f'v{k}').replace('near AS', f'n{k} AS')}, f{k} AS (SELECT patient, read_idx, {k} AS k, neighbor AS kmer, sum(cnt * pow(0.5, dist)) AS w FROM k{k} JOIN n{k} USING (kmer) GROUP BY ALL)" for k in (2, 3)) + ", f AS (SELECT * FROM f2 UNION ALL SELECT * FROM f3), wk AS (SELECT unnest([2, 3]) AS k, unnest([0.4::DOUBLE, 0.6::DOUBLE]) AS wt)"
@@ -323,7 +323,7 @@ _WEIGHTS = {2: 0.4, 3: 0.6}
 
 
 def _normalised(spark, d) -> DataFrame:
-    f = features.combined_features(fixtures.reads(spark, d), 3, 1, [0.0, 0.4, 0.6]).cache()
+    f = features.read_vectors(fixtures.reads(spark, d), [2, 3], 1).cache()
     return kernels.normalise(kernels.gram(f, _WEIGHTS), kernels.diagonal(f, _WEIGHTS))
 
 
@@ -394,6 +394,16 @@ def fold_overlay(spark, d):
     return r6(density.fold_overlay(fixtures.scores(spark, d)), "mean_score", "x", "y")
 
 
+@query(f"""WITH {_SCORES}, {_MOMENTS}, p AS (SELECT label, CAST(count(*) AS DOUBLE) AS n, stddev_samp(score) * pow(count(*), -0.2) AS h FROM scores GROUP BY label), q AS (SELECT quantile_cont(score, 0.95) AS hi, quantile_cont(score, 0.05) AS lo FROM scores WHERE label = 1), e AS (SELECT min(score) AS lo, max(score) AS hi FROM scores),
+ends AS (SELECT 'left' AS tail, e.lo AS a, q.lo AS b FROM e, q UNION ALL SELECT 'right', q.hi, e.hi FROM e, q), panel AS (SELECT tail, a - 0.05 * (b - a) AS lo, (b + 0.05 * (b - a) - (a - 0.05 * (b - a))) / 2047 AS step FROM ends), pts AS (SELECT tail, i, lo + i * step AS x FROM panel, range(2048) r(i)),
+c AS (SELECT label, subject, score, count(*) AS c FROM scores GROUP BY ALL), pc AS (SELECT label, score, sum(c) AS c FROM c GROUP BY ALL)
+SELECT tail, m.label, m.subject, CAST(i AS INTEGER) AS grid_i, round(x, 6) AS x, round(sum(c * exp(-0.5 * pow((x - score) / h, 2))) / (any_value(n) * any_value(h) * sqrt(2 * pi())), 6) AS y FROM pts, m JOIN c USING (subject) GROUP BY tail, m.label, m.subject, i, x UNION ALL
+SELECT tail, p.label, NULL, CAST(i AS INTEGER), round(x, 6), round(sum(c * exp(-0.5 * pow((x - score) / h, 2))) / (any_value(n) * any_value(h) * sqrt(2 * pi())), 6) FROM pts, p JOIN pc USING (label) GROUP BY tail, p.label, i, x""")
+def tail_zoom(spark, d):
+    """Densities in both tails, of subjects and pools."""
+    return r6(density.tail_zoom(fixtures.scores(spark, d)), "x", "y")
+
+
 def _oa_sql(pairs: str, points: int) -> str:
     return f"""WITH {_SCORES}, {_MOMENTS}, pairs AS ({pairs}),
 grid AS (SELECT p.a, p.b, least(x.lo, y.lo) - 0.1 * (greatest(x.hi, y.hi) - least(x.lo, y.lo)) AS lo, 1.1 * greatest(abs(least(x.lo, y.lo)), abs(greatest(x.hi, y.hi))) AS hi FROM pairs p JOIN m x ON x.subject = p.a JOIN m y ON y.subject = p.b),
@@ -505,14 +515,14 @@ _SPLIT = f"{_READS}, ranked AS (SELECT patient, read_idx, row_number() OVER (PAR
 @query()
 def nystrom_phi(spark, d):
     r = fixtures.reads(spark, d)
-    f = _KERNEL.features(r).cache()
+    f = _KERNEL.rows(r).cache()
     return nystrom.transform(f, nystrom.fit(r.filter("length(seq) >= 3"), f, _KERNEL.by_k, 20), reads=r)
 
 
 @query()
 def nystrom_frobenius(spark, d):
     r = fixtures.reads(spark, d)
-    f = _KERNEL.features(r).cache()
+    f = _KERNEL.rows(r).cache()
     phi = nystrom.transform(f, nystrom.fit(r.filter("length(seq) >= 3"), f, _KERNEL.by_k, 20), reads=r)
     return nystrom.intrinsic_errors(kernels.normalise(kernels.gram(f, _KERNEL.by_k), kernels.diagonal(f, _KERNEL.by_k)), phi)
 
@@ -555,6 +565,18 @@ def nu_model_boxplot(spark, d):
     return r6(reports.boxplot(units, ["nu", "aggregator"]), "p5", "q1", "median", "q3", "p95")
 
 
+@query()
+def nystrom_sweep_iteration(spark, d):
+    """One model of the landmark sweep at its published size: at most 30,000 training reads, 300 landmarks, k up to 6 with one mismatch, 10,000 test reads."""
+    r = fixtures.short_reads(spark, d)
+    train = sampling.stratified(r.filter("label = 1"), 30_000, 14).cache()
+    rest = r.join(train.select("patient", "read_idx"), ["patient", "read_idx"], "left_anti")
+    test = sampling.stratified(rest.filter("label = 1"), 5000, 14).unionByName(sampling.stratified(rest.filter("label = -1"), 5000, 6)).cache()
+    scored = pipelines.low_rank_scores(train, test, pipelines.Kernel(), 300).join(test.select("patient", "read_idx", "label"), ["patient", "read_idx"]).withColumn("score", -F.col("decision")).cache()
+    n = train.agg(F.count("*").alias("n_train"))
+    return n.join(statistics.auc_of_reads(scored, "score", F.col("label") == -1), F.lit(True)).join(reports.score_gap(scored), F.lit(True))
+
+
 # What holds of any fitted model, so that SQL can state it
 
 
@@ -578,7 +600,7 @@ def ocsvm_all_healthy_invariants(spark, d):
 def nu_path_invariants(spark, d):
     """Models along a path over nu, each begun at the one before: every one is optimal for its own nu."""
     train = fixtures.reads(spark, d).filter("label = 1")
-    f = _KERNEL.features(train).cache()
+    f = _KERNEL.rows(train).cache()
     rows, out = StringRows(train, f, _KERNEL.by_k), None
     for nu, model in ocsvm.solve_path(rows, [0.1, 0.2, 0.5]).items():
         alpha = rows.with_alpha(model.alpha)
@@ -639,7 +661,7 @@ def ocsvm_invariants(spark, d):
 def nystrom_invariants(spark, d):
     """Every read has a map, no map is longer than the read's own norm of 1, landmarks keep their kernel, and the kernel's error is small."""
     r = fixtures.reads(spark, d)
-    f = _KERNEL.features(r).cache()
+    f = _KERNEL.rows(r).cache()
     state = nystrom.fit(r.filter("length(seq) >= 3"), f, _KERNEL.by_k, 40)
     phi = nystrom.transform(f, state, reads=r).cache()
     square = F.aggregate("phi", F.lit(0.0), lambda s, x: s + x * x)

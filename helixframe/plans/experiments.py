@@ -10,10 +10,12 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.statistics import auc, auc_of_reads, spearman
+from ..functions.statistics import auc, auc_of_reads, running_before, spearman
 from ..operators import density, kernels, nystrom, ocsvm, reports, sampling
+from ..operators.kernel_rows import StringRows
 from ..sources import model_store, score_tables
-from .pipelines import READ, Kernel, infer, reference_curve, train
+from ..storage import saved
+from .pipelines import READ, Kernel, embedding_scores, infer, reference_curve, reference_scores, train
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -31,13 +33,13 @@ def require(spark: SparkSession, *paths: str) -> None:
 def feature_cache(reads: DataFrame, kernel: Kernel, path: str) -> str:
     """Write the features of all reads once; returns the path."""
     if not _exists(reads.sparkSession, path):
-        model_store.save_features(kernel.features(reads), path)
+        model_store.save_features(kernel.rows(reads), path)
     return path
 
 
 def _features(rows: DataFrame, kernel: Kernel, cache: str | None) -> DataFrame:
     if cache is None:
-        return kernel.features(rows)
+        return kernel.rows(rows)
     patients = [r.patient for r in rows.select("patient").distinct().collect()]
     return model_store.load_features(rows.sparkSession, cache, patients).join(rows.select(*READ), READ, "left_semi")
 
@@ -62,6 +64,7 @@ def train_and_save(reads: DataFrame, kernel: Kernel, path: str, nu: float = 0.2,
 
 def infer_cohort(reads: DataFrame, path: str, out: str) -> DataFrame:
     """Scores of a cohort under a saved model as CSV (patient, read_idx, anomaly_score), and a row a patient."""
+    require(reads.sparkSession, f"{path}/params")
     model = model_store.load_model(reads.sparkSession, path)
     scores = infer(reads, *model).select(*READ, F.col("score").alias("anomaly_score"))
     score_tables.write_csv(scores, f"{out}/scores", READ)
@@ -110,14 +113,24 @@ def leave_one_out(reads: DataFrame, kernel: Kernel, out: str, *, max_train: int,
     return spark.read.parquet(f"{out}/{name}").select("fold", "subject", "label", "mean_score", "std_score", "n_sequences")
 
 
+def held_out_areas(scored: DataFrame, held: str) -> DataFrame:
+    """(subject, seq_auc): each tumor patient's reads against the held-out patient's.
+
+    Held-out scores are counted by value once and summed up to each value; a tumor read then looks up how many lie below it. No
+    tumor patient is paired with the held-out reads.
+    """
+    values = scored.groupBy("score").agg(F.count_if(F.col("subject") == held).alias("h"))
+    below = running_before(values, "score", ["h"]).select("score", (F.col("before_h") + F.col("h") / 2).alias("won"))
+    total = F.broadcast(values.agg(F.sum("h").alias("n_h")))
+    tumor = scored.filter("label = -1").groupBy("subject", "score").agg(F.count("*").alias("c")).join(below, "score")
+    return tumor.groupBy("subject").agg(F.sum(F.col("c") * F.col("won")).alias("won"), F.sum("c").alias("n_t")).join(total, F.lit(True)).select("subject", (F.col("won") / F.nullif(F.col("n_t") * F.col("n_h"), F.lit(0))).alias("seq_auc"))
+
+
 def loo_results(scored: DataFrame, fold: str, held: str, n_train: int) -> DataFrame:
     """The nine result fields of a fold, a row for each tumor patient against the held-out one."""
-    one = scored.filter(F.col("subject") == held)
-    healthy = one.agg(F.avg("score").alias("mean_score_healthy"), F.count("*").alias("n_h"))
+    healthy = scored.filter(F.col("subject") == held).agg(F.avg("score").alias("mean_score_healthy"), F.count("*").alias("n_h"))
     tumor = scored.filter("label = -1").groupBy("subject").agg(F.avg("score").alias("mean_score_tumor"), F.count("*").alias("n_t"))
-    both = scored.filter("label = -1").select("subject", "score", F.lit(True).alias("p")).unionByName(one.select("score").join(F.broadcast(tumor.select("subject")), F.lit(True)).select("subject", "score", F.lit(False).alias("p")))
-    area = auc(both, "score", F.col("p"), ["subject"]).select("subject", F.col("auc").alias("seq_auc"))
-    rows = tumor.join(area, "subject").join(F.broadcast(healthy), F.lit(True))
+    rows = tumor.join(held_out_areas(scored, held), "subject").join(F.broadcast(healthy), F.lit(True))
     patient = F.when(F.col("mean_score_tumor") > F.col("mean_score_healthy"), 1.0).when(F.col("mean_score_tumor") == F.col("mean_score_healthy"), 0.5).otherwise(0.0)
     return rows.select(F.lit(fold).alias("fold_name"), F.lit(held).alias("held_out_patient"), F.col("subject").alias("tumor_patient"), patient.alias("patient_auc"), "seq_auc", "mean_score_healthy", "mean_score_tumor", F.lit(n_train).alias("num_train_seqs"), (F.col("n_h") + F.col("n_t")).alias("num_test_seqs"))
 
@@ -130,7 +143,7 @@ def select_landmarks(own: DataFrame, test: DataFrame, kernel: Kernel, out: str,
     import time
 
     spark = own.sparkSession
-    f, w = kernel.features(own).cache(), kernel.by_k
+    f, w = kernel.rows(own).cache(), kernel.by_k
     exact = infer(test, *train(own, kernel, nu, features=f)).select(*READ, F.col("score").alias("exact")).cache()
     some = sampling.landmarks(own, sample, 1)
     rows = kernels.vectors(f.join(F.broadcast(some), READ, "left_semi"), w).toArrow()
@@ -143,10 +156,12 @@ def select_landmarks(own: DataFrame, test: DataFrame, kernel: Kernel, out: str,
             params, tables = train(own, kernel, nu, m, seed, f)
             state = nystrom.NystromState.of(params, tables)
             near = infer(test, params, tables).join(exact, READ).join(test.select(*READ, "label"), READ).cache()
-            phi = {(r.patient, r.read_idx): r.phi for r in nystrom.transform(f.join(F.broadcast(some), READ, "left_semi"), state).collect()}
-            p = np.array([phi[i["patient"], i["read_idx"]] for i in ids])
+            maps = nystrom.transform(f.join(F.broadcast(some), READ, "left_semi"), state).toArrow()
+            place = {(x, y): n for n, (x, y) in enumerate(zip(maps["patient"].to_pylist(), maps["read_idx"].to_pylist()))}
+            phi = np.asarray(maps["phi"].combine_chunks().flatten()).reshape(maps.num_rows, -1)
+            p = phi[[place[i["patient"], i["read_idx"]] for i in ids]]
             diff = true - p @ p.T
-            area, rank, gap = auc_of_reads(near, "score", F.col("label") == -1).first().auc, spearman(near.withColumn("all", F.lit(1)), "score", "exact", ["all"]).first().spearman, reports.score_gap(near).first()
+            area, rank, gap = auc_of_reads(near, "score", F.col("label") == -1).first().auc, spearman(near, "score", "exact").first().spearman, reports.score_gap(near).first()
             found.append((ratio, m, seed, params["kept"], time.perf_counter() - start, float(np.linalg.norm(diff) / max(np.linalg.norm(true), 1e-12)), nystrom.spectral_error(true, p), float(np.abs(np.diag(diff)).max()), float(np.abs(np.diag(diff)).mean()), area, rank, gap.score_gap, gap.mean_healthy_score, gap.mean_tumor_score))
             near.unpersist()
     columns = "m_ratio double, m int, landmark_seed int, n_components_effective int, elapsed_s double, rel_frobenius_error double, rel_spectral_error double, max_diag_error double, mean_diag_error double, auc double, spearman_corr double, score_gap double, mean_healthy_score double, mean_tumor_score double"
@@ -167,10 +182,8 @@ def build_reference(products: DataFrame, path: str, points: int = 512) -> DataFr
 
 def evaluate_overlap(cross: DataFrame, reference: DataFrame, labels: DataFrame, points: int = 512) -> tuple[DataFrame, DataFrame]:
     """((patient, label, oa, anomaly_score), (auc, n_pos, n_neg)): patients' distances to training reads against a reference curve."""
-    from .pipelines import reference_scores
-
     oas = reference_scores(cross, reference, points).join(labels, "patient").select("patient", "label", "oa", "anomaly_score")
-    return oas, auc(oas.withColumn("all", F.lit(1)), "anomaly_score", F.col("label") == -1, ["all"]).drop("all")
+    return oas, auc(oas, "anomaly_score", F.col("label") == -1, [])
 
 
 def embedding_distances(test: DataFrame, own: DataFrame, kind: str = "rbf") -> DataFrame:
@@ -185,6 +198,121 @@ def embedding_distances(test: DataFrame, own: DataFrame, kind: str = "rbf") -> D
     return k.join(a, "i").join(b, "j").select(F.col("i_").alias("i"), F.col("j_").alias("j"), "k")
 
 
+def _write_overlap(oas: DataFrame, area: DataFrame, out: str) -> DataFrame:
+    """Patients' overlaps as CSV and the area as JSON; returns the area as it was written."""
+    score_tables.write_csv(oas, f"{out}/patients", ["label", "patient"], "overwrite")
+    area.coalesce(1).write.mode("overwrite").json(f"{out}/area")
+    return area.sparkSession.read.schema(area.schema).json(f"{out}/area")
+
+
+def overlap_experiment(test: DataFrame, out: str, *, own: DataFrame | None = None, kernel: Kernel | None = None, reference: str | None = None, points: int = 512) -> DataFrame:
+    """Patients (test: patient, read_idx, label, seq) by how little their distances to training reads overlap with training's own; files and (auc, n_pos, n_neg).
+
+    Standard: training reads `own` under `kernel`; their curve and features are saved as `out`/reference. Fixed: `reference` is such a
+    folder of a former run, whose kernel, training features and curve are used as they are.
+    """
+    spark = test.sparkSession
+    if reference is None:
+        if own is None or kernel is None:
+            raise ValueError("a run without a reference needs training reads and a kernel")
+        reference = f"{out}/reference"
+        f, w = kernel.rows(own).cache(), kernel.by_k
+        curve = reference_curve(kernels.normalise(kernels.gram(f, w), kernels.diagonal(f, w)), points)
+        params = {"backend": "reference", "points": points, "max_k": kernel.max_k, "mismatches": kernel.mismatches, "weights": None if kernel.weights is None else list(kernel.weights)}
+        model_store.save_model(spark, reference, params, {"curve": curve, "features": f})
+    require(spark, f"{reference}/params")
+    params, tables = model_store.load_model(spark, reference, "reference")
+    kernel = Kernel(params["max_k"], params["mismatches"], params["weights"] and tuple(params["weights"]))
+    f, g, w = tables["features"], kernel.rows(test).cache(), kernel.by_k
+    cross = kernels.normalise(kernels.cross_gram(g, f, w), kernels.diagonal(g, w), kernels.diagonal(f, w))
+    return _write_overlap(*evaluate_overlap(cross, tables["curve"], test.select("patient", "label").distinct(), params["points"]), out)
+
+
+def embedding_overlap_experiment(own: DataFrame, test: DataFrame, out: str, kind: str = "rbf", points: int = 512) -> DataFrame:
+    """The same of embeddings: own (patient, id, embedding), test with a label; files and (auc, n_pos, n_neg)."""
+    curve = saved(reference_curve(embedding_distances(own, own, kind).filter("i <= j"), points), "curve")
+    oas, area = evaluate_overlap(embedding_distances(test.drop("label"), own, kind), curve, test.select("patient", "label").distinct(), points)
+    return _write_overlap(oas, area, out)
+
+
+def embedding_experiment(own: DataFrame, test: DataFrame, out: str, kind: str = "rbf", nu: float = 0.2) -> DataFrame:
+    """A one-class model of embeddings (id, embedding) over test rows (patient, label, id, embedding): scores and patient means as CSV, the patient-level
+    area as JSON; returns (auc, n_pos, n_neg)."""
+    scored = embedding_scores(own, test, kind, nu).join(test.select("id", "patient", "label"), "id")
+    rows = saved(scored.select("patient", "label", "id", (-F.col("decision")).alias("anomaly_score"), "predicted"), "scores")
+    score_tables.write_csv(rows.select("patient", "id", "anomaly_score"), f"{out}/scores", ["patient", "id"], "overwrite")
+    patients = rows.groupBy("patient", "label").agg(F.avg("anomaly_score").alias("mean_score"), F.count("*").alias("n_sequences"))
+    score_tables.write_csv(reports.classification_report(rows, "label", "predicted"), f"{out}/report", ["class"], "overwrite")
+    return _write_overlap(patients, auc(patients, "mean_score", F.col("label") == -1, []), out)
+
+
+def seed_stability(reads: DataFrame, kernel: Kernel, out: str, *, own: list[str], a: str, b: str, seeds: list[int], max_train: int, max_test: int, nu: float = 0.2, test_seed: int = 42) -> DataFrame:
+    """How the overlap of two patients' scores depends on which reads of `own` a model is trained on.
+
+    Test reads are drawn once. The features of all seeds' reads together are made and stored once; each model takes its part of them. A seed's scores
+    (a column a patient) and its row go to files, and a seed whose row is there is not run again. Returns (train_seed, oa,
+    mean_score_a, mean_score_b, n_train, n_test_a, n_test_b).
+    """
+    spark = reads.sparkSession
+    missing = {a, b, *own} - {r.patient for r in reads.select("patient").distinct().collect()}
+    if missing:
+        raise ValueError(f"no reads of {', '.join(sorted(missing))}")
+    todo = [s for s in seeds if not _exists(spark, f"{out}/results/fold={s}")]
+    if todo:
+        w = kernel.by_k
+        test = sampling.stratified(reads.filter(F.col("patient").isin(a, b)), 2 * max_test, 2, test_seed)
+        g = saved(kernel.rows(test), "test")
+        pool = reads.filter(F.col("patient").isin(own))
+        samples = {s: saved(sampling.stratified(pool, max_train, len(own), s).select(*READ), "sample") for s in todo}
+        union = samples[todo[0]]
+        for s in todo[1:]:
+            union = union.unionByName(samples[s])
+        f = saved(kernel.rows(pool.join(union.distinct(), READ, "left_semi")), "union")
+    for s in todo:
+        part = f.join(samples[s], READ, "left_semi")
+        alpha, rho = ocsvm.fit_rows(StringRows(samples[s], part, w), nu)
+        vector = ocsvm.primal(part.join(alpha.select("id.*"), READ, "left_semi"), alpha, w)
+        scored = saved(ocsvm.decide_primal(g, vector, w, rho, test).select(F.col("id.patient").alias("subject"), F.col("id.read_idx").alias("read_idx"), (-F.col("decision")).alias("score")), "scored")
+        score_tables.write_csv(score_tables.widen(scored, "subject", [a, b]).orderBy("row").drop("row"), f"{out}/anomaly_scores/seed{s}_scores", mode="overwrite")
+        of = lambda p, x: x.filter(F.col("subject") == p)
+        means = [of(p, scored).agg(F.avg("score").alias(f"mean_score_{n}"), F.count("*").alias(f"n_test_{n}")) for n, p in (("a", a), ("b", b))]
+        row = density.oa_pairs(scored, spark.createDataFrame([(a, b)], "a string, b string")).join(means[0], F.lit(True)).join(means[1], F.lit(True))
+        row = row.select(F.lit(s).alias("train_seed"), "oa", "mean_score_a", "mean_score_b", F.lit(samples[s].count()).alias("n_train"), "n_test_a", "n_test_b", F.lit(str(s)).alias("fold"))
+        score_tables.append_summary(row, f"{out}/results")
+    done = spark.read.parquet(f"{out}/results").drop("fold").filter(F.col("train_seed").isin(seeds))
+    score_tables.write_csv(done, f"{out}/stability_results", ["train_seed"], "overwrite")
+    score_tables.write_csv(reports.describe(done, "oa"), f"{out}/summary", mode="overwrite")
+    return done
+
+
+def reference_stability(reads: DataFrame, kernel: Kernel, out: str, *, size: int = 3, combinations: int = 3, max_train: int = 3000, seed: int = 42, points: int = 512) -> DataFrame:
+    """Reference curves of several sets of healthy patients, and how much every two of them overlap: (a, b, oa), as CSV with a JSON report by set.
+
+    Sets are drawn by digest order; each has its own training sample, kernel and curve. Curves are compared on the first set's grid.
+    """
+    spark = reads.sparkSession
+    healthy = reads.filter("label = 1")
+    drawn = [r.members for r in sampling.combinations(healthy.select("patient").distinct(), size, combinations, seed).collect()]
+    w, top, curves = kernel.by_k, None, []
+    for members in drawn:
+        own = sampling.stratified(healthy.filter(F.col("patient").isin(members)), max_train, size, seed)
+        f = kernel.rows(own).cache()
+        d = saved(kernels.normalise(kernels.gram(f, w), kernels.diagonal(f, w)).filter("i <> j").select(F.lit("+".join(members)).alias("members"), kernels.distance(F.col("k")).alias("d")), "distances")
+        f.unpersist()
+        top = d.agg(F.max("d")).first()[0] if top is None else top
+        curves.append((d.first().members, saved(density.curve(d, ["members"], "d", points, hi=F.lit(top)), "curve")))
+    rows = None
+    for i, (a, x) in enumerate(curves):
+        for b, y in curves[i + 1 :]:
+            one = density.oa_on_grid(x.drop("members"), y, ["members"]).select(F.lit(a).alias("a"), F.lit(b).alias("b"), "oa")
+            rows = one if rows is None else rows.unionByName(one)
+    names = spark.createDataFrame([(a,) for a, _ in curves], "subject string")
+    full = density.mirrored(spark.createDataFrame([], "a string, b string, oa double") if rows is None else saved(rows, "overlaps"), names)
+    score_tables.write_csv(full, f"{out}/matrix", ["a", "b"], "overwrite")
+    density.by_row(full).write.mode("overwrite").json(f"{out}/report")
+    return full
+
+
 def validate_reference(scores: DataFrame, out: str, points: int = 1024) -> DataFrame:
     """The full mirrored matrix of overlaps between healthy subjects, as CSV, and a JSON report of its rows."""
     subjects = scores.filter("label = 1").select("subject").distinct()

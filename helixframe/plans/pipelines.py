@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,25 +19,36 @@ READ = features.READ
 
 @dataclass(frozen=True)
 class Kernel:
-    """A multi-k kernel: longest k, mismatches, weights by k (default: those of the mismatch level)."""
+    """A multi-k kernel: longest k, mismatches, weights by k (default: those of the mismatch level); or one over the tokens of an own analyzer."""
 
     max_k: int = 6
     mismatches: int = 1
     weights: tuple[float, ...] | None = None
+    analyzer: Callable[[str], Iterable[str]] | None = None
 
     @property
     def by_k(self) -> dict[int, float]:
+        if self.analyzer is not None:
+            return {1: 1.0}
         w = weights_or_default(self.max_k, self.mismatches, None if self.weights is None else list(self.weights))
         return {k: w[k - 1] for k in active_ks(self.max_k, self.mismatches, w)}
 
     def features(self, reads: DataFrame) -> DataFrame:
+        if self.analyzer is not None:
+            return features.analyzed(reads, self.analyzer)
         w = weights_or_default(self.max_k, self.mismatches, None if self.weights is None else list(self.weights))
         return features.combined_features(reads, self.max_k, self.mismatches, w)
 
+    def rows(self, reads: DataFrame) -> DataFrame:
+        """The features as models take them: one row a read where strings have numbers (with mismatches), else a row a feature."""
+        if self.analyzer is None and self.mismatches > 0:
+            return features.read_vectors(reads, sorted(self.by_k), self.mismatches)
+        return self.features(reads)
+
 
 def exact_scores(train: DataFrame, test: DataFrame, kernel: Kernel, nu: float = 0.2) -> DataFrame:
     """(patient, read_idx, decision, predicted) of test reads under a model of the training reads."""
-    f, g, w = kernel.features(train).cache(), kernel.features(test), kernel.by_k
+    f, g, w = kernel.rows(train).cache(), kernel.rows(test), kernel.by_k
     alpha, rho = ocsvm.fit_rows(StringRows(train, f, w), nu)
     support = f.join(alpha.select("id.*"), READ, "left_semi")
     out = ocsvm.decide_primal(g, ocsvm.primal(support, alpha, w), w, rho, test)
@@ -53,7 +65,7 @@ def train(reads: DataFrame, kernel: Kernel, nu: float = 0.2, landmarks: int | No
     Without `landmarks` the exact model, which is one vector over strings; with them a low-rank one: landmarks, W^-1/2, training's
     strings and a vector of as many components. `features` may come from a cache.
     """
-    f, w = (kernel.features(reads) if features is None else features).cache(), kernel.by_k
+    f, w = (kernel.rows(reads) if features is None else features).cache(), kernel.by_k
     spark = reads.sparkSession
     if landmarks is None:
         alpha, rho = ocsvm.fit_rows(StringRows(reads, f, w), nu)
@@ -68,7 +80,7 @@ def train(reads: DataFrame, kernel: Kernel, nu: float = 0.2, landmarks: int | No
 def infer(reads: DataFrame, params: dict, tables: dict[str, DataFrame], features: DataFrame | None = None) -> DataFrame:
     """(patient, read_idx, score) of reads under a stored model of either backend; scores are inverted decisions."""
     kernel = Kernel(params["max_k"], params["mismatches"], tuple(params["weights"]))
-    f = kernel.features(reads) if features is None else features
+    f = kernel.rows(reads) if features is None else features
     if params["backend"] == "nystrom":
         phi = nystrom.transform(f, nystrom.NystromState.of(params, tables), tables["vocabulary"], reads)
         out = ocsvm.decide_linear(phi, np.array(tables["vector"].first().v), params["rho"])
@@ -87,7 +99,7 @@ def embedding_scores(train: DataFrame, test: DataFrame, kind: str = "linear", nu
 
 def low_rank_scores(train: DataFrame, test: DataFrame, kernel: Kernel, m: int, nu: float = 0.2, seed: int = 42, passes: int | None = None) -> DataFrame:
     """(patient, read_idx, decision, predicted) over Nystroem maps with m landmarks."""
-    f, g = kernel.features(train).cache(), kernel.features(test)
+    f, g = kernel.rows(train).cache(), kernel.rows(test)
     state = nystrom.fit(train, f, kernel.by_k, m, seed)
     vocabulary = nystrom.vocabulary(f)
     w, rho = ocsvm.fit_primal(nystrom.transform(f, state, reads=train), nu, passes)
@@ -104,7 +116,7 @@ def evaluate(scored: DataFrame, test: DataFrame) -> dict[str, DataFrame]:
 
 def nu_models(train: DataFrame, kernel: Kernel, nus: list[float]) -> dict[float, tuple[DataFrame, float]]:
     """(vector over strings, rho) of the exact model at each nu, fitted as one path: each begins at the weights of the one before."""
-    f, w = kernel.features(train).cache(), kernel.by_k
+    f, w = kernel.rows(train).cache(), kernel.by_k
     rows, out = StringRows(train, f, w), {}
     for nu, model in ocsvm.solve_path(rows, nus).items():
         alpha = rows.with_alpha(model.alpha)
@@ -115,7 +127,7 @@ def nu_models(train: DataFrame, kernel: Kernel, nus: list[float]) -> dict[float,
 def nu_comparison(train: DataFrame, test: DataFrame, kernel: Kernel, nus: list[float], n_reads: int, held_out: bool = True, seed: int = 42) -> DataFrame:
     """(nu, aggregator, n_reads, rep, [subject], auc) under models fitted at each nu: an area for each healthy subject of `test` against its
     tumors (held_out), or one for all, of `n_reads` sampled reads by every aggregator."""
-    g, out = kernel.features(test).cache(), None
+    g, out = kernel.rows(test).cache(), None
     for nu, (vector, rho) in nu_models(train, kernel, nus).items():
         scored = ocsvm.decide_primal(g, vector, kernel.by_k, rho, test).select("id.*", (-F.col("decision")).alias("score")).join(test.select(*READ, "label"), READ)
         units = reports.heatmap_units(scored.withColumnRenamed("patient", "subject"), [n_reads], False, held_out, seed=seed).withColumn("nu", F.lit(nu))

@@ -23,6 +23,13 @@ def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("source").alias("patient"), F.col("doc_id").alias("read_idx"), label.alias("label"), seq.alias("seq"))
 
 
+def short_reads(spark: SparkSession, sf_dir: str, letters: int = 100) -> DataFrame:
+    """(patient, read_idx, label, seq): the same letters in reads of at most so many, as a sequencer gives them."""
+    r = reads(spark, sf_dir).filter("seq <> ''")
+    at = F.sequence(F.lit(0), F.floor((F.length("seq") - 1) / letters).cast("int"))
+    return r.select("patient", "label", "seq", F.col("read_idx").alias("doc"), F.explode(at).alias("i")).select("patient", (F.col("doc") * 100_000 + F.col("i")).alias("read_idx"), "label", F.substring("seq", F.col("i") * letters + 1, F.lit(letters)).alias("seq"))
+
+
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(fold, subject, label, round, read_idx, score); healthy subjects have label 1 and a fold of their own."""
     rounds = F.element_at(F.create_map(*[F.lit(x) for i, t in enumerate(EVENT_TYPES) for x in (t, i + 1)]), F.col("event_type"))

@@ -1,39 +1,21 @@
 """Scoring of reads as they arrive: a stateless map over a stream, beyond what the batch operators' parity asks for.
 
-Fitting is batch. A fitted model is one vector over k-mers, so each read is scored alone: no state, no watermark,
-no late data.
+Fitting is batch. A fitted model is one vector over strings, which every executor holds once; each read is expanded and scored
+alone: no state, no watermark, no late data.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.sequences import ALPHABET, in_vocabulary, kmers, weighted_neighbourhood
+from ..operators import features, ocsvm
 
 
-def model_map(vector: DataFrame) -> dict[str, float]:
-    """The vector (k, kmer, v) as a map by string; its size is bounded by the vocabulary."""
-    rows = vector.limit(sum(len(ALPHABET) ** k for k in range(1, 7)) + 1).collect()
-    if len(rows) > sum(len(ALPHABET) ** k for k in range(1, 7)):
-        raise ValueError("the model's vocabulary is not that of six letters and at most six of them")
-    return {r.kmer: r.v for r in rows}
+def score_stream(stream: DataFrame, vector: DataFrame, weights: dict[int, float], m: int, rho: float, decay: float = 0.5) -> DataFrame:
+    """(patient, read_idx, score) of a stream of reads under the model (k, kmer, v); scores are inverted decisions.
 
-
-def decision(seq: Column, model: dict[str, float], weights: dict[int, float], m: int, rho: float, decay: float = 0.5) -> Column:
-    """The model's decision on one sequence, as one expression of arrays and maps."""
-    known = F.create_map(*[F.lit(x) for kv in sorted(model.items()) for x in kv]) if model else F.create_map().cast("map<string,double>")
-    dot, square = F.lit(0.0), F.lit(0.0)
-    for k, weight in sorted(weights.items()):
-        near = F.filter(F.flatten(F.transform(kmers(F.upper(seq), k), lambda x: weighted_neighbourhood(x, k, m))), lambda n: in_vocabulary(n.neighbor, k))
-        dot = dot + F.aggregate(near, F.lit(0.0), lambda s, n: s + F.pow(F.lit(decay), n.dist) * F.coalesce(F.try_element_at(known, n.neighbor), F.lit(0.0)))
-        names = F.array_sort(F.transform(near, lambda n: F.struct(n.neighbor.alias("x"), F.pow(F.lit(decay), n.dist).alias("w"))))
-        start = F.struct(F.lit("").alias("x"), F.lit(0.0).alias("run"), F.lit(0.0).alias("sum"))
-        step = lambda s, n: F.when(s.x == n.x, F.struct(s.x.alias("x"), (s.run + n.w).alias("run"), s["sum"].alias("sum"))).otherwise(F.struct(n.x.alias("x"), n.w.alias("run"), (s["sum"] + s.run * s.run).alias("sum")))
-        square = square + weight * F.aggregate(names, start, step, lambda s: s["sum"] + s.run * s.run)
-    return dot / F.sqrt(F.greatest(square, F.lit(1e-12))) - rho
-
-
-def score_stream(stream: DataFrame, model: dict[str, float], weights: dict[int, float], m: int, rho: float) -> DataFrame:
-    """(patient, read_idx, score) of a stream of reads; scores are inverted decisions."""
-    return stream.select("patient", "read_idx", (-decision(F.col("seq"), model, weights, m, rho)).alias("score"))
+    Reads without a string of the alphabet score rho. Strings with other letters are left out, also without mismatches.
+    """
+    rows = features.read_vectors(stream, sorted(weights), m, decay, alphabet_only=True)
+    return rows.select("patient", "read_idx", (F.lit(rho) - ocsvm.dot_of(vector, weights)("vectors")).alias("score"))

@@ -22,7 +22,7 @@ def test_stream_equals_batch(spark, tmp_path):
     assert {r.id.read_idx: r.decision for r in ocsvm.decide(cross, alpha, rho).collect()} == pytest.approx(batch)
     test.write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(test.schema).parquet(str(tmp_path / "in"))
-    q = scoring.score_stream(stream, scoring.model_map(vector), w, 1, rho).writeStream.format("memory").queryName("scored").trigger(availableNow=True).start()
+    q = scoring.score_stream(stream, vector, w, 1, rho).writeStream.format("memory").queryName("scored").trigger(availableNow=True).start()
     q.awaitTermination(60)
     got = {r.read_idx: -r.score for r in spark.table("scored").collect()}
     assert {i: got[i] for i in batch} == pytest.approx(batch)

@@ -162,3 +162,83 @@ def test_running_sums_and_youden_against_plain_versions(spark):
     assert (best.threshold, round(best.tpr, 6), round(best.fpr, 6)) == (2.0, 1.0, 0.333333)
     one_class = reports.youden(spark.createDataFrame([(1, 1.0)], "label int, value double")).first()
     assert one_class.tpr is None and one_class.fpr == 1.0
+
+
+def test_keyed_ranks_aggregates_and_samples_against_plain_versions(spark):
+    from helixframe.functions import statistics
+
+    r = np.random.default_rng(4)
+    rows = [(None if i % 17 == 0 else "hot" if i % 3 else f"s{i % 5}", int(r.integers(2)), float(r.choice([0.5, 1.5, r.normal()])), float(r.integers(4)), i) for i in range(900)]
+    df = spark.createDataFrame(rows, "k string, label int, a double, b double, read_idx long").repartition(6)
+    by = {}
+    for k, *x in rows:
+        by.setdefault(k, []).append(x)
+    rank = lambda x: np.array([np.mean(np.flatnonzero(np.sort(x) == v)) + 1 for v in x])
+    got = {x.k: (x.spearman, x.n) for x in statistics.spearman(df, "a", "b", ["k"]).collect()}
+    assert set(got) == set(by)
+    for k, x in by.items():
+        a, b = (np.array([v[c] for v in x]) for c in (1, 2))
+        assert got[k] == (pytest.approx(np.corrcoef(rank(a), rank(b))[0, 1]), len(x))
+    whole = np.array([x[2] for x in rows])
+    assert statistics.spearman(df, "a", "b").first().spearman == pytest.approx(np.corrcoef(rank(whole), rank(np.array([x[3] for x in rows])))[0, 1])
+    areas = {x.k: (x.auc, x.n_pos, x.n_neg) for x in statistics.auc(df, "a", F.col("label") == 1, ["k"]).collect()}
+    for k, x in by.items():
+        pos, neg = ([v[1] for v in x if v[0] == c] for c in (1, 0))
+        assert areas[k] == (pytest.approx(np.mean([(p > q) + 0.5 * (p == q) for p in pos for q in neg])), len(pos), len(neg))
+    values = {(x.k, x.aggregator): x.value for x in statistics.aggregate_all(df, ["k"], "a", (3, 10_000)).collect()}
+    for k, x in by.items():
+        a = np.sort([v[1] for v in x])
+        want = {"max": a[-1], "mean": a.mean(), "top3": a[-3:].mean(), "top10000": a.mean(), **{n: np.quantile(a, q) for n, q in statistics.QUANTILES.items()}}
+        assert {n: values[k, n] for n in want} == pytest.approx(want)
+    q = statistics.quantiles(df, "a", {"x": 0.37, "y": 1.0}).first()
+    assert (q.x, q.y) == pytest.approx((np.quantile(whole, 0.37), whole.max()))
+    assert statistics.quantiles(df.limit(0), "a", {"x": 0.5}).first().x is None
+
+
+def test_samples_are_the_least_digests(spark):
+    import hashlib
+
+    rows = [(s, r, i, float(i)) for s in ("a", "b|", None) for r in (1, 2) for i in range(40)] + [("one", 1, 7, 0.0)]
+    df = spark.createDataFrame(rows, "subject string, round int, read_idx long, score double").repartition(5)
+    got = {}
+    for x in sampling.subsample_scores(df, [3, 25, 100], ["subject", "round"], 2).collect():
+        got.setdefault((x.subject, x.round, x.n_reads, x.rep), []).append(x.read_idx)
+    for s, r in {x[:2] for x in rows}:
+        for n in (3, 25, 100):
+            for rep in (1, 2):
+                digest = lambda i: hashlib.md5("|".join(str(v) for v in (42, rep, n, s, r, i) if v is not None).encode()).hexdigest()  # noqa: B023, E731
+                ids = sorted((x[2] for x in rows if x[:2] == (s, r)), key=lambda i: (digest(i), i))[:n]
+                assert sorted(got[s, r, n, rep]) == sorted(ids)
+
+
+def test_tails_and_fold_overlay(spark):
+    r = np.random.default_rng(5)
+    rows = [(s, y, i, float(v)) for s, y, m in (("a", 1, 0), ("b", 1, 0), ("t", -1, 1), ("u", -1, 2)) for i, v in enumerate(r.normal(m, 1, 40))]
+    df = spark.createDataFrame(rows, "subject string, label int, read_idx long, score double")
+    healthy, every = (np.array([x[3] for x in rows if x[1] == 1 or y]) for y in (False, True))
+    got = density.tail_zoom(df, points=20).collect()
+    assert len(got) == 2 * 6 * 20
+    lo, hi = np.quantile(healthy, 0.95), every.max()
+    right = [x for x in got if x["tail"] == "right" and x.subject is None and x.label == -1]
+    pool = np.array([x[3] for x in rows if x[1] == -1])
+    h = pool.std(ddof=1) * len(pool) ** -0.2
+    assert (min(x.x for x in right), max(x.x for x in right)) == pytest.approx((lo - 0.05 * (hi - lo), hi + 0.05 * (hi - lo)))
+    assert all(x.y == pytest.approx(np.exp(-0.5 * ((x.x - pool) / h) ** 2).mean() / (h * np.sqrt(2 * np.pi))) for x in right)
+    curves = density.fold_overlay(df, 10).collect()
+    assert {(x.fold, x.subject) for x in curves} == {(f"LOO_{f}", s) for f in "ab" for s in (f, "t", "u")} and len(curves) == 60
+    one = [x for x in curves if (x.fold, x.subject) == ("LOO_b", "u")]
+    own = np.array([x[3] for x in rows if x[0] == "u"])
+    ends = np.array([x[3] for x in rows if x[0] in "btu"])
+    assert (min(x.x for x in one), max(x.x for x in one), one[0].mean_score) == pytest.approx((ends.min(), ends.max(), own.mean()))
+
+
+def test_downsampled_curve(spark):
+    df = spark.createDataFrame([("k", i, float(i % 10)) for i in range(200)], "k string, id long, d double")
+    a, b = (density.curve(df.repartition(n), ["k"], "d", 16, most=30, ident="id").orderBy("grid_i").collect() for n in (2, 5))
+    assert [x.y for x in a] == pytest.approx([x.y for x in b]) and len(a) == 16
+
+
+def test_wide_table_of_ragged_columns(spark):
+    rows = [("x", i, float(i)) for i in (9, 4, 7)] + [("y", 1, 5.0)]
+    wide = score_tables.widen(spark.createDataFrame(rows, "c string, read_idx long, score double").repartition(3), "c", ["x", "y"]).orderBy("row").collect()
+    assert [tuple(r) for r in wide] == [(0, 4.0, 5.0), (1, 7.0, None), (2, 9.0, None)]
