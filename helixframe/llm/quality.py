@@ -1,13 +1,17 @@
 """Quality by weak supervision: rules vote or abstain, expectation-maximisation weighs them, a posterior decides.
 
-Each rule votes "good", "bad" or abstains on a document. Votes are independent given the unknown class; for each
-class every rule that votes has a probability of voting "bad"; abstaining says nothing. Bad documents fail in different
-ways, so by default there is a bad class for each rule, the failure that it is about, beside the good one. Vote patterns are counted over all
-documents (at most 3 ** rules rows, whatever the corpus), EM runs on those counts, and each document gets the posterior
-probability of being good of its own pattern.
+Each rule votes "good", "doubtful" or "bad" on a document, or abstains. Votes are independent given the unknown class; for each class and rule
+the model holds how likely each vote is; abstaining says nothing. Bad documents fail in different ways, so there is a bad class for each
+rule, the failure that it is about, beside the good one. Vote patterns are counted over all documents (at most 4 ** rules rows, whatever the
+corpus), EM runs on those counts, and each document gets the posterior probability of being good of its own pattern.
 
-No rule takes length for a fault: texts of over 100,000 words get no vote on it, and variety is a mean over windows of
-`WINDOW` words that cover the whole text.
+A failure that only one rule sees can't be told from false alarms of that rule by votes alone: EM then calls whole kinds of junk good. What
+rules are made for is stated as Dirichlet priors around the votes of each class, whose weight is a share of the class itself (parameters):
+a good document rarely gets a doubtful vote and hardly ever a bad one, a failure mostly a bad one from its own rule, and other rules vote on it as they
+do at large. The votes move all of these; how often each rule turns out right is `LabelModel.accuracy`. One doubtful vote among good ones keeps a document, a
+bad one or several doubtful ones outweigh them.
+
+No rule takes length for a fault, and variety is a mean over windows of `WINDOW` words that cover the whole text.
 
 Null and empty texts have no words and fail the base rule. Repeated rows and ids are judged alike, as are all documents of one
 vote pattern; a posterior equal to the threshold keeps. Very long texts are judged as a whole. An empty table gives an empty one.
@@ -76,81 +80,85 @@ def base_failed(s: Column) -> Column:
     return (s.n_words < 10) | (100 * s.n_repeat_words > 20 * s.n_words)
 
 
-def _vote(good: Column, bad: Column) -> Column:
-    """2 for good, 0 for bad, 1 to abstain."""
-    return F.when(bad, 0).when(good, 2).otherwise(1)
+#: Votes.
+GOOD, ABSTAIN, DOUBTFUL, BAD = range(4)
+
+
+def _vote(good: Column, doubtful: Column, bad: Column) -> Column:
+    return F.when(bad, BAD).when(doubtful, DOUBTFUL).when(good, GOOD).otherwise(ABSTAIN)
 
 
 def default_rules(s: Column) -> dict[str, Column]:
     """Each rule's vote from a document's statistics."""
-    words = F.greatest(s.n_words, F.lit(1))
-    lines = F.greatest(s.n_lines, F.lit(1))
-    chars = F.greatest(s.word_chars, F.lit(1))
+    words, lines, chars = (F.greatest(x, F.lit(1)) for x in (s.n_words, s.n_lines, s.word_chars))
+    long = s.n_words >= 50
+
+    def share(n: Column, of: Column, good: int, doubtful: int, bad: int) -> Column:
+        """By percent of n in `of`: good up to the first, doubtful above the second, bad above the third."""
+        return _vote(100 * n <= good * of, 100 * n > doubtful * of, 100 * n > bad * of)
+
+    few = F.when(s.n_words < 100, 30).otherwise(10) * words
     return {
-        "length": _vote((s.n_words >= 50) & (s.n_words <= 100_000), s.n_words < 10),
-        "word_length": _vote((s.word_chars >= 3 * words) & (s.word_chars <= 9 * words), (s.word_chars < 2 * words) | (s.word_chars > 12 * words)),
-        "symbols": _vote(50 * s.n_symbols <= words, 10 * s.n_symbols > words),
-        "lines": _vote(s.n_dup_lines == 0, 2 * s.n_dup_lines > lines),
-        "repetition": _vote(100 * s.n_repeat_words <= 5 * words, 100 * s.n_repeat_words > 20 * words),
-        "letters": _vote(100 * s.n_alpha >= 85 * chars, (s.n_words >= 50) & (100 * s.n_alpha < 70 * chars)),
-        "capitals": _vote(100 * s.n_upper <= 10 * chars, 100 * s.n_upper > 30 * chars),
-        "variety": _vote(4 * s.n_distinct > words, (s.n_words >= 20) & (10 * s.n_distinct < F.when(s.n_words < 100, 3).otherwise(1) * words)),
+        "length": _vote(long, s.n_words < 20, s.n_words < 10),
+        "word_length": _vote((s.word_chars >= 3 * words) & (s.word_chars <= 8 * words), (s.word_chars < 3 * words) | (s.word_chars > 9 * words), (s.word_chars < 2 * words) | (s.word_chars > 12 * words)),
+        "symbols": share(s.n_symbols, words, 2, 5, 10),
+        "lines": share(s.n_dup_lines, lines, 0, 30, 50),
+        "repetition": share(s.n_repeat_words, words, 5, 10, 20),
+        "letters": _vote(100 * s.n_alpha >= 85 * chars, long & (100 * s.n_alpha < 80 * chars), long & (100 * s.n_alpha < 70 * chars)),
+        "capitals": share(s.n_upper, chars, 10, 20, 30),
+        "variety": _vote(4 * s.n_distinct > words, (s.n_words >= 20) & (200 * s.n_distinct < 3 * few), (s.n_words >= 20) & (100 * s.n_distinct < few)),
     }
 
 
 class LabelModel:
-    """Class 0 is good, the others bad; alarm[c, r] is the probability that rule r, if it votes, says "bad" on class c."""
+    """Class 0 is good, the others bad; votes[c, r, v] is the probability of vote v (good, doubtful, bad) of rule r on class c, if it votes."""
 
-    def __init__(self, prior: np.ndarray, alarm: np.ndarray):
-        self.prior, self.alarm = prior, alarm
+    def __init__(self, prior: np.ndarray, votes: np.ndarray):
+        self.prior, self.votes = prior, votes
 
-    def classes(self, votes: np.ndarray) -> np.ndarray:
+    def classes(self, patterns: np.ndarray) -> np.ndarray:
         """P(class) of each row of votes."""
-        log = (votes == 0) @ np.log(self.alarm).T + (votes == 2) @ np.log(1 - self.alarm).T + np.log(self.prior)
+        log = np.einsum("nrv,crv->nc", _said(patterns), np.log(self.votes)) + np.log(self.prior)
         p = np.exp(log - log.max(axis=1, keepdims=True)) if len(log) else log
         return p / p.sum(axis=1, keepdims=True)
 
-    def posterior(self, votes: np.ndarray) -> np.ndarray:
+    def posterior(self, patterns: np.ndarray) -> np.ndarray:
         """P(good) of each row of votes."""
-        return self.classes(votes)[:, 0]
+        return self.classes(patterns)[:, 0]
 
     def accuracy(self) -> np.ndarray:
-        """How often each rule is right when it votes."""
-        return self.prior[0] * (1 - self.alarm[0]) + self.prior[1:] @ self.alarm[1:]
+        """How often each rule is right when it votes: not "bad" on good documents, "bad" on its own failure and not on others'."""
+        own = 1 + np.arange(self.votes.shape[1])
+        return 1 - self.prior[0] * self.votes[0, :, 2] - self.prior[own] * (1 - self.votes[own, own - 1, 2])
 
 
-def fit_label_model(votes: np.ndarray, counts: np.ndarray, *, failure_modes: bool = True, false_alarm: float = 0.005, rounds: int = 300, tolerance: float = 1e-9, start_accuracy: float = 0.9, smooth: float = 0.5) -> LabelModel:
-    """EM over vote patterns and their counts.
+def _said(patterns: np.ndarray) -> np.ndarray:
+    """Flags by pattern, rule and vote (good, doubtful, bad)."""
+    return np.stack([patterns == v for v in (GOOD, DOUBTFUL, BAD)], axis=-1).astype(float)
 
-    It starts from rules that are right with `start_accuracy`, which names the classes. With `failure_modes` class r + 1
-    is the failure that rule r is about, where other rules vote as they do at large; rules are then taken to raise a false
-    alarm on at most `false_alarm` of good documents, and to see at least half of their own failures. Without, there is one bad
-    class, and rules need only be better than chance.
+
+def fit_label_model(patterns: np.ndarray, counts: np.ndarray, *, good: tuple[float, float, float] = (0.89, 0.1, 0.01), failure: tuple[float, float, float] = (0.1, 0.2, 0.7), weight: float = 0.5, smooth: float = 0.5, rounds: int = 2000, tolerance: float = 1e-9) -> LabelModel:
+    """EM over vote patterns and their counts, to the maximum a posteriori.
+
+    `good` and `failure` are the prior votes (good, doubtful, bad) on good documents and of a failure's own rule; other rules' prior votes on a
+    failure are those they cast at large. Each prior counts as `weight` times the documents of its class, and `smooth` more.
     """
-    n, r = votes.shape
-    said = np.stack([(counts[:, None] * (votes == v)).sum(axis=0) for v in (0, 2)])
-    at_large = (said[0] + smooth) / (said.sum(axis=0) + 2 * smooth)
-    k = r if failure_modes else 1
-    alarm = np.stack([np.full(r, 1 - start_accuracy)] + [at_large] * k)
-    own = np.eye(r, dtype=bool) if failure_modes else np.ones((1, r), bool)
-    alarm[1:][own] = start_accuracy
-    if failure_modes:
-        alarm[0] = np.minimum(alarm[0], false_alarm)
-    prior = np.full(1 + k, 0.5 / k)
+    n, r = patterns.shape
+    said = _said(patterns)
+    at_large = np.einsum("n,nrv->rv", counts, said) + smooth
+    mean = np.tile(at_large / at_large.sum(axis=1, keepdims=True), (1 + r, 1, 1))
+    mean[0] = good
+    mean[1 + np.arange(r), np.arange(r)] = failure
+    prior = np.full(1 + r, 0.5 / r)
     prior[0] = 0.5
-    model = LabelModel(prior, np.clip(alarm, 1e-4, 1 - 1e-4))
+    model = LabelModel(prior, mean.copy())
     for _ in range(rounds if n else 0):
-        weight = model.classes(votes) * counts[:, None]
-        bad, good = weight.T @ (votes == 0), weight.T @ (votes == 2)
-        alarm = (bad + smooth) / (bad + good + 2 * smooth)
-        if failure_modes:
-            alarm[0] = np.minimum(alarm[0], false_alarm)
-            alarm[1:][own] = np.maximum(alarm[1:][own], 0.5)
-        else:
-            alarm[1] = np.maximum(alarm[1], alarm[0])
-        new = (weight.sum(axis=0) + smooth) / (counts.sum() + smooth * len(prior))
+        share = model.classes(patterns) * counts[:, None]
+        size = share.sum(axis=0)
+        seen = np.einsum("nc,nrv->crv", share, said) + mean * (smooth + weight * size)[:, None, None]
+        new = (size + smooth) / (counts.sum() + smooth * (1 + r))
         moved = np.abs(new - model.prior).max()
-        model = LabelModel(new, np.clip(alarm, 1e-4, 1 - 1e-4))
+        model = LabelModel(new, seen / seen.sum(axis=2, keepdims=True))
         if moved < tolerance:
             break
     return model
@@ -165,21 +173,28 @@ def judge(docs: DataFrame, *, text_col: str = "text", statistics: str | None = N
     name = fresh(docs, "quality")
     counts = text_statistics(F.col(text_col)) if statistics is None else F.col(statistics)
     votes = rules(F.col(name))
-    if len(votes) > 12:
-        raise ValueError("vote patterns are collected: at most 12 rules")
-    code = sum(v * 3**k for k, v in enumerate(votes.values()))
+    if len(votes) > 8:
+        raise ValueError("vote patterns are collected: at most 8 rules")
+    code = sum(v * 4**k for k, v in enumerate(votes.values()))
     patterns = docs.select(counts.alias(name)).select(code.alias("p")).groupBy("p").count().collect()
     codes = np.array(sorted(r["p"] for r in patterns), np.int64)
     by_code = {r["p"]: r["count"] for r in patterns}
-    table = (codes[:, None] // 3 ** np.arange(len(votes))[None, :]) % 3
+    table = (codes[:, None] // 4 ** np.arange(len(votes))[None, :]) % 4
     model = fit_label_model(table, np.array([by_code[c] for c in codes.tolist()], float))
     good = model.posterior(table) if len(codes) else np.zeros(0)
-    posterior = F.try_element_at(F.create_map(*[F.lit(x) for pair in zip(codes.tolist(), good.tolist()) for x in pair]), code) if len(codes) else F.lit(0.0)
+
+    @F.arrow_udf("double")
+    def known(p: pa.Array) -> pa.Array:
+        """The posterior of a pattern: at most 4 ** rules numbers go to each task."""
+        return pa.array(good[np.searchsorted(codes, np.asarray(p))])
+
     out = docs.withColumn(name, counts)
     s = F.col(name)
     failed = base_failed(s)
-    out = out.withColumn(name, F.struct(*[s[x].alias(x) for x in _FIELDS], failed.alias("base_failed"), code.alias("pattern"), posterior.alias("posterior"), (~failed & (posterior >= threshold)).alias("kept")))
-    return out, name
+    out = out.withColumn(name, F.struct(*[s[x].alias(x) for x in _FIELDS], failed.alias("base_failed"), code.cast("int").alias("pattern")))
+    s = F.col(name)
+    out = out.withColumn(name, s.withField("posterior", known(s.pattern)))
+    return out.withColumn(name, F.col(name).withField("kept", ~F.col(name).base_failed & (F.col(name).posterior >= threshold))), name
 
 
 def keep_good(docs: DataFrame, **options) -> DataFrame:

@@ -232,32 +232,48 @@ def responses(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url"
 
 
 def _unpacked(data: bytes, step: int) -> Iterator[bytes]:
-    """The bytes of a file in pieces; gzip members one after another. A broken member ends the file."""
-    if data[:2] != b"\x1f\x8b":
+    """The bytes of a file in pieces; gzip members one after another.
+
+    Where a member is broken, a line says so in place of its rest, and the next member is looked for by its first bytes.
+    """
+    if data[:2] != _MEMBER[:2]:
         yield from (data[i : i + step] for i in range(0, len(data), step))
         return
-    rest = memoryview(data)
-    while len(rest) and bytes(rest[:2]) == b"\x1f\x8b":
-        member = zlib.decompressobj(31)
+    at = 0
+    while at < len(data):
+        member, rest, whole = zlib.decompressobj(31), memoryview(data)[at:], True
         while not member.eof:
             try:
                 piece = member.decompress(rest, step)
             except zlib.error:
-                return
+                whole = False
+                break
             if not piece and not member.eof and not member.unconsumed_tail:
-                return
+                whole = False
+                break
             rest = memoryview(member.unconsumed_tail if not member.eof else member.unused_data)
             if piece:
                 yield piece
+        if whole:
+            at = len(data) - len(rest)
+            if not len(rest) or data[at : at + 2] == _MEMBER[:2]:
+                continue
+        yield b"\r\n\r\n(bytes of a file that could not be unpacked)\r\n\r\n"
+        at = data.find(_MEMBER, at + 1)
+        if at < 0:
+            return
 
 
+#: How a gzip member starts, and what stands between two records.
+_MEMBER, _BETWEEN = b"\x1f\x8b\x08", b"\r\n\r\nWARC/1."
 _LENGTH = re.compile(rb"(?im)^content-length:[ \t]*(\d+)[ \t]*\r?$")
 _START = re.compile(rb"(?m)^WARC/")
 
 
 def split_records(pieces: Iterator[bytes]) -> Iterator[bytes]:
     """The records of a stream of bytes. Bytes that are no record, and records without a readable length, are one up to the next
-    line that starts with "WARC/". Only the record at hand is held."""
+    line that starts with "WARC/". A record whose length is not followed by another record's start, or by the end, but runs over such a
+    start, ends there: what its length would swallow is read as records. Only the record at hand is held."""
     held, done = b"", False
 
     def more() -> bool:
@@ -283,11 +299,18 @@ def split_records(pieces: Iterator[bytes]) -> Iterator[bytes]:
         if size:
             stop = end + 4 + int(size[1])
             parts, n = [held], len(held)
-            while n < stop and (piece := next(pieces, None)) is not None:
+            while n < stop + len(_BETWEEN) and (piece := next(pieces, None)) is not None:
                 parts.append(piece)
                 n += len(piece)
-            held = b"".join(parts)
-            yield held[:stop] + b"\r\n\r\n"
+            held, done = b"".join(parts), n < stop + len(_BETWEEN)
+            after = held[stop : stop + len(_BETWEEN)].lstrip(b"\r\n")
+            if n < stop or after and not after.startswith(b"WARC/"[: len(after)]):
+                cut = held.find(_BETWEEN, end)
+                if 0 <= cut < stop:
+                    yield held[:cut]
+                    held = held[cut:]
+                    continue
+            yield held[:stop] + (b"\r\n\r\n" if n >= stop else b"")
             held = held[stop:]
         elif following or done:
             yield held[:nearest]

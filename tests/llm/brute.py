@@ -41,6 +41,45 @@ def statistics(text: str | None) -> tuple[int, int, int, int, int]:
     return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(hit)
 
 
+def label_model(patterns: list[tuple], counts: list[int], *, good=(0.89, 0.1, 0.01), failure=(0.1, 0.2, 0.7), weight=0.5, smooth=0.5, rounds=2000) -> list[float]:
+    """P(good) of each pattern of votes (0 good, 1 none, 2 doubtful, 3 bad), by expectation-maximisation one pattern, class and rule at a time."""
+    n_rules, place = len(patterns[0]), {0: 0, 2: 1, 3: 2}
+    spoken = [[smooth] * 3 for _ in range(n_rules)]
+    for p, c in zip(patterns, counts):
+        for r, v in enumerate(p):
+            if v in place:
+                spoken[r][place[v]] += c
+    usual = [[x / sum(row) for x in row] for row in spoken]
+    means = [[list(good) for _ in range(n_rules)]] + [[list(failure) if r == k else usual[r] for r in range(n_rules)] for k in range(n_rules)]
+    table, prior = means, [0.5] + [0.5 / n_rules] * n_rules
+
+    def share(p):
+        x = []
+        for c in range(1 + n_rules):
+            y = prior[c]
+            for r, v in enumerate(p):
+                if v in place:
+                    y *= table[c][r][place[v]]
+            x.append(y)
+        return [y / sum(x) for y in x]
+
+    for _ in range(rounds):
+        sums, size = [[[0.0] * 3 for _ in range(n_rules)] for _ in means], [0.0] * len(means)
+        for p, n in zip(patterns, counts):
+            for c, y in enumerate(share(p)):
+                size[c] += n * y
+                for r, v in enumerate(p):
+                    if v in place:
+                        sums[c][r][place[v]] += n * y
+        table = [[[s + m * (smooth + weight * size[c]) for s, m in zip(sums[c][r], means[c][r])] for r in range(n_rules)] for c in range(len(means))]
+        table = [[[x / sum(row) for x in row] for row in rows] for rows in table]
+        new = [(x + smooth) / (sum(counts) + smooth * len(size)) for x in size]
+        moved, prior = max(abs(a - b) for a, b in zip(new, prior)), new
+        if moved < 1e-9:
+            break
+    return [share(p)[0] for p in patterns]
+
+
 def jaccard_components(rows: list[tuple[int, str | None]], k: int, num: int, den: int) -> dict[int, tuple[int, int]]:
     sets = {}
     for i, t in rows:
