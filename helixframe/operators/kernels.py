@@ -20,11 +20,11 @@ BLOCK = 512
 _WIDTH = 8192
 
 
-def packed(features: DataFrame) -> DataFrame:
+def packed(features: DataFrame, ks: list[int] | None = None) -> DataFrame:
     """(patient, read_idx, k, cols, ws): each read's features of one k as arrays. Strings with letters beyond the alphabet
-    are numbered after the vocabulary, by hash."""
+    are numbered after the vocabulary, by hash. `ks` are those that occur (1 to 12)."""
     place = None
-    for k in range(1, 13):
+    for k in ks or range(1, 13):
         place = F.when(F.col("k") == k, code(F.col("kmer"), k)) if place is None else place.when(F.col("k") == k, code(F.col("kmer"), k))
     known = (F.length("kmer") == F.col("k")) & (F.length("kmer") == F.length(F.regexp_replace("kmer", f"[^{''.join(ALPHABET)}]", "")))
     other = len(ALPHABET) ** F.col("k") + F.pmod(F.xxhash64("kmer"), F.lit(1 << 62))
@@ -38,7 +38,7 @@ def vectors(features: DataFrame, weights: dict[int, float]) -> DataFrame:
         own = F.filter("vectors", lambda v: v.k.isin(list(weights)) & (F.size(v.cols) > 0))
         return features.select(F.struct(*READ).alias("id"), own.alias("vectors")).filter(F.size("vectors") > 0)
     ks = F.struct("k", "cols", "ws")
-    return packed(features.filter(F.col("k").isin(list(weights)))).groupBy(*READ).agg(F.collect_list(ks).alias("vectors")).select(F.struct(*READ).alias("id"), "vectors")
+    return packed(features.filter(F.col("k").isin(list(weights))), sorted(weights)).groupBy(*READ).agg(F.collect_list(ks).alias("vectors")).select(F.struct(*READ).alias("id"), "vectors")
 
 
 def _flat(vectors: pa.ChunkedArray) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
