@@ -286,15 +286,20 @@ def mismatch_weighted_k6_m1(spark, d):
     return f.groupBy("patient", "read_idx").agg(F.count("*").alias("n_features"), F.sum("w").alias("total"), F.sum(F.col("w") * F.col("w")).alias("diag"))
 
 
-@query(f"WITH v AS (SELECT l1.x || l2.x || l3.x AS kmer, (list_position({_LETTERS}, l1.x) - 1) * 36 + (list_position({_LETTERS}, l2.x) - 1) * 6 + list_position({_LETTERS}, l3.x) - 1 AS col FROM (SELECT unnest({_LETTERS}) AS x) l1, (SELECT unnest({_LETTERS}) AS x) l2, (SELECT unnest({_LETTERS}) AS x) l3) SELECT kmer, CAST(col AS BIGINT) AS col FROM v")
+@query(f"WITH {_READS}, {_kmers(3)}, v AS (SELECT l1.x || l2.x || l3.x AS kmer, (list_position({_LETTERS}, l1.x) - 1) * 36 + (list_position({_LETTERS}, l2.x) - 1) * 6 + list_position({_LETTERS}, l3.x) - 1 AS col FROM (SELECT unnest({_LETTERS}) AS x) l1, (SELECT unnest({_LETTERS}) AS x) l2, (SELECT unnest({_LETTERS}) AS x) l3) SELECT v.kmer, CAST(col AS BIGINT) AS col, count(cnt) AS n_reads, CAST(coalesce(sum(cnt), 0) AS BIGINT) AS n FROM v LEFT JOIN kmers USING (kmer) GROUP BY ALL")
 def full_vocabulary_k3(spark, d):
-    return sequences.full_vocabulary(spark, 3)
+    """Every string of the vocabulary with its column, and how many reads hold it how often."""
+    seen = features.kmer_counts(fixtures.reads(spark, d), 3).groupBy("kmer").agg(F.count("*").alias("n_reads"), F.sum("cnt").alias("n"))
+    return sequences.full_vocabulary(spark, 3).join(seen, "kmer", "left").select("kmer", "col", F.coalesce("n_reads", F.lit(0)).alias("n_reads"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
-@query("WITH k AS (SELECT unnest(range(1, 7)) AS k), w AS (SELECT k, greatest(k - 2, 0) AS w FROM k) SELECT CAST(k AS INTEGER) AS k, round(w / sum(w) OVER (), 4) AS linear, round(w * w / sum(w * w) OVER (), 4) AS quadratic FROM w")
+@query(f"WITH {_READS}, k AS (SELECT unnest(range(1, 7)) AS k), w AS (SELECT k, greatest(k - 2, 0) AS w FROM k), s AS (SELECT k, round(w / sum(w) OVER (), 4) AS linear, round(w * w / sum(w * w) OVER (), 4) AS quadratic FROM w) SELECT CAST(k AS INTEGER) AS k, linear, quadratic, count(*) AS n_reads, CAST(sum(length(seq) - k + 1) AS BIGINT) AS n_strings FROM s JOIN reads ON length(seq) >= k GROUP BY ALL")
 def mkl_weights(spark, d):
+    """The kernel's weight of each k, with the reads and strings that it weighs."""
     rows = [(k + 1, a, b) for k, (a, b) in enumerate(zip(sequences.kernel_weights(6), sequences.kernel_weights(6, scaling="quadratic")))]
-    return spark.createDataFrame(rows, "k int, linear double, quadratic double")
+    lengths = fixtures.reads(spark, d).groupBy(F.length("seq").cast("long").alias("size")).agg(F.count("*").alias("c"))
+    weights = F.broadcast(spark.createDataFrame(rows, "k int, linear double, quadratic double"))
+    return lengths.join(weights, F.col("size") >= F.col("k")).groupBy("k", "linear", "quadratic").agg(F.sum("c").alias("n_reads"), F.sum(F.col("c") * (F.col("size") - F.col("k") + 1)).alias("n_strings"))
 
 
 @query(f"WITH {_features(3)} SELECT patient, read_idx, 3 AS k, sum(w * w) AS diag, round(greatest(sqrt(sum(w * w)), 1e-12), 6) AS norm FROM f GROUP BY ALL")

@@ -242,3 +242,7 @@ def test_wide_table_of_ragged_columns(spark):
     rows = [("x", i, float(i)) for i in (9, 4, 7)] + [("y", 1, 5.0)]
     wide = score_tables.widen(spark.createDataFrame(rows, "c string, read_idx long, score double").repartition(3), "c", ["x", "y"]).orderBy("row").collect()
     assert [tuple(r) for r in wide] == [(0, 4.0, 5.0), (1, 7.0, None), (2, 9.0, None)]
+
+
+def test_files_of_patients(spark):
+    assert {(r.patient, r.num_sequences) for r in sampling.files_info(reads(spark, 4)).collect()} == {("a", 5), ("b", 4)}
