@@ -53,7 +53,8 @@ def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document's token ids, and the digest of what they decode to."""
     small_batches(spark)
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    ids = docs.select("doc_id", "lang", "source", "n_chars", tiktoken_codec.encode_ids(F.col("text"), path, pattern).alias("ids"))
+    own = [c for c in ("doc_id", "lang", "source", "n_chars") if c in docs.columns]
+    ids = docs.select(*own, tiktoken_codec.encode_ids(F.col("text"), path, pattern).alias("ids"))
     return ids.select("*", F.size("ids").cast("long").alias("n_tokens"), tiktoken_codec.decoded_sha256(F.col("ids"), path, pattern).alias("decoded_sha256"))
 
 

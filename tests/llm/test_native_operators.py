@@ -233,6 +233,32 @@ def test_read_warc_in_small_pieces(spark, tmp_path):
         assert [bytes(r.record) for r in sorted(rows, key=lambda r: r.place) if r.path.endswith(name)][:n] == want[:n]
 
 
+def test_read_warc_keeps_what_a_wrong_length_would_swallow(spark, tmp_path):
+    good = [warc.record([("WARC-Type", "response"), ("WARC-Record-ID", f"<urn:x:{i}>")], b"a\r\n\r\nWARC/1.1 in a block " * (i + 1)) for i in range(4)]
+    for name, size in (("past the end", b"99999"), ("over the next", b"300")):
+        bad = re.sub(rb"Content-Length: \d+", b"Content-Length: " + size, warc.record([("WARC-Type", "response"), ("WARC-Record-ID", "<urn:bad>")], b"short"), flags=re.I)
+        d = tmp_path / name
+        d.mkdir()
+        (d / "x.warc").write_bytes(good[0] + bad + good[1] + good[2] + good[3])
+        rows = [bytes(r.record) for r in sorted(warc.read_warc(spark, str(d), 64).collect(), key=lambda r: r.place)]
+        assert [r for r in rows if warc.parse(r)] == good and len(rows) == 5
+        assert warc.derive_one(rows[1])["status"] == "malformed"
+
+
+def test_read_warc_goes_on_after_a_broken_member(spark, tmp_path):
+    good = [warc.record([("WARC-Type", "response"), ("WARC-Record-ID", f"<urn:x:{i}>")], bytes(range(256)) * (i + 3)) for i in range(4)]
+    members = [gzip.compress(g) for g in good]
+    broken = bytearray(members[1])
+    broken[40] ^= 0xFF
+    broken[60] ^= 0xFF
+    (tmp_path / "a.warc.gz").write_bytes(members[0] + bytes(broken) + members[2] + members[3])
+    (tmp_path / "b.warc.gz").write_bytes(members[0] + members[1][:-20] + members[2])
+    for name, want in (("a.warc.gz", [good[0], good[2], good[3]]), ("b.warc.gz", [good[0], good[2]])):
+        rows = [bytes(r.record) for r in sorted(warc.read_warc(spark, str(tmp_path / name)).collect(), key=lambda r: r.place)]
+        whole = [r for r in rows if warc.parse(r)]
+        assert [r for r in whole if r in want] == want and len(rows) > len(want)
+
+
 def test_head_without_end_tag():
     inside = "<head><meta charset=utf-8>\n<title>t</title><script>x = '<p>no</p>'</script><!-- <p>no</p> --><style>p {}</style>"
     for body in ("<body>yes", "<p>yes", "yes"):
