@@ -27,8 +27,10 @@ def subject_summary(scores: DataFrame) -> DataFrame:
 def auc_units(values: DataFrame, keys: list[str], held_out: bool) -> DataFrame:
     """(keys, [subject], auc) of aggregated subject values: all healthy against all tumors, or each healthy subject against all tumors.
 
-    One window over a cell's subjects counts the tumors below each healthy value; healthy and tumor subjects are not paired.
+    One window over a cell's subjects counts the tumors below each healthy value; healthy and tumor subjects are not paired. Values
+    count to nine digits, so that sums which differ only by their order are ties.
     """
+    values = values.withColumn("value", F.round("value", 9))
     if not held_out:
         return auc(values, "value", F.col("label") == -1, keys).select(*keys, "auc")
     tumor = F.when(F.col("label") == -1, 1).otherwise(0)

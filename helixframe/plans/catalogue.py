@@ -86,7 +86,7 @@ def subject_summary(spark, d):
     return r6(reports.subject_summary(fixtures.scores(spark, d)), "mean_of_rounds", "std_of_rounds")
 
 
-_FOLDS = f"WITH {_SCORES}, m AS (SELECT subject, label, avg(score) AS v FROM scores GROUP BY ALL), f AS (SELECT 'LOO_' || h.subject AS fold, avg(CASE WHEN t.v > h.v THEN 1.0 WHEN t.v = h.v THEN 0.5 ELSE 0.0 END) AS auc FROM m h JOIN m t ON h.label = 1 AND t.label = -1 GROUP BY h.subject)"
+_FOLDS = f"WITH {_SCORES}, m AS (SELECT subject, label, round(avg(score), 9) AS v FROM scores GROUP BY ALL), f AS (SELECT 'LOO_' || h.subject AS fold, avg(CASE WHEN t.v > h.v THEN 1.0 WHEN t.v = h.v THEN 0.5 ELSE 0.0 END) AS auc FROM m h JOIN m t ON h.label = 1 AND t.label = -1 GROUP BY h.subject)"
 
 
 @query(f"{_FOLDS} SELECT fold, round(auc, 6)::DOUBLE AS auc FROM f")
@@ -165,7 +165,7 @@ def _units_sql(by_round: bool, held_out: bool, repeats: int, where: str = "TRUE"
 sub AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {keys}, n_reads, rep ORDER BY md5(concat_ws('|', '42', rep, n_reads, {keys}, read_idx)), read_idx) AS rn FROM laid) WHERE rn <= n_reads),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY {keys}, n_reads, rep ORDER BY score DESC) AS rk FROM sub),
 wide AS (SELECT {keys}, label, n_reads, rep, {aggs} FROM ranked GROUP BY ALL),
-vals AS (UNPIVOT wide ON {names} INTO NAME aggregator VALUE value),
+vals AS (SELECT * REPLACE (round(value, 9) AS value) FROM (UNPIVOT wide ON {names} INTO NAME aggregator VALUE value)),
 units AS (SELECT {group}, avg(CASE WHEN t.value > h.value THEN 1.0 WHEN t.value = h.value THEN 0.5 ELSE 0.0 END) AS auc FROM vals h JOIN vals t ON {on} AND h.label = 1 AND t.label = -1 GROUP BY {group})"""
 
 
@@ -402,11 +402,12 @@ def fold_overlay(spark, d):
 @query(f"""WITH {_SCORES}, {_MOMENTS}, p AS (SELECT label, CAST(count(*) AS DOUBLE) AS n, stddev_samp(score) * pow(count(*), -0.2) AS h FROM scores GROUP BY label), q AS (SELECT quantile_cont(score, 0.95) AS hi, quantile_cont(score, 0.05) AS lo FROM scores WHERE label = 1), e AS (SELECT min(score) AS lo, max(score) AS hi FROM scores),
 ends AS (SELECT 'left' AS tail, e.lo AS a, q.lo AS b FROM e, q UNION ALL SELECT 'right', q.hi, e.hi FROM e, q), panel AS (SELECT tail, a - 0.05 * (b - a) AS lo, (b + 0.05 * (b - a) - (a - 0.05 * (b - a))) / 2047 AS step FROM ends), pts AS (SELECT tail, i, lo + i * step AS x FROM panel, range(2048) r(i)),
 c AS (SELECT label, subject, score, count(*) AS c FROM scores GROUP BY ALL), pc AS (SELECT label, score, sum(c) AS c FROM c GROUP BY ALL)
-SELECT tail, m.label, m.subject, CAST(i AS INTEGER) AS grid_i, round(x, 6) AS x, round(sum(c * exp(-0.5 * pow((x - score) / h, 2))) / (any_value(n) * any_value(h) * sqrt(2 * pi())), 6) AS y FROM pts, m JOIN c USING (subject) GROUP BY tail, m.label, m.subject, i, x UNION ALL
-SELECT tail, p.label, NULL, CAST(i AS INTEGER), round(x, 6), round(sum(c * exp(-0.5 * pow((x - score) / h, 2))) / (any_value(n) * any_value(h) * sqrt(2 * pi())), 6) FROM pts, p JOIN pc USING (label) GROUP BY tail, p.label, i, x""")
+SELECT tail, m.label, CAST(m.subject AS VARCHAR) AS subject, CAST(i AS INTEGER) AS grid_i, round(x, 6) AS x, round(sum(c * exp(-0.5 * pow((x - score) / h, 2))) / (any_value(n) * any_value(h) * sqrt(2 * pi())), 6) AS y FROM pts, m JOIN c USING (subject) GROUP BY tail, m.label, m.subject, i, x UNION ALL
+SELECT tail, p.label, 'pool', CAST(i AS INTEGER), round(x, 6), round(sum(c * exp(-0.5 * pow((x - score) / h, 2))) / (any_value(n) * any_value(h) * sqrt(2 * pi())), 6) FROM pts, p JOIN pc USING (label) GROUP BY tail, p.label, i, x""")
 def tail_zoom(spark, d):
     """Densities in both tails, of subjects and pools."""
-    return r6(density.tail_zoom(fixtures.scores(spark, d)), "x", "y")
+    curves = density.tail_zoom(fixtures.scores(spark, d)).withColumn("subject", F.coalesce(F.col("subject").cast("string"), F.lit("pool")))
+    return r6(curves, "x", "y")
 
 
 def _oa_sql(pairs: str, points: int) -> str:
