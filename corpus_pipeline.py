@@ -30,7 +30,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document of the smallest id of each group of near copies: 5-word shingles, similarity of 0.8 or more."""
-    small_batches(spark)
+    small_batches(spark, 4 << 20)
     return jaccard_join.keep_one(docs, k=5, threshold=jaccard_join.Threshold(4, 5), subspaces="singles")
 
 

@@ -7,6 +7,7 @@ they depend on content alone and agree between workers, machines and Python vers
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -247,6 +248,16 @@ def per_doc(flags: np.ndarray, first: np.ndarray) -> np.ndarray:
     return t[first[1:]] - t[first[:-1]]
 
 
+_libc = ctypes.CDLL(None)
+
+
+def release() -> None:
+    """Give memory that this process no longer uses back to the system. Workers outlive stages, and what allocators keep of one would lie beside the next one's."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_libc, "malloc_trim"):
+        _libc.malloc_trim(0)
+
+
 def slices(arr: pa.Array, table: np.ndarray, lower: bool = False) -> Iterator[tuple[int, int, Words]]:
     """(from, to, words) for consecutive runs of rows of about SLICE_BYTES; a longer text is a run of its own."""
     raw, offs, _ = flat(arr)
@@ -256,6 +267,7 @@ def slices(arr: pa.Array, table: np.ndarray, lower: bool = False) -> Iterator[tu
         data = raw[offs[i] : offs[j]]
         yield i, j, Words(LOWER[data] if lower else data, offs[i : j + 1] - offs[i], table)
         i = j
+    release()
 
 
 def as_signed(h: np.ndarray) -> np.ndarray:

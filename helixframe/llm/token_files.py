@@ -23,14 +23,14 @@ from pyspark.sql import types as T
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 from tokenizers import Tokenizer  # noqa: E402
 
-from .common import byte_hashes, flat  # noqa: E402
+from .common import byte_hashes, flat, release  # noqa: E402
 
 MAX_PIECES, SLICE_BYTES = 1_000_000, 2 << 20
 _encoders: dict[str, Encoder] = {}
 
-#: ASCII white space, before which a piece may begin.
-#: the planner gives about Long.MaxValue for tables whose size it cannot know
+#: The planner gives about Long.MaxValue for tables whose size it cannot know.
 UNKNOWN_SIZE = 1 << 62
+#: ASCII white space, before which a piece may begin.
 _WHITE = np.zeros(256, bool)
 _WHITE[[0x20, *range(0x09, 0x0E)]] = True
 #: Bytes after which it may not: white space, separators that libraries disagree on.
@@ -186,6 +186,7 @@ def encode_slices(texts: pa.Array, path: str, end_id: int) -> Iterator[tuple[int
         np.cumsum(size + 1, out=ends[1:])
         yield i, j, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.insert(ids, np.cumsum(size), end_id)))
         i = j
+    release()
 
 
 def input_bytes(df: DataFrame) -> int:
