@@ -37,7 +37,7 @@ def weighted_features(reads: DataFrame, k: int, m: int = 1, decay: float = 0.5)
     """(patient, read_idx, k, kmer, w): neighbours weigh decay ** distance, and only strings of the alphabet count.
 
     Strings are numbers in the alphabet's base. A read's k-mers are counted and expanded where the read is, by arithmetic on whole batches:
-    nothing is shuffled. (patient, read_idx) names one read.
+    reads are dealt out once, features are not shuffled. (patient, read_idx) names one read.
 
     Without mismatches or decay it is the plain (neighbour) count, over whatever letters occur.
     """
@@ -56,7 +56,12 @@ def weighted_features(reads: DataFrame, k: int, m: int = 1, decay: float = 0.5)
                     yield pa.RecordBatch.from_arrays([b.column(0).take(own), b.column(1).take(own), pa.array(np.full(len(own), k, np.int32)), names.take(pa.array(code[part])), pa.array(w[part])], ["patient", "read_idx", "k", "kmer", "w"])
 
     kinds = ", ".join(f"{c} {reads.schema[c].dataType.simpleString()}" for c in READ)
-    return reads.select(*READ, F.upper("seq").alias("seq")).mapInArrow(work, f"{kinds}, k int, kmer string, w double")
+    return _dealt(reads).mapInArrow(work, f"{kinds}, k int, kmer string, w double")
+
+
+def _dealt(reads: DataFrame) -> DataFrame:
+    """Reads in upper case, dealt out evenly: a read's features are some thirty times its letters, and a large file may be one task's."""
+    return reads.select(*READ, F.upper("seq").alias("seq")).repartition(*READ)
 
 
 def analyzed(reads: DataFrame, analyzer: Callable[[str], Iterable[str]], k: int = 1) -> DataFrame:
@@ -141,7 +146,7 @@ def expanded(seqs: list[bytes], k: int, m: int, decay: float) -> tuple[np.ndarra
 def read_vectors(reads: DataFrame, ks: list[int], m: int, decay: float = 0.5, alphabet_only: bool = False) -> DataFrame:
     """(patient, read_idx, vectors): the weighted features of every k in one row a read, as arrays of column numbers and weights by k.
 
-    What `kernels.vectors` makes of `weighted_features`, without a row for each feature: one pass, no shuffle. It takes mismatches
+    What `kernels.vectors` makes of `weighted_features`, without a row for each feature, and without a shuffle of features. It takes mismatches
     and a decay, under which all strings are of the alphabet and have numbers; or `alphabet_only`, which leaves others out.
     """
     if (m == 0 or decay == 1.0) and not alphabet_only:
@@ -153,7 +158,7 @@ def read_vectors(reads: DataFrame, ks: list[int], m: int, decay: float = 0.5, al
                 yield pa.RecordBatch.from_arrays([b.column(0)[i:j], b.column(1)[i:j], _lists([expanded(seqs, k, m, decay) for k in ks], ks, j - i)], [*READ, "vectors"])
 
     kinds = ", ".join(f"{c} {reads.schema[c].dataType.simpleString()}" for c in READ)
-    return reads.select(*READ, F.upper("seq").alias("seq")).mapInArrow(work, f"{kinds}, vectors array<struct<k:int,cols:array<bigint>,ws:array<double>>>")
+    return _dealt(reads).mapInArrow(work, f"{kinds}, vectors array<struct<k:int,cols:array<bigint>,ws:array<double>>>")
 
 
 def _lists(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], ks: list[int], n: int) -> pa.Array:
