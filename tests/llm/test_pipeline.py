@@ -71,9 +71,9 @@ def test_stages_of_empty_tables_and_clashing_columns(spark):
 
 def test_long_texts_repeats_and_clashing_columns_in_every_stage(spark):
     """Whole long texts, repeated rows and columns of names that operators use, with rows, through each stage on its own."""
-    long = " ".join(f"w{i % 7001}x{i % 13}" for i in range(60_000))
+    long = " ".join(f"{chr(97 + i * 7 % 26)}{chr(97 + i % 7001 % 25)}{chr(97 + i // 26 % 24)}{chr(97 + i // 624 % 26)}en" for i in range(60_000))
     schema = "doc_id long, text string, lang string, source string, n_chars long"
-    own = spark.createDataFrame([(1, long, "en", "a", len(long)), (2, long, "en", "a", len(long)), (3, f"a few words of their own to keep {1} number 4111 1111 1111 1111", "en", "b", 1), (3, f"a few words of their own to keep {1} number 4111 1111 1111 1111", "en", "b", 1)], schema)
+    own = spark.createDataFrame([(900_001, long, "en", "a", len(long)), (900_002, long, "en", "a", len(long)), (900_003, f"a few words of their own to keep {1} number 4111 1111 1111 1111", "en", "b", 1), (900_003, f"a few words of their own to keep {1} number 4111 1111 1111 1111", "en", "b", 1)], schema)
     docs = spark.read.parquet(f"{SF}/documents.parquet").unionByName(own)
     clash = docs.withColumns({c: F.lit(1) for c in ("quality", "mark", "possible", "contamination", "matches", "renamed", "s", "label", "before", "ids", "group", "d")})
     kept = {}
@@ -83,7 +83,7 @@ def test_long_texts_repeats_and_clashing_columns_in_every_stage(spark):
         plain = key(a)
         assert plain == key(b), name
         kept[name] = plain
-    of = lambda name, i: [t for d, t in kept[name] if d == str(i)]
+    of = lambda name, i: [t for d, t in kept[name] if d == str(900_000 + i)]
     assert of("quality_rules", 1) == of("quality_rules", 2) == [long]
     assert len(of("near_duplicates", 1)) == 1 and of("near_duplicates", 2) == [] and len(of("near_duplicates", 3)) == 1
     assert of("benchmark_passages", 1) == of("private_data", 1) == [long] and all("4111 1111 1111 1111" not in t for t in of("private_data", 3))
