@@ -5,7 +5,8 @@ import hashlib
 import numpy as np
 import pytest
 
-from helixframe.operators import reports
+from helixframe.functions import statistics
+from helixframe.operators import reports, sampling
 
 
 def test_bootstrap_by_ranges(spark, monkeypatch):
@@ -22,3 +23,20 @@ def test_bootstrap_by_ranges(spark, monkeypatch):
     assert (got.low, got.median, got.high) == pytest.approx(tuple(np.quantile(areas, [0.025, 0.5, 0.975])))
     one_class = spark.createDataFrame(rows, "subject int, label int, value double").filter("label = 1")
     assert reports.bootstrap_auc(one_class, 5).first().low is None and reports.bootstrap_auc(one_class.limit(0), 5).first().low is None
+
+
+@pytest.mark.parametrize("hot", [7, 65_536])
+def test_sampled_aggregates_are_those_of_the_samples(spark, monkeypatch, hot):
+    monkeypatch.setattr(sampling, "HOT", hot)
+    r = np.random.default_rng(4)
+    rows = [(s, 1 + i % 2, -1 if s == "b" else 1, i, None if i % 9 == 0 else float(r.integers(0, 30)) / 7) for s in ("a", "b", None) for i in range(60)] + [("nulls", 1, 1, 0, None), ("one", 1, 1, 0, 2.0)]
+    df = spark.createDataFrame(rows, "subject string, round int, label int, read_idx long, score double").repartition(3)
+    keys = ["subject", "round"]
+    cell = [*keys, "label", "n_reads", "rep", "aggregator"]
+    got = {tuple(x[c] for c in cell): x.value for x in sampling.sampled_aggregates(df, [4, 20, 100], keys, 2, tops=(3, 500)).collect()}
+    samples = sampling.subsample_scores(df, [4, 20, 100], keys, 2)
+    plain = {tuple(x[c] for c in cell): x.value for x in statistics.aggregate_all(samples, cell[:-1], tops=(3, 500)).collect()}
+    assert got == pytest.approx(plain) and len(got) == 8 * 2 * (3 * 2 * 3 + 3)
+    # scores are dealt out once: their number in the shuffle does not grow with sizes and repetitions
+    plan = sampling.sampled_aggregates(df, [4, 20, 100], keys, 2)._jdf.queryExecution().toString()
+    assert "Window" not in plan
