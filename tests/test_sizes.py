@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from helixframe.functions import statistics
-from helixframe.operators import reports, sampling
+from helixframe.operators import features, kernels, nystrom, reports, sampling
 
 
 def test_bootstrap_by_ranges(spark, monkeypatch):
@@ -40,3 +40,25 @@ def test_sampled_aggregates_are_those_of_the_samples(spark, monkeypatch, hot):
     # scores are dealt out once: their number in the shuffle does not grow with sizes and repetitions
     plan = sampling.sampled_aggregates(df, [4, 20, 100], keys, 2)._jdf.queryExecution().toString()
     assert "Window" not in plan
+
+
+def test_distances_are_added_up_where_they_are_made(spark, monkeypatch):
+    monkeypatch.setattr(kernels, "WIDE", 9)
+    monkeypatch.setattr(kernels, "TILE", 4)
+    r = np.random.default_rng(6)
+    reads = spark.createDataFrame([(p, i, "".join(r.choice(list("ACGT"), 12))) for i in range(40) for p in ["bac"[i % 3]]], "patient string, read_idx long, seq string")
+    f, w = features.read_vectors(reads, [2, 3], 1).cache(), {2: 0.4, 3: 0.6}
+    plain = kernels.normalise(kernels.gram(f, w), kernels.diagonal(f, w)).cache()
+    pairs = {(x.i, x.j): x.k for x in kernels.gram(f, w, 16, cosine=True).collect()}
+    assert pairs == pytest.approx({(x.i, x.j): x.k for x in plain.collect()})
+    own = {}
+    for (i, j), k in pairs.items():
+        if i != j:
+            own.setdefault((i.patient, j.patient), []).append(np.sqrt(max(0, 2 * (1 - k))))
+    got = {(x.i, x.j): (x.n, x["mean"], x.nearest, x.farthest) for x in kernels.distance_sums(f, w).collect()}
+    assert set(got) == set(own)
+    for key, d in own.items():
+        assert got[key] == pytest.approx((len(d), np.mean(d), min(d), max(d)), abs=1e-7)
+    state = nystrom.fit(reads, f, w, 5)
+    phi = nystrom.transform(f, state, reads=reads)
+    assert tuple(nystrom.map_errors(f, phi, w).first()) == pytest.approx(tuple(nystrom.intrinsic_errors(plain, phi).first()), abs=1e-9)
