@@ -6,7 +6,9 @@ import numpy as np
 import pytest
 
 from helixframe.functions import statistics
-from helixframe.operators import features, kernels, nystrom, reports, sampling
+from helixframe.operators import features, kernels, nystrom, ocsvm, reports, sampling
+
+from .test_solver import _rbf
 
 
 def test_bootstrap_by_ranges(spark, monkeypatch):
@@ -62,3 +64,12 @@ def test_distances_are_added_up_where_they_are_made(spark, monkeypatch):
     state = nystrom.fit(reads, f, w, 5)
     phi = nystrom.transform(f, state, reads=reads)
     assert tuple(nystrom.map_errors(f, phi, w).first()) == pytest.approx(tuple(nystrom.intrinsic_errors(plain, phi).first()), abs=1e-9)
+
+
+def test_many_reads_bring_no_kernel_rows_to_the_driver(spark, monkeypatch):
+    rows, k = _rbf(spark, 300, 4)
+    monkeypatch.setattr(rows, "rows", None)
+    got, want = ocsvm._solve_many(rows, 0.3, 1e-4, 1000, 48), ocsvm.solve(k, 0.3, 1e-4)
+    g = k @ got.alpha
+    assert got.alpha.sum() == pytest.approx(90) and got.rho == pytest.approx(want.rho, abs=1e-3)
+    assert g[got.alpha > 0].max() - g[got.alpha < 1].min() < 2e-4
