@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from helixframe.functions import statistics
-from helixframe.operators import features, kernels, nystrom, ocsvm, reports, sampling
+from helixframe.operators import density, features, kernels, nystrom, ocsvm, reports, sampling
 
 from .test_solver import _rbf
 
@@ -73,3 +73,11 @@ def test_many_reads_bring_no_kernel_rows_to_the_driver(spark, monkeypatch):
     g = k @ got.alpha
     assert got.alpha.sum() == pytest.approx(90) and got.rho == pytest.approx(want.rho, abs=1e-3)
     assert g[got.alpha > 0].max() - g[got.alpha < 1].min() < 2e-4
+
+
+def test_fold_overlay_makes_a_tumor_curve_once_a_grid(spark, monkeypatch):
+    rows = [(s, -1 if s > 9 else 1, float(i + s % 3 + (0 if s > 9 else 1))) for s in range(14) for i in range(0, 20, 1 if s > 9 else 3)]
+    df, laid, whole = spark.createDataFrame(rows, "subject int, label int, score double"), [], density.gaussian_density
+    monkeypatch.setattr(density, "gaussian_density", lambda points, grids, *rest: (laid.append(grids.count()), whole(points, grids, *rest))[1])
+    got = density.fold_overlay(df, 6).collect()
+    assert len(got) == 10 * 5 * 6 and sum(laid) == 10 + 4
