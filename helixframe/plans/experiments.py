@@ -316,8 +316,7 @@ def reference_stability(reads: DataFrame, kernel: Kernel, out: str, *, size: int
 def validate_reference(scores: DataFrame, out: str, points: int = 1024) -> DataFrame:
     """The full mirrored matrix of overlaps between healthy subjects, as CSV, and a JSON report of its rows."""
     subjects = scores.filter("label = 1").select("subject").distinct()
-    pairs = subjects.select(F.col("subject").alias("a")).join(subjects.select(F.col("subject").alias("b")), F.col("a") < F.col("b"))
-    full = density.mirrored(density.oa_pairs(scores, pairs, points), subjects)
+    full = density.mirrored(density.oa_all(scores, False, points), subjects)
     score_tables.write_csv(full, f"{out}/matrix", ["a", "b"])
     score_tables.write_report(density.by_row(full), f"{out}/report")
     return full

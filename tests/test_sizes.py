@@ -4,6 +4,7 @@ import hashlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from helixframe.functions import statistics
 from helixframe.operators import density, features, kernels, nystrom, ocsvm, reports, sampling
@@ -81,3 +82,48 @@ def test_fold_overlay_makes_a_tumor_curve_once_a_grid(spark, monkeypatch):
     monkeypatch.setattr(density, "gaussian_density", lambda points, grids, *rest: (laid.append(grids.count()), whole(points, grids, *rest))[1])
     got = density.fold_overlay(df, 6).collect()
     assert len(got) == 10 * 5 * 6 and sum(laid) == 10 + 4
+
+
+def _plain_overlap(x, y, points):
+    lo, hi = min(min(x), min(y)), max(max(x), max(y))
+    start, top = lo - 0.1 * (hi - lo), 1.1 * max(abs(lo), abs(hi))
+    grid, sides = start + np.arange(points) * (top - start) / (points - 1), []
+    for v in (np.array(x), np.array(y)):
+        h = (1e-6 if len(v) < 2 or v.min() == v.max() else v.std(ddof=1)) * len(v) ** -0.2
+        sides.append(np.exp(-0.5 * ((grid[:, None] - v) / h) ** 2).sum(1) / (len(v) * h * np.sqrt(2 * np.pi)))
+    return 1 - np.trapezoid(np.abs(sides[0] - sides[1]), grid) / 2
+
+
+def test_overlaps_meet_as_polynomials(spark, monkeypatch):
+    monkeypatch.setattr(density, "CHUNK", 8)
+    monkeypatch.setattr(density, "SUBJECTS", 3)
+    r = np.random.default_rng(9)
+    own = {f"s{i}": [float(v) for v in np.round(r.exponential(3 + i, 10 + 5 * i) - i, 2)] for i in range(9)} | {"far": [0.0, 1.0, 2.0, 5000.0], "many": [1.0] * 40 + [2.0]}
+    label = {s: -1 if i % 4 == 3 else 1 for i, s in enumerate(own)}
+    rows = [(s, label[s], v) for s, x in own.items() for v in [*x, None, float("nan")]] + [(None, 1, 1.0)]
+    df = spark.createDataFrame(rows, "subject string, label int, score double")
+    want = {(a, b, label[b] == -1): _plain_overlap(own[a], own[b], 200) for a in own for b in own if label[a] == 1 and (label[b] == -1 or a < b)}
+    got = {(x.a, x.b, x.tumor): x.oa for x in density.oa_all(df, points=200).collect()}
+    assert got == pytest.approx(want, abs=1e-10)
+    healthy = {(x.a, x.b): x.oa for x in density.oa_all(df, False, 200).collect()}
+    assert healthy == pytest.approx({k[:2]: v for k, v in want.items() if not k[2]}, abs=1e-10)
+    pairs = spark.createDataFrame([k[:2] for k in want], "a string, b string")
+    one_by_one = density.oa_pairs(df, pairs, 200)
+    assert {(x.a, x.b): x.oa for x in one_by_one.collect()} == pytest.approx({k[:2]: v for k, v in want.items()}, abs=1e-10)
+    assert "grid_i" not in one_by_one._jdf.queryExecution().toString()
+    assert density.oa_all(df.limit(0)).count() == 0 and density.oa_pairs(df.limit(0), pairs).count() == 0
+
+
+def test_one_chunk_densities_need_no_row_a_point_in_a_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(statistics, "CHUNK", 16)
+    monkeypatch.setattr(statistics, "NUMBERS", 40)
+    r = np.random.default_rng(2)
+    own = {s: np.round(r.normal(size=n), 3) for s, n in (("a", 5), ("b", 16), ("c", 100))}
+    df = spark.createDataFrame([(s, float(v)) for s, x in own.items() for v in x], "subject string, score double")
+    got = {}
+    for x in density.curve(df, ["subject"], "score", 30, lo=F.lit(-2.0)).collect():
+        got.setdefault(x.subject, {})[x.grid_i] = (x.x, x.y)
+    for s, v in own.items():
+        grid, h = np.linspace(-2, v.max(), 30), v.std(ddof=1) * len(v) ** -0.2
+        y = np.exp(-0.5 * ((grid[:, None] - v) / h) ** 2).sum(1) / (len(v) * h * np.sqrt(2 * np.pi))
+        assert np.array([got[s][i] for i in range(30)]) == pytest.approx(np.stack([grid, y], 1))
