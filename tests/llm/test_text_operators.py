@@ -266,3 +266,14 @@ def test_tiktoken(spark):
         assert bytes(r.raw) == t.encode()
     for t in texts:
         assert tiktoken_codec.encode(enc, t or "", size=5) == enc.encode_ordinary(t or "")
+
+
+def test_page_scan_is_cheap_and_unchanged():
+    from helixframe.llm import warc
+
+    class Chars(str):
+        def __iter__(self):
+            raise AssertionError("a page is gone through by character")
+
+    page = warc.Page(Chars("<HEAD><Title>İ T</TITLE></HEAD>\t a  İ\n \n<A HREF='x > y'>b</A> \xa0c<SCRIPT>İ s</Script> d"))
+    assert (page.title, page.links, page.text) == ("İ T", ["x > y"], "a İ b c d")
