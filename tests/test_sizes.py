@@ -127,3 +127,33 @@ def test_one_chunk_densities_need_no_row_a_point_in_a_shuffle(spark, monkeypatch
         grid, h = np.linspace(-2, v.max(), 30), v.std(ddof=1) * len(v) ** -0.2
         y = np.exp(-0.5 * ((grid[:, None] - v) / h) ** 2).sum(1) / (len(v) * h * np.sqrt(2 * np.pi))
         assert np.array([got[s][i] for i in range(30)]) == pytest.approx(np.stack([grid, y], 1))
+
+
+def test_features_of_short_strings_are_one_product(spark, monkeypatch):
+    r = np.random.default_rng(8)
+    seqs = ["".join(r.choice(list("ACGTMHNX"), r.integers(0, 30), p=[0.15] * 6 + [0.05] * 2)).encode() for _ in range(20)]
+    calls = []
+    monkeypatch.setattr(features.itertools, "combinations", lambda *x: calls.append(x) or [])
+    dense = {(k, m, d): features.expanded(seqs, k, m, d) for k in (1, 2, 3) for m in range(1, k) for d in (0.5, 1.0)}
+    assert not calls
+    monkeypatch.undo()
+    monkeypatch.setattr(features, "DENSE", 0)
+    for key, got in dense.items():
+        assert all(np.array_equal(x, y) for x, y in zip(got, features.expanded(seqs, *key)))
+
+
+def test_neighbours_and_sums_without_a_shuffled_row_a_feature(spark):
+    r = np.random.default_rng(5)
+    rows = [("p", i, "".join(r.choice(list("ACGTMHNé" if i % 4 == 0 else "acGTMH"), 15))) for i in range(12)] + [("q", 1, None), ("q", 2, ""), ("q", 3, "AC")]
+    df = spark.createDataFrame(rows, "patient string, read_idx long, seq string")
+    want = {}
+    for p, i, s in rows:
+        for at in range(len(s or "") - 2):
+            word = s.upper()[at : at + 3]
+            for x in {word, *(word[:j] + a + word[j + 1 :] for j in range(3) for a in "ACGTMH")}:
+                want[p, i, x] = want.get((p, i, x), 0) + 1
+    assert {(x.patient, x.read_idx, x.kmer): x.cnt for x in features.mismatch_counts(df, 3, 1).collect()} == want
+    plain = features.weighted_features(df, 4, 1).groupBy("patient", "read_idx").agg(F.count("*").alias("n"), F.sum("w").alias("t"), F.sum(F.col("w") * F.col("w")).alias("d"))
+    sums = features.feature_sums(df, 4, 1)
+    assert sorted(map(tuple, sums.collect())) == sorted(map(tuple, plain.collect()))
+    assert "Aggregate" not in sums._jdf.queryExecution().toString()
