@@ -165,6 +165,25 @@ def test_jaccard_recursion(spark, subspaces, bits):
     assert {r.doc_id: (r.n_shingles, r.component) for r in out.collect()} == brute.jaccard_components(list(enumerate(texts)), 1, 4, 5)
 
 
+@pytest.mark.parametrize("elements", [1 << 18, 500])
+def test_near_copies_make_no_row_a_pair(spark, monkeypatch, elements):
+    """A group of near copies, whose linked pairs grow with its square, makes rows in proportion to its sets."""
+    monkeypatch.setattr(jaccard_join, "ELEMENTS", elements)
+    monkeypatch.setattr(jaccard_join, "STRIP", 64)
+    rows, r = [], random.Random(3)
+    for i in range(150):
+        words = [f"w{j}" for j in range(60)]
+        for j in r.sample(range(20), 4):
+            words[j] = f"own{i}x{j}"
+        rows.append(" ".join(words))
+    t, made, near, linked = jaccard_join.Threshold(4, 5), [], jaccard_join._candidates, jaccard_join._region_links
+    monkeypatch.setattr(jaccard_join, "_candidates", lambda *x: (made.append(near(*x).count() / x[0].count()), near(*x))[1])
+    monkeypatch.setattr(jaccard_join, "_region_links", lambda *x: (made.append(linked(*x).count() / x[0].count()), linked(*x))[1])
+    got = {r.doc_id: (r.n_shingles, r.component) for r in jaccard_join.jaccard_components(frame(spark, rows), k=1, threshold=t, subspaces="singles").collect()}
+    assert got == brute.jaccard_components(list(enumerate(rows)), 1, 4, 5)
+    assert len(made) == 2 and made[0] <= 1 and made[1] <= (1 if elements > 500 else 20)
+
+
 def test_keep_one(spark):
     texts = near_texts(80, seed=6)
     df = frame(spark, texts)
