@@ -157,3 +157,24 @@ def test_neighbours_and_sums_without_a_shuffled_row_a_feature(spark):
     sums = features.feature_sums(df, 4, 1)
     assert sorted(map(tuple, sums.collect())) == sorted(map(tuple, plain.collect()))
     assert "Aggregate" not in sums._jdf.queryExecution().toString()
+
+
+def test_shortest_vector_of_sums_over_many_reads(spark):
+    """Sums over many reads are long and close together: a new one is still taken in, and the model of many reads ends after few passes."""
+    r = np.random.default_rng(11)
+    phi = r.exponential(size=(400, 12)) * np.exp(r.normal(size=12))
+    phi /= np.linalg.norm(phi, axis=1)[:, None]
+    times, n, nu = 10_000, 400, 0.2
+    w = phi.sum(0) * nu * times
+    atoms, share = w[None, :], np.ones(1)
+    for _ in range(60):
+        v = phi[np.argsort(phi @ w)[: int(nu * n)]].sum(0) * times
+        if w @ (w - v) <= 1e-6 * (w @ w):
+            break
+        atoms, share = ocsvm._nearest_to_zero(np.vstack([atoms, v]), np.append(share, 0.0))
+        w = share @ atoms
+    assert w @ (w - v) <= 1e-6 * (w @ w)
+    df = spark.createDataFrame([(x.tolist(),) for x in phi], "phi array<double>").crossJoin(spark.range(50)).select("phi")
+    w, _ = ocsvm.fit_primal(df, nu, 60)
+    v = phi[np.argsort(phi @ w)[: int(nu * n)]].sum(0) * 50
+    assert w @ (w - v) <= 2e-6 * (w @ w)
