@@ -178,3 +178,26 @@ def test_shortest_vector_of_sums_over_many_reads(spark):
     w, _ = ocsvm.fit_primal(df, nu, 60)
     v = phi[np.argsort(phi @ w)[: int(nu * n)]].sum(0) * 50
     assert w @ (w - v) <= 2e-6 * (w @ w)
+
+
+def test_read_vectors_reach_workers_in_batches_bounded_by_bytes(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, "256m")
+        reads = spark.range(0, 9000, 1, 1).select(F.lit("p").alias("patient"), F.col("id").alias("read_idx"), F.expr("repeat(translate(cast(id as string), '0123456789', 'ACGTMHACGT'), 60)").alias("seq"))
+        f = features.read_vectors(reads, [2, 3], 1)
+        n = [r.n for r in f.coalesce(1).mapInArrow(_batch_bytes, "n bigint").collect()]
+        assert sum(n) > 6 << 20 and max(n) < 6 << 20
+        spark.conf.set(name, "1m")
+        features.read_vectors(reads, [2, 3], 1)
+        assert spark.conf.get(name) == "1m"
+    finally:
+        spark.conf.set(name, before)
+
+
+def _batch_bytes(batches):
+    import pyarrow as pa
+
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([b.nbytes], pa.int64())], ["n"])
