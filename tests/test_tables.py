@@ -246,3 +246,13 @@ def test_wide_table_of_ragged_columns(spark):
 
 def test_files_of_patients(spark):
     assert {(r.patient, r.num_sequences) for r in sampling.files_info(reads(spark, 4)).collect()} == {("a", 5), ("b", 4)}
+
+
+def test_spearman_where_one_side_has_equal_values_only(spark):
+    rows = [("one", 1.0, 8), ("flat", 1.0, 9), ("flat", 2.0, 9), ("both", 1.0, 8), ("both", 1.0, 8), ("varied", 1.0, 8), ("varied", 2.0, 9), ("varied", 3.0, 9)]
+    df = spark.createDataFrame(rows, "k string, a double, b int")
+    got = {x.k: (x.spearman, x.n) for x in statistics.spearman(df, "a", "b", ["k"]).collect()}
+    want = {"one": (np.nan, 1), "flat": (np.nan, 2), "both": (np.nan, 2), "varied": (3**0.5 / 2, 3)}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], nan_ok=True) for k in want)
+    whole = statistics.spearman(df.limit(0), "a", "b").first()
+    assert whole.spearman is None and whole.n == 0
