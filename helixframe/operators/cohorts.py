@@ -6,12 +6,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Folds of a tile.
+TILE = 512
+
+
 def loo_folds(patients: DataFrame) -> DataFrame:
-    """(fold, patient, role) of (patient, label): each healthy patient held out once; the other healthy ones train, tumors test."""
+    """(fold, patient, role) of (patient, label): each healthy patient held out once; the other healthy ones train, tumors test.
+
+    A row for two patients is what the job returns. Folds are dealt to tasks in tiles, and a tile's come patient by patient: the columns repeat in
+    short cycles, which files store in a fraction of a byte a row, and no task has more than its tiles.
+    """
     p = patients.select("patient", "label").distinct()
-    held = F.broadcast(p.filter("label = 1").select(F.col("patient").alias("held")))
+    parts = int(patients.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    held = p.filter("label = 1").select(F.col("patient").alias("held"), F.concat(F.lit("LOO_"), F.col("patient").cast("string")).alias("fold"))
+    tiles = F.greatest(F.lit(1), F.ceil(F.count("*") / TILE)).cast("int").alias("tiles")
+    dealt = held.join(F.broadcast(held.agg(tiles)), F.lit(True)).groupBy(F.pmod(F.xxhash64("held"), F.col("tiles")).alias("tile")).agg(F.collect_list(F.struct("held", "fold")).alias("folds"))
+    pairs = dealt.repartition(parts).join(F.broadcast(p), F.lit(True)).select("patient", "label", F.inline("folds"))
     role = F.when(F.col("label") == -1, "tumor").when(F.col("patient") == F.col("held"), "held_out").otherwise("train")
-    return p.join(held, F.lit(True)).select(F.concat(F.lit("LOO_"), F.col("held").cast("string")).alias("fold"), "patient", role.alias("role"))
+    return pairs.select("fold", "patient", role.alias("role"))
 
 
 def background(scores: DataFrame) -> DataFrame:
