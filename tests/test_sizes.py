@@ -216,3 +216,29 @@ def test_folds_are_dealt_out_and_stored_in_short_cycles(spark, tmp_path):
     assert {r.role: r.n for r in got.groupBy("role").agg(F.count("*").alias("n")).collect()} == {"tumor": 1400 * 700, "held_out": 1400, "train": 1400 * 1399}
     assert got.select("fold", "patient").distinct().count() == n
     assert {r.role for r in got.filter("fold = 'LOO_' || patient").collect()} == {"held_out"}
+
+
+def test_pairs_of_blocks_meet_without_copies_in_the_shuffle(spark, monkeypatch):
+    """Every row was shuffled once for each block of the other side."""
+    monkeypatch.setattr(kernels, "BLOCK", 3)
+    x = np.random.default_rng(8).normal(size=(23, 5))
+    ids = [*range(20), 4, 4, 11]  # an id may occur more than once
+    e = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x)], "id long, embedding array<double>")
+    gamma = 0.3
+    for kind in ("linear", "rbf"):
+        k = kernels.embedding_product(x, x, kind, gamma)
+        want = sorted((i, j, k[a, b]) for a, i in enumerate(ids) for b, j in enumerate(ids) if i <= j)
+        pairs = kernels.embedding_kernel(e, kind=kind, gamma=gamma, block=4)
+        got = sorted((r.i, r.j, r.k) for r in pairs.collect())
+        assert [r[:2] for r in got] == [r[:2] for r in want] and [r[2] for r in got] == pytest.approx([r[2] for r in want])
+        both = kernels.embedding_kernel(e.filter("id < 9"), e, kind, gamma, 4)
+        assert both.count() == 11 * 23 and "Generate" not in both._jdf.queryExecution().toString()
+        assert "Generate" not in pairs._jdf.queryExecution().toString()
+        alpha = e.withColumn("alpha", F.col("id") / 10).filter("id between 5 and 10")
+        dots = {r.id: r.dot for r in kernels.embedding_sums(e.filter("id > 11"), alpha, kind, gamma, 4).collect()}
+        assert dots == pytest.approx({i: sum(k[i, j] * j / 10 for j in range(5, 11)) for i in range(12, 20)})
+    reads = spark.createDataFrame([("a", i, "ACGTMH"[i % 5 :] + "ACG") for i in range(12)], "patient string, read_idx long, seq string")
+    f = features.read_vectors(reads, [3], 1)
+    for g, n in ((kernels.gram(f, {3: 1.0}, 2), 78), (kernels.cross_gram(f, f, {3: 1.0}, 2), 144)):
+        assert g.select("i", "j").distinct().count() == g.count() == n
+        assert "FlatMapGroupsInArrow" not in g._jdf.queryExecution().toString()
