@@ -242,3 +242,17 @@ def test_pairs_of_blocks_meet_without_copies_in_the_shuffle(spark, monkeypatch):
     for g, n in ((kernels.gram(f, {3: 1.0}, 2), 78), (kernels.cross_gram(f, f, {3: 1.0}, 2), 144)):
         assert g.select("i", "j").distinct().count() == g.count() == n
         assert "FlatMapGroupsInArrow" not in g._jdf.queryExecution().toString()
+
+
+def test_gradient_of_embeddings_in_one_pass(spark, monkeypatch):
+    """Support vectors went through the driver and out again, a job for each 1,024 of them."""
+    from helixframe.operators import kernel_rows
+
+    monkeypatch.setattr(kernel_rows, "CHUNK", 10)
+    monkeypatch.setattr(kernels, "MOST_ROWS", 16)
+    monkeypatch.setattr(kernels, "BLOCK", 5)
+    rows, k = _rbf(spark, 70, 3)
+    rows._chosen = None  # no vector comes to the driver
+    alpha = np.where(np.arange(70) % 3, np.linspace(0, 1, 70), 0.0)
+    assert rows.combine(alpha) == pytest.approx(k @ alpha)
+    assert rows.combine(1 - alpha) == pytest.approx(k @ (1 - alpha))
