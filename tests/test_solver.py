@@ -174,3 +174,11 @@ def test_vectors_from_reads_equal_packed_features(spark):
     assert got[0] == pytest.approx(got[1]) and got[1][2] == -0.25
     with pytest.raises(ValueError):
         features.read_vectors(reads, [3], 0)
+
+
+def test_rows_that_fit_the_cache_are_fetched_once(spark):
+    rows, k = _rbf(spark, 600)
+    calls, own = [], rows.rows
+    rows.rows = lambda which, active: calls.append(len(which)) or own(which, active)
+    got, want = ocsvm.solve_rows(rows, 0.3, 1e-5), ocsvm.solve(k, 0.3, 1e-6)
+    assert calls == [600] and np.abs(got.alpha - want.alpha).max() < 1e-3 and got.rho == pytest.approx(want.rho, abs=1e-3)
