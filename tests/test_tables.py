@@ -256,3 +256,24 @@ def test_spearman_where_one_side_has_equal_values_only(spark):
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], nan_ok=True) for k in want)
     whole = statistics.spearman(df.limit(0), "a", "b").first()
     assert whole.spearman is None and whole.n == 0
+
+
+def test_spearman_of_equal_values_in_many_partitions(spark):
+    # deviations of 28 equal ranks, merged from partitions of 7, are not zero
+    rows = [(k, i if k else -i, 9 if k % 2 else i, i % 4) for k in range(40) for i in range(28)]
+    spread = spark.createDataFrame(rows, "k int, a int, b int, p int").repartitionByRange(4, "p")
+    assert {x.k % 2: np.isnan(x.spearman) for x in statistics.spearman(spread, "a", "b", ["k"]).collect()} == {0: False, 1: True}
+    ends = {x.k: x.spearman for x in statistics.spearman(spread.filter("k in (0, 2)"), "a", "b", ["k"]).collect()}
+    assert ends == {0: -1.0, 2: 1.0}
+
+
+def test_spearman_ranks_nulls_last(spark):
+    import duckdb
+
+    rows = [(k, None if (i + k) % 5 == 0 else float((i * 7) % 11), None if i % 7 == 0 else i % 4) for k in range(3) for i in range(30)]
+    got = {x.k: x.spearman for x in statistics.spearman(spark.createDataFrame(rows, "k int, a double, b int"), "a", "b", ["k"]).collect()}
+    c = duckdb.connect()
+    c.sql("CREATE TABLE s (k INT, a DOUBLE, b INT)")
+    c.executemany("INSERT INTO s VALUES (?, ?, ?)", rows)
+    rank = "rank() OVER (PARTITION BY k ORDER BY {0}) + (count(*) OVER (PARTITION BY k, {0}) - 1) / 2.0"
+    assert got == pytest.approx(dict(c.sql(f"WITH r AS (SELECT k, {rank.format('a')} AS ra, {rank.format('b')} AS rb FROM s) SELECT k, corr(ra, rb) FROM r GROUP BY k").fetchall()))
