@@ -256,3 +256,34 @@ def test_gradient_of_embeddings_in_one_pass(spark, monkeypatch):
     alpha = np.where(np.arange(70) % 3, np.linspace(0, 1, 70), 0.0)
     assert rows.combine(alpha) == pytest.approx(k @ alpha)
     assert rows.combine(1 - alpha) == pytest.approx(k @ (1 - alpha))
+
+
+def test_baselines_take_the_pool_by_cells(spark, monkeypatch):
+    r = np.random.default_rng(8)
+    own = {s: np.round(r.exponential(9, 4 + s % 5), 1) for s in range(9)} | {9: np.array([5.0]), 10: np.round(r.normal(900, 1e-3, 6), 5)}
+    label = {s: -1 if s % 3 == 2 else 1 for s in own}
+    df = spark.createDataFrame([(s, label[s], float(v)) for s, x in own.items() for v in x], "subject int, label int, score double")
+    laid, whole = [], density.gaussian_density
+    monkeypatch.setattr(density, "gaussian_density", lambda points, grids, *rest: (laid.append({x.subject: x.size for x in grids.select("subject", "size").collect()}), whole(points, grids, *rest))[1])
+    got = {}
+    for x in density.baseline_curves(df, 40).collect():
+        got.setdefault((x.subject, x.curve), []).append((x.grid_i, x.x, x.y))
+    assert laid == [{s: len(x) for s, x in own.items()}]  # no subject's scores are cut up by the pool's size, and the pool meets no grid
+    for s, x in own.items():
+        rest = np.concatenate([v for o, v in own.items() if label[o] == 1 and o != s])
+        grid = np.linspace(min(x.min(), rest.min()), max(x.max(), rest.max()), 40)
+        for curve, v in (("own", x), ("baseline", rest)):
+            h = (1e-6 if len(v) < 2 else v.std(ddof=1)) * len(v) ** -0.2
+            i, at, y = zip(*sorted(got[s, curve]))
+            assert i == tuple(range(40)) and at == pytest.approx(grid)
+            assert y == pytest.approx(np.exp(-0.5 * ((grid[:, None] - v) / h) ** 2).sum(1) / (len(v) * h * np.sqrt(2 * np.pi)), abs=1e-9)
+    monkeypatch.undo()
+    assert density.baseline_curves(df.limit(0)).count() == 0
+    v = np.round(r.exponential(30, 500), 2)
+    for h in (1.3, 2.0, 80.0, 1e-3):
+        width = 2.0 ** (np.floor(np.log2(h)) - 2)
+        at = (v - v.min()) / width
+        cells, inverse = np.unique(np.floor(at).astype(np.int64), return_inverse=True)
+        moments = np.vstack([np.stack([np.bincount(inverse, (at - np.floor(at) - 0.5) ** k) for k in range(density.TERMS)], 1), np.zeros(density.TERMS)])
+        x = np.linspace(-5, 300, 200)
+        assert density._pool_bumps(cells, moments, width, v.min(), x, h) == pytest.approx(np.exp(-0.5 * ((x[:, None] - v) / h) ** 2).sum(1), abs=1e-10)
