@@ -287,3 +287,15 @@ def test_baselines_take_the_pool_by_cells(spark, monkeypatch):
         moments = np.vstack([np.stack([np.bincount(inverse, (at - np.floor(at) - 0.5) ** k) for k in range(density.TERMS)], 1), np.zeros(density.TERMS)])
         x = np.linspace(-5, 300, 200)
         assert density._pool_bumps(cells, moments, width, v.min(), x, h) == pytest.approx(np.exp(-0.5 * ((x[:, None] - v) / h) ** 2).sum(1), abs=1e-10)
+
+
+def test_fold_overlay_pairs_whole_rounded_curves(spark, monkeypatch):
+    rows = [(s, -1 if s > 4 else 1, (i * (s + 3)) % 17 + 0.123456789) for s in range(8) for i in range(10 + 3 * s)]
+    df = spark.createDataFrame(rows, "subject int, label int, score double")
+    key = lambda x: (x.fold, x.subject, x.grid_i)
+    exact = {key(x): x for x in density.fold_overlay(df, 9).collect()}
+    monkeypatch.setattr(statistics, "CHUNK", 4)
+    near = {key(x): x for x in density.fold_overlay(df, 9, digits=3).collect()}
+    assert exact.keys() == near.keys() and len(near) == 5 * 4 * 9
+    for k, x in exact.items():
+        assert (near[k].mean_score, near[k].x, near[k].y) == (pytest.approx(x.mean_score, abs=5.1e-4), pytest.approx(x.x, abs=5.1e-4), pytest.approx(x.y, abs=5.1e-4)) and round(near[k].y, 3) == near[k].y
