@@ -299,3 +299,31 @@ def test_fold_overlay_pairs_whole_rounded_curves(spark, monkeypatch):
     assert exact.keys() == near.keys() and len(near) == 5 * 4 * 9
     for k, x in exact.items():
         assert (near[k].mean_score, near[k].x, near[k].y) == (pytest.approx(x.mean_score, abs=5.1e-4), pytest.approx(x.x, abs=5.1e-4), pytest.approx(x.y, abs=5.1e-4)) and round(near[k].y, 3) == near[k].y
+
+
+def test_blocks_meet_without_a_copy_for_each_other_block(spark):
+    r = np.random.default_rng(6)
+    reads = spark.createDataFrame([(p, i, "".join(r.choice(list("ACGT"), 12))) for i in range(12) for p in "ab"], "patient string, read_idx long, seq string")
+    scores = spark.createDataFrame([(s, 1 - 2 * (s % 2), float(v)) for s in range(6) for v in r.normal(s, 1, 9)], "subject int, label int, score double")
+    for got in (kernels.distance_sums(features.read_vectors(reads, [2, 3], 1), {2: 0.4, 3: 0.6}), density.oa_all(scores), density.oa_all(scores, False)):
+        plan = got._jdf.queryExecution().toString()
+        assert "CartesianProduct" in plan and "Generate" not in plan
+    # what densities shuffle does not grow with the cells of subjects of one chunk
+    assert "Generate explode" not in density.polynomials(scores)._jdf.queryExecution().toString()
+
+
+def test_products_are_rounded_where_they_are_made(spark):
+    r = np.random.default_rng(7)
+    reads = spark.createDataFrame([("ab"[i % 2], i, "".join(r.choice(list("ACGTN" if i % 5 == 0 else "ACGT"), 9 + i % 4))) for i in range(40)], "patient string, read_idx long, seq string")
+    f, w = features.read_vectors(reads, [2, 3], 1).cache(), {2: 0.4, 3: 0.6}
+    exact = {(x.i, x.j): x.k for x in kernels.gram(f, w, cosine=True).collect()}
+    near = {(x.i, x.j): x.k for x in kernels.gram(f, w, cosine=True, digits=3).collect()}
+    assert near.keys() == exact.keys() and all(abs(near[p] - k) < 5.001e-4 and round(near[p], 3) == near[p] for p, k in exact.items())
+    assert kernels.rounded(np.array([0.0078125, -0.0078125, 1.5, -0.0000001, 2.0]), 6).tolist() == [0.007813, -0.007813, 1.5, 0.0, 2.0]
+    rows = kernels.vectors(f, w).toArrow()["vectors"]
+    dense, product = kernels._Tile(rows, w, False), kernels.product(rows, rows, w)
+    assert dense.dense is not None and (dense.times(dense) == product).all()
+    plain = features.weighted_features(reads, 3, 0)
+    counts = kernels.vectors(plain, {3: 1.0}).toArrow()["vectors"]  # letters beyond the alphabet: no matrix over the vocabulary
+    other = kernels._Tile(counts, {3: 1.0}, False)
+    assert other.dense is None and (other.times(other) == kernels.product(counts, counts, {3: 1.0})).all()
