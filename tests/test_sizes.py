@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from helixframe.functions import statistics
-from helixframe.operators import cohorts, density, features, kernels, nystrom, ocsvm, reports, sampling
+from helixframe.operators import cohorts, density, distances, features, kernels, nystrom, ocsvm, reports, sampling
+from helixframe.plans import pipelines
 
 from .test_solver import _rbf
 
@@ -327,3 +328,19 @@ def test_products_are_rounded_where_they_are_made(spark):
     counts = kernels.vectors(plain, {3: 1.0}).toArrow()["vectors"]  # letters beyond the alphabet: no matrix over the vocabulary
     other = kernels._Tile(counts, {3: 1.0}, False)
     assert other.dense is None and (other.times(other) == kernels.product(counts, counts, {3: 1.0})).all()
+
+
+@pytest.mark.parametrize("places", [0, 1 << 16])
+def test_reference_overlaps_are_added_up_where_pairs_are_made(spark, monkeypatch, places):
+    monkeypatch.setattr(distances, "_PLACES", places)
+    monkeypatch.setattr(kernels, "BLOCK", 5)
+    monkeypatch.setattr(kernels, "MOST_ROWS", 11)
+    r = np.random.default_rng(11)
+    reads = spark.createDataFrame([("abcde"[i % 5], i, "".join(r.choice(list("ACGT"), 14))) for i in range(46)] + [("f", 100, "ACGTA"), ("e", 101, "AC")], "patient string, read_idx long, seq string")
+    known = F.col("patient").isin("a", "b", "c")
+    train, test = (features.weighted_features(reads.filter(x), 3, 0) for x in (known, ~known))
+    one = {3: 1.0}
+    want = pipelines.reference_scores(kernels.cross_gram(test, train, one, cosine=True), pipelines.reference_curve(kernels.gram(train, one, cosine=True), 60), 60)
+    got = {x.patient: (x.oa, x.anomaly_score) for x in pipelines.reference_overlaps(train, test, one, 60).collect()}
+    want = {x.patient: (x.oa, x.anomaly_score) for x in want.collect()}
+    assert set(got) == {"d", "e", "f"} and all(got[p] == pytest.approx(want[p], abs=1e-9) for p in want)
