@@ -6,22 +6,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-#: Folds of a tile.
-TILE = 512
+#: Folds of a tile, and patients that meet it in one task at most (about): what a task writes, and its writer holds, does not grow with the job.
+TILE, SLICE = 512, 4096
 
 
 def loo_folds(patients: DataFrame) -> DataFrame:
     """(fold, patient, role) of (patient, label): each healthy patient held out once; the other healthy ones train, tumors test.
 
     A row for two patients is what the job returns. Folds are dealt to tasks in tiles, and a tile's come patient by patient: the columns repeat in
-    short cycles, which files store in a fraction of a byte a row, and no task has more than its tiles.
+    short cycles, which files store in a fraction of a byte a row. A tile's folds come from a table by tile, row by row; no row holds them as an array,
+    which would be copied for each patient.
     """
     p = patients.select("patient", "label").distinct()
     parts = int(patients.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     held = p.filter("label = 1").select(F.col("patient").alias("held"), F.concat(F.lit("LOO_"), F.col("patient").cast("string")).alias("fold"))
-    tiles = F.greatest(F.lit(1), F.ceil(F.count("*") / TILE)).cast("int").alias("tiles")
-    dealt = held.join(F.broadcast(held.agg(tiles)), F.lit(True)).groupBy(F.pmod(F.xxhash64("held"), F.col("tiles")).alias("tile")).agg(F.collect_list(F.struct("held", "fold")).alias("folds"))
-    pairs = dealt.repartition(parts).join(F.broadcast(p), F.lit(True)).select("patient", "label", F.inline("folds"))
+    n = p.agg(F.count("*").alias("all"), F.count_if(F.col("label") == 1).alias("healthy")).first()
+    tiles, slices = max(1, -(-n.healthy // TILE)), max(1, -(-n["all"] // SLICE))
+    folds = held.select(F.pmod(F.xxhash64("held"), F.lit(tiles)).alias("tile"), "held", "fold")
+    sliced = p.withColumn("slice", F.pmod(F.xxhash64("patient"), F.lit(slices)))
+    at = patients.sparkSession.range(tiles * slices).select(F.floor(F.col("id") / slices).alias("tile"), (F.col("id") % slices).alias("slice"))
+    pairs = at.repartition(max(parts, tiles * slices)).join(F.broadcast(sliced), "slice").join(F.broadcast(folds), "tile")  # both are a row a patient
     role = F.when(F.col("label") == -1, "tumor").when(F.col("patient") == F.col("held"), "held_out").otherwise("train")
     return pairs.select("fold", "patient", role.alias("role"))
 

@@ -344,3 +344,14 @@ def test_reference_overlaps_are_added_up_where_pairs_are_made(spark, monkeypatch
     got = {x.patient: (x.oa, x.anomaly_score) for x in pipelines.reference_overlaps(train, test, one, 60).collect()}
     want = {x.patient: (x.oa, x.anomaly_score) for x in want.collect()}
     assert set(got) == {"d", "e", "f"} and all(got[p] == pytest.approx(want[p], abs=1e-9) for p in want)
+
+
+def test_folds_of_a_task_do_not_grow_with_patients(spark, monkeypatch):
+    monkeypatch.setattr(cohorts, "TILE", 4)
+    monkeypatch.setattr(cohorts, "SLICE", 5)
+    df = spark.createDataFrame([(i, -1 if i % 3 == 0 else 1) for i in range(24)], "patient long, label int")
+    folds = cohorts.loo_folds(df)
+    got = folds.collect()
+    assert len(got) == len({(x.fold, x.patient) for x in got}) == 16 * 24 and sum(x.role == "held_out" for x in got) == 16
+    assert folds.rdd.getNumPartitions() == 4 * 5 and "Generate" not in folds._jdf.queryExecution().toString()
+    assert cohorts.loo_folds(df.limit(0)).count() == 0
